@@ -1,11 +1,16 @@
 """The subpackage's queries and their SQL."""
 
-from . import line_dedup, maglev, simhash
+from . import edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op3_html_text": html_text.query,
     "op5_maglev_sharding": maglev.query,
+    "op6_quality": quality.query,
     "op7_simhash": simhash.query,
+    "op8_lang_id": lang_id.query,
+    "op9_best_fit_packing": packing.query,
+    "op10_edit_prints": edit_prints.query,
 }
 
 ORACLE = {
