@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from . import edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash
+from . import decontaminate, edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op3_html_text": html_text.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_maglev_sharding": maglev.query,
     "op6_quality": quality.query,
     "op7_simhash": simhash.query,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_decontaminate": decontaminate.SQL,
 }
