@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from . import decontaminate, edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash
+from . import decontaminate, edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_html_text": html_text.query,
     "op4_decontaminate": decontaminate.query,
     "op5_maglev_sharding": maglev.query,
