@@ -1,0 +1 @@
+"""Orientation-tomography analytics as Spark DataFrame plans."""
