@@ -135,9 +135,9 @@ def density(coef: DataFrame) -> DataFrame:
 
 
 def line_integrals(values: DataFrame) -> DataFrame:
-    """Per row: sum up to and including the pixel, less half of its own value."""
-    row = Window.partitionBy("iy").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    return values.select("ix", "iy", (F.sum("v").over(row) - F.col("v") / 2).alias("s"))
+    """Per channel and row: sum up to and including the pixel, less half of its own value."""
+    row = Window.partitionBy("k", "iy").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    return values.select("k", "ix", "iy", (F.sum("v").over(row) - F.col("v") / 2).alias("s"))
 
 
 def scramble(data: DataFrame, shifts: DataFrame, n_eta: int, channels: int, block: int = 5) -> DataFrame:

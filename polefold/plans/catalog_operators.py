@@ -301,18 +301,23 @@ def support_project(spark, d):
     return fields.project_support(B.coef(spark, d), projector.fov_mask(_geo(spark), NX, NY, NS))
 
 
-_PAIRS = "SELECT DISTINCT (l_linenumber - 1)::INT AS k, (l_partkey % 256)::INT AS p FROM lineitem WHERE l_quantity > 45 AND l_partkey % 3 = 0"
+_PAIRS = "SELECT DISTINCT (l_linenumber - 1)::INT AS k, (l_partkey % 256)::INT AS p FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.065"
 
 
 def _pairs(spark, d):
-    return B.read(spark, d, "lineitem", "l_linenumber", "l_partkey", "l_quantity").where("l_quantity > 45 and l_partkey % 3 = 0").selectExpr("cast(l_linenumber - 1 as int) k", "cast(l_partkey % 256 as int) p").distinct()
+    return B.read(spark, d, "lineitem", "l_linenumber", "l_partkey", "l_quantity", "l_discount").where("l_quantity > 45 and l_discount > 0.065").selectExpr("cast(l_linenumber - 1 as int) k", "cast(l_partkey % 256 as int) p").distinct()
 
 
-@query("dilate_disk", sql("SELECT DISTINCT k, (p % 16 + dx + 16 * (p // 16 + dy))::INT AS p FROM s, range(-2, 3) x(dx), range(-2, 3) z(dy) WHERE dx * dx + dy * dy <= 2.25 AND p % 16 + dx BETWEEN 0 AND 15 AND p // 16 + dy BETWEEN 0 AND 15", s=_PAIRS + " AND l_orderkey % 9 = 0"))
+_SPARSE = "SELECT DISTINCT (l_linenumber - 1)::INT AS k, (l_partkey % 256)::INT AS p FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.085"
+
+
+def _sparse(spark, d):
+    return B.read(spark, d, "lineitem", "l_linenumber", "l_partkey", "l_quantity", "l_discount").where("l_quantity > 48 and l_discount > 0.085").selectExpr("cast(l_linenumber - 1 as int) k", "cast(l_partkey % 256 as int) p").distinct()
+
+
+@query("dilate_disk", sql("SELECT DISTINCT k, (p % 16 + dx + 16 * (p // 16 + dy))::INT AS p FROM s, range(-2, 3) x(dx), range(-2, 3) z(dy) WHERE dx * dx + dy * dy <= 2.25 AND p % 16 + dx BETWEEN 0 AND 15 AND p // 16 + dy BETWEEN 0 AND 15", s=_SPARSE))
 def dilate_disk(spark, d):
-    rows = B.read(spark, d, "lineitem", "l_linenumber", "l_partkey", "l_quantity", "l_orderkey").where("l_quantity > 45 and l_partkey % 3 = 0 and l_orderkey % 9 = 0")
-    pairs = rows.selectExpr("cast(l_linenumber - 1 as int) k", "cast(l_partkey % 256 as int) p").distinct()
-    return fields.dilate(pairs, fields.disk(1.5), NX, NY)
+    return fields.dilate(_sparse(spark, d), fields.disk(1.5), NX, NY)
 
 
 @query("support_union", sql("SELECT k, p FROM s UNION SELECT k, p FROM coef WHERE v > 400", "coef", s=_PAIRS))
@@ -336,13 +341,9 @@ def support_tiles(spark, d):
     return fields.tiles(_pairs(spark, d), NX, 4)
 
 
-_SPARSE = "SELECT DISTINCT (l_linenumber - 1)::INT AS k, (l_partkey % 256)::INT AS p FROM lineitem WHERE l_quantity > 48 AND l_partkey % 3 = 0 AND l_orderkey % 4 = 0"
-
-
 @query("regions", sql("SELECT k, p, min(q)::INT AS region FROM reach GROUP BY 1, 2", s=_SPARSE, reach="SELECT k, p, p AS q FROM s UNION SELECT s.k, s.p, r.q FROM reach r JOIN s ON s.k = r.k AND abs(s.p % 16 - r.p % 16) <= 1 AND abs(s.p // 16 - r.p // 16) <= 1"))
 def regions(spark, d):
-    rows = B.read(spark, d, "lineitem", "l_linenumber", "l_partkey", "l_quantity", "l_orderkey").where("l_quantity > 48 and l_partkey % 3 = 0 and l_orderkey % 4 = 0")
-    return fields.regions(rows.selectExpr("cast(l_linenumber - 1 as int) k", "cast(l_partkey % 256 as int) p").distinct(), NX, NY)
+    return fields.regions(_sparse(spark, d), NX, NY)
 
 
 @query("local_support_topn", sql("SELECT k, p FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY v DESC, k) AS r, max(v) OVER (PARTITION BY p) AS best FROM coef WHERE v > 0) WHERE r <= 3 AND v >= 0.9 * best AND best >= 0.6 * (SELECT max(v) FROM coef)", "coef"))
@@ -360,9 +361,9 @@ def density_dominant(spark, d):
     return fields.density(B.coef(spark, d))
 
 
-@query("line_integral", sql("SELECT (p % 16)::INT AS ix, (p // 16)::INT AS iy, sum(v) OVER (PARTITION BY p // 16 ORDER BY p % 16 ROWS UNBOUNDED PRECEDING) - v / 2 AS s FROM coef WHERE k = 0", "coef"))
+@query("line_integral", sql("SELECT k, (p % 16)::INT AS ix, (p // 16)::INT AS iy, sum(v) OVER (PARTITION BY k, p // 16 ORDER BY p % 16 ROWS UNBOUNDED PRECEDING) - v / 2 AS s FROM coef", "coef"))
 def line_integral(spark, d):
-    image = B.coef(spark, d).where("k = 0").selectExpr("cast(p % 16 as int) ix", "cast(p div 16 as int) iy", "v")
+    image = B.coef(spark, d).selectExpr("k", "cast(p % 16 as int) ix", "cast(p div 16 as int) iy", "v")
     return fields.line_integrals(image)
 
 

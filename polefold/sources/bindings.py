@@ -54,7 +54,7 @@ def orientations(spark: SparkSession, d: str) -> DataFrame:
     m = F.sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6])
     quats = [(e[i] / n).alias(f"q{c}") for i, c in enumerate("xyzw")]
     units = [(e[i + 4] / m).alias(f"u{c}") for i, c in enumerate("xyz")]
-    return rows.select(F.col("vec_id").cast("int").alias("k"), *quats, *units, (0.07 + 0.01 * (F.col("label") % 3)).alias("sigma"))
+    return rows.select(F.col("vec_id").cast("int").alias("k"), *quats, *units, (0.07 + 0.01 * (F.col("label") % 3)).alias("sigma"), "label")
 
 
 def pf_surrogate(spark: SparkSession) -> DataFrame:
@@ -81,7 +81,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "comp": ((), "SELECT l_returnflag AS c, (l_orderkey % 30)::INT AS a, (l_suppkey % 17)::INT AS y, (l_partkey % 24)::INT AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4"),
     "e7": ((), "SELECT vec_id::INT AS k, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(7)) + " FROM embeddings"),
     "orient": (("e7",), "SELECT k, e0/sqrt(e0*e0+e1*e1+e2*e2+e3*e3) AS qx, e1/sqrt(e0*e0+e1*e1+e2*e2+e3*e3) AS qy, e2/sqrt(e0*e0+e1*e1+e2*e2+e3*e3) AS qz, e3/sqrt(e0*e0+e1*e1+e2*e2+e3*e3) AS qw, "
-     "e4/sqrt(e4*e4+e5*e5+e6*e6) AS ux, e5/sqrt(e4*e4+e5*e5+e6*e6) AS uy, e6/sqrt(e4*e4+e5*e5+e6*e6) AS uz, 0.07::DOUBLE + 0.01::DOUBLE * (label % 3) AS sigma FROM e7"),
+     "e4/sqrt(e4*e4+e5*e5+e6*e6) AS ux, e5/sqrt(e4*e4+e5*e5+e6*e6) AS uy, e6/sqrt(e4*e4+e5*e5+e6*e6) AS uz, 0.07::DOUBLE + 0.01::DOUBLE * (label % 3) AS sigma, label FROM e7"),
     "angle": ((), _ANGLES),
     "geo": (("angle",), _GEO),
     "radon": (
