@@ -74,7 +74,7 @@ def _masks(blocks: int, distance: int) -> list[int]:
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the pairs within ``distance``, found breadth first."""
-    found, rest = [], np.unique(fps)
+    found, rest = [], np.unique(fps).view(np.uint64)  # unsigned: counting bits of signed ones takes their absolute value
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
@@ -82,7 +82,7 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(rest ^ x) <= distance
             if near.any():
                 hits, rest = rest[near], rest[~near]
-                found += [(int(x), int(y)) for y in hits]
+                found += [(int(a), int(b)) for a, b in zip(np.full(len(hits), x).view(np.int64), hits.view(np.int64))]
                 front += list(hits)
     return found
 
@@ -142,6 +142,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of every component stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept, "left_semi").select(*docs.columns)
+    """Pipeline stage: the document with the smallest doc_id of every component stays, once.
+
+    Documents without an id stay if their component has none, one row of each text.
+    """
+    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
