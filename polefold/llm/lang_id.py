@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from . import common
 
 PROFILE, FOLDS, HELD = 400, 3, 1
+GAP = 1  # not a letter, and not 0: codes of n-grams of different lengths stay apart
 _CHUNK = 1 << 20
 
 
@@ -37,14 +38,15 @@ def _letters() -> np.ndarray:
 def _grams(text: str) -> np.ndarray:
     """Codes of the n-grams, 21 bits a character, sorted; empty without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.where(_letters()[codes], codes, 0).astype(np.uint64)
-    codes = np.concatenate([np.zeros(1, np.uint64), codes, np.zeros(1, np.uint64)])
-    codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
+    codes = np.where(_letters()[codes], codes, GAP).astype(np.uint64)
+    ends = np.full(1, GAP, np.uint64)
+    codes = np.concatenate([ends, codes, ends])
+    codes = codes[(codes != GAP) | np.concatenate([[True], codes[:-1] != GAP])]
     if len(codes) < 2:
         return np.zeros(0, np.uint64)
     two = codes[:-1] << np.uint64(21) | codes[1:]
     three = two[:-1] << np.uint64(21) | codes[2:]
-    return np.sort(np.concatenate([codes[codes > 0], two, three]))
+    return np.sort(np.concatenate([codes[codes != GAP], two, three]))
 
 
 def _counted(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
