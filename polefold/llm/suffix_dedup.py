@@ -29,11 +29,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,7 +173,8 @@ def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.nd
     if not n:
         return low, high
     words = np.concatenate([right, np.zeros((n, -side % 8), np.uint8)], axis=1).view(">u8")
-    rows = np.lexsort([*words.T[::-1], group])
+    # among equal bytes the shorter first: a padded end then never parts rows that go on
+    rows = np.lexsort([n_right, *words.T[::-1], group])
 
     def common_after(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         differ = right[x] != right[y]
@@ -217,22 +219,39 @@ def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.nd
     return low, high
 
 
+def _press(documents: DataFrame, *columns: str) -> DataFrame:
+    """The columns, _id0, _crc0 and _packed: texts compressed before they travel (null stays null)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raws = batch.column("_raw").to_pylist()
+            crcs = pa.array([zlib.crc32(r or b"") for r in raws], pa.int64())
+            packed = pa.array([None if r is None else press.compress(r) for r in raws], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("_id0"), crcs, packed], names)
+
+    names = [*columns, "_id0", "_crc0", "_packed"]
+    source = documents.select(*columns, F.coalesce("doc_id", F.lit(-(2**63))).alias("_id0"), F.col("text").cast("binary").alias("_raw"))
+    added = T._parse_datatype_string("_crc0 long, _packed binary")
+    return source.mapInArrow(work, T.StructType([*source.drop("_raw").schema.fields, *added.fields]))
+
+
 def _surroundings(documents: DataFrame, chosen: DataFrame, side: int, k: int) -> DataFrame:
-    """a, c, n, parts and bytes around the anchor of the chosen occurrences."""
+    """a, c, n, d and the bytes around (not of) the anchor of the chosen occurrences."""
     listed = chosen.groupBy("uid", "crc").agg(F.collect_list(F.struct("at", "a", "c", "n", "d")).alias("marks"))
-    source = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), F.col("text").cast("binary").alias("raw")).withColumn("crc0", F.crc32("raw"))
-    joined = source.join(listed.hint("shuffle_hash"), (F.col("id0") == F.col("uid")) & (F.col("crc0") == F.col("crc"))).select("raw", "marks")
+    joined = _press(documents).join(listed.hint("shuffle_hash"), (F.col("_id0") == F.col("uid")) & (F.col("_crc0") == F.col("crc"))).select("_packed", "marks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column("raw").to_pylist()
+            unpress = zstandard.ZstdDecompressor()
+            raws = [unpress.decompress(r) if r else b"" for r in batch.column("_packed").to_pylist()]
             marks = batch.column("marks")
             offsets, flat = marks.offsets.to_numpy(), marks.flatten()
             shift = offsets[0]
             fields = {name: flat.field(i).to_numpy(zero_copy_only=False) for i, name in enumerate(("at", "a", "c", "n", "d"))}
             for i, raw in enumerate(raws):
                 lo, hi = offsets[i] - shift, offsets[i + 1] - shift
-                cut = [raw[max(0, at - side) : at + k + side] for at in fields["at"][lo:hi].tolist()]
+                cut = [raw[max(0, at - side) : at] + raw[at + k : at + k + side] for at in fields["at"][lo:hi].tolist()]
                 begin = np.minimum(fields["at"][lo:hi], side)
                 yield pa.RecordBatch.from_arrays([*[pa.array(fields[f][lo:hi], pa.int64()) for f in "acnd"], pa.array(begin, pa.int64()), pa.array(cut, pa.binary())], ["a", "c", "n", "d", "begin", "cut"])
 
@@ -268,11 +287,11 @@ def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
             cuts = whole.column("cut").to_pylist()
             begin, n = get("begin"), len(cuts)
             left, right = np.zeros((n, side), np.uint8), np.zeros((n, side), np.uint8)
-            after = np.array([len(x) for x in cuts]) - begin - k
+            after = np.array([len(x) for x in cuts]) - begin
             for i, (x, b, f) in enumerate(zip(cuts, begin.tolist(), after.tolist())):
                 row = np.frombuffer(x, np.uint8)
                 left[i, :b] = row[:b][::-1]
-                right[i, :f] = row[b + k :]
+                right[i, :f] = row[b:]
             low, high = expand(get("team"), left, right, begin, after, get("n"))
             good = high >= 0
             return pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (get("a"), get("c"), low, high)], ["a", "c", "low", "high"])
@@ -351,17 +370,18 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produce, min_bytes: int, k: int, part: int) -> DataFrame:
-    """``produce(batch, cleaned bytes, merged ranges)`` over the documents with their ranges."""
+def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produce: Callable, min_bytes: int, k: int, part: int) -> DataFrame:
+    """``produce(batch, texts as bytes or None, bytes left, merged ranges)`` over the documents with their ranges."""
     ranges = repeated_ranges(documents, min_bytes, k, part).select(F.col("uid").alias("_uid"), F.col("crc").alias("_crc"), F.col("ranges").alias("_ranges"))
-    source = documents.select(*columns, F.coalesce("doc_id", F.lit(-(2**63))).alias("_id0"), F.col("text").cast("binary").alias("_raw"))
-    source = source.withColumn("_crc0", F.crc32(F.coalesce("_raw", F.lit(b""))))
-    joined = source.join(ranges.hint("shuffle_hash"), (F.col("_id0") == F.col("_uid")) & (F.col("_crc0") == F.col("_crc")), "left").select(*columns, "_raw", "_ranges")
+    joined = _press(documents, *columns).join(ranges.hint("shuffle_hash"), (F.col("_id0") == F.col("_uid")) & (F.col("_crc0") == F.col("_crc")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
+            raws = [None if r is None else unpress.decompress(r) for r in batch.column("_packed").to_pylist()]
             spans_of, cleaned = [], []
-            for raw, ranges in zip(common.text_bytes(batch.column("_raw")), batch.column("_ranges").to_pylist()):
+            for raw, ranges in zip(raws, batch.column("_ranges").to_pylist()):
+                raw = raw or b""
                 spans = _merged([(r["begin"], r["end"]) for r in ranges or ()])
                 kept, at = [], 0
                 for begin, end in spans:
@@ -369,23 +389,26 @@ def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produ
                     at = end
                 cleaned.append(b"".join([*kept, raw[at:]]) if spans else raw)
                 spans_of.append(spans)
-            yield produce(batch, cleaned, spans_of)
+            yield produce(batch, raws, cleaned, spans_of)
 
-    return joined.mapInArrow(work, schema)
+    return joined.select(*columns, "_packed", "_ranges").mapInArrow(work, schema)
 
 
 def dedup(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K, part: int = PART) -> DataFrame:
     """The documents with ``clean`` (the bytes left) and ``removed`` (array of byte ranges begin, end)."""
     columns = [c for c in documents.columns if c not in ("clean", "removed")]
+    others = [c for c in columns if c != "text"]
     added = T._parse_datatype_string("clean binary, removed array<struct<begin:long,end:long>>")
     schema = T.StructType([*documents.select(*columns).schema.fields, *added.fields])
     target = to_arrow_schema(schema)
 
-    def produce(batch: pa.RecordBatch, cleaned: list[bytes], spans: list) -> pa.RecordBatch:
+    def produce(batch: pa.RecordBatch, raws: list, cleaned: list[bytes], spans: list) -> pa.RecordBatch:
+        texts = pa.array([None if r is None else r.decode("utf-8", "replace") for r in raws], pa.string())
         made = [pa.array(cleaned, pa.binary()), pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], target.field("removed").type)]
-        return pa.RecordBatch.from_arrays([*[batch.column(c).cast(target.field(c).type) for c in columns], *made], schema=target)
+        kept = [texts if c == "text" else batch.column(c) for c in columns]
+        return pa.RecordBatch.from_arrays([*[x.cast(target.field(c).type) for x, c in zip(kept, columns)], *made], schema=target)
 
-    return _apply(documents, columns, schema, produce, min_bytes, k, part)
+    return _apply(documents, others, schema, produce, min_bytes, k, part)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +416,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = T._parse_datatype_string(kinds)
 
-    def produce(batch: pa.RecordBatch, cleaned: list[bytes], spans: list) -> pa.RecordBatch:
+    def produce(batch: pa.RecordBatch, raws: list, cleaned: list[bytes], spans: list) -> pa.RecordBatch:
         gone = [sum(e - b for b, e in s) for s in spans]
         columns = [[len(c) + g for c, g in zip(cleaned, gone)], gone, [len(s) for s in spans]]
         digests = pa.array([hashlib.sha256(c).hexdigest() for c in cleaned], pa.string())
@@ -404,14 +427,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated strings go from the texts; every document stays, with n_chars of what is left."""
-    cleaned = dedup(docs)
-    target = docs.schema
+    target, columns = docs.schema, [c for c in docs.columns if c not in ("text", "n_chars")]
+    arrow = to_arrow_schema(target)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(target)
-        for batch in batches:
-            texts = [c.decode("utf-8", "ignore") if c is not None else None for c in batch.column("clean").to_pylist()]
-            made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n].cast(arrow.field(n).type) if n in made else batch.column(n).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
+    def produce(batch: pa.RecordBatch, raws: list, cleaned: list[bytes], spans: list) -> pa.RecordBatch:
+        texts = [None if r is None else c.decode("utf-8", "ignore") for r, c in zip(raws, cleaned)]
+        made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([(made[n] if n in made else batch.column(n)).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
 
-    return cleaned.mapInArrow(work, target)
+    return _apply(docs, columns, target, produce, MIN_BYTES, K, PART)
