@@ -129,11 +129,13 @@ def fundamental_zone(orientations: DataFrame, ops: DataFrame, key: str = "k") ->
     The symmetry operations are an array literal, so nothing is exploded and nothing shuffles.
     """
     rows = ops.orderBy("g").collect()  # at most 24
-    options = []
-    for row in rows:
-        x, y, z, w = product(quat(), tuple(F.lit(row[f"q{c}"]) for c in "xyzw"))
-        options.append(F.struct(F.round(F.abs(w), 9).alias("m"), F.lit(-row["g"]).alias("g"), x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w")))
-    best = F.greatest(*options) if len(options) > 1 else options[0]
+    turns = F.array(*[F.struct(F.lit(-r["g"]).alias("g"), *[F.lit(r[f"q{c}"]).alias(c) for c in "xyzw"]) for r in rows])
+
+    def image(turn: Column) -> Column:
+        x, y, z, w = product(quat(), tuple(turn[c] for c in "xyzw"))
+        return F.struct(F.round(F.abs(w), 9).alias("m"), turn["g"].alias("g"), x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w"))
+
+    best = F.array_max(F.transform(turns, image))
     sign = F.when(F.col("_best.w") < 0, -1.0).otherwise(1.0)
     others = [c for c in orientations.columns if c not in ("qx", "qy", "qz", "qw")]
     return orientations.withColumn("_best", best).select(*others, *[(F.col(f"_best.{c}") * sign).alias(f"q{c}") for c in "xyzw"])

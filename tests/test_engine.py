@@ -86,10 +86,10 @@ def test_groups_are_closed(name, order):
 
 def test_zone_is_invariant(spark, data):
     o, ops = B.orientations(spark, data), rot.symops(spark, "O")
-    zone = rot.fundamental_zone(o, ops).select("k", F.round("qw", 8).alias("qw"))
-    images = rot.equivalents(o, ops)
-    moved = rot.fundamental_zone(images.withColumn("k2", F.col("k")), ops).select("k", F.round("qw", 8).alias("qw")).distinct()
-    assert moved.join(zone, ["k", "qw"]).count() == zone.count() == moved.count()
+    zone = rot.fundamental_zone(o, ops).select("k", "qw")
+    moved = rot.fundamental_zone(rot.equivalents(o, ops), ops).select("k", F.col("qw").alias("q2"))
+    gap = moved.join(zone, "k").agg(F.max(F.abs(F.col("qw") - F.col("q2"))), F.count("*")).first()
+    assert gap[0] < 1e-8 and gap[1] == 24 * zone.count()
     assert zone.where("qw < 0").count() == 0
 
 
@@ -129,7 +129,7 @@ def test_lattices():
     assert np.allclose(crystal.cell_of(rows), (3, 4, 5, 80, 95, 110))
     assert np.allclose(crystal.reciprocal(rows).T @ rows.T / (2 * math.pi), np.eye(3))
     b = crystal.reciprocal(rows)
-    assert abs(b[1, 0]) < 1e-9 and abs(b[2, 0]) < 1e-9 and abs(rows[2, 0]) + abs(rows[2, 1]) > 0
+    assert abs(b[1, 0]) < 1e-9 and abs(b[2, 0]) < 1e-9 and abs(rows[2, 0]) + abs(rows[2, 1]) < 1e-9
     assert crystal.crystal_system(3, 3, 3, 90, 90, 90) == "cubic"
     assert crystal.crystal_system(3, 3, 5, 90, 90, 120) == "hexagonal"
     assert crystal.crystal_system(3, 4, 5, 90, 100, 90) == "monoclinic"
