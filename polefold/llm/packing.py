@@ -41,7 +41,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts, by looking up words between white space.
+    """Ids of whole texts, by looking up what stands between ASCII white space.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
     words in order; a word's ids are kept in a memo of bounded size.
@@ -52,16 +52,16 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            for word, found in zip(part, self.inner.encode_batch(part, add_special_tokens=False)):
+            for word, found in zip(part, self.inner.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.memo[word] = np.array(found.ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of UTF-8 text."""
         words = text.split()
         memo = self.memo
         new = [w for w in set(words) if w not in memo]
@@ -87,7 +87,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
-                ids = tokenizer.ids((raw or b"").decode("utf-8", "replace")) + end
+                ids = tokenizer.ids(raw or b"") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
