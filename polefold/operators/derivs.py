@@ -127,3 +127,48 @@ def axis_rays(spark, nx: int, ny: int) -> DataFrame:
     behind = pixels.select(F.lit(1).alias("dir"), "p", "x", "y", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("x2"))
     both = ahead.unionByName(behind)
     return both.select("dir", "p", (F.col("x2") + nx * F.col("y")).cast("int").alias("p2"), F.when(F.col("x2") == F.col("x"), 0.5).otherwise(1.0).alias("len"))
+
+
+def metric_tensor(a: float, b: float, c: float, alpha: float, beta: float, gamma: float):
+    """Direct metric tensor, and its derivatives by a, b, c and the three angles (per degree)."""
+    import numpy as np
+
+    lengths, angles = (a, b, c), [math.radians(t) for t in (gamma, beta, alpha)]
+    pairs = ((0, 1), (0, 2), (1, 2))
+    g = np.diag([x * x for x in lengths])
+    d = np.zeros((6, 3, 3))
+    for i, x in enumerate(lengths):
+        d[i, i, i] = 2 * x
+    for (i, j), t, slot in zip(pairs, angles, (5, 4, 3)):
+        x, y = lengths[i], lengths[j]
+        g[i, j] = g[j, i] = x * y * math.cos(t)
+        d[i, i, j] = d[i, j, i] = y * math.cos(t)
+        d[j, i, j] = d[j, j, i] = x * math.cos(t)
+        d[slot, i, j] = d[slot, j, i] = -x * y * math.sin(t) * math.pi / 180
+    return g, d
+
+
+def q_and_derivatives(hkl: DataFrame, cell: tuple[float, ...]) -> DataFrame:
+    """hkl with q and dq by the six cell parameters, as expressions of literals."""
+    import numpy as np
+
+    g, d = metric_tensor(*cell)
+    inv = np.linalg.inv(g)
+
+    def form(m) -> Column:
+        return sum((float(m[i, j]) * F.col(x) * F.col(y) for i, x in enumerate("hkl") for j, y in enumerate("hkl")), F.lit(0.0))
+
+    q = 2 * math.pi * F.sqrt(form(inv))
+    slopes = {f"dq_{n}": (2 * math.pi) ** 2 * form(-inv @ d[i] @ inv) / (2 * q) for i, n in enumerate(("a", "b", "c", "alpha", "beta", "gamma"))}
+    return hkl.withColumns({"q": q, **slopes})
+
+
+def updated_orientations(orientations: DataFrame, steps: DataFrame, alpha: float = 1.0, limits: tuple[float, float] = (1e-4, 0.1)) -> DataFrame:
+    """Orientations turned (from the left) by alpha times their step, widths moved and kept within limits."""
+    from ..functions import rotations as rot
+
+    both = orientations.join(steps, "k", "left").fillna(0.0, [f"s_{p}" for p in PARAMETERS])
+    turn = rot.from_rotvec(*[alpha * F.col(f"s_r{c}") for c in "xyz"])
+    made = rot.product(turn, rot.quat())
+    width = F.least(F.greatest(F.col("sigma") + alpha * F.col("s_sigma"), F.lit(limits[0])), F.lit(limits[1]))
+    return both.select("k", *[m.alias(f"q{c}") for m, c in zip(made, "xyzw")], width.alias("sigma"))

@@ -124,3 +124,41 @@ def bragg_matrix(orientations: DataFrame, beams: DataFrame, table: DataFrame, la
 
 def ring_table(spark: SparkSession, two_theta: list[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(t)) for i, t in enumerate(two_theta)], "r int, two_theta double")
+
+
+def window_fraction(two_theta, lo, hi, depth, depth_var, sigma2, inv_distance: float, lorentz: float = 0.0, gamma: Column | None = None) -> Column:
+    """Share of a radial profile inside [lo, hi], its ring shifted and widened by the depth along the beam.
+
+    A grain at depth x sees its ring at two_theta - x / D sin cos; the variance of depths widens it.
+    ``lorentz``: share of a Lorentzian of half width ``gamma`` (pseudo-Voigt).
+    """
+    from ..functions.scalar import erf
+
+    tilt = F.sin(two_theta) * F.cos(two_theta) * inv_distance
+    at = two_theta - depth * tilt
+    scale = F.sqrt(2 * (sigma2 + tilt * tilt * depth_var))
+    share = 0.5 * (erf((hi - at) / scale) - erf((lo - at) / scale))
+    if lorentz:
+        share = (1 - lorentz) * share + lorentz * (F.atan((hi - at) / gamma) - F.atan((lo - at) / gamma)) / math.pi
+    return share
+
+
+def axis_directions(probe_plane: DataFrame, axes: DataFrame) -> DataFrame:
+    """One Bragg angle per pole axis: v = cos(th) u - sin(th) w from the in-plane and the beam parts.
+
+    ``probe_plane``: a, c, ux, uy, uz, wx, wy, wz; ``axes``: r, ax, two_theta (a dimension table).
+    """
+    both = probe_plane.crossJoin(F.broadcast(axes.select("r", "ax", "two_theta")))
+    c, s = F.cos(F.col("two_theta") / 2), F.sin(F.col("two_theta") / 2)
+    return both.select("a", "c", "r", "ax", *[(c * F.col(f"u{x}") - s * F.col(f"w{x}")).alias(f"v{x}") for x in "xyz"])
+
+
+def plane_parts(angle: DataFrame, n_eta: int) -> DataFrame:
+    """u (azimuth in the detector plane) and w (beam) turned by every angle."""
+    eta = angle.sparkSession.range(n_eta).select(F.col("id").cast("int").alias("c"), ((F.col("id") + 0.5) * 2 * math.pi / n_eta).alias("eta"))
+    cells = angle.select("a", "theta").crossJoin(F.broadcast(eta))
+    om, e = F.col("theta"), F.col("eta")
+    return cells.select(
+        "a", "c", (F.cos(om) * F.cos(e)).alias("ux"), (F.sin(om) * F.cos(e)).alias("uy"), F.sin(e).alias("uz"),
+        (-F.sin(om)).alias("wx"), F.cos(om).alias("wy"), F.lit(0.0).alias("wz"),
+    )

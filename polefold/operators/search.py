@@ -107,3 +107,30 @@ def prune_added(weights: DataFrame, n_old: int, rel: float = 0.1) -> DataFrame:
 
 def best_per(scores: DataFrame, key: str, value: str = "z", tie: str = "k") -> DataFrame:
     return scores.groupBy(key).agg(F.max(F.struct(value, (-F.col(tie)).alias("t"))).alias("m")).select(key, (-F.col("m.t")).alias(tie), F.col(f"m.{value}").alias(value))
+
+
+def lattice(spacing_deg: float, radius_deg: float) -> list[tuple[float, float, float]]:
+    """Rotation vectors of a cubic lattice within a radius, in radians, nearest first."""
+    m = math.ceil(radius_deg / spacing_deg)
+    cells = [(x, y, z) for x in range(-m, m + 1) for y in range(-m, m + 1) for z in range(-m, m + 1)]
+    inside = [c for c in cells if math.hypot(*c) * spacing_deg <= radius_deg + 1e-9]
+    return [tuple(math.radians(spacing_deg * v) for v in c) for c in sorted(inside, key=lambda c: (math.hypot(*c), c))]
+
+
+def refine_candidates(candidates: DataFrame, score_of, levels: tuple[tuple[float, float, float], ...] = ((1.25, 6.0, 1.0), (0.4, 1.6, 0.4))) -> DataFrame:
+    """candidate(id, q) moved to the best orientation of finer and finer lattices around it.
+
+    ``score_of(trials, sigma)``: trials(id, k, q) -> (k, z); trials are exploded from a literal lattice,
+    so a level is one plan whatever the number of candidates.
+    """
+    from ..plans.state import materialise
+
+    for spacing, radius, sigma in levels:
+        points = lattice(spacing, radius)
+        arms = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias(n) for n, v in zip("abc", p)]) for i, p in enumerate(points)])
+        wide = candidates.select("id", "qx", "qy", "qz", "qw", F.explode(arms).alias("o"))
+        made = rot.product(rot.quat(), rot.from_rotvec(F.col("o.a"), F.col("o.b"), F.col("o.c")))
+        trials = materialise(wide.select("id", (F.col("id") * len(points) + F.col("o.i")).alias("k"), *[m.alias(f"q{c}") for m, c in zip(made, "xyzw")]))
+        best = best_per(trials.select("id", "k").join(score_of(trials, math.radians(sigma)), "k"), "id")
+        candidates = materialise(trials.join(best.select("id", "k"), ["id", "k"]).select("id", "qx", "qy", "qz", "qw"))
+    return candidates

@@ -411,3 +411,58 @@ def tree_leaves(spark, d):
 def node_sums(spark, d):
     nodes = spark.range(7).selectExpr("cast(id div 2 as int) node", "cast(id as int) k")
     return tree.node_sums(B.coef(spark, d), nodes)
+
+
+@query("q_derivatives", sql("SELECT h, k, l, round(q, 4) AS q, round(-q / 4.05 * h * h / (h*h + k*k + l*l), 4) + 0.0 AS dq_a, round(-q * pi() / 180 * h * k / (h*h + k*k + l*l) * -1, 4) + 0.0 AS dq_gamma FROM (SELECT h::INT AS h, k::INT AS k, l::INT AS l, 2 * pi() / 4.05 * sqrt(h*h + k*k + l*l) AS q FROM range(-3, 4) a(h), range(-3, 4) b(k), range(-3, 4) c(l) WHERE h <> 0 OR k <> 0 OR l <> 0)"))
+def q_derivatives(spark, d):
+    axes = [spark.range(-3, 4).select(F.col("id").cast("int").alias(c)) for c in "hkl"]
+    hkl = axes[0].crossJoin(axes[1]).crossJoin(axes[2]).where("h <> 0 or k <> 0 or l <> 0")
+    return _out(derivs.q_and_derivatives(hkl, (4.05, 4.05, 4.05, 90.0, 90.0, 90.0)), "h", "k", "l", q="q", dq_a="dq_a", dq_gamma="dq_gamma")
+
+
+@query("axis_directions", sql("SELECT a, c::INT AS c, r, round(cos(tth / 2) * cos(theta) * cos(e) + sin(tth / 2) * sin(theta), 4) + 0.0 AS vx, round(cos(tth / 2) * sin(theta) * cos(e) - sin(tth / 2) * cos(theta), 4) + 0.0 AS vy, round(cos(tth / 2) * sin(e), 4) + 0.0 AS vz FROM (SELECT a, theta, c, r, tth, (c + 0.5) * 2 * pi() / 24 AS e FROM angle, range(24) t(c), rings)", "angle", rings=_RINGS))
+def axis_directions(spark, d):
+    axes = polefigure.ring_table(spark, _TTH).withColumn("ax", F.lit(0))
+    return _out(polefigure.axis_directions(polefigure.plane_parts(projector.angles(spark, R), 24), axes), "a", "c", "r", vx="vx", vy="vy", vz="vz")
+
+
+_PAR = "SELECT k, a::INT AS a, 0.14 - x * tilt AS ctr, sqrt(2 * (0.0004 + tilt * tilt * y)) AS sc FROM (SELECT k, a, 20 * ux + a AS x, 4 + uy AS y, sin(0.14) * cos(0.14) / 800 AS tilt FROM orient, range(4) t(a))"
+
+
+@query("window_parallax", sql(f"SELECT k, a, round(0.5 * ({erf_text('((0.15 - ctr) / sc)')} - {erf_text('((0.13 - ctr) / sc)')}), 4) AS f FROM par".replace("D", ""), "orient", par=_PAR))
+def window_parallax(spark, d):
+    rows = B.orientations(spark, d).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("a")))
+    lit = F.lit
+    share = polefigure.window_fraction(lit(0.14), lit(0.13), lit(0.15), 20 * F.col("ux") + F.col("a"), 4 + F.col("uy"), lit(0.0004), 1 / 800)
+    return rows.select("k", "a", r4(share).alias("f"))
+
+
+@query("quadrature_rules")
+def quadrature_rules(spark, d):
+    from ..operators import quadrature
+
+    rows = [(float(s), *(r := quadrature.choose(math.radians(0.5), math.radians(1.0), math.radians(s), 1e-3)).omega, *r.eta, r.size) for s in (0.4, 1.0, 2.0, 4.0)]
+    return spark.createDataFrame(rows, "sigma double, omega_points int, omega_panels int, eta_points int, eta_panels int, n int")
+
+
+@query("odf_residual", sql("SELECT round(sqrt(sum((m - b) * (m - b))) / sqrt(sum(b * b)), 4) AS residual FROM (SELECT a, j, sum(b) AS b FROM dat GROUP BY 1, 2) JOIN (SELECT pf.a, pf.j, sum(c.v * pf.v) / 10 AS m FROM (SELECT k, sum(v) AS v FROM coef GROUP BY k) c JOIN pf USING (k) GROUP BY 1, 2) USING (a, j)", "dat", "coef", "pf"))
+def odf_residual(spark, d):
+    total = B.coef(spark, d).groupBy("k").agg((F.sum("v") / 10).alias("v"))
+    from ..operators import linop
+
+    model = linop.bulk(B.pf_surrogate(spark)).forward(total)
+    b = B.data(spark, d).groupBy("a", "j").agg(F.sum("b").alias("b"))
+    r = F.col("v") - F.col("b")
+    return b.join(model, ["a", "j"]).agg(r4(F.sqrt(F.sum(r * r)) / F.sqrt(F.sum(F.col("b") * F.col("b")))).alias("residual"))
+
+
+@query("refine_candidates")
+def refine_candidates(spark, d):
+    o = B.orientations(spark, d)
+    start = o.where("label = 0").select(F.col("k").alias("id"), "qx", "qy", "qz", "qw")
+    goal = (0.5, 0.5, 0.5, 0.5)  # trials are scored by their closeness to one fixed orientation
+
+    def closeness(trials, sigma):
+        return trials.select("k", F.round(F.abs(sum(F.col(f"q{c}") * g for c, g in zip("xyzw", goal))), 9).alias("z"))
+
+    return _out(search.refine_candidates(start, closeness, ((2.0, 4.0, 1.0), (0.5, 1.0, 0.4))), "id", qx="qx", qy="qy", qz="qz", qw="qw")

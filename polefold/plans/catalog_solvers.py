@@ -189,3 +189,9 @@ def fit_linear(spark, d):
     from ..operators import terms
 
     return _out(terms.fit_linear(_noisy(spark, d), 2), "axis", "i", s="s")
+
+
+@query("spdhg_tv_epoch")
+def spdhg_tv(spark, d):
+    got = solvers.spdhg_tv(_stored_op(spark), _noisy(spark, d), [1, "tv", 0, 2, "tv"], _all_cells(spark), 3, NX, NY, 0.5)
+    return _out(got, "k", "p", v="v")
