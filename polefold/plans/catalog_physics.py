@@ -466,3 +466,16 @@ def refine_candidates(spark, d):
         return trials.select("k", F.round(F.abs(sum(F.col(f"q{c}") * g for c, g in zip("xyzw", goal))), 9).alias("z"))
 
     return _out(search.refine_candidates(start, closeness, ((2.0, 4.0, 1.0), (0.5, 1.0, 0.4))), "id", qx="qx", qy="qy", qz="qz", qw="qw")
+
+
+@query("cell_spectra", "SELECT a::INT AS a, r::INT AS r, l::INT AS l, round(1 / (4 * d), 3) AS v FROM range(2) x(a), (VALUES (0, 2.0), (1, 1.2)) t(r, d), range(8) z(l) WHERE 0.2 + 0.4 * l <= 2 * d")
+def cell_spectra(spark, d):
+    """Cells of all orientations without symmetry tile the rotations: their spectra add up to the powder's."""
+    from ..operators import cells
+
+    centres = B.orientations(spark, d).where("label = 0").select("k", "qx", "qy", "qz", "qw")
+    walls = cells.half_spaces(centres, rot.symops(spark, "C1"), math.pi)
+    beams = spark.createDataFrame([(0, 0.0, 1.0, 0.0), (1, 0.6, 0.8, 0.0)], "a int, bx double, by double, bz double")
+    table = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 2.0), (1, 0.6, 0.0, 0.8, 1.2)], "r int, gx double, gy double, gz double, d double")
+    lam = spark.range(8).selectExpr("cast(id as int) l", "0.2D + 0.4D * id as lam")
+    return cells.spectra(walls, beams, table, lam).groupBy("a", "r", "l").agg(r4(F.sum("v"), 3).alias("v"))
