@@ -134,3 +134,14 @@ def refine_candidates(candidates: DataFrame, score_of, levels: tuple[tuple[float
         best = best_per(trials.select("id", "k").join(score_of(trials, math.radians(sigma)), "k"), "id")
         candidates = materialise(trials.join(best.select("id", "k"), ["id", "k"]).select("id", "qx", "qy", "qz", "qw"))
     return candidates
+
+
+def support_from_candidates(orientations: DataFrame, candidates: DataFrame, ops: DataFrame, tol_deg: float) -> DataFrame:
+    """support(k, p): an orientation may be used at the voxels p of every candidate(id, q, p) within ``tol_deg`` of it.
+
+    The angular join is on the candidates' distinct orientations; voxels come back by an equi-join on id.
+    """
+    images = rot.equivalents(candidates.select("id", "qx", "qy", "qz", "qw").distinct(), ops).select("id", *[F.col(f"q{c}").alias(f"tq{c}") for c in "xyzw"])
+    close = math.cos(math.radians(tol_deg) / 2)
+    near = orientations.select("k", "qx", "qy", "qz", "qw").join(images, F.abs(rot.dot(rot.quat(), rot.quat("t"))) >= close).select("k", "id").distinct()
+    return near.join(candidates.select("id", "p"), "id").select("k", "p").distinct()

@@ -34,3 +34,16 @@ def node_sums(values: DataFrame, nodes: DataFrame) -> DataFrame:
 def scatter(sums: DataFrame, nodes: DataFrame) -> DataFrame:
     """The transpose of ``node_sums``."""
     return sums.join(nodes, "node").groupBy("k", "p").agg(F.sum("v").alias("v"))
+
+
+def nested_cells(orientations: DataFrame, ops: DataFrame, radii_deg: tuple[float, ...]) -> DataFrame:
+    """node(level, node, k): per level a greedy cover, each orientation with its nearest representative."""
+    from ..functions import rotations as rot
+
+    out = None
+    for level, radius in enumerate(sorted(radii_deg, reverse=True)):
+        kept = rot.thin_greedy(orientations, ops, radius)
+        near = rot.nearest_misorientation(orientations, orientations.join(kept, "k", "left_semi"), ops)
+        part = near.select(F.lit(level).alias("level"), F.col("t").alias("node"), "k")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -479,3 +479,10 @@ def cell_spectra(spark, d):
     table = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 2.0), (1, 0.6, 0.0, 0.8, 1.2)], "r int, gx double, gy double, gz double, d double")
     lam = spark.range(8).selectExpr("cast(id as int) l", "0.2D + 0.4D * id as lam")
     return cells.spectra(walls, beams, table, lam).groupBy("a", "r", "l").agg(r4(F.sum("v"), 3).alias("v"))
+
+
+@query("support_from_candidates", sql("SELECT DISTINCT x.k, e.p FROM orient x, (SELECT k, (k % 256)::INT AS p, " + _TURN + " FROM orient, o WHERE label = 1) e WHERE abs(x.qx*e.tx + x.qy*e.ty + x.qz*e.tz + x.qw*e.tw) >= cos(radians(6.0))", "orient", o=_O))
+def support_from_candidates(spark, d):
+    o = B.orientations(spark, d)
+    chosen = o.where("label = 1").select(F.col("k").alias("id"), "qx", "qy", "qz", "qw", (F.col("k") % 256).cast("int").alias("p"))
+    return search.support_from_candidates(o, chosen, _cubic(spark), 12.0)

@@ -108,3 +108,16 @@ def sample(odf: DataFrame, n: int, sigma: float, seed: int = 3) -> DataFrame:
     hit = draws.join(F.broadcast(run), (F.col("u") < F.col("hi")) & (F.col("u") >= F.col("hi") - F.col("w")))
     q = rot.product(rot.quat(), rot.from_rotvec(*[sigma * F.col(f"e{i}") for i in range(3)]))
     return hit.select(F.col("m").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")])
+
+
+def fit_bulk_phases(pfs: dict[str, DataFrame], data: DataFrame, niter: int) -> dict[str, DataFrame]:
+    """Several phases at once: their bases stacked along k, fitted together, then told apart again."""
+    stacked, offsets, at = None, {}, 0
+    for name, pf in pfs.items():
+        n = (pf.agg(F.max("k")).first()[0] or 0) + 1
+        part = pf.select("a", "j", (F.col("k") + at).cast("int").alias("k"), "v")
+        stacked = part if stacked is None else stacked.unionByName(part)
+        offsets[name] = (at, at + n)
+        at += n
+    got = fit_bulk(stacked, data, niter)
+    return {name: got.where((F.col("k") >= lo) & (F.col("k") < hi)).select((F.col("k") - lo).alias("k"), "w") for name, (lo, hi) in offsets.items()}

@@ -267,3 +267,49 @@ def test_candidates_link_neighbouring_tiles(spark):
     assert kept.count() == 3
     got = [(r.k, r.score, r.tiles) for r in search.linked(kept, o, ops, 4, 4, 5.0, 2).collect()]
     assert got == [(0, 8.0, [0, 1])]
+
+
+def test_dense_round_trip(spark, tmp_path):
+    from polefold.sources import tables
+
+    array = np.arange(24.0).reshape(2, 3, 4)
+    long = tables.from_dense(spark, array, ("a", "y", "j"))
+    assert long.count() == 23
+    assert (tables.to_dense(long, array.shape, ("a", "y", "j")) == array).all()
+    assert tables.completed(long, {"a": 2, "y": 3, "j": 4}).count() == 24
+    np.save(tmp_path / "x.npy", array)
+    assert tables.read_npy(spark, str(tmp_path / "x.npy"), ("a", "y", "j")).count() == 23
+    tables.append_json(tables.iteration_stats(spark, [{"iter": 1, "f": 2.0}, {"iter": 2}]), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
+    with pytest.raises(ValueError):
+        tables.to_dense(long, (10_000, 10_000), ("a", "y"))
+
+
+def test_phases_are_fitted_together(spark):
+    pf = B.pf_surrogate(spark)
+    other = pf.select("a", "k", ((F.col("j") + 7) % 24).cast("int").alias("j"), "v")
+    weights = spark.createDataFrame([(k, 1.0 + k) for k in range(7)], "k int, w double")
+    model = lambda t: t.join(weights, "k").groupBy("a", "j").agg(F.sum(F.col("v") * F.col("w")).alias("b"))
+    data = model(pf).unionByName(model(other)).groupBy("a", "j").agg(F.sum("b").alias("b"))
+    got = odf.fit_bulk_phases({"one": pf, "two": other}, data, 4)
+    assert {n: d.count() for n, d in got.items()} == {"one": 7, "two": 7}
+
+
+def test_nested_cells_cover_everything(spark, data):
+    from polefold.operators import tree
+
+    o = B.orientations(spark, data).where("label = 0")
+    got = tree.nested_cells(o, rot.symops(spark, "O"), (20.0, 40.0))
+    assert got.where("level = 0").count() == got.where("level = 1").count() == o.count()
+    counts = [got.where(f"level = {i}").select("node").distinct().count() for i in (0, 1)]
+    assert counts[0] <= counts[1]
+
+
+def test_total_variation_step_flattens(spark):
+    state = materialise(spark.range(16).selectExpr("0 as k", "cast(id as int) p", "1.0D t", "case when id % 4 < 2 then 0.0D else 10.0D end x"))
+    dual = state.select("k", "p", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
+    new, dz = solvers.tv_step(state, dual, 4, 4, 0.5, 0.25)
+    rows = {r.p: r for r in new.collect()}
+    assert rows[1].qx > 0 and rows[0].qx == 0 and all(r.qy == 0 for r in rows.values())
+    moved = {r.p: r.v for r in dz.collect()}
+    assert moved[1] < 0 < moved[2] and abs(sum(moved.values())) < 1e-12
