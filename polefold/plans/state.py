@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release(keep: int = 0) -> None:
+    """Delete the state tables that this process has written, the last ``keep`` excepted (also done at exit)."""
+    while len(_WRITTEN) > keep:
+        spark, path = _WRITTEN.pop(0)
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended before the process
+            return
+
+
 def state_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,6 +36,10 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from the files."""
     target = path or f"{state_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(target)
+    if path is None:
+        if not _WRITTEN:
+            atexit.register(release)
+        _WRITTEN.append((df.sparkSession, target))
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
