@@ -33,7 +33,7 @@ from . import common
 
 SAMPLES = 128
 CLASSES, PERIOD, MARGIN, FEW = 256, 1 << 14, 64, 24
-BANDS, BAND_SAMPLES, LIKE = 24, 5, 0.8
+BANDS, BAND_SAMPLES, LIKE = 32, 4, 0.8
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -263,3 +263,96 @@ def compare_with_next(documents: DataFrame, rows_per_part: int | None = None) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(common.table(spark, sf_dir, "documents"))
+
+
+@lru_cache(maxsize=64)
+def _band_places(band: int, size: int) -> np.ndarray:
+    start = np.arange(BAND_SAMPLES, dtype=np.uint64) + np.uint64(band * 64 + size * 65_536)
+    return (_mix(start) % np.uint64(size)).astype(np.int64)
+
+
+def bands(mark: str) -> list[int]:
+    """Hashes of sampled places, at sizes and levels where a text of at least 0.8 of the length also has them."""
+    if not mark:
+        return [0]
+    raw = np.frombuffer(bytes.fromhex(mark), np.uint8)
+    level, values = int(raw[0]), raw[1:]
+    size = 1 << (len(values).bit_length() - 1)
+    cuts = [(level, size, values)] + ([(level, size // 2, values)] if size > 1 else [])
+    if size >= SAMPLES:
+        cuts.append((level + 1, size // 2, _coarser(values, level, level + 1)))
+    out = []
+    for at, most, sampled in cuts:
+        for band in range(BANDS):
+            key = sampled[_band_places(band, most)].tobytes() + bytes([band, at]) + most.to_bytes(2, "little")
+            out.append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
+    return out
+
+
+def near_classes(documents: DataFrame, like: float = LIKE, tile: int = 512) -> DataFrame:
+    """doc_id, fingerprint and class_id: the smallest doc_id reachable over likenesses of at least ``like``.
+
+    Copies collapse to one row per fingerprint. Fingerprints that share a band are verified; a band
+    with more than ``tile`` of them is cut into pairs of parts, and only a spanning forest's links
+    leave a group, so no group is held whole and none gives all its pairs.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [r.decode("utf-8", "replace") for r in common.text_bytes(batch.column("raw"))]
+            made: list[str] = []
+            for lo, hi in common.slices([t.encode() for t in texts], 4_000_000):
+                made += fingerprints(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks, keys = [], [], []
+            for i, mark in zip(batch.column("item").to_pylist(), batch.column("fingerprint").to_pylist()):
+                for key in set(bands(mark)):
+                    ids.append(i)
+                    marks.append(mark)
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.string()), pa.array(keys, pa.int64())], ["item", "fingerprint", "key"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        now = None
+
+        def solved() -> list[tuple[int, int]]:
+            rest, found = list(dict.fromkeys(held)), []
+            while len(rest) > 1:
+                front = [rest.pop(0)]
+                while front and rest:
+                    i, mark = front.pop()
+                    near = [likeness(mark, other) >= like for _, other in rest]
+                    hits = [x for x, n in zip(rest, near) if n]
+                    rest = [x for x, n in zip(rest, near) if not n]
+                    found += [(i, j) for j, _ in hits]
+                    front += hits
+            return found
+
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for i, mark, team in zip(*(batch.column(c).to_pylist() for c in ("item", "fingerprint", "team"))):
+                if team != now:
+                    if len(held) > 1:
+                        yield made(solved())
+                    held, now = [], team
+                held.append((i, mark))
+        yield made(solved() if len(held) > 1 else [])
+
+    prints = common.materialise(common.with_text_bytes(documents, "doc_id").mapInArrow(marked, "doc_id long, fingerprint string"))
+    classes = common.materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("item", F.xxhash64("fingerprint")))
+    rows = classes.select("item", "fingerprint").mapInArrow(keyed, "item long, fingerprint string, key long")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = rows.join(sizes.hint("merge"), "key").withColumn("parts", F.ceil(F.col("size") / tile).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.col("item"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    team = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = rows.select("item", "fingerprint", team.alias("team")).repartition(F.col("team")).sortWithinPartitions("team")
+    roots = common.connected_components(dealt.mapInArrow(linked, "a long, b long"))
+    named = common.materialise(classes.join(roots, classes["item"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "item").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    return prints.join(named.join(lowest, "root").select("fingerprint", "class_id").hint("merge"), "fingerprint").select("doc_id", "fingerprint", "class_id")

@@ -409,3 +409,28 @@ def test_quality_edges(docs, empty, spark):
 
 def test_pieces_have_schema(docs):
     assert isinstance(packing.pieces(docs, packing.vocabulary_path()).schema, T.StructType)
+
+
+@pytest.mark.parametrize("tile", [512, 2])
+def test_edit_classes(spark, empty, tile):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(300)]
+    bases = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (30, 90, 400, 1500)]
+    values = [(None, None), (100, "")]
+    for i, b in enumerate(bases):
+        n = len(b)
+        values += [(10 * i + 1, b), (10 * i + 2, b), (10 * i + 3, b[: n - n // 12] + "x" * (n // 12)), (10 * i + 4, b + "y" * (n // 10)), (10 * i + 5, "z" * (n // 2) + b[n // 2 :])]
+    docs = spark.createDataFrame(values, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.fingerprint) for r in edit_prints.near_classes(docs, tile=tile).collect()}
+    ids = [i for i, _ in values]
+    marks = {i: got[i][1] for i in ids}
+    for i in ids:
+        reach, front = {i}, [i]
+        while front:
+            x = front.pop()
+            more = {j for j in ids if edit_prints.likeness(marks[x], marks[j]) >= 0.8} - reach
+            reach |= more
+            front += more
+        numbers = [j for j in reach if j is not None]
+        assert got[i][0] == (min(numbers) if numbers else None)
+    assert edit_prints.near_classes(empty).count() == 0
