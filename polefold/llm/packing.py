@@ -16,13 +16,16 @@ not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from . import common
 
 CAPACITY, END_ID, SALTS = 4096, 1, 256
 VOCABULARY = "word_bpe_49k.json"
-_MEMO = 200_000
+_MEMO = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,11 +43,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: fixed value: how the tokenizer cuts normalised text into the pieces that it encodes one by one
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordTokenizer:
     """Ids of whole texts, by looking up what stands between ASCII white space.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    words in order; a word's ids are kept in a memo of bounded size.
+    The tokenizer drops white space and joins nothing across it or across the pieces it cuts words
+    into, so a text's ids are those of its pieces in order. Words and pieces are kept in memos of
+    bounded size; new pieces are encoded many at a time, told apart by the ids that end a piece.
     """
 
     def __init__(self, path: str):
@@ -52,25 +60,55 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, found in zip(part, self.inner.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, "<u4").tobytes()
+        vocabulary = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def _cut(word: bytes) -> list[str]:
+        if word.isascii():
+            return _PIECES.findall(word.decode("ascii").lower())
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+        return _PIECES.findall("".join(map(str.lower, text)))  # character by character: no context
+
+    def _encode(self, new: list[str]) -> None:
+        """Ids of new pieces into the memo."""
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        encode = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
+        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(group):
+                raise ValueError("a piece was cut again")
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(group, last.tolist()):
+                self.pieces[piece] = raw[4 * start : 4 * end]
+                start = end
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if len(self.pieces) > _MEMO:
+            self.pieces.clear()
+        cuts = [self._cut(w) for w in words]
+        new = [p for p in dict.fromkeys(chain.from_iterable(cuts)) if p not in self.pieces]
+        if new:
+            self._encode(new)
+        known = self.pieces
+        return {w: b"".join([known[p] for p in cut]) for w, cut in zip(words, cuts)}
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of UTF-8 text."""
         words = text.split()
-        memo = self.memo
+        memo = self.words
         new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) > _MEMO:
-                memo.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join([memo[w] for w in words])
+        if not new:
+            return b"".join([memo[w] for w in words])
+        found = self._learn(new)
+        if len(memo) < _MEMO:
+            memo.update(found)
+            return b"".join([memo[w] for w in words])
+        return b"".join([memo[w] if w in memo else found[w] for w in words])
 
 
 @lru_cache(maxsize=2)
