@@ -51,7 +51,8 @@ def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
     """pf(a, k, c, r, v): for each pole and angle only the azimuths that can pass the cut.
 
     With the rotation undone, a pole p meets azimuth eta at A cos(eta - phi) - B; |.| > tau holds on
-    two arcs, whose bins are generated and then evaluated. The full product is never formed.
+    two arcs, whose bins are generated and then evaluated. The full product is never formed. The arcs
+    are disjoint for tau > 0; kernels too wide for that take all azimuths in the first.
     """
     cells = pole.crossJoin(F.broadcast(angle.select("a", "theta"))).join(F.broadcast(ring.select("r", "two_theta")), "r")
     om, th = F.col("theta"), F.col("two_theta") / 2
@@ -65,12 +66,13 @@ def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
         # sign (amp cos(eta - phi) - off) > tau; c is the cosine that the azimuth's distance must exceed
         c = (tau + sign * F.col("off")) / F.col("amp")
         centre = F.col("phi") + (0.0 if sign > 0 else math.pi)
-        half = F.when(c <= -1, F.lit(math.pi)).otherwise(F.acos(F.least(c, F.lit(1.0))))
+        half = F.when((c <= -1) | (tau <= 0), F.lit(math.pi)).otherwise(F.acos(F.least(c, F.lit(1.0))))
         low, high = F.ceil((centre - half) / step - 0.5), F.floor((centre + half) / step - 0.5)
-        got = cells.where((F.col("amp") > 1e-12) & (c <= 1) & (low <= high)).withColumn("e", F.explode(F.sequence(low, F.least(high, low + (n_eta - 1)))))
+        meets = ((c <= 1) | (tau <= 0)) if sign > 0 else ((c <= 1) & (tau > 0))
+        got = cells.where((F.col("amp") > 1e-12) & meets & (low <= high)).withColumn("e", F.explode(F.sequence(low, F.least(high, low + (n_eta - 1)))))
         return got.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int"))
 
-    both = arc(1.0).unionByName(arc(-1.0)).select("a", "k", "r", "c", "cnt", "sigma", "amp", "phi", "off").distinct()
+    both = arc(1.0).unionByName(arc(-1.0)).select("a", "k", "r", "c", "cnt", "sigma", "amp", "phi", "off")
     d = F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
     value = F.col("cnt") * density(d, F.col("sigma")) / (8 * math.pi * F.col("sigma") * F.col("sigma"))
     return both.select("a", "k", "c", "r", value.alias("v")).where("v > 0").groupBy("a", "k", "c", "r").agg(F.sum("v").alias("v"))

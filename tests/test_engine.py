@@ -104,9 +104,10 @@ def test_greedy_thinning_equals_the_sequential_rule(spark, data):
     assert got == {k for k, _ in kept}
 
 
-def test_generated_pole_figure_loses_no_entry(spark, data):
+@pytest.mark.parametrize("width", [1.0, 6.0])
+def test_generated_pole_figure_loses_no_entry(spark, data, width):
     axes = polefigure.pole_axes(spark.createDataFrame([(0, 3**-0.5, 3**-0.5, 3**-0.5, 1.0)], "r int, hx double, hy double, hz double, share double"), rot.symops(spark, "O"))
-    poles = polefigure.poles(B.orientations(spark, data).where("k < 6"), axes)
+    poles = polefigure.poles(B.orientations(spark, data).where("k < 6").withColumn("sigma", F.col("sigma") * width), axes)
     angle, ring = projector.angles(spark, 5), polefigure.ring_table(spark, [0.15])
     got = polefigure.pf_table(poles, angle, ring, 24)
     probe = polefigure.probes(angle, 24, ring)
