@@ -44,6 +44,9 @@ _NAMED = re.compile(
     r"contentinfo|complementary|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: what even an article element may be named when it is not the article
+_NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|advert\w*|sponsor\w*|promo\w*|related|recommended|teaser)(?:$|[\s_-])", re.I)
+_ABOUT = re.compile(r"\b(?:has|with|no|without)[-_]\w+", re.I)  # names of a wrapper that tell what it holds or lacks
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
@@ -57,6 +60,21 @@ class Block:
         self.linked = 0
 
 
+def _is_named(tag: str, attributes: str) -> bool:
+    """True if the attributes name something else than the article, or hide it."""
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) and "aria-hidden" not in attributes:
+        return True
+    for a in _ATTR.finditer(attributes):
+        kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if kind == "style":
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return True
+        elif kind != "hidden" and tag not in ("html", "body", "main"):
+            if (_NAMED_ARTICLE if tag == "article" else _NAMED).search(_ABOUT.sub("", value)):
+                return True
+    return False
+
+
 def blocks(html: str) -> list[tuple[Block, str]]:
     """Blocks with text, in page order."""
     stack: list[tuple[str, bool]] = []  # tag, names something else than the article
@@ -127,12 +145,7 @@ def blocks(html: str) -> list[tuple[Block, str]]:
                 del stack[inner[-1] :]
         if m[0].endswith("/>") and tag not in ("p", "div", "article", "section"):
             continue
-        named = False
-        for a in _ATTR.finditer(m[3] or ""):
-            value = a[2] or a[3] or a[4] or ""
-            kind = a[1].lower()
-            named |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) if kind == "style" else kind != "hidden" and tag not in ("html", "body", "article", "main") and bool(_NAMED.search(value))
-        named |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3] or "")) and "aria-hidden" not in (m[3] or "")
+        named = _is_named(tag, m[3] or "")
         stack.append((tag, named or tag in OUT and not (tag == "header" and any(t == "article" for t, _ in stack))))
         if tag == "a":
             links += 1

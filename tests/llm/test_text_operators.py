@@ -146,6 +146,11 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0), "page_id", "url").count() == 0
 
 
+def test_html_names():
+    page = '<body class="with-sidebar"><div class="has-sidebar"><article><p>Body text, long enough to count.</p></article></div><article class="comment"><p>I agree, really.</p></article><div hidden>Secret, hidden.</div></body>'
+    assert html_text.main_text(page) == "Body text, long enough to count."
+
+
 def test_html_text_on_pages(spark, data):
     got = html_text.query(spark, data).join(spark.read.parquet(f"{data}/pages.parquet"), "page_id").collect()
     for r in got:
