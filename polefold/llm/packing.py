@@ -50,8 +50,9 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 class WordTokenizer:
     """Ids of whole texts, by looking up what stands between ASCII white space.
 
-    The tokenizer drops white space and joins nothing across it or across the pieces it cuts words
-    into, so a text's ids are those of its pieces in order. Words and pieces are kept in memos of
+    The tokenizer finds its added tokens (``<|endoftext|>`` and the like) first, drops white space and
+    joins nothing across either or across the pieces it cuts words into, so a text's ids are those of
+    its pieces in order. Words and pieces are kept in memos of
     bounded size; new pieces are encoded many at a time, told apart by the ids that end a piece.
     """
 
@@ -59,15 +60,27 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        added = self.inner.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in added.values()):
+            raise ValueError("an added token that is not matched as it stands")
+        self.marks = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        longest = sorted((m.encode() for m in self.marks), key=len, reverse=True)
+        self.at_marks = regex.compile(b"(" + (b"|".join(map(regex.escape, longest)) or b"(?!)") + b")")
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = dict(self.marks)
+
+    def _cut(self, word: bytes) -> list[str]:
+        """Pieces of a word; added tokens are pieces as they stand, found before normalising."""
+        cut = self.at_marks.split(word)
+        if len(cut) == 1:
+            return self._plain(word)
+        return list(chain.from_iterable([part.decode()] if i % 2 else self._plain(part) for i, part in enumerate(cut)))
 
     @staticmethod
-    def _cut(word: bytes) -> list[str]:
+    def _plain(word: bytes) -> list[str]:
         if word.isascii():
             return _PIECES.findall(word.decode("ascii").lower())
         text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
@@ -89,7 +102,7 @@ class WordTokenizer:
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         if len(self.pieces) > _MEMO:
-            self.pieces.clear()
+            self.pieces = dict(self.marks)
         cuts = [self._cut(w) for w in words]
         new = [p for p in dict.fromkeys(chain.from_iterable(cuts)) if p not in self.pieces]
         if new:

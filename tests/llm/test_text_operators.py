@@ -302,6 +302,25 @@ def test_packing(docs, empty, tmp_path):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_literal_markers(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    inner = Tokenizer.from_file(path)  # as it comes: markers in a text are tokens
+    values = ["a <|endoftext|> b", "a<|endoftext|>b don<|startoftext|>'t", "<|endoftext|><|startoftext|>\n<|endoftext|>", "A <|ENDOFTEXT|> x<|endoftext|", "e<|endoftext|>\u0301 É<|endoftext|>", "<|<|endoftext|>|>", "w <|endoftext|> " * 3000]
+    tokenizer = packing.WordTokenizer(path)
+    for value in values:
+        assert np.frombuffer(tokenizer.ids(value.encode()), "<u4").tolist() == inner.encode(value, add_special_tokens=False).ids
+    tokenizer.pieces |= {str(i): b"" for i in range(packing._MEMO + 1)}  # the memo is emptied, the markers stay
+    assert np.frombuffer(tokenizer.ids(b"new<|endoftext|>"), "<u4").tolist() == inner.encode("new<|endoftext|>", add_special_tokens=False).ids
+    want = []
+    for i, value in enumerate(values):
+        ids = [*inner.encode(value, add_special_tokens=False).ids, 1]
+        want += [(i, at // 4096, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for at in range(0, len(ids), 4096)]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), path)
+    assert table(got, "doc_id", "piece", "start", "length", "ids_crc32") == ordered(want)
+
+
 def test_packing_plan_is_whole_and_tight():
     rng = random.Random(4)
     counts = Counter(min(100, max(1, int(rng.expovariate(0.03)))) for _ in range(20_000))
