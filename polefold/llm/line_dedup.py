@@ -2,8 +2,9 @@
 
 A text is cut at ``\\n`` into units. A unit is normalised (A-Z lower-cased, runs of ASCII white
 space to one blank, trimmed) and digested to 128 bits. Over all documents the occurrence with
-the smallest (doc_id, unit number) of a digest stays, every other one goes. Empty units, and
-those of fewer than ``min_chars`` code points when normalised, always stay.
+the smallest (doc_id, unit number) of a digest stays, every other one goes. Empty units always
+stay. ``min_chars`` is an option that exempts units of fewer code points when normalised; the
+registered query sets it to ``MIN_CHARS``, as its SQL does.
 
 Defined cases: null text is empty (one empty unit, nothing removed); a null doc_id ranks first;
 rows with equal doc_id and text are ranked by nothing else, so both keep the earliest unit
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-MIN_CHARS = 16
+MIN_CHARS = 16  # of the query and its SQL only
 ADDED = "clean_text string, n_units int, removed array<struct<unit:int,start:int,length:int>>"
 
 
@@ -32,7 +33,7 @@ def _normal(unit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, r"[ \t\x0B\f\r]+", " "), r"^ | $", "")
 
 
-def repeated_units(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_units(documents: DataFrame, min_chars: int = 1) -> DataFrame:
     """Units to remove: _uid (doc_id), _ucrc (of the text), _uno (unit number from 0)."""
     units = (
         documents.select(
@@ -55,7 +56,7 @@ def repeated_units(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     )
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = 1) -> DataFrame:
     """The documents with ``clean_text``, ``n_units`` and ``removed``: array of (unit, start, length).
 
     Starts and lengths are code points of the original text, the unit's line end not included.
@@ -88,7 +89,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS)
     return out.select(
         "doc_id",
         F.col("n_units").cast("long").alias("n_units"),

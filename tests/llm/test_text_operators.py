@@ -79,6 +79,12 @@ def test_line_dedup(docs, empty):
     assert {"fp", "raw", "words"} <= set(line_dedup.dedup_lines(docs).columns)
 
 
+def test_line_dedup_short_units(spark):
+    short = spark.createDataFrame([(1, "Read more\n\nx\nbody one"), (2, "read  more\n\nx"), (3, "日本語のテキストです\nx"), (4, "日本語のテキストです")], "doc_id long, text string")
+    assert table(line_dedup.dedup_lines(short), "doc_id", "clean_text") == [(1, "Read more\n\nx\nbody one"), (2, ""), (3, "日本語のテキストです"), (4, "")]
+    assert table(line_dedup.dedup_lines(short, 16), "doc_id", "clean_text") == table(short, "doc_id", "text")
+
+
 def brute_removed(values, m):
     raws = [(t or "").encode() for t in values]
     seen = Counter(r[i : i + m] for r in raws for i in range(len(r) - m + 1))
