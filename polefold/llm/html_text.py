@@ -4,9 +4,12 @@ A page is cut into blocks (runs of text between block-level tags); a block's pat
 of tags from the root. For every path the text length and the punctuation of its blocks are
 added up and divided by their number; links count against it. Both series are smoothed over
 neighbouring blocks in page order, multiplied, and compared with a threshold from their spread;
-a path is content if its best block passes. Elements that never hold an article (navigation,
-forms, scripts, adverts, comments by name, ...) are left out beforehand; headings next to
-content paths belong to the content.
+a path is content if its best block passes. Scripts, navigation, footers and what is hidden are
+left out beforehand. Elements named as something else than the article (adverts, comments, forms,
+...), and what lies outside of article and main elements where there are any, count by the square
+of twice their share of the page's unlinked text, in full from half of it on (where both speak
+against a block: by the fourth power, in full from nine tenths on), so neither alone discards a
+page's text. Headings next to content paths belong to the content.
 
 Defined cases: null or empty html, and pages without text, give an empty text; unclosed and
 stray tags are tolerated; rows are independent, so repeated rows repeat; other columns pass
@@ -31,7 +34,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math select object canvas video audio".split())
-OUT = set("nav header footer aside form button menu dialog label fieldset head".split()) | RAW
+OUT = set("nav footer button menu head".split()) | RAW
+WEAK = set("header aside form dialog label fieldset".split())  # weighed as named elements are
+HIDDEN = "hidden"
+BOTH = 0.9  # share of the text from which what is named otherwise and outside of the article counts in full
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
@@ -52,32 +58,33 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "out", "heading", "home")
+    __slots__ = ("path", "parts", "linked", "out", "heading", "home", "marked")
 
-    def __init__(self, path: str, out: bool, heading: bool, home: bool):
-        self.path, self.out, self.heading, self.home = path, out, heading, home
+    def __init__(self, path: str, out: bool, heading: bool, home: bool, marked: list[str]):
+        self.path, self.out, self.heading, self.home, self.marked = path, out, heading, home, marked
         self.parts: list[str] = []
         self.linked = 0
 
 
-def _is_named(tag: str, attributes: str) -> bool:
-    """True if the attributes name something else than the article, or hide it."""
+def _named(tag: str, attributes: str) -> str:
+    """The word by which the attributes name something else than the article, HIDDEN if they hide it."""
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) and "aria-hidden" not in attributes:
-        return True
+        return HIDDEN
+    word = ""
     for a in _ATTR.finditer(attributes):
         kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
         if kind == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return HIDDEN
         elif kind != "hidden" and tag not in ("html", "body", "main"):
-            if (_NAMED_ARTICLE if tag == "article" else _NAMED).search(_ABOUT.sub("", value)):
-                return True
-    return False
+            if not word and (m := (_NAMED_ARTICLE if tag == "article" else _NAMED).search(_ABOUT.sub("", value))):
+                word = "!" + m[0].strip(" \t\r\n_-").lower()
+    return word
 
 
 def blocks(html: str) -> list[tuple[Block, str]]:
     """Blocks with text, in page order."""
-    stack: list[tuple[str, bool]] = []  # tag, names something else than the article
+    stack: list[tuple[str, str]] = []  # tag, what names it something else than the article
     found: list[Block] = []
     now: Block | None = None
     links = at = 0
@@ -90,8 +97,14 @@ def blocks(html: str) -> list[tuple[Block, str]]:
         if now is None:
             if piece.isspace():
                 return
-            tags = [t for t, _ in stack if t not in INLINE]
-            now = Block("/".join(tags), any(o for _, o in stack), any(t in HEADINGS for t in tags), any(t in ("article", "main") for t in tags))
+            tags, marked = [], []
+            for t, o in stack:
+                if o or t not in INLINE:
+                    tags.append(t + o)
+                    if o:
+                        marked.append("/".join(tags))
+            out, home = any(o == HIDDEN for _, o in stack), any(t in ("article", "main") for t in tags)
+            now = Block("/".join(tags), out, any(t in HEADINGS for t, _ in stack), home, marked)
             found.append(now)
         piece = unescape(piece)
         now.parts.append(piece)
@@ -145,8 +158,10 @@ def blocks(html: str) -> list[tuple[Block, str]]:
                 del stack[inner[-1] :]
         if m[0].endswith("/>") and tag not in ("p", "div", "article", "section"):
             continue
-        named = _is_named(tag, m[3] or "")
-        stack.append((tag, named or tag in OUT and not (tag == "header" and any(t == "article" for t, _ in stack))))
+        named = HIDDEN if tag in OUT else _named(tag, m[3] or "")
+        if not named and tag in WEAK and not (tag == "header" and any(t == "article" for t, _ in stack)):
+            named = "!"
+        stack.append((tag, named))
         if tag == "a":
             links += 1
     out = []
@@ -162,34 +177,54 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") if len(x) else x
 
 
+def _weights(found: list[tuple[Block, str]]) -> tuple[np.ndarray, float]:
+    """Weight of every block from 0 to 1, and the share of unlinked text outside article and main."""
+    plain = np.array([max(len(t) - b.linked, 0) for b, t in found], float)
+    held: dict[str, float] = defaultdict(float)
+    for (block, _), size in zip(found, plain):
+        for mark in block.marked:
+            held[mark] += size
+    whole = max(float(plain.sum()), 1.0)
+    weights = np.ones(len(found))
+    home = np.array([b.home for b, _ in found])
+    full = np.where([home.any() and bool(b.marked) and not b.home for b, _ in found], BOTH, 0.5)
+    for i, (block, _) in enumerate(found):
+        for mark in block.marked:
+            weights[i] *= min(1.0, held[mark] / whole / full[i]) ** (2 if full[i] < BOTH else 4)
+    inside, outside = float((plain * weights)[home].sum()), float((plain * weights)[~home].sum())
+    if not home.any():
+        return weights, 0.0
+    share = outside / max(inside + outside, 1e-9)
+    weights[~home] *= np.minimum(1.0, share / full[~home]) ** np.where(full[~home] < BOTH, 2, 4)
+    return weights, share
+
+
 def main_text(html: str) -> str:
     found = [(b, t) for b, t in blocks(html) if not b.out]
     if not found:
         return ""
-    homes = [(b, t) for b, t in found if b.home]
-    if homes:
-        found = homes
+    weights, outside = _weights(found)
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for block, text in found:
         total = sums[block.path]
         total[0] += max(len(text) - 2 * block.linked, 0)
         total[1] += len(_PUNCTUATION.findall(text))
         total[2] += 1
-    lengths = np.array([sums[b.path][0] / sums[b.path][2] for b, _ in found])
-    marks = np.array([sums[b.path][1] / sums[b.path][2] for b, _ in found])
-    fused = np.sqrt(_smooth(lengths) * (_smooth(marks) + 0.5))
-    raw = np.sqrt(lengths * (marks + 0.5))
+    lengths = np.array([sums[b.path][0] / sums[b.path][2] for b, _ in found]) * weights
+    marks = np.array([sums[b.path][1] / sums[b.path][2] for b, _ in found]) * weights
+    fused = np.sqrt(_smooth(lengths) * (_smooth(marks) + 0.5)) * weights
+    raw = np.sqrt(lengths * (marks + 0.5)) * weights
     bar = min(0.5 * float(fused.std()), 0.6 * float(fused.max())) if len(fused) > 1 else 0.0
     good: dict[str, bool] = defaultdict(bool)
     for (block, _), value, own in zip(found, fused, raw):
-        low = 0.15 if block.home else 1.0  # inside an article element little is needed
+        low = 0.15 if block.home and outside <= 0.5 else 1.0  # inside an article element that holds the text little is needed
         good[block.path] |= value >= low * bar and own >= low * bar * 0.5 and own > 0
     if not any(good.values()):
         good = defaultdict(lambda: True)
     parents = {p.rpartition("/")[0] for p, g in good.items() if g}
     kept = []
-    for block, text in found:
-        near = block.heading and any(block.path.rpartition("/")[0] == p or p.startswith(block.path.rpartition("/")[0] + "/") for p in parents)
+    for (block, text), weight in zip(found, weights):
+        near = block.heading and weight >= 0.5 and any(block.path.rpartition("/")[0] == p or p.startswith(block.path.rpartition("/")[0] + "/") for p in parents)
         if good[block.path] or near:
             kept.append(text)
     return "\n".join(kept)

@@ -157,6 +157,26 @@ def test_html_names():
     assert html_text.main_text(page) == "Body text, long enough to count."
 
 
+@pytest.mark.parametrize("name", ["review", "legal", "search", "header-fixed", "side-by-side", "article-body share"])
+def test_html_names_do_not_discard_articles(name):
+    body = [f"Sentence {i} of the article, which goes on for a while, and then some more of it." for i in range(6)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    noise = '<nav><a href="/">Home</a></nav><div class="ad">Buy now, really.</div>'
+    assert html_text.main_text(f'<body>{noise}<div class="{name}">{inner}</div><footer>(c) us, 2020.</footer></body>') == "\n".join(body)
+    assert html_text.main_text(f'<body>{noise}<div>{inner}</div><div class="{name}"><p>Short, one.</p></div></body>') == "\n".join(body)
+
+
+def test_html_teaser_in_article_does_not_discard_body():
+    body = [f"Sentence {i} of the article, which goes on for a while, and then some more of it." for i in range(6)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    got = html_text.main_text(f'<body><div id="x">{inner}</div><article class="card"><p>Other story, read it.</p></article></body>')
+    assert got.split("\n")[:6] == body
+    got = html_text.main_text(f'<body><div class="review">{inner}</div><article class="card"><p>Other, read it.</p></article></body>')
+    assert got.split("\n")[:6] == body
+    # most text inside: what is outside still goes
+    assert html_text.main_text(f"<body><div><p>Just in, today.</p></div><article>{inner}</article></body>") == "\n".join(body)
+
+
 def test_html_text_on_pages(spark, data):
     got = html_text.query(spark, data).join(spark.read.parquet(f"{data}/pages.parquet"), "page_id").collect()
     for r in got:
