@@ -1,7 +1,9 @@
 """Operator 6, quality classifier: random-indexing word vectors and a two-layer network.
 
-A word's vector is the sum of sparse random index vectors (hash-seeded, ternary) of the word, of
-its shape, of its last characters and, when it repeats the word before it, of that fact. A
+The vector of a word where it stands is the sum of sparse random index vectors (hash-seeded,
+ternary) of the word, of its shape, of its last characters, of the words before and after it
+(turned by one place to either side, which tells order) and, when it repeats the word before it, of
+that fact. Neighbours are added up within a document; no table of words is kept over the corpus. A
 document's input is the mean and the standard deviation of its words' vectors over the whole
 text, and its length on a log scale. A network with one hidden layer is fitted in numpy on at
 most ``SAMPLE`` labelled rows (the documented bound; the rows with the smallest hashes of their
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 from .lang_id import fold
 
+OWN = 0.5
 DIM, HIDDEN, SAMPLE, FOLDS, ACCEPT = 64, 32, 20_000, 5, 0.3
 PICKS = 4
-_CHUNK, _MEMO = 1 << 20, 200_000
+_CHUNK, _MEMO, _WORDS = 1 << 20, 200_000, 1 << 14
 INPUT = 2 * DIM + 1
 
 
@@ -63,13 +66,18 @@ class Embedder:
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.vectors = np.zeros((1024, DIM), np.float32)
+        self.index = np.zeros((1024, DIM), np.int8)  # of the word itself, for its neighbours
 
     def _learn(self, words: list[str]) -> None:
-        made = _index([f"w{w}" for w in words], 0.5) + _index([f"s{_shape(w)}" for w in words], 1.5) + _index([f"e{w[-3:]}" for w in words], 0.7)
+        own = _index([f"w{w}" for w in words], 1.0)
+        made = OWN * own + _index([f"s{_shape(w)}" for w in words], 1.5) + _index([f"e{w[-3:]}" for w in words], 0.7)
         start = len(self.place)
         if start + len(words) > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.zeros((max(len(self.vectors), start + len(words)), DIM), np.float32)])
+            more = max(len(self.vectors), start + len(words))
+            self.vectors = np.concatenate([self.vectors, np.zeros((more, DIM), np.float32)])
+            self.index = np.concatenate([self.index, np.zeros((more, DIM), np.int8)])
         self.vectors[start : start + len(words)] = made
+        self.index[start : start + len(words)] = own
         self.place.update(zip(words, range(start, start + len(words))))
 
     def _places(self, words: list[str]) -> np.ndarray:
@@ -89,16 +97,19 @@ class Embedder:
         if not words:
             return out
         total, square = np.zeros(DIM), np.zeros(DIM)
-        last = -1
-        for i in range(0, len(words), 1 << 14):
-            at = self._places(words[i : i + (1 << 14)])
-            again = np.flatnonzero(at[1:] == at[:-1]) + 1
+        for i in range(0, len(words), _WORDS):
+            first, end = max(i - 1, 0), min(i + _WORDS, len(words))
+            at = self._places(words[first : end + 1])  # with a neighbour at either side
             found = self.vectors[at]
-            found[again] += self.repeat
+            found[1:][at[1:] == at[:-1]] += self.repeat
+            near = self.index[at] * np.float32(OWN)
+            found[1:, 1:] += near[:-1, :-1]
+            found[1:, 0] += near[:-1, -1]
+            found[:-1, :-1] += near[1:, 1:]
+            found[:-1, -1] += near[1:, 0]
+            found = found[i - first : end - first]
             total += found.sum(0)
             square += np.einsum("ij,ij->j", found, found)
-            last = int(at[-1])
-        del last
         mean = total / len(words)
         out[:DIM] = mean
         out[DIM : 2 * DIM] = np.sqrt(np.maximum(square / len(words) - mean**2, 0))

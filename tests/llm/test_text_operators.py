@@ -445,6 +445,28 @@ def test_quality(spark):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def test_quality_words_know_their_neighbours(monkeypatch):
+    one, two = "a b c d a b c d", "a c b d a d b c"  # the same words, none beside itself
+    embed = lambda t: quality.Embedder().embed(t)
+    assert not np.allclose(embed(one), embed(two))
+    rng = random.Random(9)
+    words = [rng.choice(["red", "Blue", "x9", "green", "tea", "ox"]) for _ in range(500)]
+    index = lambda k, w: quality._index([k], w)[0]
+    rows = []
+    for i, w in enumerate(words):
+        v = index("w" + w, 0.5) + index("s" + quality._shape(w), 1.5) + index("e" + w[-3:], 0.7)
+        if i:
+            v = v + np.roll(index("w" + words[i - 1], 0.5), 1) + (index("=repeat", 3.0) if words[i - 1] == w else 0)
+        if i + 1 < len(words):
+            v = v + np.roll(index("w" + words[i + 1], 0.5), -1)
+        rows.append(v)
+    want = np.concatenate([np.mean(rows, 0), np.std(rows, 0), [np.log1p(500) / 10]])
+    for size in (1 << 14, 499, 64, 1):  # neighbours across the cuts of a long text count too
+        monkeypatch.setattr(quality, "_WORDS", size)
+        assert np.allclose(embed(" ".join(words)), want, atol=1e-4)
+    assert quality.Embedder().embed("one").any()
+
+
 def test_quality_edges(docs, empty, spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 1), (None, 1, 1), (7, 5, 0), (9, 0, 0), (9, 0, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
     network = quality.train(docs, labels)
