@@ -104,6 +104,8 @@ def group(name: str) -> list[tuple[float, float, float, float]]:
     return _closure(generators) if generators else [(0.0, 0.0, 0.0, 1.0)]
 
 
+#: fixed value: undecided pairs that the driver may hold while thinning
+OPEN_PAIRS = 200_000
 #: crystal system -> rotations (fixed convention: the monoclinic turn is about z)
 SYSTEMS = {"cubic": "O", "hexagonal": "D6", "trigonal": "D3", "tetragonal": "D4", "orthorhombic": "D2", "monoclinic": "C2", "triclinic": "C1"}
 
@@ -171,11 +173,13 @@ def thin_cells(orientations: DataFrame, cell: float, key: str = "k") -> DataFram
     return orientations.select(key, *cells).groupBy("cx", "cy", "cz").agg(F.min(key).alias(key), F.count("*").alias("members"))
 
 
-def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: str = "k", rounds: int = 60) -> DataFrame:
+def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: str = "k", local: int = OPEN_PAIRS) -> DataFrame:
     """Drop an orientation if one already kept (in order of key) is nearer than ``min_deg``.
 
     Same set as the sequential rule: an undecided row is kept once no undecided or kept row before
-    it is near, and dropped once a kept row before it is near. Only conflict pairs are iterated.
+    it is near, and dropped once a kept row before it is near. Only conflict pairs are iterated. A
+    round decides the first undecided row at least, so the rounds end; once at most ``local`` pairs
+    are undecided, the driver goes through them in order instead.
     """
     from ..plans.state import materialise
 
@@ -185,7 +189,7 @@ def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: st
     pairs = base.join(near, (F.col("t") < F.col("k")) & (F.abs(dot(quat(), quat("t"))) > limit)).select("k", "t").distinct()
     pairs = materialise(pairs)
     state = materialise(base.select("k", F.lit(0).alias("s")))  # 0 open, 1 kept, -1 dropped
-    for _ in range(rounds):
+    while True:
         before = pairs.join(state.withColumnRenamed("k", "t"), "t").groupBy("k").agg(F.max("s").alias("hi"), F.min(F.when(F.col("s") == 0, 0).otherwise(1)).alias("settled"))
         state = materialise(
             state.join(before, "k", "left").select(
@@ -194,4 +198,21 @@ def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: st
         )
         if not state.where("s = 0").limit(1).count():
             break
+        undecided = pairs.join(state.where("s = 0").select("k"), "k").join(state.where("s >= 0").select(F.col("k").alias("t"), "s"), "t")
+        rows = undecided.select("k", "t", "s").limit(local + 1).collect()
+        if len(rows) <= local:
+            decided = _sequential(rows, [r.k for r in state.where("s = 0").join(undecided.select("k"), "k", "left_anti").collect()])
+            return state.where("s = 1").select("k").union(state.sparkSession.createDataFrame([(k,) for k in decided], state.select("k").schema)).select(F.col("k").alias(key))
     return state.where("s = 1").select(F.col("k").alias(key))
+
+
+def _sequential(rows: list, free: list) -> list:
+    """Keys kept among undecided ones: ``rows`` (k, t, s) are their conflicts with earlier undecided or kept ones."""
+    conflicts: dict = {}
+    for k, t, s in rows:
+        conflicts.setdefault(k, []).append((t, s))
+    kept = set(free)  # nothing before them is near any more
+    for k in sorted(conflicts):
+        if not any(s == 1 or t in kept for t, s in conflicts[k]):
+            kept.add(k)
+    return sorted(kept)

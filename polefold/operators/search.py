@@ -62,8 +62,11 @@ def apart(found: DataFrame, orientations: DataFrame, ops: DataFrame, sep_deg: fl
     return rows.groupBy("p").applyInPandas(pick, "p int, k int, z0 double")
 
 
-def linked(kept: DataFrame, orientations: DataFrame, ops: DataFrame, nx: int, ny: int, link_deg: float, min_tiles: int, rounds: int = 60) -> DataFrame:
-    """candidate(id, k, score, tiles): peaks of neighbouring tiles within ``link_deg``, joined to components."""
+def linked(kept: DataFrame, orientations: DataFrame, ops: DataFrame, nx: int, ny: int, link_deg: float, min_tiles: int) -> DataFrame:
+    """candidate(id, k, score, tiles): peaks of neighbouring tiles within ``link_deg``, joined to components.
+
+    A label is the least of the node's own, its neighbours' and its label's label (a hop), until none changes.
+    """
     from ..plans.state import materialise
 
     nodes = materialise(kept.join(orientations.select("k", "qx", "qy", "qz", "qw"), "k").withColumn("node", F.col("p").cast("long") * 1_000_000 + F.col("k")))
@@ -75,9 +78,10 @@ def linked(kept: DataFrame, orientations: DataFrame, ops: DataFrame, nx: int, ny
     close = math.cos(math.radians(link_deg) / 2)
     links = materialise(moved.join(images, "p").where((F.col("node") != F.col("other")) & (F.abs(rot.dot(rot.quat(), rot.quat("t"))) > close)).select("node", "other").distinct())
     state = materialise(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(rounds):
+    while True:
         low = links.join(state.select(F.col("node").alias("other"), F.col("root").alias("far")), "other").groupBy("node").agg(F.min("far").alias("far"))
-        new = materialise(state.join(low, "node", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), F.col("root").alias("was")))
+        hop = state.select(F.col("node").alias("root"), F.col("root").alias("hop"))
+        new = materialise(state.join(low, "node", "left").join(hop, "root").select("node", F.least("root", "hop", F.coalesce("far", "root")).alias("root"), F.col("root").alias("was")))
         state = new.select("node", "root")
         if not new.where("root <> was").limit(1).count():
             break

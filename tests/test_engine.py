@@ -270,6 +270,28 @@ def test_candidates_link_neighbouring_tiles(spark):
     assert got == [(0, 8.0, [0, 1])]
 
 
+def about_z(spark, n, step_deg):
+    halves = [math.radians(i * step_deg) / 2 for i in range(n)]
+    return spark.createDataFrame([(i, 0.0, 0.0, math.sin(h), math.cos(h)) for i, h in enumerate(halves)], "k int, qx double, qy double, qz double, qw double")
+
+
+def test_greedy_thinning_of_ordered_chains(spark):
+    ops = rot.symops(spark, "C1")
+    kept = lambda o, d, **kw: sorted(r.k for r in rot.thin_greedy(o, ops, d, **kw).collect())
+    # more rows kept than the sixty rounds of before could decide
+    assert kept(about_z(spark, 900, 0.1), 1.0 - 1e-6) == list(range(0, 900, 10))
+    # by rounds alone
+    assert kept(about_z(spark, 66, 0.1), 0.2 - 1e-6, local=0) == list(range(0, 66, 2))
+
+
+def test_long_chain_of_tiles_is_one_candidate(spark):
+    n = 130
+    kept = spark.createDataFrame([(p, p, 1.0) for p in range(n)], "p int, k int, z0 double")
+    o = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 1.0) for k in range(n)], "k int, qx double, qy double, qz double, qw double")
+    got = search.linked(kept, o, rot.symops(spark, "C1"), n, 1, 5.0, 2).collect()
+    assert [(r.score, len(r.tiles)) for r in got] == [(float(n), n)]
+
+
 def test_dense_round_trip(spark, tmp_path):
     from polefold.sources import tables
 
