@@ -18,6 +18,16 @@ def pf_sensitivity(data: DataFrame, sino: DataFrame, pf: DataFrame) -> DataFrame
     return rows.join(pf.select("a", "k", "j"), ["a", "k", "j"], "left_semi")
 
 
+def model_entries(data: DataFrame, sino: DataFrame, slopes: DataFrame) -> DataFrame:
+    """Entries of :func:`normal_blocks` from the model: ``data``(a, y, j, r, c), ``sino``(a, y, k, v), ``slopes``(a, k, j, d_*).
+
+    The model is the sum of v times the pole figure, so both sums over y come before the derivatives.
+    """
+    both = data.join(sino.withColumnRenamed("v", "_s"), ["a", "y"])
+    rows = both.groupBy("a", "k", "j").agg(F.sum(F.col("r") * F.col("_s")).alias("r"), F.sum(F.col("c") * F.col("_s") * F.col("_s")).alias("c"))
+    return rows.join(slopes.select("a", "k", "j", *[f"d_{p}" for p in PARAMETERS]), ["a", "k", "j"])
+
+
 def normal_blocks(entries: DataFrame) -> DataFrame:
     """Per orientation: gradient (4) and upper triangle (10) of the Gauss-Newton block.
 
@@ -57,15 +67,29 @@ def newton_steps(blocks: DataFrame, damping: float = 1e-3, max_rot: float = math
     return blocks.mapInPandas(work, "k int, " + ", ".join(f"s_{p} double" for p in names))
 
 
-def refine(solve, evaluate, x: DataFrame, steps: int, alphas: tuple[float, ...] = (1.0, 0.5, 0.25, 0.1)) -> tuple[DataFrame, list[dict]]:
-    """Driver loop of the refinement: ``evaluate(x, alpha)`` -> deviance with the step scaled (0: as is), ``solve(x)`` refits."""
+def refine(solve, evaluate, newton, x: DataFrame, orientations: DataFrame, steps: int, alphas: tuple[float, ...] = (1.0, 0.5, 0.25, 0.1), max_dsigma: float = 0.3) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """Driver loop of the refinement: x, the refined orientations and the history.
+
+    ``newton(x, orientations)`` -> steps (k, s_*), ``evaluate(x, orientations)`` -> deviance; the first step length
+    that lowers it is applied (none: the orientations stay), then ``solve(x, orientations)`` refits the coefficients.
+    """
+    from ..plans.state import materialise
+
     history = []
     for _ in range(steps):
-        f0 = evaluate(x, 0.0)
-        taken, f = next(((a, v) for a in alphas if (v := evaluate(x, a)) < f0), (0.0, f0))
-        x = solve(x)
-        history.append({"alpha": taken, "f0": f0, "f": f})
-    return x, history
+        f0 = evaluate(x, orientations)
+        wide = newton(x, orientations).join(orientations.select("k", (max_dsigma * F.col("sigma")).alias("_m")), "k")
+        found = materialise(wide.withColumn("s_sigma", F.greatest(F.least("s_sigma", "_m"), -F.col("_m"))).drop("_m"))
+        taken, f = 0.0, f0
+        for alpha in alphas:
+            moved = materialise(updated_orientations(orientations, found, alpha))
+            value = evaluate(x, moved)
+            if value < f0:
+                taken, f, orientations = alpha, value, moved
+                break
+        x = solve(x, orientations)
+        history.append({"alpha": taken, "f0": f0, "f": f, "f_fit": evaluate(x, orientations)})
+    return x, orientations, history
 
 
 def shift_weights(geo: DataFrame, nx: int, ny: int, ns: int, h: float = 1e-4) -> DataFrame:

@@ -47,8 +47,8 @@ def density(d: Column, sigma: Column) -> Column:
     return F.when(near < CUT, F.exp(-near)).otherwise(0.0) + F.when(far < CUT, F.exp(-far)).otherwise(0.0)
 
 
-def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
-    """pf(a, k, c, r, v): for each pole and angle only the azimuths that can pass the cut.
+def _hits(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> tuple[DataFrame, Column]:
+    """Poles at azimuths, for each pole and angle only those that can pass the cut, and the cosine ``d`` of each.
 
     With the rotation undone, a pole p meets azimuth eta at A cos(eta - phi) - B; |.| > tau holds on
     two arcs, whose bins are generated and then evaluated. The full product is never formed. The arcs
@@ -58,7 +58,7 @@ def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
     om, th = F.col("theta"), F.col("two_theta") / 2
     x = F.cos(om) * F.col("px") + F.sin(om) * F.col("py")
     y = -F.sin(om) * F.col("px") + F.cos(om) * F.col("py")
-    cells = cells.select("a", "k", "r", "cnt", "sigma", (F.cos(th) * F.hypot(x, F.col("pz"))).alias("amp"), F.atan2(F.col("pz"), x).alias("phi"), (F.sin(th) * y).alias("off"))
+    cells = cells.select("a", "k", "r", "cnt", "sigma", om.alias("om"), th.alias("th"), x.alias("x"), y.alias("y"), "pz", (F.cos(th) * F.hypot(x, F.col("pz"))).alias("amp"), F.atan2(F.col("pz"), x).alias("phi"), (F.sin(th) * y).alias("off"))
     tau = 1 - CUT * F.col("sigma") * F.col("sigma")
     step = 2 * math.pi / n_eta
 
@@ -72,12 +72,33 @@ def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
         got = cells.where((F.col("amp") > 1e-12) & meets & (low <= high)).withColumn("e", F.explode(F.sequence(low, F.least(high, low + (n_eta - 1)))))
         return got.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int"))
 
-    both = arc(1.0).unionByName(arc(-1.0)).select("a", "k", "r", "c", "cnt", "sigma", "amp", "phi", "off")
-    d = F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
+    return arc(1.0).unionByName(arc(-1.0)), F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
+
+
+def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
+    """pf(a, k, c, r, v), on the azimuths of :func:`_hits`."""
+    both, d = _hits(pole, angle, ring, n_eta)
     value = F.col("cnt") * density(d, F.col("sigma")) / (8 * math.pi * F.col("sigma") * F.col("sigma"))
     return both.select("a", "k", "c", "r", value.alias("v")).where("v > 0").groupBy("a", "k", "c", "r").agg(F.sum("v").alias("v"))
 
 
+def pf_slopes(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
+    """pf(a, k, c, r, v) and d_rx, d_ry, d_rz (turns from the left, in radians) and d_sigma, on the entries of :func:`pf_table`."""
+    both, d = _hits(pole, angle, ring, n_eta)
+    s, eta = F.col("sigma"), (F.col("c") + 0.5) * 2 * math.pi / n_eta
+    gaps = {n: (1 + sign * F.abs(d)) / (s * s) for n, sign in (("near", -1), ("far", 1))}
+    near, far = (F.when(g < CUT, F.exp(-g)).otherwise(0.0) for g in gaps.values())
+    scale = F.col("cnt") / (8 * math.pi * s * s)
+    by_d = scale * F.signum(d) * (near - far) / (s * s)
+    by_sigma = scale * 2 / s * (near * (gaps["near"] - 1) + far * (gaps["far"] - 1))
+    # pole x probe with the rotation undone, then turned back
+    px, py, pz, vx, vy, vz = F.col("x"), F.col("y"), F.col("pz"), F.cos("th") * F.cos(eta), -F.sin("th"), F.cos("th") * F.sin(eta)
+    cx, cy, cz = py * vz - pz * vy, pz * vx - px * vz, px * vy - py * vx
+    turned = (F.cos("om") * cx - F.sin("om") * cy, F.sin("om") * cx + F.cos("om") * cy, cz)
+    rows = both.select("a", "k", "c", "r", (scale * (near + far)).alias("v"), *[(by_d * t).alias(f"d_r{n}") for t, n in zip(turned, "xyz")], by_sigma.alias("d_sigma"))
+    return rows.where("v > 0").groupBy("a", "k", "c", "r").agg(*[F.sum(n).alias(n) for n in ("v", "d_rx", "d_ry", "d_rz", "d_sigma")])
+
+
 def scale_by_ring(pf: DataFrame, ring: DataFrame, n_rings: int) -> DataFrame:
     """pf(a, k, j, v) times the intensity of the ring j % n_rings."""
     keyed = pf.withColumn("r", F.pmod("j", F.lit(n_rings)).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from polefold.functions import rotations as rot
-from polefold.operators import crystal, fields, interp, linop, polefigure, projector, search, terms
+from polefold.operators import crystal, derivs, fields, interp, linop, polefigure, projector, search, terms
 from polefold.plans import catalog, odf, solvers
 from polefold.plans.state import load_state, materialise, save_state
 from polefold.schemas import assert_schema
@@ -104,6 +104,49 @@ def test_greedy_thinning_equals_the_sequential_rule(spark, data):
     assert got == {k for k, _ in kept}
 
 
+def _texture(spark, rows):
+    axes = polefigure.pole_axes(spark.createDataFrame([(0, 3**-0.5, 3**-0.5, 3**-0.5, 1.0)], "r int, hx double, hy double, hz double, share double"), rot.symops(spark, "O"))
+    angle, ring = projector.angles(spark, 3), polefigure.ring_table(spark, [0.15])
+    o = spark.createDataFrame(rows, "k int, qx double, qy double, qz double, qw double, sigma double")
+    return o, lambda o, make: make(polefigure.poles(o, axes), angle, ring, 24).withColumn("j", F.col("c"))
+
+
+def test_pole_figure_slopes_against_differences(spark):
+    o, table = _texture(spark, [(0, 0.0, 0.0, 0.0, 1.0, 0.3), (1, 0.2, -0.4, 0.1, math.sqrt(1 - 0.21), 0.25)])
+    slopes = {(r.a, r.k, r.j): r for r in table(o, polefigure.pf_slopes).collect()}
+    plain = {(r.a, r.k, r.j): r.v for r in table(o, polefigure.pf_table).collect()}
+    assert slopes.keys() == plain.keys() and all(abs(slopes[i].v - v) < 1e-12 for i, v in plain.items())
+    h = 1e-5
+    for name in derivs.PARAMETERS:
+        step = spark.createDataFrame([(k, *[h * (n == name) for n in derivs.PARAMETERS]) for k in (0, 1)], "k int, s_rx double, s_ry double, s_rz double, s_sigma double")
+        up, down = ({(r.a, r.k, r.j): r.v for r in table(derivs.updated_orientations(o, step, s, (1e-4, 1.0)), polefigure.pf_table).collect()} for s in (1.0, -1.0))
+        bad = 0
+        for i, r in slopes.items():
+            gap = abs((up.get(i, 0.0) - down.get(i, 0.0)) / (2 * h) - r[f"d_{name}"])
+            bad += gap > 1e-4
+        assert bad <= 0.02 * len(slopes)  # a pole that crosses the cut jumps
+
+
+def test_refine_moves_orientations(spark):
+    truth, table = _texture(spark, [(0, 0.2, -0.4, 0.1, math.sqrt(1 - 0.21), 0.09)])
+    b = materialise(table(truth, polefigure.pf_table).select("a", "j", F.col("v").alias("b")))
+    away = spark.createDataFrame([(0, 0.02, -0.01, 0.015, 0.003)], "k int, s_rx double, s_ry double, s_rz double, s_sigma double")
+    start = materialise(derivs.updated_orientations(truth, away))
+    x = spark.createDataFrame([(a, 0, 0, 1.0) for a in range(3)], "a int, y int, k int, v double")
+
+    def residual(o):
+        mu = table(o, polefigure.pf_table).select("a", "j", "v")
+        return mu.join(b, ["a", "j"], "full").select("a", F.lit(0).alias("y"), "j", (F.coalesce("v", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("r"), F.lit(1.0).alias("c"))
+
+    evaluate = lambda x, o: residual(o).agg(F.sum(F.col("r") ** 2) / 2).first()[0]
+    newton = lambda x, o: derivs.newton_steps(derivs.normal_blocks(derivs.model_entries(residual(o), x, table(o, polefigure.pf_slopes))), max_rot=0.05)
+    _, moved, history = derivs.refine(lambda x, o: x, evaluate, newton, x, start, 3)
+    assert history[0]["alpha"] > 0 and history[1]["f0"] == pytest.approx(history[0]["f"])
+    assert history[-1]["f"] < 1e-3 * history[0]["f0"]
+    (want,), (got,) = truth.collect(), moved.collect()
+    assert abs(sum(want[c] * got[c] for c in ("qx", "qy", "qz", "qw"))) > 1 - 1e-7 and abs(got.sigma - want.sigma) < 1e-3
+
+
 @pytest.mark.parametrize("width", [1.0, 6.0])
 def test_generated_pole_figure_loses_no_entry(spark, data, width):
     axes = polefigure.pole_axes(spark.createDataFrame([(0, 3**-0.5, 3**-0.5, 3**-0.5, 1.0)], "r int, hx double, hy double, hz double, share double"), rot.symops(spark, "O"))
