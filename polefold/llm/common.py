@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,7 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BATCH_BYTES = 4 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -19,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="polefold-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/polefold-{uuid.uuid4().hex}"
@@ -55,12 +62,45 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _trim() -> None:
+    """Give memory that was freed back to the system: reused workers would keep it through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes, one row at least."""
+    for batch in batches:
+        parts = max(1, min(batch.num_rows, -(-batch.nbytes // limit)))
+        step = max(1, -(-batch.num_rows // parts))
+        for at in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(at, step)
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
-    schema: str,
+    schema: str | T.StructType,
 ) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over batches cut by bytes, in workers that give their memory back."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(in_parts(batches))
+        finally:
+            _trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def unused(name: str, *taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until it clashes with no column (names ignore case)."""
+    lowered = {c.lower() for names in taken for c in names}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -16,12 +16,13 @@ not read.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from . import common
 
 CAPACITY, END_ID, SALTS = 4096, 1, 256
 VOCABULARY = "word_bpe_49k.json"
-_MEMO = 300_000
+_MEMO, _PART = 250_000, 1 << 18
+_BREAK = re.compile(r"[ \t\n\r\x0b\x0c]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,85 +45,132 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: fixed value: how the tokenizer cuts normalised text into the pieces that it encodes one by one
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+def _split_pattern(path: str) -> str:
+    """The pattern by which the tokenizer's file cuts normalised text into pieces."""
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        raise ValueError("a tokenizer that does not cut by one pattern and map bytes")
+    return steps[0]["pattern"]["Regex"]
 
 
-class WordTokenizer:
-    """Ids of whole texts, by looking up what stands between ASCII white space.
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary; a blank stays, it parts pieces."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 32}
+
 
-    The tokenizer finds its added tokens (``<|endoftext|>`` and the like) first, drops white space and
-    joins nothing across either or across the pieces it cuts words into, so a text's ids are those of
-    its pieces in order. Words and pieces are kept in memos of
-    bounded size; new pieces are encoded many at a time, told apart by the ids that end a piece.
+class WordTokenizer:
+    """Ids of whole texts, by looking up the pieces that the tokenizer cuts them into.
+
+    The tokenizer finds its added tokens (``<|endoftext|>`` and the like) first, normalises what is
+    between them, cuts it by one pattern and encodes the pieces one by one, so a text's ids are
+    those of its pieces in order. Each character is tried once: where this class and the tokenizer
+    would treat it otherwise (their tables are of other Unicode versions), texts that hold it go
+    through the tokenizer itself. Pieces are kept in a memo of bounded size; new ones are encoded
+    many at a time, told apart by the ids that end a piece.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
+        # pieces are normalised and cut here, so the model alone is left to run
+        self.model = Tokenizer(self.inner.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
         added = self.inner.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in added.values()):
             raise ValueError("an added token that is not matched as it stands")
         self.marks = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
-        longest = sorted((m.encode() for m in self.marks), key=len, reverse=True)
-        self.at_marks = regex.compile(b"(" + (b"|".join(map(regex.escape, longest)) or b"(?!)") + b")")
+        longest = sorted(self.marks, key=len, reverse=True)
+        self.at_marks = re.compile("(" + ("|".join(map(re.escape, longest)) or "(?!)") + ")")
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = dict(self.marks)
-
-    def _cut(self, word: bytes) -> list[str]:
-        """Pieces of a word; added tokens are pieces as they stand, found before normalising."""
-        cut = self.at_marks.split(word)
-        if len(cut) == 1:
-            return self._plain(word)
-        return list(chain.from_iterable([part.decode()] if i % 2 else self._plain(part) for i, part in enumerate(cut)))
+        pattern = _split_pattern(path)
+        self.cut = regex.compile(pattern).findall
+        # the same classes within ASCII, where the built-in engine is faster
+        self.cut_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.A).findall
+        self.known: dict[str, bytes] = {}
+        self.agreed: set[str] = set()
+        self.other: set[str] = set()
+        self.plain_ascii = all(self._agrees(chr(c), self.cut_ascii, ()) for c in range(128))
+
+    def _agrees(self, char: str, cut: Callable[[str], list[str]], marked: tuple[str, ...] = ("e{}\u0301\u0323",)) -> bool:
+        """The tokenizer normalises and cuts around the character as this class does."""
+        if unicodedata.category(char) == "Cn":  # unknown here, so its place among other marks is too
+            return False
+        for form in ("a{}b", "1{}1", "!{}!", "{0}{0}", "'{}S", *marked):
+            text = form.format(char)
+            normal = self.inner.normalizer.normalize_str(text)
+            theirs = [normal[a:b] for _, (a, b) in self.inner.pre_tokenizer.pre_tokenize_str(normal)]
+            if theirs != cut(self._normal(text)):
+                return False
+        return True
 
     @staticmethod
-    def _plain(word: bytes) -> list[str]:
-        if word.isascii():
-            return _PIECES.findall(word.decode("ascii").lower())
-        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
-        return _PIECES.findall("".join(map(str.lower, text)))  # character by character: no context
-
-    def _encode(self, new: list[str]) -> None:
-        """Ids of new pieces into the memo."""
+    def _normal(text: str) -> str:
+        # one character at a time, a sigma has no final form
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        out: list[bytes] = []
         groups = [new[i : i + 256] for i in range(0, len(new), 256)]
-        encode = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
-        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        mapped = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
+        for group, found in zip(groups, encode(mapped, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(group):
-                raise ValueError("a piece was cut again")
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(group, last.tolist()):
-                self.pieces[piece] = raw[4 * start : 4 * end]
-                start = end
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.pieces) > _MEMO:
-            self.pieces = dict(self.marks)
-        cuts = [self._cut(w) for w in words]
-        new = [p for p in dict.fromkeys(chain.from_iterable(cuts)) if p not in self.pieces]
-        if new:
-            self._encode(new)
-        known = self.pieces
-        return {w: b"".join([known[p] for p in cut]) for w, cut in zip(words, cuts)}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of UTF-8 text."""
-        words = text.split()
-        memo = self.words
-        new = [w for w in set(words) if w not in memo]
-        if not new:
-            return b"".join([memo[w] for w in words])
-        found = self._learn(new)
-        if len(memo) < _MEMO:
-            memo.update(found)
-            return b"".join([memo[w] for w in words])
-        return b"".join([memo[w] if w in memo else found[w] for w in words])
+            if len(last) == len(group):
+                raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:
+                out += [self._whole(piece) for piece in group]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        if text.isascii() and self.plain_ascii:
+            pieces = self.cut_ascii(text.lower())
+        else:
+            chars = set(text)
+            for char in chars - self.agreed - self.other:
+                (self.agreed if self._agrees(char, self.cut) else self.other).add(char)
+            if not self.other.isdisjoint(chars):
+                return self._whole(text)
+            pieces = self.cut(self._normal(text))
+        known = self.known
+        found = list(map(known.get, pieces))
+        if None in found:
+            new = list({p for p, ids in zip(pieces, found) if ids is None})
+            fresh = dict(zip(new, self._encode(new)))
+            if len(known) + len(new) <= _MEMO:
+                known.update(fresh)
+            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+        return b"".join(found)
+
+    def ids(self, raw: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of UTF-8 text, taken in parts that end at white space."""
+        text, out = raw.decode("utf-8", "replace"), []
+        marked = any(mark in text for mark in self.marks)
+        for i, piece in enumerate(self.at_marks.split(text) if marked else [text]):
+            if i % 2:
+                out.append(self.marks[piece])
+                continue
+            at = 0
+            while at < len(piece):
+                end = len(piece)
+                if end - at > _PART and (stop := _BREAK.search(piece, at + _PART)):
+                    end = stop.end()
+                out.append(self._part(piece[at:end]))
+                at = end
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -224,40 +273,47 @@ def _runs(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``found`` (with long ``length``) and sequence_id, offset. Call on a written table: it is read twice."""
+    """``found`` (with long ``length``) and sequence_id, offset.
+
+    Rows are written once with a salt of their own, so that rows alike in all columns are dealt out as
+    well; at most capacity x salts counts reach the driver, whatever the corpus.
+    """
     spark = found.sparkSession
     columns = [c for c in found.columns if c not in ("sequence_id", "offset")]
-    salted = found.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int").alias("_salt"))
-    # at most capacity x salts counts, whatever the corpus
-    sizes = salted.groupBy("length", "_salt").count().toPandas().sort_values(["length", "_salt"])
-    before = sizes.groupby("length")["count"].cumsum() - sizes["count"]
-    first = spark.sparkContext.broadcast(dict(zip(zip(sizes["length"].tolist(), sizes["_salt"].tolist()), before.tolist())))
-    runs = spark.sparkContext.broadcast(_runs(plan(sizes.groupby("length")["count"].sum().to_dict(), capacity)))
-    dealt = salted.repartition(F.col("length"), F.col("_salt")).sortWithinPartitions("length", "_salt", *columns)
+    salt = common.unused("salt", columns)
+    salted = common.materialise(found.select(*columns, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias(salt)))
+    sizes = salted.groupBy("length", F.col(salt).alias("salt")).agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros((capacity + 1, salts), np.int64)
+    counts[sizes["length"].to_numpy(np.int64), sizes["salt"].to_numpy(np.int64)] = sizes["n"]
+    total = counts.sum(1)
+    first = spark.sparkContext.broadcast(counts.cumsum(1) - counts)
+    runs = spark.sparkContext.broadcast(_runs(plan({k: int(n) for k, n in enumerate(total) if n}, capacity)))
+    dealt = salted.repartition(F.col("length"), F.col(salt)).sortWithinPartitions("length", salt, *columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rank = None, 0
+        last, seen = (-1, -1), 0  # the group that the batch before ended in, and its rows so far
         for batch in batches:
-            sequence, offset = [], []
-            for key in zip(batch.column("length").to_pylist(), batch.column("_salt").to_pylist()):
-                if key != now:
-                    now, rank = key, first.value[key]
-                    starts, sequences, offsets = runs.value[key[0]]
-                    at = int(np.searchsorted(starts, rank, "right")) - 1
-                while at + 1 < len(starts) and starts[at + 1] <= rank:
-                    at += 1
-                sequence.append(int(sequences[at]) + rank - int(starts[at]))
-                offset.append(int(offsets[at]))
-                rank += 1
+            lengths, own = batch.column("length").to_numpy(), batch.column(salt).to_numpy()
+            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+            cuts = np.flatnonzero((lengths[1:] != lengths[:-1]) | (own[1:] != own[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]) if len(lengths) else ():
+                group = int(lengths[lo]), int(own[lo])
+                seen = seen if group == last else 0
+                last = group
+                rank = int(first.value[group]) + seen + np.arange(hi - lo)
+                starts, sequences, offsets = runs.value[group[0]]
+                at = np.searchsorted(starts, rank, "right") - 1
+                sequence[lo:hi], offset[lo:hi] = sequences[at] + rank - starts[at], offsets[at]
+                seen += hi - lo
             kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*columns).schema.fields)
-    return dealt.mapInArrow(work, f"{kinds}, sequence_id long, offset long")
+    return common.map_batches(dealt, work, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(common.materialise(pieces(documents, path or vocabulary_path(), capacity)), capacity)
+    return pack(pieces(documents, path or vocabulary_path(), capacity), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,7 +305,6 @@ def test_packing(docs, empty, tmp_path):
 
     path = packing.vocabulary_path()
     inner = Tokenizer.from_file(path)
-    inner.encode_special_tokens = True
     want = []
     for r in rows():
         ids = [*inner.encode(r[1] or "", add_special_tokens=False).ids, 1]
@@ -337,7 +336,7 @@ def test_packing_literal_markers(spark):
     tokenizer = packing.WordTokenizer(path)
     for value in values:
         assert np.frombuffer(tokenizer.ids(value.encode()), "<u4").tolist() == inner.encode(value, add_special_tokens=False).ids
-    tokenizer.pieces |= {str(i): b"" for i in range(packing._MEMO + 1)}  # the memo is emptied, the markers stay
+    tokenizer.known |= {str(i): b"" for i in range(packing._MEMO + 1)}  # a full memo: new pieces are encoded as they come
     assert np.frombuffer(tokenizer.ids(b"new<|endoftext|>"), "<u4").tolist() == inner.encode("new<|endoftext|>", add_special_tokens=False).ids
     want = []
     for i, value in enumerate(values):
@@ -347,6 +346,26 @@ def test_packing_literal_markers(spark):
     assert table(got, "doc_id", "piece", "start", "length", "ids_crc32") == ordered(want)
 
 
+def test_packing_ids_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    inner, tokenizer = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    odd = [0x558, 0x58B, 0x58C, 0x88F, 0xC5C, 0xCDC, 0x208F, 0x209D, 0xA7CE, 0x130, 0x3A3, 0x345, 0x1C, 0x85]
+    points = [*range(0x3000), *odd, *range(0x3000, 0x110000, 37)]
+    texts = [f"Hi ab{chr(c)}cd E{chr(c)}\u0301 1{chr(c)}{chr(c)} 'S" for c in points if not 0xD800 <= c <= 0xDFFF]
+    for text, want in zip(texts, inner.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(tokenizer.ids(text.encode()), "<u4").tolist() == want.ids, text
+
+
+def test_packing_deals_out_rows_alike(spark):
+    same = spark.createDataFrame([(None, 0, 0, 1000, 5, "x")] * 41 + [(None, 0, 0, 96, 5, "y")] * 10, "doc_id long, piece int, start long, length long, ids_crc32 long, salt string")
+    got = packing.pack(same).collect()
+    assert {r.salt for r in got} == {"x", "y"}
+    assert len({(r.sequence_id, r.offset) for r in got}) == 51
+    assert len({r.sequence_id for r in got}) == 11
+
+
 def test_packing_plan_is_whole_and_tight():
     rng = random.Random(4)
     counts = Counter(min(100, max(1, int(rng.expovariate(0.03)))) for _ in range(20_000))
