@@ -211,7 +211,7 @@ def compare_with_next(documents: DataFrame, rows_per_part: int | None = None) ->
             yield pa.RecordBatch.from_arrays(arrays, ["part", "_key", "doc_id", "tie", "packed"])
 
     source = common.with_text_bytes(documents, "doc_id").withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
-    squeezed = source.mapInArrow(squeeze, "part int, _key long, doc_id long, tie binary, packed binary")
+    squeezed = common.map_batches(source, squeeze, "part int, _key long, doc_id long, tie binary, packed binary")
     # one row a range: its smallest document (by id, then text digest)
     bucket = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_key")))
     lowest = source.withColumn("part", bucket).groupBy("part").agg(F.min(F.struct("_key", F.unhex(F.md5("raw")).alias("tie"))).alias("low"))
@@ -231,7 +231,7 @@ def compare_with_next(documents: DataFrame, rows_per_part: int | None = None) ->
                     row = batch.slice(i, 1)
                     yield pa.RecordBatch.from_arrays([pa.array([follower[key]], pa.int32()), *row.columns[1:], pa.array([1], pa.int32())], [*batch.schema.names, "copy"])
 
-    flagged = squeezed.mapInArrow(with_copies, "part int, _key long, doc_id long, tie binary, packed binary, copy int")
+    flagged = common.map_batches(squeezed, with_copies, "part int, _key long, doc_id long, tie binary, packed binary, copy int")
     dealt = flagged.repartitionByRange(parts, "part").sortWithinPartitions("part", "copy", "_key", "tie")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def compare_with_next(documents: DataFrame, rows_per_part: int | None = None) ->
                     yield made(_compare(held, closed))
                     held, size = held[-1:], len(held[-1][1])
 
-    return dealt.mapInArrow(work, OUT)
+    return common.map_batches(dealt, work, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,15 +344,15 @@ def near_classes(documents: DataFrame, like: float = LIKE, tile: int = 512) -> D
                 held.append((i, mark))
         yield made(solved() if len(held) > 1 else [])
 
-    prints = common.materialise(common.with_text_bytes(documents, "doc_id").mapInArrow(marked, "doc_id long, fingerprint string"))
+    prints = common.materialise(common.map_batches(common.with_text_bytes(documents, "doc_id"), marked, "doc_id long, fingerprint string"))
     classes = common.materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("item", F.xxhash64("fingerprint")))
-    rows = classes.select("item", "fingerprint").mapInArrow(keyed, "item long, fingerprint string, key long")
+    rows = common.map_batches(classes.select("item", "fingerprint"), keyed, "item long, fingerprint string, key long")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(sizes.hint("merge"), "key").withColumn("parts", F.ceil(F.col("size") / tile).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.col("item"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     team = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     dealt = rows.select("item", "fingerprint", team.alias("team")).repartition(F.col("team")).sortWithinPartitions("team")
-    roots = common.connected_components(dealt.mapInArrow(linked, "a long, b long"))
+    roots = common.connected_components(common.map_batches(dealt, linked, "a long, b long"))
     named = common.materialise(classes.join(roots, classes["item"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "item").alias("root")))
     lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
     return prints.join(named.join(lowest, "root").select("fingerprint", "class_id").hint("merge"), "fingerprint").select("doc_id", "fingerprint", "class_id")

@@ -85,7 +85,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 1) -> DataFrame:
             made = [pa.array(x, target.field(n).type) for n, x in (("clean_text", clean), ("n_units", count), ("removed", removed))]
             yield pa.RecordBatch.from_arrays([*kept, *made], schema=target)
 
-    return joined.mapInArrow(work, schema)
+    return common.map_batches(joined, work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,4 +231,4 @@ def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 batch = batch.filter(pa.array(kept))
             yield batch
 
-    return docs.mapInArrow(work, schema)
+    return common.map_batches(docs, work, schema)

@@ -151,7 +151,7 @@ def _anchor_rows(documents: DataFrame, min_bytes: int, k: int) -> DataFrame:
                     crc = np.array([zlib.crc32(r) for r in raws[lo:hi]], np.uint32)
                     held.append((ids[lo:hi][owner], crc[owner], at, a, c))
                     count += len(at)
-                if count >= 2_000_000:
+                if count >= 500_000:
                     yield made()
                     held, count = [], 0
         if held:
@@ -233,7 +233,7 @@ def _press(documents: DataFrame, *columns: str) -> DataFrame:
     names = [*columns, "_id0", "_crc0", "_packed"]
     source = documents.select(*columns, F.coalesce("doc_id", F.lit(-(2**63))).alias("_id0"), F.col("text").cast("binary").alias("_raw"))
     added = T._parse_datatype_string("_crc0 long, _packed binary")
-    return source.mapInArrow(work, T.StructType([*source.drop("_raw").schema.fields, *added.fields]))
+    return common.map_batches(source, work, T.StructType([*source.drop("_raw").schema.fields, *added.fields]))
 
 
 def _surroundings(documents: DataFrame, chosen: DataFrame, side: int, k: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _surroundings(documents: DataFrame, chosen: DataFrame, side: int, k: int) ->
         if size:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return joined.mapInArrow(gathered, "a long, c long, n long, d long, begin long, cut binary")
+    return common.map_batches(joined, gathered, "a long, c long, n long, d long, begin long, cut binary")
 
 
 def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
@@ -316,7 +316,7 @@ def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
         if size:
             yield solved(held)
 
-    return split.repartition(F.col("team")).sortWithinPartitions("team").mapInArrow(work, "a long, c long, low long, high long")
+    return common.map_batches(split.repartition(F.col("team")).sortWithinPartitions("team"), work, "a long, c long, low long, high long")
 
 
 def repeated_ranges(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K, part: int = PART) -> DataFrame:
@@ -356,7 +356,7 @@ def repeated_ranges(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K
                 uid, crc, begin, end = uid[first], crc[first], begin[first], reach[last] - owner[last] * (1 << 40)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uid, crc, begin, end)], ["uid", "crc", "begin", "end"])
 
-    spread = back.mapInArrow(unpack, "uid long, crc long, begin long, end long")
+    spread = common.map_batches(back, unpack, "uid long, crc long, begin long, end long")
     return spread.groupBy("uid", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
@@ -391,7 +391,7 @@ def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produ
                 spans_of.append(spans)
             yield produce(batch, raws, cleaned, spans_of)
 
-    return joined.select(*columns, "_packed", "_ranges").mapInArrow(work, schema)
+    return common.map_batches(joined.select(*columns, "_packed", "_ranges"), work, schema)
 
 
 def dedup(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K, part: int = PART) -> DataFrame:
