@@ -1,20 +1,25 @@
 """Operator 4, benchmark decontamination by winnowing (DataFrame functions only).
 
 Words are runs of characters other than ASCII non-alphanumerics, after A-Z is lower-cased. An
-item's windows are its runs of ``WINDOW`` consecutive words; a shorter item is one window. In a
-window the smallest hash of its k-grams is its fingerprint, so equal windows have equal
-fingerprints wherever they stand. Fingerprints of documents are joined with those of the
-benchmark; a hit is extended to its whole window, whose words are then compared. Shared windows
-are found always, since every window of a document has its fingerprint looked up.
+item's windows are its runs of ``WINDOW`` consecutive words; a shorter item is one window.
 
-The benchmark's fingerprints and windows are broadcast only if their counted number is at most
-``MAX_BROADCAST``; beyond it the same joins shuffle. Windows are joined by their words, then to
-items, so a passage that many items share costs a document one row.
+1. Of every ``reach`` consecutive words the ``GRAM``-gram with the smallest hash is kept, with its
+   place (the leftmost of equal ones; neighbouring windows mostly keep the same, which counts once).
+   ``reach`` is the shortest window of at least ``GRAM`` words that the benchmark has, so every shared
+   window holds a kept gram, the same one at the same place of it on both sides.
+2. Kept grams of documents are joined with those of the benchmark; each hit is extended to the
+   windows around it, whose words are then compared with the benchmark's.
+3. Items of fewer than ``GRAM`` words are too short to be winnowed: each is one gram, and all grams
+   of that size are looked up in the same pass.
+
+Documents are scanned once. The benchmark's grams and windows are broadcast only if their counted
+bytes are at most ``MAX_BROADCAST``; beyond it the same joins shuffle. Windows are joined by their
+words, then to items, so a passage that many items share costs a document one row.
 
 Defined cases: null text has no words; repeated rows are judged one by one (a row number tells
-them apart, never doc_id); an item with null id counts as the string ``null`` would not: it is
-left out of the list of items but its words are hit; an empty table gives no rows, an empty
-benchmark no hits; other columns are not read.
+them apart, never doc_id); an item with null id is left out of the list of items but its words are
+hit; an empty table gives no rows, an empty benchmark no hits; other columns are not read, except
+by ``keep_clean``, which returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +31,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, GRAM, MAX_BROADCAST = 10, 5, 1_000_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW, GRAM = 10, 5
+MAX_BROADCAST = 64 << 20  # bytes
+_PLACE = (1 << 30) - 1  # low bits of a gram's value: its place; a text of 2 GB has no more words
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NONE = "array<bigint>"
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # where all characters are ASCII, the cheaper lower() does the same
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    # cutting at what is between words; finding the words copies the whole text for each
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN, -1), ""), F.array().cast("array<string>"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,63 +51,94 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _with_prints(df: DataFrame, window: int) -> DataFrame:
-    """``df`` (with ``words``) and ``prints``: the fingerprint of each window, in order."""
-    gram = GRAM if window == WINDOW else window
+def _upto(last: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of 0 ... last; empty if there is none."""
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), body)).otherwise(F.array().cast(_NONE))
+
+
+def _grams(hashes: Column, size: int) -> Column:
+    """All grams of ``size`` words, given by hashes: a hash in the upper 34 bits, the place in the lower 30."""
+
+    def value(at: Column) -> Column:
+        parts = [F.get(hashes, at + i if i else at) for i in range(size)]
+        return F.xxhash64(*parts, F.lit(size)).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(at.cast("long"))
 
-    def grams(words: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(words) - gram + 1), lambda i: F.xxhash64(F.slice(words, i, gram)))
+    return _upto(F.size(hashes) - size, value)
 
-    def least(hashes: Column) -> Column:
-        width = window - gram + 1
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - width + 1), lambda i: F.array_min(F.slice(hashes, i, width)))
 
-    made = _let(F.col("words"), grams) if window == gram else _let(_let(F.col("words"), grams), least)
-    return df.withColumn("prints", F.when(F.size("words") >= window, made).otherwise(F.array().cast("array<bigint>")))
+def _kept(hashes: Column, reach: int) -> Column:
+    """Grams that are the least of some ``reach`` consecutive words, each once."""
+    width = reach - GRAM + 1
+
+    def least(grams: Column) -> Column:
+        if width == 1:
+            return grams
+        return F.array_distinct(_upto(F.size(grams) - width, lambda at: F.least(*[F.get(grams, at + i if i else at) for i in range(width)])))
+
+    return _let(_grams(hashes, GRAM), least)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, print, passage (words joined by a blank): distinct windows of all items."""
+    """item_id, size, words and passage (words joined by a blank): distinct windows of all items."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("s")).distinct().collect()]  # at most `window` values
-    found = None
-    for size in sorted(sizes):
-        own = items.where(F.size("words") >= window if size == window else F.size("words") == size)
-        cut = _with_prints(own, size).select("item_id", "words", F.posexplode("prints").alias("at", "print"))
-        cut = cut.select("item_id", F.lit(size).alias("size"), "print", F.array_join(F.slice("words", F.col("at") + 1, size), " ").alias("passage")).distinct()
-        found = cut if found is None else found.union(cut)
-    if found is None:
-        return benchmark.sparkSession.createDataFrame([], "item_id long, size int, print long, passage string")
-    return found
-
-
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row a document: row, doc_id, n_words, spans (array of start, size; word numbers from 0), passages (array)."""
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
+    cut = items.select("item_id", "size", F.explode(F.expr("transform(sequence(1, size(words) - size + 1), i -> slice(words, i, size))")).alias("words"))
+    return cut.withColumn("passage", F.array_join("words", " ")).distinct()
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, key: Column | None = None) -> DataFrame:
+    """One row a document: row, key (doc_id), n_words, spans (array of start, size; word numbers from 0), passages (array)."""
     windows = common.materialise(item_windows(benchmark, window))
-    counted = windows.agg(F.countDistinct("passage").alias("n"), F.collect_set("size").alias("sizes")).first()
-    small = counted["n"] <= max_broadcast
-    spread = F.broadcast if small else (lambda df: df.hint("merge"))
-    base = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    parts = None
-    for size in sorted(counted["sizes"]) or [window]:
-        marks = spread(windows.where(F.col("size") == size).select(F.col("print").alias("mark")).distinct())
-        known = spread(windows.where(F.col("size") == size).select("passage").distinct())
-        # element 0 stands for the document itself, so that one pass also counts its words
-        listed = _with_prints(base, size).select("row", "doc_id", "words", F.concat(F.array(F.lit(None).cast("bigint")), "prints").alias("prints"))
-        one = listed.select("row", "doc_id", "words", F.posexplode("prints").alias("at", "print"))
-        met = one.join(marks, one["print"] == marks["mark"], "left").where("at = 0 or mark is not null")
-        met = met.select("row", "doc_id", F.size("words").alias("n_words"), (F.col("at") - 1).alias("start"), F.when(F.col("at") > 0, F.array_join(F.slice("words", F.greatest("at", F.lit(1)), size), " ")).alias("found"))
-        held = met.join(known, met["found"] == known["passage"], "left").where("start < 0 or passage is not null")
-        held = held.select("row", "doc_id", "n_words", F.when(F.col("start") >= 0, F.struct("start", F.lit(size).alias("size"))).alias("span"), "passage")
-        parts = held if parts is None else parts.union(held)
-    return parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_list("span")).alias("spans"), F.collect_set("passage").alias("passages")
+    counted = windows.agg(F.collect_set("size").alias("sizes"), F.sum(F.octet_length("passage") + 64 * F.col("size")).alias("bytes")).first()
+    sizes = sorted(counted["sizes"]) or [window]  # at most `window` values
+    small = (counted["bytes"] or 0) <= max_broadcast
+    tiny, whole = [s for s in sizes if s < GRAM], [s for s in sizes if s >= GRAM]
+    reach = min(whole, default=window)
+
+    def values(hashes: Column) -> Column:
+        found = [_grams(hashes, size) for size in tiny] + ([_kept(hashes, reach)] if whole else [])
+        return F.concat(F.array(F.lit(None).cast("bigint")), *found)
+
+    def listed(df: DataFrame, *keep: str) -> DataFrame:
+        made = _let(F.transform("words", lambda word: F.xxhash64(word)), values).alias("all")
+        return df.select(*keep, made).select(*keep, F.explode_outer("all").alias("value"))
+
+    # explode_outer, since the optimizer would compute the arrays once more to ask if they are empty;
+    # element 0 stands for the document itself, so that one pass also counts its words
+    marks = listed(windows).where("value is not null").select(F.shiftright("value", 30).alias("mark")).distinct()
+    base = documents.select(F.monotonically_increasing_id().alias("row"), (F.col("doc_id") if key is None else key).alias("key"), "text")
+    worded = lambda df, *more: df.select("row", "key", words_of(F.col("text")).alias("words"), *more)
+    if small:
+        met = listed(worded(base), "row", "key", "words").join(F.broadcast(marks), F.shiftright("value", 30) == F.col("mark"), "left").where("value is null or mark is not null")
+    else:  # grams travel alone, each text once
+        base = common.materialise(base)
+        grams = listed(worded(base), "row").where("value is not null")
+        hit = grams.join(marks.hint("merge"), F.shiftright("value", 30) == F.col("mark"), "left_semi").groupBy("row").agg(F.collect_list("value").alias("all"))
+        found = worded(base.join(hit.hint("merge"), "row", "left"), F.coalesce("all", F.array().cast(_NONE)).alias("all"))
+        met = found.select("row", "key", "words", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), "all")).alias("value"))
+    place, number = F.col("value").bitwiseAND(F.lit(_PLACE)).cast("int"), F.size("words")
+
+    def around(size: int) -> Column:
+        """Starts of the windows of ``size`` words that hold the gram."""
+        low, high = F.greatest(place - max(size - GRAM, 0), F.lit(0)), F.least(place, number - size)
+        cut = lambda at: F.struct(at.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice("words", at + 1, size), " ").alias("found"))
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), cut)).otherwise(F.array().cast("array<struct<start:int,size:int,found:string>>"))
+
+    itself = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("found")))
+    met = met.select("row", "key", number.alias("n_words"), F.explode_outer(F.when(F.col("value").isNull(), itself).otherwise(F.concat(*[around(s) for s in sizes]))).alias("w"))
+    known = windows.select("passage").distinct()
+    known = F.broadcast(known) if small else known.hint("merge")
+    held = met.select("row", "key", "n_words", "w.*").join(known, F.col("found") == known["passage"], "left").where("start < 0 or passage is not null")
+    span = F.when(F.col("start") >= 0, F.struct("start", "size"))
+    return held.groupBy("row").agg(
+        F.max("key").alias("key"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("passage").alias("passages")
     )
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings) and spans of every document."""
     found = common.materialise(hits(documents, benchmark, window, max_broadcast))
+    found = found.withColumnRenamed("key", "doc_id")
     owners = item_windows(benchmark, window).where("item_id is not null").select("passage", F.col("item_id").cast("string").alias("item")).distinct()
     pairs = found.where(F.size("passages") > 0).select("row", F.explode("passages").alias("passage")).join(owners, "passage").select("row", "item").distinct()
     listed = pairs.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -116,9 +158,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a hit go."""
-    found = hits(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("tie"))), common.table(spark, sf_dir, "benchmark"))
-    gone = found.where(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.tie").alias("_tie")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left_anti").select(*docs.columns)
+    found = hits(docs, common.table(spark, sf_dir, "benchmark"), key=F.struct("doc_id", F.xxhash64("text").alias("tie")))
+    gone, tie = common.unused("gone", docs.columns), common.unused("tie", docs.columns)
+    hit = found.where(F.size("spans") > 0).select(F.col("key.doc_id").alias(gone), F.col("key.tie").alias(tie)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[gone]) & (F.xxhash64(docs["text"]) == hit[tie]), "left_anti").select(*docs.columns)
 
 
 SQL = f"""

@@ -224,6 +224,21 @@ def test_decontaminate(spark, docs, empty, limit):
     assert clean.count() == both.count()
 
 
+def test_winnowing_keeps_a_gram_of_every_window(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(n)) for n in (0, 1, 4, 5, 9, 10, 11, 40, 300)]
+    hashes = F.transform(decontaminate.words_of(F.col("text")), lambda w: F.xxhash64(w))
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", decontaminate._grams(hashes, 5).alias("all"), decontaminate._kept(hashes, 10).alias("kept")).collect()
+    for r in got:
+        n, kept = len(r.text.split()), [v & decontaminate._PLACE for v in r.kept]
+        assert len(r.all) == max(n - 4, 0) and set(r.kept) <= set(r.all)
+        assert [v & decontaminate._PLACE for v in r.all] == list(range(len(r.all)))
+        assert all(any(s <= p <= s + 5 for p in kept) for s in range(n - 9))
+        want = {min(r.all[s : s + 6]) for s in range(n - 9)}
+        assert want == set(r.kept) and len(kept) == len(set(kept))
+        assert n < 100 or len(kept) < 0.5 * n
+
+
 def test_decontaminate_keeps_python_out(spark, data):
     plan = decontaminate.query(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
