@@ -1,19 +1,24 @@
 """Operator 1, substring dedup: line hashing with the earliest occurrence kept.
 
-A text is cut at ``\\n`` into units. A unit is normalised (A-Z lower-cased, runs of ASCII white
-space to one blank, trimmed) and digested to 128 bits. Over all documents the occurrence with
-the smallest (doc_id, unit number) of a digest stays, every other one goes. Empty units always
-stay. ``min_chars`` is an option that exempts units of fewer code points when normalised; the
-registered query sets it to ``MIN_CHARS``, as its SQL does.
+A text is cut into units: lines, and within a line sentences (after ``.``, ``!`` or ``?`` with a blank
+behind it), so that a passage is found wherever lines are broken around it. A unit is normalised
+(A-Z lower-cased, runs of ASCII white space to one blank, trimmed) and digested to 128 bits. Over
+all documents the occurrence with the smallest (doc_id, digest of the text, unit number) of a digest
+stays, every other one goes, with the separator behind it; offsets are those of the whole text.
+
+``min_words`` is the least number of words that a unit must have to be compared at all (words are
+parted by blanks; each Han or kana character counts as one). The query sets it to ``MIN_WORDS``: in
+running text shorter sentences recur by chance in documents that share nothing else, and taking
+them out would spoil clean documents. With 1, all units but empty ones are compared.
 
 Defined cases: null text is empty (one empty unit, nothing removed); a null doc_id ranks first;
-rows with equal doc_id and text are ranked by nothing else, so both keep the earliest unit
-number; an empty table gives no rows; other columns pass through ``dedup_lines`` untouched
-(names beginning with ``_u`` are reserved).
+rows equal in doc_id and text keep the same units; an empty table gives no rows; other columns pass
+through ``dedup_lines`` whatever their names (``clean_text``, ``n_units`` and ``removed`` are replaced).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-MIN_CHARS = 16  # of the query and its SQL only
+MIN_WORDS = 12
+_ENDS = re.compile(r"([.!?]) ")
 ADDED = "clean_text string, n_units int, removed array<struct<unit:int,start:int,length:int>>"
 
 
@@ -33,54 +39,66 @@ def _normal(unit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, r"[ \t\x0B\f\r]+", " "), r"^ | $", "")
 
 
-def repeated_units(documents: DataFrame, min_chars: int = 1) -> DataFrame:
-    """Units to remove: _uid (doc_id), _ucrc (of the text), _uno (unit number from 0)."""
-    units = (
-        documents.select(
-            F.col("doc_id").alias("_uid"),
-            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_ucrc"),
-            F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_uno", "_unit"),
-        )
-        .withColumn("_unit", _normal(F.col("_unit")))
-        .where(F.length("_unit") >= min_chars)
-        .select("_uid", "_ucrc", "_uno", F.unhex(F.md5("_unit")).alias("_udig"))
-    )
-    first = units.groupBy("_udig").agg(F.min(F.struct("_uid", "_uno")).alias("_ufirst"), F.count("*").alias("_un")).where("_un > 1")
+def _n_words(unit: Column) -> Column:
+    """Words of a normalised unit that is not empty."""
+    blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
+    signs = F.length(unit) - F.length(F.regexp_replace(unit, r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]", ""))
+    return blanks + 1 + F.when(F.octet_length(unit) == F.length(unit), 0).otherwise(signs)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def repeated_units(documents: DataFrame, min_words: int = 1) -> DataFrame:
+    """Units to remove: uid (doc_id), whole (digest of the text), unit (number from 0)."""
+    # a blank behind a sentence becomes a line end: all offsets stay
+    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) ", "$1\n"), "\n", -1)
+    units = documents.select(F.col("doc_id").alias("uid"), _digest(F.col("text")).alias("whole"), cut.alias("cut"))
+    units = units.select("uid", "whole", F.posexplode_outer("cut").alias("unit", "words")).where(F.length("words") >= max(1, min_words))
+    units = units.withColumn("words", _normal(F.col("words"))).where((F.length("words") > 0) & (_n_words(F.col("words")) >= min_words))
+    units = common.materialise(units.select("uid", "whole", "unit", F.unhex(F.md5("words")).alias("digest")))
+    first = units.groupBy("digest").agg(F.min(F.struct("uid", "whole", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # another form of the key: the join then deals both sides itself and can split a hot digest
-    keyed = first.select(F.hex("_udig").alias("_ukey"), "_ufirst")
-    return (
-        units.withColumn("_ukey", F.hex("_udig"))
-        .join(keyed.hint("merge"), "_ukey")
-        .where(~F.struct("_uid", "_uno").eqNullSafe(F.col("_ufirst")))
-        .select("_uid", "_ucrc", "_uno")
-    )
+    keyed = first.select(F.hex("digest").alias("key"), "first")
+    later = ~F.struct("uid", "whole", "unit").eqNullSafe(F.col("first"))
+    return units.withColumn("key", F.hex("digest")).join(keyed.hint("merge"), "key").where(later).select("uid", "whole", "unit")
+
+
+def cut_units(text: str) -> list[tuple[int, int, str]]:
+    """(start, length, separator behind it) of every unit."""
+    out, start = [], 0
+    for unit in _ENDS.sub(r"\1\n", text).split("\n"):
+        out.append((start, len(unit), text[start + len(unit) : start + len(unit) + 1]))
+        start += len(unit) + 1
+    return out
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = 1) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = 1) -> DataFrame:
     """The documents with ``clean_text``, ``n_units`` and ``removed``: array of (unit, start, length).
 
-    Starts and lengths are code points of the original text, the unit's line end not included.
+    Starts and lengths are code points of the original text, the separator not included.
     """
-    gone = repeated_units(documents, min_chars).groupBy("_uid", "_ucrc").agg(F.collect_set("_uno").alias("_ugone"))
-    columns = [c for c in documents.columns if c not in ("clean_text", "n_units", "removed")]
-    whole = documents.select(*columns, F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_ucrc0"))
-    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_uid")) & (F.col("_ucrc0") == F.col("_ucrc")), "left").select(*columns, "_ugone")
+    gone = repeated_units(documents, min_words).groupBy("uid", "whole").agg(F.collect_set("unit").alias("units"))
+    columns = [c for c in documents.columns if c.lower() not in ("clean_text", "n_units", "removed")]
+    uid, whole, digest, units = (common.unused(n, columns) for n in ("uid", "whole", "digest", "units"))
+    gone = gone.select(F.col("uid").alias(uid), F.col("whole").alias(whole), F.col("units").alias(units))
+    texts = documents.select(*columns, _digest(F.col("text")).alias(digest))
+    joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col(uid)) & (F.col(digest) == F.col(whole)), "left").select(*columns, units)
     schema = T.StructType([*documents.select(*columns).schema.fields, *T._parse_datatype_string(ADDED).fields])
     target = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, count, removed = [], [], []
-            for text, numbers in zip(batch.column("text").to_pylist(), batch.column("_ugone").to_pylist()):
-                units, out = (text or "").split("\n"), set(numbers or ())
-                start, spans = 0, []
-                for i, unit in enumerate(units):
-                    if i in out:
-                        spans.append({"unit": i, "start": start, "length": len(unit)})
-                    start += len(unit) + 1
-                clean.append("\n".join(u for i, u in enumerate(units) if i not in out))
-                count.append(len(units))
-                removed.append(spans)
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column(units).to_pylist()):
+                text, out = text or "", set(numbers or ())
+                cuts = cut_units(text)
+                kept = [c for i, c in enumerate(cuts) if i not in out]
+                parts = [text[start : start + length] + behind for start, length, behind in kept[:-1]]
+                clean.append("".join([*parts, *[text[start : start + length] for start, length, _ in kept[-1:]]]))
+                count.append(len(cuts))
+                removed.append([{"unit": i, "start": cuts[i][0], "length": cuts[i][1]} for i in sorted(out)])
             kept = [batch.column(c).cast(target.field(c).type) for c in columns]
             made = [pa.array(x, target.field(n).type) for n, x in (("clean_text", clean), ("n_units", count), ("removed", removed))]
             yield pa.RecordBatch.from_arrays([*kept, *made], schema=target)
@@ -89,7 +107,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 1) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS)
+    out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
     return out.select(
         "doc_id",
         F.col("n_units").cast("long").alias("n_units"),
@@ -102,20 +120,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH p AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ), e AS (
-  SELECT doc_id, unnest(range(len(parts))) AS unit_no, unnest(parts) AS unit, len(parts) AS n_units FROM p
+  SELECT doc_id, text, unnest(range(len(parts))) AS unit_no, unnest(parts) AS unit, len(parts) AS n_units FROM p
 ), u AS (
   SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no) - length(unit) - 1 AS start FROM e
 ), n AS (
-  SELECT *, regexp_replace(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT *, substr(text, (start + length(unit) + 1)::BIGINT, 1) AS behind,
+         regexp_replace(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[ \\t\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM u
+), w AS (
+  SELECT *, length(norm) > 0 AND length(norm) - length(replace(norm, ' ', '')) + 1
+         + length(norm) - length(regexp_replace(norm, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}]', '', 'g')) >= {MIN_WORDS} AS long_enough FROM n
 ), k AS (
-  SELECT *, length(norm) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit_no) > 1 AS gone FROM n
+  SELECT *, long_enough AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, md5(text), unit_no) > 1 AS gone FROM w
+), g AS (
+  SELECT doc_id, max(n_units)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+         coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS chars_removed,
+         coalesce(string_agg(start::BIGINT || '+' || length(unit), ',' ORDER BY unit_no) FILTER (gone), '') AS spans,
+         coalesce(string_agg(unit || behind, '' ORDER BY unit_no) FILTER (NOT gone), '') AS kept,
+         coalesce(length(max_by(behind, unit_no) FILTER (NOT gone)), 0) AS cut
+  FROM k GROUP BY doc_id
 )
-SELECT doc_id, max(n_units)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
-       coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS chars_removed,
-       coalesce(string_agg(start::BIGINT || '+' || length(unit), ',' ORDER BY unit_no) FILTER (gone), '') AS spans,
-       sha256(coalesce(string_agg(unit, chr(10) ORDER BY unit_no) FILTER (NOT gone), '')) AS kept_sha256
-FROM k GROUP BY doc_id
+SELECT doc_id, n_units, n_removed, chars_removed, spans, sha256(left(kept, (length(kept) - cut)::BIGINT)) AS kept_sha256 FROM g
 """

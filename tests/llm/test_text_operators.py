@@ -57,32 +57,68 @@ def ordered(values):
     return sorted(values, key=lambda x: tuple((v is not None, v) for v in x))
 
 
-def test_line_dedup(docs, empty):
-    units, norm = [], lambda u: re.sub(r"^ | $", "", re.sub(r"[ \t\x0b\f\r]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in u)))
-    for r in rows():
-        for no, u in enumerate((r[1] or "").split("\n")):
-            units.append(((r[0] is not None, r[0] or 0), no, norm(u), r, u))
-    first = {}
-    for key, no, n, *_ in units:
-        if len(n) >= line_dedup.MIN_CHARS:
-            first[n] = min(first.get(n, (key, no)), (key, no))
-    want = []
-    for r in rows():
-        kept, gone, key = [], [], (r[0] is not None, r[0] or 0)
-        for no, u in enumerate((r[1] or "").split("\n")):
-            n = norm(u)
-            (gone if len(n) >= line_dedup.MIN_CHARS and first[n] != (key, no) else kept).append(u if n is not None else u)
-        want.append((r[0], "\n".join(kept), len(gone)))
-    got = line_dedup.dedup_lines(docs).select("doc_id", "clean_text", F.size("removed").alias("gone"))
-    assert table(got, "doc_id", "clean_text", "gone") == ordered(want)
-    assert line_dedup.dedup_lines(empty).count() == 0
+def brute_lines(docs, min_words):
+    """(doc_id, text left, number of units removed) of each (doc_id, text)."""
+    lowered = lambda u: "".join(c.lower() if "A" <= c <= "Z" else c for c in u)
+    norm = lambda u: re.sub(r"^ | $", "", re.sub(r"[ \t\x0b\f\r]+", " ", lowered(u)))
+    words = lambda n: len(n.split(" ")) + sum("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in n) if n else 0
+    first, cut = {}, []
+    for doc, text in docs:
+        key = (doc is not None, doc or 0, hashlib.md5((text or "").encode()).digest())
+        parts = re.split(r"((?<=[.!?]) |\n)", text or "")
+        units = list(zip(parts[::2], [*parts[1::2], ""]))
+        cut.append((doc, key, units))
+        for no, (u, _) in enumerate(units):
+            if words(norm(u)) >= min_words:
+                first[norm(u)] = min(first.get(norm(u), (key, no)), (key, no))
+    out = []
+    for doc, key, units in cut:
+        kept = [(u, behind) for no, (u, behind) in enumerate(units) if first.get(norm(u), (key, no)) == (key, no)]
+        out.append((doc, "".join(u + b for u, b in kept[:-1]) + "".join(u for u, _ in kept[-1:]), len(units) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 4, line_dedup.MIN_WORDS])
+def test_line_dedup(docs, empty, least):
+    got = line_dedup.dedup_lines(docs, least).select("doc_id", "clean_text", F.size("removed").alias("gone"))
+    assert table(got, "doc_id", "clean_text", "gone") == ordered(brute_lines([(r[0], r[1]) for r in rows()], least))
+    assert line_dedup.dedup_lines(empty, least).count() == 0
     assert {"fp", "raw", "words"} <= set(line_dedup.dedup_lines(docs).columns)
 
 
+def test_line_dedup_offsets_and_clashing_names(spark):
+    texts = [(1, "One two. Three four!  five\nsix"), (2, "x. three  FOUR! One two.\nsix."), (3, None), (4, "six. six")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in texts], "doc_id long, text string, uid int, whole int, unit int, digest int")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i].clean_text for i in (1, 2, 3, 4)] == ["One two. Three four!  five\nsix", "x. six.", "", ""]
+    assert [tuple(x) for x in got[2].removed] == [(1, 3, 12), (2, 16, 8)]
+    assert got[2].text[3:15] == "three  FOUR!" and [tuple(x) for x in got[4].removed] == [(0, 0, 4), (1, 5, 3)]
+    assert got[1].uid == 1 and got[1].digest == 4 and got[3].n_units == 1
+
+
 def test_line_dedup_short_units(spark):
     short = spark.createDataFrame([(1, "Read more\n\nx\nbody one"), (2, "read  more\n\nx"), (3, "日本語のテキストです\nx"), (4, "日本語のテキストです")], "doc_id long, text string")
     assert table(line_dedup.dedup_lines(short), "doc_id", "clean_text") == [(1, "Read more\n\nx\nbody one"), (2, ""), (3, "日本語のテキストです"), (4, "")]
-    assert table(line_dedup.dedup_lines(short, 16), "doc_id", "clean_text") == table(short, "doc_id", "text")
+    assert table(line_dedup.dedup_lines(short, 3), "doc_id", "clean_text") == [(1, "Read more\n\nx\nbody one"), (2, "read  more\n\nx"), (3, "日本語のテキストです\nx"), (4, "")]
+
+
+def test_line_dedup_catches_passages_and_leaves_clean_documents(spark):
+    """Documents that share a run of 50 words with an earlier one lose text, those that share none mostly keep all."""
+    docs = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    seen, shared, later = {}, set(), set()
+    for doc, text in docs:
+        words = (text or "").lower().split()
+        for i in range(len(words) - 49):
+            owner = seen.setdefault(hash(tuple(words[i : i + 50])), doc)
+            if owner != doc:
+                shared |= {doc, owner}
+                later.add(doc)
+    gone = {doc for doc, _, n in brute_lines(docs, line_dedup.MIN_WORDS) if n}
+    got = {r.doc_id for r in line_dedup.query(spark, "/root/testdata/sf0.01").where("n_removed > 0").collect()}
+    assert got == gone
+    clean = {doc for doc, _ in docs} - shared
+    assert len(later & gone) >= 0.95 * len(later)
+    assert len(clean - gone) >= 0.93 * len(clean)
 
 
 def brute_removed(values, m):
