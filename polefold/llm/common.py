@@ -62,7 +62,7 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give memory that was freed back to the system: reused workers would keep it through later stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -90,7 +90,7 @@ def map_batches(
         try:
             yield from fn(in_parts(batches))
         finally:
-            _trim()
+            trim()
 
     return df.mapInArrow(lean, schema)
 

@@ -1,119 +1,246 @@
 """Operator 6, quality classifier: random-indexing word vectors and a two-layer network.
 
-The vector of a word where it stands is the sum of sparse random index vectors (hash-seeded,
-ternary) of the word, of its shape, of its last characters, of the words before and after it
-(turned by one place to either side, which tells order) and, when it repeats the word before it, of
-that fact. Neighbours are added up within a document; no table of words is kept over the corpus. A
-document's input is the mean and the standard deviation of its words' vectors over the whole
-text, and its length on a log scale. A network with one hidden layer is fitted in numpy on at
-most ``SAMPLE`` labelled rows (the documented bound; the rows with the smallest hashes of their
-doc_id), and one temperature is fitted on a fold that the weights have not seen.
+Random indexing: every word has a sparse ternary index vector (hash-seeded). The context vector of
+a word is the sum, over all its occurrences in all documents, of the index vectors of the words
+before and after it, turned by one place to either side, which tells order. ``contexts`` adds them up
+for the whole corpus; words share ``ROWS`` rows by hash (the documented bound on the table, which is
+aggregated in Spark, collected and broadcast: ROWS x DIM numbers, whatever the corpus). A word's
+vector is its context vector and the index vectors of itself, of its shape and of its ending, the
+last two for words that are too rare to have met many others.
+
+A document's input is the mean and the standard deviation of its words' vectors over the whole
+text, how well each word fits the context vector of the one before it (mean and deviation), how like
+its index vector is to that of the one before it (mean), and its length on a log scale. A network with one hidden layer is fitted in numpy on at most ``SAMPLE``
+labelled rows (the documented bound; the rows with the smallest hashes of their doc_id), and one
+temperature is fitted on a fold that the weights have not seen.
 
 Defined cases: null and empty texts have the zero input and a score as any other; rows without
-a label, or with one other than 0 and 1, teach nothing; a null doc_id counts as the empty string
-for the fold; without a labelled row every score is 0.5, with one kind of label the network still
-gives a number from 0 to 1; an empty table gives no rows; other columns pass through nothing.
+a label, or with one other than 0 and 1, teach nothing; of repeated rows with one doc_id only the
+text with the smallest digest teaches; a null doc_id counts as the empty string for the fold;
+without a labelled row every score is 0.5, with one kind of label the network still gives a number
+from 0 to 1; an empty table gives no rows; other columns are not read, except by the pipeline's
+stage, which returns them whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .lang_id import fold
 
-OWN = 0.5
-DIM, HIDDEN, SAMPLE, FOLDS, ACCEPT = 64, 32, 20_000, 5, 0.3
-PICKS = 4
-_CHUNK, _MEMO, _WORDS = 1 << 20, 200_000, 1 << 14
-INPUT = 2 * DIM + 1
-
-
-def _shape(word: str) -> str:
-    out, last = [], ""
-    for ch in word:
-        kind = "a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
-        if kind != last:
-            out.append(kind)
-            last = kind
-    return "".join(out)
-
-
-def _index(keys: list[str], weight: float) -> np.ndarray:
-    """Sparse ternary vectors: PICKS places of DIM, with signs."""
-    seeds = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
-    out = np.zeros((len(keys), DIM), np.float32)
-    rows = np.arange(len(keys))
-    for i in range(PICKS):
-        part = (seeds >> np.uint64(16 * i)) & np.uint64(0xFFFF)
-        out[rows, (part >> np.uint64(1)).astype(np.int64) % DIM] += np.where(part & np.uint64(1), weight, -weight).astype(np.float32)
+DIM, PICKS, ROWS, HIDDEN, SAMPLE, FOLDS, ACCEPT = 64, 4, 1 << 14, 32, 20_000, 5, 0.3
+OWN, SHAPE, ENDING = 0.5, 1.5, 0.7  # weights of the index vectors beside the context vector
+INPUT = 2 * DIM + 4
+FEW = 5  # occurrences at which a context vector counts half
+_MEMO, _WORDS, _BLOCK, _SALTS = 100_000, 1 << 14, 256, 16
+_LONG = re.compile(r"(.)\1+", re.S)
+
+
+class _Kinds(dict):
+    """Character -> the sign that stands for it in a word's shape."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = "a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch
+        return self[code]
+
+
+_KINDS = _Kinds()
+
+
+def shape(word: str) -> str:
+    return _LONG.sub(r"\1", word.translate(_KINDS))
+
+
+def seeds(keys: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+
+
+def picks(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places [n, PICKS] of an index vector and their signs."""
+    parts = (seed[:, None] >> (np.uint64(16) * np.arange(PICKS, dtype=np.uint64))) & np.uint64(0xFFFF)
+    return ((parts >> np.uint64(1)) % np.uint64(DIM)).astype(np.int64), np.where(parts & np.uint64(1), 1, -1)
+
+
+def index_vectors(seed: np.ndarray) -> np.ndarray:
+    places, signs = picks(seed)
+    out = np.zeros((len(seed), DIM), np.float32)
+    for k in range(PICKS):
+        out[np.arange(len(seed)), places[:, k]] += signs[:, k]
     return out
 
 
-class Embedder:
-    """Documents' inputs, with a memo of word vectors of bounded size."""
+def row_of(seed: np.ndarray) -> np.ndarray:
+    return (seed % np.uint64(ROWS)).astype(np.int64)
 
-    def __init__(self) -> None:
-        self._clear()
-        self.repeat = _index(["=repeat"], 3.0)[0]
 
-    def _clear(self) -> None:
+class _Words:
+    """Numbers for words: a memo of bounded size, and places that each call uses anew beyond it."""
+
+    def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.vectors = np.zeros((1024, DIM), np.float32)
-        self.index = np.zeros((1024, DIM), np.int8)  # of the word itself, for its neighbours
-
-    def _learn(self, words: list[str]) -> None:
-        own = _index([f"w{w}" for w in words], 1.0)
-        made = OWN * own + _index([f"s{_shape(w)}" for w in words], 1.5) + _index([f"e{w[-3:]}" for w in words], 0.7)
-        start = len(self.place)
-        if start + len(words) > len(self.vectors):
-            more = max(len(self.vectors), start + len(words))
-            self.vectors = np.concatenate([self.vectors, np.zeros((more, DIM), np.float32)])
-            self.index = np.concatenate([self.index, np.zeros((more, DIM), np.int8)])
-        self.vectors[start : start + len(words)] = made
-        self.index[start : start + len(words)] = own
-        self.place.update(zip(words, range(start, start + len(words))))
-
-    def _places(self, words: list[str]) -> np.ndarray:
+
+    def number(self, words: list[str]) -> tuple[np.ndarray, list[str], int]:
+        """A number for each word; the words without a row yet, whose numbers start at the third value."""
         known = self.place
         new = [w for w in dict.fromkeys(words) if w not in known]
+        start = len(known)
+        if start + len(new) <= _MEMO:
+            known.update(zip(new, range(start, start + len(new))))
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), new, start
+        extra = dict(zip(new, range(_MEMO, _MEMO + len(new))))
+        return np.fromiter((known[w] if w in known else extra[w] for w in words), np.int64, len(words)), new, _MEMO
+
+
+def _fitted(table: np.ndarray, rows: int) -> np.ndarray:
+    """``table`` with at least ``rows`` rows."""
+    if rows <= len(table):
+        return table
+    return np.concatenate([table, np.zeros((max(rows - len(table), len(table) // 2), *table.shape[1:]), table.dtype)])
+
+
+class ContextCounter:
+    """Adds up what context vectors its texts give."""
+
+    def __init__(self) -> None:
+        self.words = _Words()
+        self.seed = np.zeros(1024, np.uint64)
+        self.sums = np.zeros((ROWS, DIM), np.int64)
+        self.seen = np.zeros(ROWS, np.int64)
+
+    def add(self, words: list[str]) -> None:
+        at, new, start = self.words.number(words)
+        self.seed = _fitted(self.seed, start + len(new))
+        self.seed[start : start + len(new)] = seeds(new)
+        seed = self.seed[at]
+        rows, (places, signs) = row_of(seed), picks(seed)
+        flat = self.sums.reshape(-1)
+        for k in range(PICKS):
+            np.add.at(flat, rows[1:] * DIM + (places[:-1, k] + 1) % DIM, signs[:-1, k])
+            np.add.at(flat, rows[:-1] * DIM + (places[1:, k] - 1) % DIM, signs[1:, k])
+        self.seen += np.bincount(rows, minlength=ROWS)
+
+    def add_text(self, text: str) -> None:
+        words = text.split()
+        for i in range(0, len(words), _WORDS):
+            self.add(words[max(i - 1, 0) : i + _WORDS])
+            if i:  # the word before was counted with the part that ends in it
+                self.seen[row_of(seeds(words[i - 1 : i]))] -= 1
+
+
+def _blocks(sums: np.ndarray, seen: np.ndarray, salt: int) -> pa.RecordBatch:
+    press = zstandard.ZstdCompressor(level=1)
+    used = [b for b in range(ROWS // _BLOCK) if seen[b * _BLOCK : (b + 1) * _BLOCK].any()]
+    packed = [press.compress(np.concatenate([seen[b * _BLOCK : (b + 1) * _BLOCK, None], sums[b * _BLOCK : (b + 1) * _BLOCK]], axis=1).tobytes()) for b in used]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([salt] * len(used), pa.int32()), pa.array(packed, pa.binary())], ["block", "salt", "packed"])
+
+
+_PARTIAL = "block int, salt int, packed binary"
+
+
+def contexts(documents: DataFrame) -> np.ndarray:
+    """Context vectors [ROWS, DIM] over all texts: mean over a row's occurrences, less the corpus's own mean, drawn to zero where few."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, first = ContextCounter(), None
+        for batch in batches:
+            for raw in batch.column("raw").to_pylist():
+                counter.add_text((raw or b"").decode("utf-8", "replace"))
+                first = xxhash.xxh64_intdigest(raw or b"") % _SALTS if first is None else first
+        if first is not None:
+            yield _blocks(counter.sums, counter.seen, first)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        now, total = None, np.zeros(0, np.int64)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([0], pa.int32()), pa.array([press.compress(total.tobytes())], pa.binary())], ["block", "salt", "packed"])
+
+        for batch in batches:
+            for block, salt, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, salt) != now:
+                    if now:
+                        yield made()
+                    now, total = (block, salt), np.zeros(_BLOCK * (DIM + 1), np.int64)
+                total = total + np.frombuffer(unpress.decompress(packed), np.int64)
+        if now:
+            yield made()
+
+    found = common.map_batches(common.with_text_bytes(documents), count, _PARTIAL)
+    for _ in range(2):  # salted first, so that no task adds up a block of all tasks
+        found = common.map_batches(found.repartition("block", "salt").sortWithinPartitions("block", "salt"), add, _PARTIAL)
+    table = np.zeros((ROWS // _BLOCK, _BLOCK, DIM + 1))
+    for r in found.select("block", "packed").collect():  # at most ROWS / _BLOCK rows
+        table[r["block"]] = np.frombuffer(zstandard.decompress(r["packed"]), np.int64).reshape(_BLOCK, DIM + 1)
+    table = table.reshape(ROWS, DIM + 1)
+    seen, sums = table[:, :1], table[:, 1:]
+    mean = sums.sum(0) / max(seen.sum(), 1.0)
+    return np.where(seen > 0, (sums - mean * seen) / (seen + FEW), 0.0).astype(np.float32)
+
+
+class Embedder:
+    """Documents' inputs, with a memo of word vectors of bounded size."""
+
+    def __init__(self, context: np.ndarray) -> None:
+        self.context = context
+        self.words = _Words()
+        self.vectors = np.zeros((1024, DIM), np.float32)
+        self.index = np.zeros((1024, DIM), np.int8)
+        self.row = np.zeros(1024, np.int64)
+        self.parts: dict[str, np.ndarray] = {}
+
+    def _part(self, key: str, weight: float) -> np.ndarray:
+        found = self.parts.get(key)
+        if found is None:
+            if len(self.parts) > _MEMO // 4:
+                self.parts.clear()
+            found = self.parts[key] = weight * index_vectors(seeds([key]))[0]
+        return found
+
+    def _number(self, words: list[str]) -> np.ndarray:
+        at, new, start = self.words.number(words)
         if new:
-            if len(known) > _MEMO:
-                self._clear()
-                known = self.place
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            end = start + len(new)
+            self.vectors, self.index, self.row = (_fitted(t, end) for t in (self.vectors, self.index, self.row))
+            seed = seeds(new)
+            own = index_vectors(seed)
+            self.row[start:end] = row_of(seed)
+            self.index[start:end] = own
+            made = OWN * own + self.context[self.row[start:end]]
+            made += np.stack([self._part("s" + shape(w), SHAPE) for w in new]) + np.stack([self._part("e" + w[-3:], ENDING) for w in new])
+            self.vectors[start:end] = made
+        return at
 
     def embed(self, text: str) -> np.ndarray:
         words = text.split()
         out = np.zeros(INPUT, np.float32)
         if not words:
             return out
-        total, square = np.zeros(DIM), np.zeros(DIM)
+        total, square, fit = np.zeros(DIM), np.zeros(DIM), np.zeros(3)
         for i in range(0, len(words), _WORDS):
-            first, end = max(i - 1, 0), min(i + _WORDS, len(words))
-            at = self._places(words[first : end + 1])  # with a neighbour at either side
-            found = self.vectors[at]
-            found[1:][at[1:] == at[:-1]] += self.repeat
-            near = self.index[at] * np.float32(OWN)
-            found[1:, 1:] += near[:-1, :-1]
-            found[1:, 0] += near[:-1, -1]
-            found[:-1, :-1] += near[1:, 1:]
-            found[:-1, -1] += near[1:, 0]
-            found = found[i - first : end - first]
+            first = max(i - 1, 0)  # with the word before
+            at = self._number(words[first : i + _WORDS])
+            found = self.vectors[at[i - first :]]
             total += found.sum(0)
             square += np.einsum("ij,ij->j", found, found)
-        mean = total / len(words)
+            before, after = self.index[at[:-1]], self.index[at[1:]].astype(np.float32)
+            like = np.einsum("ij,ij->i", self.context[self.row[at[:-1]]], np.roll(after, -1, axis=1))
+            fit += like.sum(), like @ like, np.einsum("ij,ij->", before, after) / PICKS
+        n, pairs = len(words), max(len(words) - 1, 1)
+        mean, fit = total / n, fit / pairs
         out[:DIM] = mean
-        out[DIM : 2 * DIM] = np.sqrt(np.maximum(square / len(words) - mean**2, 0))
-        out[-1] = np.log1p(len(words)) / 10
+        out[DIM : 2 * DIM] = np.sqrt(np.maximum(square / n - mean**2, 0))
+        out[2 * DIM :] = fit[0], np.sqrt(max(fit[1] - fit[0] ** 2, 0)), fit[2], np.log1p(n) / 10
         return out
 
 
@@ -136,9 +263,9 @@ class Network:
         return hidden @ self.w[2] + self.w[3][0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.logits(x) / self.temperature)
+        return np.round(_sigmoid(self.logits(x) / self.temperature), 9)  # the last bits depend on how rows are batched
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-3) -> None:
         rng = np.random.default_rng(11)
         self.shift, self.scale = x.mean(0), x.std(0) + 1e-3
         z = (x - self.shift) / self.scale
@@ -163,30 +290,50 @@ class Network:
         self.temperature = float(tried[int(np.argmin(loss))])
 
 
-def inputs(df: DataFrame, *keep: str) -> DataFrame:
+def _embedded(raws: list[bytes | None], embedder: Embedder) -> np.ndarray:
+    return np.stack([embedder.embed((r or b"").decode("utf-8", "replace")) for r in raws]) if raws else np.zeros((0, INPUT), np.float32)
+
+
+class Classifier:
+    """A fitted network with the context vectors that it was fitted on; network None: nothing was learnt."""
+
+    def __init__(self, context: np.ndarray, network: Network | None):
+        self.context, self.network = context, network
+
+    def scores(self, raws: list[bytes | None], embedder: Embedder) -> np.ndarray:
+        if self.network is None or not raws:
+            return np.full(len(raws), 0.5)
+        return self.network.score(_embedded(raws, embedder).astype(np.float64))
+
+
+def inputs(df: DataFrame, context: np.ndarray, *keep: str) -> DataFrame:
     """The columns ``keep`` (of simple types) and ``x``: the embedded text."""
+    shared = df.sparkSession.sparkContext.broadcast(context)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedder = Embedder()
+        embedder = Embedder(shared.value)
         for batch in batches:
-            made = [embedder.embed((r or b"").decode("utf-8", "replace")) for r in batch.column("raw").to_pylist()]
-            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.float32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * INPUT), flat)
+            made = _embedded(batch.column("raw").to_pylist(), embedder)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * INPUT), pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "x"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     return common.map_batches(common.with_text_bytes(df, *keep), work, ", ".join([*kinds, "x array<float>"]))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Fit on labelled rows outside fold 0; fold 1 sets the temperature. None without a label."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+    """Fit on labelled rows outside fold 0; fold 1 sets the temperature."""
+    context = contexts(documents)
     part = fold(F.col("doc_id"), FOLDS)
     usable = labels.where(F.col("quality").isin(0, 1) & (part != 0)).select("doc_id", "quality").distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", part.cast("int"))
-    got = inputs(rows, "doc_id", "quality", "part").toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    met = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row for each doc_id and label, so that no more than `sample` rows reach the driver
+    first = met.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = first.withColumn("part", part.cast("int"))
+    got = inputs(rows, context, "doc_id", "quality", "part").toPandas().sort_values(["doc_id", "quality"], kind="stable")
     if not len(got):
-        return None
+        return Classifier(context, None)
     x, y, late = np.stack(got["x"].to_list()).astype(np.float64), got["quality"].to_numpy(float), got["part"].to_numpy() == 1
     if late.all() or not late.any():
         late = np.zeros(len(y), bool)
@@ -194,41 +341,47 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     network.fit(x[~late], y[~late])
     if late.any():
         network.temper(x[late], y[late])
-    return network
+    return Classifier(context, network)
 
 
-def score(documents: DataFrame, network: Network | None) -> DataFrame:
+def score(documents: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id and score of all rows; sees doc_id only to return it."""
+    shared = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedder = Embedder()
+        embedder = Embedder(shared.value.context)
         for batch in batches:
-            made = [embedder.embed((r or b"").decode("utf-8", "replace")) for r in batch.column("raw").to_pylist()]
-            found = network.score(np.stack(made).astype(np.float64)) if network and made else np.full(len(made), 0.5)
+            found = shared.value.scores(batch.column("raw").to_pylist(), embedder)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return common.map_batches(common.with_text_bytes(documents, "doc_id"), work, "doc_id long, score double")
 
 
+def score_column(spark: SparkSession, text: Column, classifier: Classifier) -> Column:
+    """The score of a text as a column: only the text travels to Python, other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(classifier)
+
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embedder = Embedder(shared.value.context)
+        try:
+            for part in parts:
+                cuts = [pa.array(shared.value.scores(cut.column(0).to_pylist(), embedder)) for cut in common.in_parts([pa.RecordBatch.from_arrays([part], ["raw"])])]
+                yield pa.concat_arrays(cuts).cast(pa.float64())
+        finally:
+            common.trim()
+
+    return scored(text.cast("binary"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    network = train(documents, common.table(spark, sf_dir, "labels"))
+    classifier = train(documents, common.table(spark, sf_dir, "labels"))
     held = fold(F.col("doc_id"), FOLDS) == 0
-    return score(documents, network).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    return score(documents, classifier).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def keep_accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go. Scores and filters in one pass."""
-    network = train(docs, common.table(spark, sf_dir, "labels"))
-    schema = docs.schema
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedder = Embedder()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if texts and network:
-                kept = network.score(np.stack([embedder.embed(t or "") for t in texts]).astype(np.float64)) >= ACCEPT
-                batch = batch.filter(pa.array(kept))
-            yield batch
-
-    return common.map_batches(docs, work, schema)
+    """Pipeline stage: documents that the classifier rejects go."""
+    classifier = train(docs, common.table(spark, sf_dir, "labels"))
+    return docs.where(score_column(spark, docs["text"], classifier) >= ACCEPT)

@@ -515,38 +515,71 @@ def test_quality(spark):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
-def test_quality_words_know_their_neighbours(monkeypatch):
-    one, two = "a b c d a b c d", "a c b d a d b c"  # the same words, none beside itself
-    embed = lambda t: quality.Embedder().embed(t)
-    assert not np.allclose(embed(one), embed(two))
+def brute_contexts(texts):
+    """Context vectors word by word: row, mean of turned index vectors less the corpus's mean, drawn to zero."""
+    index = lambda w: quality.index_vectors(quality.seeds([w]))[0].astype(float)
+    sums, seen = np.zeros((quality.ROWS, quality.DIM)), np.zeros(quality.ROWS)
+    for text in texts:
+        words = (text or "").split()
+        for i, w in enumerate(words):
+            row = xxhash.xxh64_intdigest(w) % quality.ROWS
+            seen[row] += 1
+            if i:
+                sums[row] += np.roll(index(words[i - 1]), 1)
+            if i + 1 < len(words):
+                sums[row] += np.roll(index(words[i + 1]), -1)
+    mean = sums.sum(0) / max(seen.sum(), 1)
+    return (sums - mean * seen[:, None]) / (seen[:, None] + quality.FEW)
+
+
+def test_quality_contexts_come_from_the_whole_corpus(spark, docs, empty, monkeypatch):
+    want = brute_contexts([r[1] for r in rows()])
+    assert np.allclose(quality.contexts(docs.repartition(5)), want, atol=1e-5)
+    assert not quality.contexts(empty).any()
+    texts = ["a b c a a", "x", "", "a c b"] * 3
+    for size in (3, 1):  # neighbours across the cuts of a long text count too, memo or not
+        monkeypatch.setattr(quality, "_WORDS", size)
+        monkeypatch.setattr(quality, "_MEMO", 2)
+        counter = quality.ContextCounter()
+        for t in texts:
+            counter.add_text(t)
+        mean = counter.sums.sum(0) / counter.seen.sum()
+        assert np.allclose((counter.sums - mean * counter.seen[:, None]) / (counter.seen[:, None] + quality.FEW), brute_contexts(texts), atol=1e-9)
+
+
+def test_quality_input_against_brute_force(monkeypatch):
     rng = random.Random(9)
     words = [rng.choice(["red", "Blue", "x9", "green", "tea", "ox"]) for _ in range(500)]
-    index = lambda k, w: quality._index([k], w)[0]
-    rows = []
-    for i, w in enumerate(words):
-        v = index("w" + w, 0.5) + index("s" + quality._shape(w), 1.5) + index("e" + w[-3:], 0.7)
-        if i:
-            v = v + np.roll(index("w" + words[i - 1], 0.5), 1) + (index("=repeat", 3.0) if words[i - 1] == w else 0)
-        if i + 1 < len(words):
-            v = v + np.roll(index("w" + words[i + 1], 0.5), -1)
-        rows.append(v)
-    want = np.concatenate([np.mean(rows, 0), np.std(rows, 0), [np.log1p(500) / 10]])
-    for size in (1 << 14, 499, 64, 1):  # neighbours across the cuts of a long text count too
+    text, context = " ".join(words), brute_contexts([" ".join(words), "red tea ox", "tea red"]).astype(np.float32)
+    index = lambda k: quality.index_vectors(quality.seeds([k]))[0]
+    row = lambda w: context[xxhash.xxh64_intdigest(w) % quality.ROWS]
+    vectors = [row(w) + 0.5 * index(w) + 1.5 * index("s" + quality.shape(w)) + 0.7 * index("e" + w[-3:]) for w in words]
+    fit = [row(a) @ np.roll(index(b), -1) for a, b in zip(words, words[1:])]
+    like = [index(a) @ index(b) / quality.PICKS for a, b in zip(words, words[1:])]
+    want = np.concatenate([np.mean(vectors, 0), np.std(vectors, 0), [np.mean(fit), np.std(fit), np.mean(like), np.log1p(500) / 10]])
+    for size, memo in ((1 << 14, 100_000), (499, 3), (64, 100_000), (1, 2)):
         monkeypatch.setattr(quality, "_WORDS", size)
-        assert np.allclose(embed(" ".join(words)), want, atol=1e-4)
-    assert quality.Embedder().embed("one").any()
+        monkeypatch.setattr(quality, "_MEMO", memo)
+        assert np.allclose(quality.Embedder(context).embed(text), want, atol=1e-4)
+    order = lambda t: quality.Embedder(context).embed(t)
+    assert not np.allclose(order("red tea ox Blue"), order("red ox tea Blue"))
+    assert not np.allclose(quality.Embedder(context).embed("red tea"), quality.Embedder(0 * context).embed("red tea"))
+    assert quality.Embedder(context).embed("one").any() and not quality.Embedder(context).embed(" ").any()
+    assert quality.shape("Abc--D12é!") == "Aa-A0a!"
 
 
 def test_quality_edges(docs, empty, spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 1), (None, 1, 1), (7, 5, 0), (9, 0, 0), (9, 0, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
-    network = quality.train(docs, labels)
-    got = quality.score(docs, network).collect()
+    classifier = quality.train(docs, labels)
+    got = quality.score(docs, classifier).collect()
     assert len(got) == len(rows())
     assert all(0 <= r.score <= 1 for r in got)
-    assert quality.train(docs, labels.limit(0)) is None
-    assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
-    assert quality.score(empty, network).count() == 0
-    assert quality.train(empty, labels) is None
+    assert quality.train(docs, labels.limit(0)).network is None
+    assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
+    assert quality.score(empty, classifier).count() == 0
+    assert quality.train(empty, labels).network is None
+    beside = docs.withColumn("score", quality.score_column(spark, F.col("text"), classifier))
+    assert table(beside, "doc_id", "score") == table(quality.score(docs, classifier), "doc_id", "score")
 
 
 def test_pieces_have_schema(docs):
