@@ -213,6 +213,69 @@ def test_html_teaser_in_article_does_not_discard_body():
     assert html_text.main_text(f"<body><div><p>Just in, today.</p></div><article>{inner}</article></body>") == "\n".join(body)
 
 
+BODY = [f"Sentence {i} of the article, which goes on for a while, and then some more of it." for i in range(6)]
+AROUND = '<nav><ul><li><a href="/">Home</a><li><a href="/a">About us</a></ul></nav>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div>{a}</div><div><h1>Title</h1>{b}</div><div>(c) us.</div></body>",  # no article, no names
+        '<body>{a}<section class="search"><h1>Title</h1>{b}</section><footer>All rights, ours.</footer></body>',
+        '<body>{a}<section id="reviews"><h1>Title</h1>{b}</section><aside>Related, read it.</aside></body>',
+        '<body>{a}<article><div class="entry-header"><h1>Title</h1></div>{b}</article><div class="ad">Buy now, really.</div></body>',
+        '<body>{a}<main><h1>Title</h1>{b}<div class="comments"><div>I agree, really.</div></div></main></body>',
+        '<body>{a}<article class="card"><span>Teaser, short.</span></article><div id="story"><h1>Title</h1>{b}</div></body>',
+    ],
+)
+def test_html_text_by_paths(page):
+    got = html_text.main_text(page.format(a=AROUND, b="".join(f"<p>{x}</p>" for x in BODY))).split("\n")
+    assert got[:7] == ["Title", *BODY] or got[1:8] == ["Title", *BODY] or [x for x in got if x != "Teaser, short."][:7] == ["Title", *BODY]
+    assert not {"Home", "About us", "(c) us.", "All rights, ours.", "I agree, really.", "Buy now, really.", "Related, read it."} & set(got)
+
+
+def test_html_scores_against_brute_force():
+    """Ratios from path strings, and that without the threshold the rest of the page comes too."""
+    page = f'<body>{AROUND}<div id="x"><h1>Title</h1>{"".join(f"<p>{x}</p>" for x in BODY)}<p>A <a href="/l">link</a>, it is.</p></div><div><ul><li>one<li>two, three</ul></div></body>'
+    tree, found = html_text.blocks(page)
+    weights, _ = html_text._weights(tree, found)
+    fused, own, bar = html_text.scores(tree, found, weights)
+    paths = [tree.path(b.node) for b, _ in found]
+    assert paths[:2] == ["body/nav!/ul/li"] * 2 and paths[-1] == "body/div/ul/li" and "body/div/p" in paths
+    length, marks = [], []
+    for p in paths:
+        mine = [(max(len(t) - 2 * b.linked, 0), sum(c in ".,;:!?" for c in t)) for (b, t), q in zip(found, paths) if q == p]
+        length.append(sum(m[0] for m in mine) / len(mine))
+        marks.append(sum(m[1] for m in mine) / len(mine))
+    w = weights.tolist()
+    at = lambda x, i: x[min(max(i, 0), len(x) - 1)] * w[min(max(i, 0), len(x) - 1)]
+    smooth = lambda x, i: 0.25 * at(x, i - 1) + 0.5 * at(x, i) + 0.25 * at(x, i + 1)
+    want = [(smooth(length, i) * (smooth(marks, i) + 0.5)) ** 0.5 * w[i] for i in range(len(paths))]
+    assert np.allclose(fused, want)
+    assert np.allclose(own, [(at(length, i) * (at(marks, i) + 0.5)) ** 0.5 * w[i] for i in range(len(paths))])
+    assert np.isclose(bar, min(0.5 * np.std(want), 0.6 * max(want)))
+
+
+def test_html_text_needs_the_score(monkeypatch, spark, data):
+    htmls = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    got = [html_text.main_text(h) for h in htmls]
+    monkeypatch.setattr(html_text, "scores", lambda tree, found, weights: (np.ones(len(found)), np.ones(len(found)), 0.0))
+    assert all(len(html_text.main_text(h)) > len(g) for h, g in zip(htmls, got))
+
+
+@pytest.mark.parametrize("piece", ["<div>x", '<div class="ad"><p>x', "<ul><li>x", "<b>x", "<section><article>x. "])
+def test_html_deep_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 20 * max(took(5_000), 0.05)
+
+
 def test_html_text_on_pages(spark, data):
     got = html_text.query(spark, data).join(spark.read.parquet(f"{data}/pages.parquet"), "page_id").collect()
     for r in got:
