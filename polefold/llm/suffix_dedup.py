@@ -9,20 +9,25 @@ Removed is each byte covered by a string of ``MIN_BYTES`` bytes that also starts
 2. Anchors that occur once in the whole table are dropped.
 3. The surroundings of the others, each distinct one once with its number, meet by anchor. All
    share the anchor, so it is one symbol of the transform: rows sorted by what follows it, their
-   preceding bytes are the BWT's column. Intervals of rows are extended backwards one byte at a
-   time, breadth first, by a stable sort within the interval (the LF mapping); the common prefix
-   of neighbours follows by increasing value and is only known up to the threshold. After t
+   preceding bytes are the BWT's column. Common prefixes of neighbours come by increasing value
+   from the step at which their interval is split, and stay the least along what lies between when
+   intervals of rows are extended backwards one byte at a time, breadth first, by a stable sort
+   within the interval (the LF mapping); they are only known up to the threshold. After t
    steps, neighbours whose remainder of MIN_BYTES - K - t following bytes is common share a
    string of MIN_BYTES bytes that begins t bytes before the anchor. Intervals of one row end.
-   Extension stops at MIN_BYTES - K. An anchor with more than ``PART`` distinct surroundings is
-   cut into parts, and all pairs of parts meet in groups of their own, so no task holds it whole.
+   Extension stops at MIN_BYTES - K.
+   An anchor with more than ``PART`` distinct surroundings is split: strings that begin up to half
+   way before it share the second half of what follows, the others the first half of what precedes,
+   so each row goes to two groups by those bytes, and on in halves while a group is too large. The
+   work for a hot anchor grows with its rows, not their square; what is left at a single place shares
+   the whole string.
 4. The covered ranges, at most one per anchor, return to their documents and are merged.
 
 Defined cases: null text is empty (nothing removed, the digest of no bytes); texts shorter than
 the threshold lose nothing; repeated rows are copies of each other; documents are told apart by
-doc_id (null included) and a checksum of the text, so rows that share both have the same result;
-an empty table gives no rows; other columns pass through ``dedup`` (``clean`` and ``removed`` are
-replaced).
+doc_id (a 64-bit hash of the text where it is null) and a checksum of the text, so rows that share
+both have the same result; an empty table gives no rows; other columns pass through ``dedup``
+whatever their names (``clean`` and ``removed`` are replaced).
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -157,94 +162,124 @@ def _anchor_rows(documents: DataFrame, min_bytes: int, k: int) -> DataFrame:
         if held:
             yield made()
 
-    source = documents.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("uid"), F.col("text").cast("binary").alias("raw"))
+    source = documents.select(_uid().alias("uid"), F.col("text").cast("binary").alias("raw"))
     return common.map_batches(source, work, SEEN)
 
 
-def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _common_after(group: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by group and what follows the anchor; for each, the bytes it shares with the one before (-1: another group).
+
+    Intervals of rows are refined byte by byte: neighbours that part at step v share v bytes, and
+    intervals of one row are left alone.
+    """
+    side = right.shape[1]
+    rows = np.argsort(group, kind="stable")
+    joined = np.concatenate([[False], group[rows][1:] == group[rows][:-1]])  # still in one interval with the row before
+    shared = np.where(joined, side, -1).astype(np.int32)
+    for v in range(side):
+        at = np.flatnonzero(joined | np.append(joined[1:], False))
+        if not len(at):
+            break
+        own = rows[at]
+        symbol = np.where(n_right[own] > v, right[own, v].astype(np.int64) + 1, 0)  # 0: nothing follows any more
+        order = np.argsort(np.cumsum(~joined[at]) * 257 + symbol, kind="stable")
+        rows[at], symbol = own[order], symbol[order]
+        parts = joined[at] & (np.concatenate([[-1], symbol[:-1]]) != symbol) | joined[at] & (symbol == 0)
+        shared[at[parts]] = v
+        joined[at[parts]] = False
+    return rows, shared
+
+
+def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """min(values[first:last + 1]) for each pair of places."""
+    out = values[last].copy()
+    width = last - first + 1
+    level, table = 0, values
+    while len(width) and (1 << level) <= width.max():
+        if level:
+            half = 1 << (level - 1)
+            table = np.minimum(table[:-half], table[half:])
+        here = np.flatnonzero((width >> level) == 1)  # the largest power of two within the range
+        out[here] = np.minimum(table[first[here]], table[last[here] - (1 << level) + 1])
+        level += 1
+    return out
+
+
+def expand(
+    group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, number: np.ndarray, least: np.ndarray | int = 0, most: np.ndarray | int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest number of bytes before the anchor at which a repeated string begins.
 
     Rows: anchor, bytes before it (nearest first) and after it, both padded, their true numbers,
-    and how often the surroundings occur. (side + 1, -1) where nothing repeats.
+    how often the surroundings occur, and between which numbers of bytes hits count.
+    (side + 1, -1) where nothing repeats.
     """
     side = left.shape[1]
     n = len(group)
     low, high = np.full(n, side + 1, np.int32), np.full(n, -1, np.int32)
     if not n:
         return low, high
-    words = np.concatenate([right, np.zeros((n, -side % 8), np.uint8)], axis=1).view(">u8")
-    # among equal bytes the shorter first: a padded end then never parts rows that go on
-    rows = np.lexsort([n_right, *words.T[::-1], group])
-
-    def common_after(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        differ = right[x] != right[y]
-        equal = np.where(differ.any(axis=1), differ.argmax(axis=1), side)
-        return np.minimum(equal, np.minimum(n_right[x], n_right[y])).astype(np.int32)
-
-    interval = np.concatenate([[0], np.cumsum(group[rows][1:] != group[rows][:-1])])
-    shared = np.full(n, -1, np.int32)  # bytes after the anchor that a row shares with the one before
-    near = np.flatnonzero(interval[1:] == interval[:-1]) + 1
-    shared[near] = common_after(rows[near], rows[near - 1])
+    least, most = np.broadcast_to(least, n), np.broadcast_to(side if most is None else most, n)
+    rows, shared = _common_after(group, right, n_right)
+    interval = np.cumsum(shared < 0)
     for t in range(side + 1):
         # strings that begin t bytes before the anchor
         new = (shared < side - t) | np.concatenate([[True], interval[1:] != interval[:-1]])
         run = np.cumsum(new) - 1
         fits = n_right[rows] >= side - t
         again = fits & (np.bincount(run, weights=number[rows] * fits)[run] >= 2)
-        hit = rows[again]
+        hit = rows[again & (least[rows] <= t) & (t <= most[rows])]
         low[hit] = np.minimum(low[hit], t)
         high[hit] = t
         if t == side:
             break
         # rows that still have a byte before them and company in their interval, or copies
         size = np.bincount(interval)[interval]
-        live = (n_left[rows] > t) & ((size > 1) | (number[rows] > 1))
-        if not live.any():
+        live = np.flatnonzero((n_left[rows] > t) & ((size > 1) | (number[rows] > 1)))
+        if not len(live):
             break
-        before = np.concatenate([[-1], rows[:-1]])
-        byte = left[rows, t].astype(np.int64)
-        key = interval.astype(np.int64) * 256 + byte
-        old_before, old_shared, old_rows = before[live], shared[live], rows[live]
-        order = np.argsort(key[live], kind="stable")
-        rows, key = old_rows[order], key[live][order]
-        old_before, old_shared = old_before[order], old_shared[order]
-        interval = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        key = interval[live].astype(np.int64) * 256 + left[rows[live], t]
+        order = np.argsort(key, kind="stable")
+        key, old = key[order], live[order]
+        rows, apart = rows[old], np.concatenate([[True], key[1:] != key[:-1]])
+        interval = np.cumsum(apart)
+        near = np.flatnonzero(~apart)
+        between = _least_between(shared, old[near - 1] + 1, old[near])
         shared = np.full(len(rows), -1, np.int32)
-        near = np.flatnonzero(interval[1:] == interval[:-1]) + 1
-        kept = old_before[near] == rows[near - 1]
-        shared[near[kept]] = old_shared[near[kept]]
-        fresh = near[~kept]
-        if len(fresh):
-            shared[fresh] = common_after(rows[fresh], rows[fresh - 1])
+        shared[near] = between
     return low, high
 
 
-def _press(documents: DataFrame, *columns: str) -> DataFrame:
-    """The columns, _id0, _crc0 and _packed: texts compressed before they travel (null stays null)."""
+def _uid() -> Column:
+    """A document's number; without one, a hash of its text stands for it."""
+    return F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _press(documents: DataFrame, columns: list[str], uid: str, crc: str, packed: str) -> DataFrame:
+    """The columns, number and checksum, and texts compressed before they travel (null stays null)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            raws = batch.column("_raw").to_pylist()
+            raws = batch.column(packed).to_pylist()
             crcs = pa.array([zlib.crc32(r or b"") for r in raws], pa.int64())
-            packed = pa.array([None if r is None else press.compress(r) for r in raws], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("_id0"), crcs, packed], names)
+            small = pa.array([None if r is None else press.compress(r) for r in raws], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column(uid), crcs, small], [*columns, uid, crc, packed])
 
-    names = [*columns, "_id0", "_crc0", "_packed"]
-    source = documents.select(*columns, F.coalesce("doc_id", F.lit(-(2**63))).alias("_id0"), F.col("text").cast("binary").alias("_raw"))
-    added = T._parse_datatype_string("_crc0 long, _packed binary")
-    return common.map_batches(source, work, T.StructType([*source.drop("_raw").schema.fields, *added.fields]))
+    source = documents.select(*columns, _uid().alias(uid), F.col("text").cast("binary").alias(packed))
+    added = T._parse_datatype_string(f"`{crc}` long, `{packed}` binary")
+    return common.map_batches(source, work, T.StructType([*source.drop(packed).schema.fields, *added.fields]))
 
 
 def _surroundings(documents: DataFrame, chosen: DataFrame, side: int, k: int) -> DataFrame:
     """a, c, n, d and the bytes around (not of) the anchor of the chosen occurrences."""
     listed = chosen.groupBy("uid", "crc").agg(F.collect_list(F.struct("at", "a", "c", "n", "d")).alias("marks"))
-    joined = _press(documents).join(listed.hint("shuffle_hash"), (F.col("_id0") == F.col("uid")) & (F.col("_crc0") == F.col("crc"))).select("_packed", "marks")
+    joined = _press(documents, [], "uid", "crc", "packed").join(listed.hint("shuffle_hash"), ["uid", "crc"]).select("packed", "marks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpress = zstandard.ZstdDecompressor()
-            raws = [unpress.decompress(r) if r else b"" for r in batch.column("_packed").to_pylist()]
+            raws = [unpress.decompress(r) if r else b"" for r in batch.column("packed").to_pylist()]
             marks = batch.column("marks")
             offsets, flat = marks.offsets.to_numpy(), marks.flatten()
             shift = offsets[0]
@@ -270,15 +305,38 @@ def _surroundings(documents: DataFrame, chosen: DataFrame, side: int, k: int) ->
     return common.map_batches(joined, gathered, "a long, c long, n long, d long, begin long, cut binary")
 
 
-def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
-    """a, c, low, high of all surroundings, by groups of one anchor (or of two parts of it)."""
-    parts = F.ceil(F.col("d") / part).cast("int")
-    split = around.withColumn("parts", parts).withColumn("own", F.pmod("c", F.col("parts")).cast("int"))
-    others = F.when(F.col("parts") < 3, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = split.withColumn("other", F.explode(others)).where("parts < 3 or own <> other or parts = 1")
-    lo = F.when(F.col("parts") < 3, 0).otherwise(F.least("own", "other"))
-    hi = F.when(F.col("parts") < 3, 0).otherwise(F.greatest("own", "other"))
-    split = split.select("a", "c", "n", "begin", "cut", F.xxhash64("a", lo, hi).alias("team"))
+TEAMS = "a long, c long, n long, begin long, cut binary, least int, most int, team long"
+
+
+def _teams(around: DataFrame, side: int, part: int, hot: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``TEAMS``, no team above ``part`` rows; and a, c, low, high of what is found on the way."""
+    columns = [c.split()[0] for c in TEAMS.split(", ")]
+    whole = around.withColumns({"least": F.lit(0), "most": F.lit(side), "team": F.col("a")})
+    if not hot:
+        return whole.select(columns), None
+    small, found = whole.where(F.col("d") <= part).select(columns), None
+    rest = whole.where(F.col("d") > part).select(columns)
+    while not rest.isEmpty():  # at most the logarithm of `side` turns
+        middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("least").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("most").alias("hi")))
+        split = rest.select("a", "c", "n", "begin", "cut", F.explode(halves).alias("half")).select("a", "c", "n", "begin", "cut", F.col("half.lo").alias("least"), F.col("half.hi").alias("most"))
+        # a row without a whole string in the range goes
+        split = split.where((F.col("begin") >= F.col("least")) & (F.length("cut") - F.col("begin") >= side - F.col("most")))
+        before, after = F.expr("substring(cut, int(begin) - least + 1, least)"), F.expr(f"substring(cut, int(begin) + 1, {side} - most)")
+        split = common.materialise(split.withColumn("team", F.xxhash64("a", "least", "most", before, after)).select(columns))
+        sizes = split.groupBy("team").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+        sized = split.join(sizes.hint("merge"), "team")
+        single = F.col("least") == F.col("most")  # all rows of such a team share the whole string
+        same = sized.where(single & (F.col("total") > 1)).select("a", "c", F.col("least").cast("long").alias("low"), F.col("most").cast("long").alias("high"))
+        found = same if found is None else found.union(same)
+        small = small.union(sized.where(~single & (F.col("size") <= part) & (F.col("total") > 1)).select(columns))
+        rest = common.materialise(sized.where(~single & (F.col("size") > part)).select(columns))
+    return small, found
+
+
+def _meet(around: DataFrame, side: int, part: int, hot: bool) -> DataFrame:
+    """a, c, low, high of all surroundings, by groups of one anchor (or of bytes around it)."""
+    split, found = _teams(around, side, part, hot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -292,7 +350,7 @@ def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
                 row = np.frombuffer(x, np.uint8)
                 left[i, :b] = row[:b][::-1]
                 right[i, :f] = row[b:]
-            low, high = expand(get("team"), left, right, begin, after, get("n"))
+            low, high = expand(get("team"), left, right, begin, after, get("n"), get("least"), get("most"))
             good = high >= 0
             return pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (get("a"), get("c"), low, high)], ["a", "c", "low", "high"])
 
@@ -316,7 +374,8 @@ def _meet(around: DataFrame, side: int, k: int, part: int) -> DataFrame:
         if size:
             yield solved(held)
 
-    return common.map_batches(split.repartition(F.col("team")).sortWithinPartitions("team"), work, "a long, c long, low long, high long")
+    met = common.map_batches(split.repartition(F.col("team")).sortWithinPartitions("team"), work, "a long, c long, low long, high long")
+    return met if found is None else met.union(found)
 
 
 def repeated_ranges(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K, part: int = PART) -> DataFrame:
@@ -328,7 +387,8 @@ def repeated_ranges(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K
     common.free_shuffles(spark)
     firsts = seen.groupBy("a", "c").agg(F.sum("n").alias("n"), F.max("d").alias("d"), F.min(F.struct("uid", "crc", "at")).alias("f"))
     chosen = firsts.select("a", "c", "n", "d", "f.uid", "f.crc", "f.at")
-    found = _meet(_surroundings(documents, chosen, side, k), side, k, part)
+    hot = not seen.where(F.col("d") > part).isEmpty()
+    found = _meet(_surroundings(documents, chosen, side, k), side, part, hot)
     found = common.materialise(found.groupBy("a", "c").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     common.free_shuffles(spark)
     back = seen.drop("n", "d").join(found.hint("shuffle_hash"), ["a", "c"])
@@ -372,15 +432,16 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produce: Callable, min_bytes: int, k: int, part: int) -> DataFrame:
     """``produce(batch, texts as bytes or None, bytes left, merged ranges)`` over the documents with their ranges."""
-    ranges = repeated_ranges(documents, min_bytes, k, part).select(F.col("uid").alias("_uid"), F.col("crc").alias("_crc"), F.col("ranges").alias("_ranges"))
-    joined = _press(documents, *columns).join(ranges.hint("shuffle_hash"), (F.col("_id0") == F.col("_uid")) & (F.col("_crc0") == F.col("_crc")), "left")
+    uid, crc, packed, found = (common.unused(n, columns, schema.names) for n in ("uid", "crc", "packed", "ranges"))
+    ranges = repeated_ranges(documents, min_bytes, k, part).toDF(uid, crc, found)
+    joined = _press(documents, columns, uid, crc, packed).join(ranges.hint("shuffle_hash"), [uid, crc], "left").select(*columns, packed, found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            raws = [None if r is None else unpress.decompress(r) for r in batch.column("_packed").to_pylist()]
+            raws = [None if r is None else unpress.decompress(r) for r in batch.column(packed).to_pylist()]
             spans_of, cleaned = [], []
-            for raw, ranges in zip(raws, batch.column("_ranges").to_pylist()):
+            for raw, ranges in zip(raws, batch.column(found).to_pylist()):
                 raw = raw or b""
                 spans = _merged([(r["begin"], r["end"]) for r in ranges or ()])
                 kept, at = [], 0
@@ -391,7 +452,7 @@ def _apply(documents: DataFrame, columns: list[str], schema: T.StructType, produ
                 spans_of.append(spans)
             yield produce(batch, raws, cleaned, spans_of)
 
-    return common.map_batches(joined.select(*columns, "_packed", "_ranges"), work, schema)
+    return common.map_batches(joined, work, schema)
 
 
 def dedup(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K, part: int = PART) -> DataFrame:
