@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from . import common
 from .lang_id import fold
 
-DIM, PICKS, ROWS, HIDDEN, SAMPLE, FOLDS, ACCEPT = 64, 4, 1 << 14, 32, 20_000, 5, 0.3
+DIM, PICKS, ROWS, HIDDEN, SAMPLE, FOLDS, ACCEPT = 32, 4, 1 << 14, 32, 20_000, 5, 0.3
 OWN, SHAPE, ENDING = 0.5, 1.5, 0.7  # weights of the index vectors beside the context vector
 INPUT = 2 * DIM + 4
 FEW = 5  # occurrences at which a context vector counts half
-_MEMO, _WORDS, _BLOCK, _SALTS = 100_000, 1 << 14, 256, 16
+_MEMO, _WORDS, _BLOCK, _SALTS = 150_000, 1 << 14, 256, 16
 _LONG = re.compile(r"(.)\1+", re.S)
 
 
@@ -92,13 +92,50 @@ class _Words:
     def number(self, words: list[str]) -> tuple[np.ndarray, list[str], int]:
         """A number for each word; the words without a row yet, whose numbers start at the third value."""
         known = self.place
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        start = len(known)
-        if start + len(new) <= _MEMO:
-            known.update(zip(new, range(start, start + len(new))))
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), new, start
-        extra = dict(zip(new, range(_MEMO, _MEMO + len(new))))
-        return np.fromiter((known[w] if w in known else extra[w] for w in words), np.int64, len(words)), new, _MEMO
+        found = list(map(known.get, words))
+        if None not in found:
+            return np.array(found, np.int64), [], 0
+        new = list(dict.fromkeys(w for w, n in zip(words, found) if n is None))
+        start = len(known) if len(known) + len(new) <= _MEMO else _MEMO
+        fresh = dict(zip(new, range(start, start + len(new))))
+        if start < _MEMO:
+            known.update(fresh)
+        return np.array([fresh[w] if n is None else n for w, n in zip(words, found)], np.int64), new, start
+
+
+class Run:
+    """Words of some texts one after the other, about ``_WORDS`` of them.
+
+    ``starts``: where each text's words begin; ``texts``: which text it is; ``seen``: words that an
+    earlier run has counted and that are here only as the word before the next (zero or one a text).
+    """
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.starts: list[int] = []
+        self.texts: list[int] = []
+        self.seen: list[int] = []
+
+    def apart(self) -> np.ndarray:
+        """Places whose next word belongs to another text."""
+        return np.array(self.starts[1:], np.int64) - 1
+
+
+def runs(texts: list[str]) -> Iterator[Run]:
+    now = Run()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for at in range(0, len(words), _WORDS):
+            now.texts.append(i)
+            now.starts.append(len(now.words))
+            if at:
+                now.seen.append(len(now.words))
+            now.words += words[max(at - 1, 0) : at + _WORDS]
+            if len(now.words) >= _WORDS:
+                yield now
+                now = Run()
+    if now.words:
+        yield now
 
 
 def _fitted(table: np.ndarray, rows: int) -> np.ndarray:
@@ -117,24 +154,21 @@ class ContextCounter:
         self.sums = np.zeros((ROWS, DIM), np.int64)
         self.seen = np.zeros(ROWS, np.int64)
 
-    def add(self, words: list[str]) -> None:
-        at, new, start = self.words.number(words)
-        self.seed = _fitted(self.seed, start + len(new))
-        self.seed[start : start + len(new)] = seeds(new)
-        seed = self.seed[at]
-        rows, (places, signs) = row_of(seed), picks(seed)
-        flat = self.sums.reshape(-1)
-        for k in range(PICKS):
-            np.add.at(flat, rows[1:] * DIM + (places[:-1, k] + 1) % DIM, signs[:-1, k])
-            np.add.at(flat, rows[:-1] * DIM + (places[1:, k] - 1) % DIM, signs[1:, k])
-        self.seen += np.bincount(rows, minlength=ROWS)
-
-    def add_text(self, text: str) -> None:
-        words = text.split()
-        for i in range(0, len(words), _WORDS):
-            self.add(words[max(i - 1, 0) : i + _WORDS])
-            if i:  # the word before was counted with the part that ends in it
-                self.seen[row_of(seeds(words[i - 1 : i]))] -= 1
+    def add(self, texts: list[str]) -> None:
+        for run in runs(texts):
+            at, new, start = self.words.number(run.words)
+            self.seed = _fitted(self.seed, start + len(new))
+            self.seed[start : start + len(new)] = seeds(new)
+            seed = self.seed[at]
+            rows, (places, signs) = row_of(seed), picks(seed)
+            joined = np.ones(len(at), bool)
+            joined[run.apart()] = joined[-1] = False
+            first = np.flatnonzero(joined)
+            flat, own, after = self.sums.reshape(-1), rows[first] * DIM, rows[first + 1] * DIM
+            for k in range(PICKS):
+                np.add.at(flat, after + (places[first, k] + 1) % DIM, signs[first, k])
+                np.add.at(flat, own + (places[first + 1, k] - 1) % DIM, signs[first + 1, k])
+            self.seen += np.bincount(np.delete(rows, run.seen), minlength=ROWS)
 
 
 def _blocks(sums: np.ndarray, seen: np.ndarray, salt: int) -> pa.RecordBatch:
@@ -153,9 +187,9 @@ def contexts(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, first = ContextCounter(), None
         for batch in batches:
-            for raw in batch.column("raw").to_pylist():
-                counter.add_text((raw or b"").decode("utf-8", "replace"))
-                first = xxhash.xxh64_intdigest(raw or b"") % _SALTS if first is None else first
+            raws = common.text_bytes(batch.column("raw"))
+            counter.add([r.decode("utf-8", "replace") for r in raws])
+            first = xxhash.xxh64_intdigest(raws[0]) % _SALTS if first is None and raws else first
         if first is not None:
             yield _blocks(counter.sums, counter.seen, first)
 
@@ -197,15 +231,22 @@ class Embedder:
         self.vectors = np.zeros((1024, DIM), np.float32)
         self.index = np.zeros((1024, DIM), np.int8)
         self.row = np.zeros(1024, np.int64)
-        self.parts: dict[str, np.ndarray] = {}
+        self.places: dict[str, int] = {}  # shapes and endings, in `parts`
+        self.parts = np.zeros((1024, DIM), np.float32)
 
-    def _part(self, key: str, weight: float) -> np.ndarray:
-        found = self.parts.get(key)
-        if found is None:
-            if len(self.parts) > _MEMO // 4:
-                self.parts.clear()
-            found = self.parts[key] = weight * index_vectors(seeds([key]))[0]
-        return found
+    def _parts(self, keys: list[str], weight: float) -> np.ndarray:
+        """Weighted index vectors of shapes or endings, kept in a memo that starts anew when it is full."""
+        known = self.places
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        if new:
+            if len(known) + len(new) > _MEMO:
+                known.clear()
+                new = list(dict.fromkeys(keys))
+            start = len(known)
+            known.update(zip(new, range(start, start + len(new))))
+            self.parts = _fitted(self.parts, start + len(new))
+            self.parts[start : start + len(new)] = index_vectors(seeds(new)) * np.float32(weight)
+        return self.parts[np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))]
 
     def _number(self, words: list[str]) -> np.ndarray:
         at, new, start = self.words.number(words)
@@ -216,32 +257,34 @@ class Embedder:
             own = index_vectors(seed)
             self.row[start:end] = row_of(seed)
             self.index[start:end] = own
-            made = OWN * own + self.context[self.row[start:end]]
-            made += np.stack([self._part("s" + shape(w), SHAPE) for w in new]) + np.stack([self._part("e" + w[-3:], ENDING) for w in new])
+            made = self.context[self.row[start:end]] + OWN * own
+            made += self._parts(["s" + shape(w) for w in new], SHAPE)
+            made += self._parts(["e" + w[-3:] for w in new], ENDING)
             self.vectors[start:end] = made
         return at
 
-    def embed(self, text: str) -> np.ndarray:
-        words = text.split()
-        out = np.zeros(INPUT, np.float32)
-        if not words:
-            return out
-        total, square, fit = np.zeros(DIM), np.zeros(DIM), np.zeros(3)
-        for i in range(0, len(words), _WORDS):
-            first = max(i - 1, 0)  # with the word before
-            at = self._number(words[first : i + _WORDS])
-            found = self.vectors[at[i - first :]]
-            total += found.sum(0)
-            square += np.einsum("ij,ij->j", found, found)
+    def embed(self, texts: list[str]) -> np.ndarray:
+        """Inputs [texts, INPUT]."""
+        total, square, fit, n = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM)), np.zeros((len(texts), 3)), np.zeros(len(texts))
+        for run in runs(texts):
+            at = self._number(run.words)
+            found = self.vectors[at]
+            found[run.seen] = 0
             before, after = self.index[at[:-1]], self.index[at[1:]].astype(np.float32)
-            like = np.einsum("ij,ij->i", self.context[self.row[at[:-1]]], np.roll(after, -1, axis=1))
-            fit += like.sum(), like @ like, np.einsum("ij,ij->", before, after) / PICKS
-        n, pairs = len(words), max(len(words) - 1, 1)
-        mean, fit = total / n, fit / pairs
-        out[:DIM] = mean
-        out[DIM : 2 * DIM] = np.sqrt(np.maximum(square / n - mean**2, 0))
-        out[2 * DIM :] = fit[0], np.sqrt(max(fit[1] - fit[0] ** 2, 0)), fit[2], np.log1p(n) / 10
-        return out
+            like = np.zeros((len(at), 3))
+            like[:-1, 0] = np.einsum("ij,ij->i", self.context[self.row[at[:-1]]], np.roll(after, -1, axis=1))
+            like[:-1, 2] = np.einsum("ij,ij->i", before, after) / PICKS
+            like[run.apart()] = 0
+            like[:, 1] = like[:, 0] ** 2
+            total[run.texts] += np.add.reduceat(found, run.starts, axis=0)  # a text is in a run once
+            square[run.texts] += np.add.reduceat(found * found, run.starts, axis=0)
+            fit[run.texts] += np.add.reduceat(like, run.starts, axis=0)
+            n[run.texts] += np.diff([*run.starts, len(at)])
+            n[[run.texts[int(np.searchsorted(run.starts, p, "right")) - 1] for p in run.seen]] -= 1
+        words = np.maximum(n, 1)[:, None]
+        mean, fit = total / words, fit / np.maximum(n - 1, 1)[:, None]
+        deviation = np.sqrt(np.maximum(square / words - mean**2, 0))
+        return np.hstack([mean, deviation, fit[:, :1], np.sqrt(np.maximum(fit[:, 1:2] - fit[:, :1] ** 2, 0)), fit[:, 2:], np.log1p(n)[:, None] / 10]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -291,7 +334,7 @@ class Network:
 
 
 def _embedded(raws: list[bytes | None], embedder: Embedder) -> np.ndarray:
-    return np.stack([embedder.embed((r or b"").decode("utf-8", "replace")) for r in raws]) if raws else np.zeros((0, INPUT), np.float32)
+    return embedder.embed([(r or b"").decode("utf-8", "replace") for r in raws])
 
 
 class Classifier:

@@ -604,8 +604,7 @@ def test_quality_contexts_come_from_the_whole_corpus(spark, docs, empty, monkeyp
         monkeypatch.setattr(quality, "_WORDS", size)
         monkeypatch.setattr(quality, "_MEMO", 2)
         counter = quality.ContextCounter()
-        for t in texts:
-            counter.add_text(t)
+        counter.add(texts)
         mean = counter.sums.sum(0) / counter.seen.sum()
         assert np.allclose((counter.sums - mean * counter.seen[:, None]) / (counter.seen[:, None] + quality.FEW), brute_contexts(texts), atol=1e-9)
 
@@ -623,11 +622,13 @@ def test_quality_input_against_brute_force(monkeypatch):
     for size, memo in ((1 << 14, 100_000), (499, 3), (64, 100_000), (1, 2)):
         monkeypatch.setattr(quality, "_WORDS", size)
         monkeypatch.setattr(quality, "_MEMO", memo)
-        assert np.allclose(quality.Embedder(context).embed(text), want, atol=1e-4)
-    order = lambda t: quality.Embedder(context).embed(t)
+        got = quality.Embedder(context).embed(["", "tea", text, "red tea", text, " "])
+        assert np.allclose(got[2], want, atol=1e-4) and np.allclose(got[4], want, atol=1e-4)
+        assert not got[0].any() and not got[5].any() and got[1].any()
+        assert np.allclose(got[3], quality.Embedder(context).embed(["red tea"])[0], atol=1e-5)
+    order = lambda t: quality.Embedder(context).embed([t])
     assert not np.allclose(order("red tea ox Blue"), order("red ox tea Blue"))
-    assert not np.allclose(quality.Embedder(context).embed("red tea"), quality.Embedder(0 * context).embed("red tea"))
-    assert quality.Embedder(context).embed("one").any() and not quality.Embedder(context).embed(" ").any()
+    assert not np.allclose(quality.Embedder(context).embed(["red tea"]), quality.Embedder(0 * context).embed(["red tea"]))
     assert quality.shape("Abc--D12é!") == "Aa-A0a!"
 
 
