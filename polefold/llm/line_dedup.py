@@ -35,8 +35,10 @@ ADDED = "clean_text string, n_units int, removed array<struct<unit:int,start:int
 
 
 def _normal(unit: Column) -> Column:
-    lowered = F.translate(unit, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(F.regexp_replace(lowered, r"[ \t\x0B\f\r]+", " "), r"^ | $", "")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    lowered = F.when(F.octet_length(unit) == F.length(unit), F.lower(unit)).otherwise(F.translate(unit, upper, lower))
+    # single blanks, which are most, are left alone
+    return F.trim(F.regexp_replace(lowered, r"[\t\x0B\f\r][ \t\x0B\f\r]*| [ \t\x0B\f\r]+", " "))
 
 
 def _n_words(unit: Column) -> Column:
@@ -52,12 +54,18 @@ def _digest(text: Column) -> Column:
 
 def repeated_units(documents: DataFrame, min_words: int = 1) -> DataFrame:
     """Units to remove: uid (doc_id), whole (digest of the text), unit (number from 0)."""
-    # a blank behind a sentence becomes a line end: all offsets stay
-    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?]) ", "$1\n"), "\n", -1)
-    units = documents.select(F.col("doc_id").alias("uid"), _digest(F.col("text")).alias("whole"), cut.alias("cut"))
-    units = units.select("uid", "whole", F.posexplode_outer("cut").alias("unit", "words")).where(F.length("words") >= max(1, min_words))
-    units = units.withColumn("words", _normal(F.col("words"))).where((F.length("words") > 0) & (_n_words(F.col("words")) >= min_words))
-    units = common.materialise(units.select("uid", "whole", "unit", F.unhex(F.md5("words")).alias("digest")))
+    cut = F.coalesce("text", F.lit(""))
+    for end in ".!?":  # a blank behind a sentence becomes a line end: all offsets stay
+        cut = F.replace(cut, F.lit(f"{end} "), F.lit(f"{end}\n"))
+
+    def digest(unit: Column) -> Column:
+        once = F.transform(F.array(_normal(unit)), lambda u: F.when((F.length(u) > 0) & (_n_words(u) >= min_words), F.unhex(F.md5(u))))[0]
+        return F.when(F.length(unit) >= max(1, min_words), once)
+
+    # digests are taken before the units become rows, where no filter can have them computed again
+    units = documents.select(F.col("doc_id").alias("uid"), _digest(F.col("text")).alias("whole"), F.transform(F.split(cut, "\n", -1), digest).alias("digests"))
+    units = units.select("uid", "whole", F.posexplode_outer("digests").alias("unit", "digest")).where("digest is not null")
+    units = common.materialise(units)
     first = units.groupBy("digest").agg(F.min(F.struct("uid", "whole", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # another form of the key: the join then deals both sides itself and can split a hot digest
     keyed = first.select(F.hex("digest").alias("key"), "first")
