@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -54,16 +55,16 @@ def fingerprint(raw: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp, a signed long with the fingerprint's bits."""
+def fingerprints(documents: DataFrame, width: int = WIDTH, *keep: str) -> DataFrame:
+    """The columns ``keep`` and fp, a signed long with the fingerprint's bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = common.text_bytes(batch.column("raw"))
-            fps = np.array([fingerprint(r, width) for r in raws], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(r or b"", width) for r in batch.column("raw").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fps, pa.int64())], [*keep, "fp"])
 
-    return common.map_batches(common.with_text_bytes(documents, "doc_id"), work, "doc_id long, fp long")
+    source = common.with_text_bytes(documents, *keep)
+    return common.map_batches(source, work, T.StructType([*source.drop("raw").schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -125,13 +126,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, t
     return common.map_batches(shuffled, work, "a long, b long")
 
 
+def groups(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """fp and root, the same for all fingerprints that are linked; ``prints`` is read twice."""
+    distinct = common.materialise(prints.select("fp").distinct())
+    roots = common.connected_components(links(distinct, distance, blocks))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints = common.materialise(fingerprints(documents, width))
-    classes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = common.connected_components(links(classes.select("fp"), distance, blocks))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = common.materialise(named)
+    prints = common.materialise(fingerprints(documents, width, "doc_id"))
+    named = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups(prints, distance, blocks), "fp"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = common.materialise(named.join(lowest, "root").select("fp", "component_id"))
     return prints.join(labels.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -142,9 +147,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of every component stays, once.
+    """Pipeline stage: of every component one row stays, that with the smallest doc_id.
 
-    Documents without an id stay if their component has none, one row of each text.
+    Ties are settled by a digest of the text, rows without an id come last, and of rows equal in
+    doc_id and text one stays. Texts are shuffled once, by the digest that tells rows apart.
     """
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    key = common.unused("key", docs.columns)
+    digest = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit("")))))
+    keyed = docs.select("doc_id", "text", digest.alias(key))
+    prints = common.materialise(fingerprints(keyed, WIDTH, "doc_id", key))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    first = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(groups(prints), "fp")
+    kept = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first")[key].alias(key))
+    return docs.withColumn(key, digest).join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

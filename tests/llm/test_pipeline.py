@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from polefold.llm import common, quality
+from polefold.llm import common, quality, simhash
 
 from .test_text_operators import brute_contamination, brute_removed, brute_simhash
 
@@ -72,3 +72,13 @@ def test_only_the_entry_module_guards_imports():
     root = pathlib.Path(corpus_pipeline.__file__).parent
     for path in [root / "corpus_pipeline.py", *(root / "polefold" / "llm").glob("*.py")]:
         assert not re.search(r"except\s+(ImportError|ModuleNotFoundError)", path.read_text())
+
+
+def test_one_row_of_every_component_stays(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(3, same, 1), (3, same, 1), (2, same, 1), (2, same + " ", 1), (None, same, 1), (None, "alone without an id", 1), (None, "alone without an id", 1), (9, None, 1), (8, "", 1), (None, " ", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(spark, docs, "").collect()), key=str)
+    assert len(got) == 3
+    assert {g[0] for g in got} == {2, 8, None} and (None, "alone without an id") in got
+    assert simhash.keep_first(spark, docs, "").columns == docs.columns
