@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BATCH_ROWS, FILE_ROWS = 4 << 20, 1000, 1_000_000
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -45,6 +45,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more files than it needs: every file costs its writer a process or a call."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def release() -> None:
     """Delete the tables that :func:`materialise` has written in this process."""
     while _WRITTEN:
@@ -84,7 +89,14 @@ def map_batches(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
-    """``mapInArrow`` over batches cut by bytes, in workers that give their memory back."""
+    """``mapInArrow`` over batches cut by bytes, in workers that give their memory back.
+
+    Spark's default of 10,000 rows a batch holds tens of MB of texts on both sides; it is lowered
+    unless the session names another number.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -125,28 +137,26 @@ def slices(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b: long): columns node, root.
 
-    Alternates large-star and small-star steps. Every step is one aggregate of minima and one
-    join, so a hub is pre-aggregated before its shuffle and its rows can be split by adaptive
-    execution; only a row count reaches the driver. Nodes without an edge are not returned.
+    Alternates large-star and small-star steps until nothing changes. Every step is one aggregate of
+    minima and one join, so a hub is pre-aggregated before its shuffle and its rows can be split by
+    adaptive execution; only a row count reaches the driver. Nodes without an edge are not returned.
     """
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(max_rounds):
+    before, rows = None, links.count()
+    while rows:
         both = links.union(links.select("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.union(low.where("low < a").select("a", F.col("low").alias("b"))).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        links = materialise(small.union(down.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        links = materialise(compact(small.union(down.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), rows))
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
+        before, rows = state, state[0]
     roots = links.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()

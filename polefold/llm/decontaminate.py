@@ -88,7 +88,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, key: Column | None = None) -> DataFrame:
     """One row a document: row, key (doc_id), n_words, spans (array of start, size; word numbers from 0), passages (array)."""
-    windows = common.materialise(item_windows(benchmark, window))
+    windows = common.materialise(common.compact(item_windows(benchmark, window), 100 * benchmark.count()))
     counted = windows.agg(F.collect_set("size").alias("sizes"), F.sum(F.octet_length("passage") + 64 * F.col("size")).alias("bytes")).first()
     sizes = sorted(counted["sizes"]) or [window]  # at most `window` values
     small = (counted["bytes"] or 0) <= max_broadcast

@@ -128,7 +128,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, t
 
 def groups(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """fp and root, the same for all fingerprints that are linked; ``prints`` is read twice."""
-    distinct = common.materialise(prints.select("fp").distinct())
+    distinct = common.materialise(common.compact(prints.select("fp").distinct(), prints.count()))
     roots = common.connected_components(links(distinct, distance, blocks))
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -136,9 +136,10 @@ def groups(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
 def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = common.materialise(fingerprints(documents, width, "doc_id"))
-    named = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups(prints, distance, blocks), "fp"))
+    rows = prints.count()
+    named = common.materialise(common.compact(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups(prints, distance, blocks), "fp"), rows))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = common.materialise(named.join(lowest, "root").select("fp", "component_id"))
+    labels = common.materialise(common.compact(named.join(lowest, "root").select("fp", "component_id"), rows))
     return prints.join(labels.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
