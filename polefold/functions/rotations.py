@@ -85,7 +85,7 @@ def _closure(generators: list[tuple]) -> list[tuple]:
         found |= more
 
 
-_X2 = (1.0, 0.0, 0.0, 0.0)
+_X2, _Y2 = (1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0)
 _DIAGONAL = (0.5, 0.5, 0.5, 0.5)
 
 
@@ -98,7 +98,7 @@ def group(name: str) -> list[tuple[float, float, float, float]]:
         generators = [cyclic(4)[1], _DIAGONAL]
     elif kind in "CD" and order in (1, 2, 3, 4, 6):
         generators = [cyclic(order)[1]] if order > 1 else []
-        generators += [_X2] if kind == "D" else []
+        generators += [_Y2 if order == 3 else _X2] if kind == "D" else []  # D3: turns about the a axes, with a* along x
     else:
         raise ValueError(f"unknown point group {name}")
     return _closure(generators) if generators else [(0.0, 0.0, 0.0, 1.0)]

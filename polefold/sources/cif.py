@@ -169,16 +169,20 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read_basis(spark: SparkSession, path: str) -> DataFrame:
+def basis_of(texts: DataFrame) -> DataFrame:
+    """The expanded sites of each text (path, value)."""
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [{"path": p} | site for p, v in zip(part["path"], part["value"]) for site in parse(v)["basis"]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in BASIS.split(", ")])
 
-    return _texts(spark, path).mapInPandas(work, BASIS)
+    return texts.select("path", "value").mapInPandas(work, BASIS)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def cells_of(texts: DataFrame) -> DataFrame:
+    """Cell, group and operations of each text (path, value)."""
+
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
@@ -188,7 +192,15 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
             yield frame.astype({"sg": "Int32"})
 
-    return _texts(spark, path).mapInPandas(work, CELLS)
+    return texts.select("path", "value").mapInPandas(work, CELLS)
+
+
+def read_basis(spark: SparkSession, path: str) -> DataFrame:
+    return basis_of(_texts(spark, path))
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return cells_of(_texts(spark, path))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
