@@ -143,16 +143,65 @@ def fundamental_zone(orientations: DataFrame, ops: DataFrame, key: str = "k") ->
     return orientations.withColumn("_best", best).select(*others, *[(F.col(f"_best.{c}") * sign).alias(f"q{c}") for c in "xyzw"])
 
 
-def nearest_misorientation(orientations: DataFrame, targets: DataFrame, ops: DataFrame, key: str = "k") -> DataFrame:
-    """key, angle in degrees to the nearest target, and that target (smallest id on ties).
+def grid_cells(values: list[Column], size: float, reach: float) -> Column:
+    """Cells (arrays of whole numbers) of a grid that a ball of radius ``reach`` <= size / 2 around a point meets."""
 
-    ``targets`` is the small side; symmetry is applied to it. Partial aggregation keeps the shuffle at one row a key and task.
+    def grown(ends: Column):
+        return lambda have: F.transform(ends, lambda x: F.concat(have, F.array(x)))
+
+    found = F.array(F.array().cast("array<int>"))
+    for v in values:
+        ends = F.array_distinct(F.array(*[F.floor((v + e) / size).cast("int") for e in ((-reach, reach) if reach else (0.0,))]))
+        found = F.flatten(F.transform(found, grown(ends)))
+    return found
+
+
+def near_pairs(left: DataFrame, right: DataFrame, ops: DataFrame, limit_deg: float, within: str | None = None) -> DataFrame:
+    """(k, t, c): pairs of ``left`` (k, q) and ``right`` (t, q) within ``limit_deg`` under symmetry, c = cos(angle / 2).
+
+    Unit quaternions at that angle are a known chord apart. Space is cut into cells of twice the
+    chord: an image of the right side lies in one, the ball around a quaternion of the left side
+    meets 16 at most. The join is on cells (and on the column ``within``, where given), then verified.
     """
-    t = equivalents(targets.select(F.col("k").alias("t"), "qx", "qy", "qz", "qw"), ops)
-    t = t.select("t", *[F.col(f"q{c}").alias(f"tq{c}") for c in "xyzw"])
-    pairs = orientations.crossJoin(F.broadcast(t)).select(F.col(key), "t", F.round(F.least(F.abs(dot(quat(), quat("t"))), F.lit(1.0)), 12).alias("c"))
-    best = pairs.groupBy(key).agg(F.max(F.struct("c", (-F.col("t")).alias("t"))).alias("m"))
-    return best.select(key, (-F.col("m.t")).alias("t"), F.degrees(2 * F.acos(F.col("m.c"))).alias("angle"))
+    limit = math.radians(min(limit_deg, 180.0))
+    chord = 2 * math.sin(limit / 4) + 1e-9
+    keys = ["_cell"] + ([within] if within else [])
+    rest = [within] if within else []
+    images = equivalents(right.select("t", *rest, "qx", "qy", "qz", "qw"), ops)
+    signs = F.explode(F.array(F.lit(-1.0), F.lit(1.0)))
+    both = images.select("t", *rest, "qx", "qy", "qz", "qw", signs.alias("_s")).select("t", *rest, *[(F.col("_s") * F.col(f"q{c}")).alias(f"tq{c}") for c in "xyzw"])
+    placed = both.withColumn("_cell", F.explode(grid_cells([F.col(f"tq{c}") for c in "xyzw"], 2 * chord, 0.0)))
+    asked = left.select("k", *rest, "qx", "qy", "qz", "qw").withColumn("_cell", F.explode(grid_cells(list(quat()), 2 * chord, chord)))
+    c = F.least(dot(quat(), quat("t")), F.lit(1.0))
+    met = asked.join(placed, keys).where(c >= math.cos(limit / 2) - 1e-12)
+    return met.groupBy("k", "t").agg(F.max(c).alias("c"))
+
+
+def nearest_misorientation(orientations: DataFrame, targets: DataFrame, ops: DataFrame, key: str = "k", first_deg: float | None = None, within: str | None = None) -> DataFrame:
+    """key, t and angle in degrees: the nearest target (smallest id on ties).
+
+    Pairs are searched by cells, first within an angle that holds a few of the targets' images on average
+    (or ``first_deg``); what has found nothing goes on at twice the limit, so that wide searches are
+    left to the few rows that need them.
+    """
+    from ..plans.state import materialise
+
+    rest = [within] if within else []
+    left = orientations.select(F.col(key).alias("k"), *rest, "qx", "qy", "qz", "qw")
+    right = targets.select(F.col("k").alias("t"), *rest, "qx", "qy", "qz", "qw")
+    found, limit = None, first_deg
+    if limit is None:  # a ball of angle t holds (t - sin t) / pi of all rotations
+        images = max(right.count() * ops.count(), 1)
+        limit = math.degrees(min((48 * math.pi / images) ** (1 / 3), math.pi))
+    while True:
+        pairs = near_pairs(left, right, ops, limit, within).select("k", "t", F.round("c", 12).alias("c"))
+        best = pairs.groupBy("k").agg(F.max(F.struct("c", (-F.col("t")).alias("t"))).alias("m"))
+        best = materialise(best.select("k", (-F.col("m.t")).alias("t"), F.degrees(2 * F.acos(F.col("m.c"))).alias("angle")))
+        found = best if found is None else found.union(best)
+        left = materialise(left.join(best.select("k"), "k", "left_anti"))
+        if limit >= 180 or left.isEmpty():
+            return found.select(F.col("k").alias(key), "t", "angle")
+        limit = min(2 * limit, 180.0)
 
 
 def children(orientations: DataFrame, step: float, stencil: int = 6) -> DataFrame:
@@ -166,15 +215,15 @@ def children(orientations: DataFrame, step: float, stencil: int = 6) -> DataFram
     return turned.select(F.col("k").alias("parent"), F.col("_arm.child").alias("child"), *[m.alias(f"q{c}") for m, c in zip(made, "xyzw")])
 
 
-def thin_cells(orientations: DataFrame, cell: float, key: str = "k") -> DataFrame:
+def thingrid_cells(orientations: DataFrame, cell: float, key: str = "k") -> DataFrame:
     """First orientation (by key) of every cell of rotation-vector space."""
     x, y, z = to_rotvec(quat())
     cells = [F.floor(c / cell).alias(n) for c, n in ((x, "cx"), (y, "cy"), (z, "cz"))]
     return orientations.select(key, *cells).groupBy("cx", "cy", "cz").agg(F.min(key).alias(key), F.count("*").alias("members"))
 
 
-def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: str = "k", local: int = OPEN_PAIRS) -> DataFrame:
-    """Drop an orientation if one already kept (in order of key) is nearer than ``min_deg``.
+def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: str = "k", local: int = OPEN_PAIRS, within: str | None = None) -> DataFrame:
+    """Drop an orientation if one already kept (in order of key) is nearer than ``min_deg``; only rows alike in ``within`` are compared.
 
     Same set as the sequential rule: an undecided row is kept once no undecided or kept row before
     it is near, and dropped once a kept row before it is near. Only conflict pairs are iterated. A
@@ -183,10 +232,10 @@ def thin_greedy(orientations: DataFrame, ops: DataFrame, min_deg: float, key: st
     """
     from ..plans.state import materialise
 
-    limit = math.cos(math.radians(min_deg) / 2)
-    base = orientations.select(F.col(key).alias("k"), "qx", "qy", "qz", "qw")
-    near = equivalents(base.select(F.col("k").alias("t"), "qx", "qy", "qz", "qw"), ops).select("t", *[F.col(f"q{c}").alias(f"tq{c}") for c in "xyzw"])
-    pairs = base.join(near, (F.col("t") < F.col("k")) & (F.abs(dot(quat(), quat("t"))) > limit)).select("k", "t").distinct()
+    rest = [within] if within else []
+    base = orientations.select(F.col(key).alias("k"), *rest, "qx", "qy", "qz", "qw")
+    near = near_pairs(base, base.withColumnRenamed("k", "t"), ops, min_deg, within).where((F.col("t") < F.col("k")) & (F.col("c") > math.cos(math.radians(min_deg) / 2)))
+    pairs = near.select("k", "t")
     pairs = materialise(pairs)
     state = materialise(base.select("k", F.lit(0).alias("s")))  # 0 open, 1 kept, -1 dropped
     while True:

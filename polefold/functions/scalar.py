@@ -46,6 +46,34 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1.0 - t * poly * F.exp(-x * x))
 
 
+#: fixed values: fit of ln(erfc(x) exp(x^2) / t) in t = 2 / (2 + x), Numerical Recipes' erfcc
+_C = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erfcx_text(x: str) -> str:
+    """exp(x^2) erfc(x) of an SQL expression at x >= 0, relative error below 1.2e-7."""
+    t = f"(1.0/(1.0+0.5*({x})))"
+    poly = f"({_C[-1]})"
+    for c in reversed(_C[:-1]):
+        poly = f"(({c})+{t}*{poly})"
+    return f"({t}*exp({poly}))"
+
+
+def erfcx(x: Column) -> Column:
+    """exp(x^2) erfc(x) for x >= 0, relative error below 1.2e-7 however small erfc becomes."""
+    t = 1.0 / (1.0 + 0.5 * x)
+    poly = F.lit(_C[-1])
+    for c in reversed(_C[:-1]):
+        poly = c + t * poly
+    return t * F.exp(poly)
+
+
+def erfc(x: Column) -> Column:
+    """1 - erf(x) without cancellation, relative error below 1.2e-7."""
+    tail = erfcx(F.abs(x)) * F.exp(-x * x)
+    return F.when(x >= 0, tail).otherwise(2.0 - tail)
+
+
 def gauss_peak(x: Column, sigma: Column) -> Column:
     return F.exp(-x * x / (2 * sigma * sigma)) / (sigma * (2 * math.pi) ** 0.5)
 
@@ -54,8 +82,11 @@ def tail_peak(x: Column, sigma: Column, alpha: Column, exact: bool = False) -> C
     """Gaussian with an exponential tail, unit area; the exact form, or the older approximate one."""
     root2 = 2.0**0.5
     u = (sigma / alpha - x / sigma) / root2 if exact else sigma / alpha - x / (root2 * sigma)
-    power = clip(sigma * sigma / (2 * alpha * alpha) - x / alpha, -800.0, 700.0)
-    return (1 - erf(u)) * F.exp(power) / (2 * alpha)
+    power = sigma * sigma / (2 * alpha * alpha) - x / alpha
+    # far out both factors leave the range of numbers, their product does not
+    far = erfcx(F.greatest(u, F.lit(0.0))) * F.exp(clip(power - u * u, -800.0, 700.0))
+    near = erfc(F.least(u, F.lit(0.0))) * F.exp(clip(power, -800.0, 700.0))
+    return F.when(u >= 0, far).otherwise(near) / (2 * alpha)
 
 
 def edge_profile(x: Column, sigma: Column, alpha: Column, kind: str = "legacy") -> Column:

@@ -8,29 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rotations as rot
+from ..functions.scalar import pulse_tail, tail_peak
 
 
 def so3_kernel(targets: DataFrame, grid: DataFrame, ops: DataFrame, sigma: float, cut_deg: float) -> DataFrame:
     """interp(m, k, w): Gaussian of the misorientation within a cutoff (weights are not normalised).
 
-    ``grid`` is the smaller side with its equivalents; misorientation is the smallest over symmetry.
+    Pairs are found by cells of orientation space; misorientation is the smallest over symmetry.
     """
-    images = rot.equivalents(grid.select("k", "qx", "qy", "qz", "qw"), ops).select("k", *[F.col(f"q{c}").alias(f"tq{c}") for c in "xyzw"])
-    half = math.cos(math.radians(cut_deg) / 2)
-    base = targets.select(F.col("k").alias("m"), "qx", "qy", "qz", "qw")
-    near = base.join(F.broadcast(images), F.abs(rot.dot(rot.quat(), rot.quat("t"))) >= half)
-    best = near.groupBy("m", "k").agg(F.max(F.least(F.abs(rot.dot(rot.quat(), rot.quat("t"))), F.lit(1.0))).alias("c"))
+    best = rot.near_pairs(targets, grid.withColumnRenamed("k", "t"), ops, cut_deg).select(F.col("k").alias("m"), F.col("t").alias("k"), "c")
     angle = 2 * F.acos("c")
     return best.select("m", "k", F.exp(-angle * angle / (2 * sigma * sigma)).alias("w"))
 
 
 def s2_kernel(targets: DataFrame, grid: DataFrame, sigma: float, cut_deg: float) -> DataFrame:
-    """The same for axes on the sphere (u and -u are one); the cutoff is at most 90 degrees."""
-    limit = math.cos(math.radians(min(cut_deg, 90.0)))
-    g = grid.select("k", *[F.col(f"u{c}").alias(f"g{c}") for c in "xyz"])
-    d = F.abs(F.col("ux") * F.col("gx") + F.col("uy") * F.col("gy") + F.col("uz") * F.col("gz"))
-    near = targets.select(F.col("k").alias("m"), "ux", "uy", "uz").join(F.broadcast(g), d >= limit)
-    angle = F.acos(F.least(d, F.lit(1.0)))
+    """The same for axes on the sphere (u and -u are one); the cutoff is at most 90 degrees.
+
+    Pairs are found by cells of space: both ends of a grid axis lie in one each, the ball around a target meets 8 at most.
+    """
+    limit = math.radians(min(cut_deg, 90.0))
+    chord = 2 * math.sin(limit / 2) + 1e-9
+    signs = F.explode(F.array(F.lit(-1.0), F.lit(1.0)))
+    g = grid.select("k", "ux", "uy", "uz", signs.alias("_s")).select("k", *[(F.col("_s") * F.col(f"u{c}")).alias(f"g{c}") for c in "xyz"])
+    g = g.withColumn("_cell", F.explode(rot.grid_cells([F.col(f"g{c}") for c in "xyz"], 2 * chord, 0.0)))
+    asked = targets.select(F.col("k").alias("m"), "ux", "uy", "uz").withColumn("_cell", F.explode(rot.grid_cells([F.col(f"u{c}") for c in "xyz"], 2 * chord, chord)))
+    d = F.col("ux") * F.col("gx") + F.col("uy") * F.col("gy") + F.col("uz") * F.col("gz")
+    near = asked.join(g, "_cell").where(d >= math.cos(limit)).groupBy("m", "k").agg(F.max(F.least(d, F.lit(1.0))).alias("d"))
+    angle = F.acos("d")
     return near.select("m", "k", F.exp(-angle * angle / (2 * sigma * sigma)).alias("w"))
 
 
@@ -56,10 +60,17 @@ def bilinear(points: DataFrame, nx: int, ny: int) -> DataFrame:
     return wide.where(f"ix >= 0 and ix < {nx} and iy >= 0 and iy < {ny} and w > 0").select("id", (F.col("ix") + nx * F.col("iy")).alias("p"), "w")
 
 
-def wavelength_kernel(out: DataFrame, fine: DataFrame, width: float, cut: float = 4.0) -> DataFrame:
-    """kernel(o, f, w): Gaussian broadening of fine wavelengths, rows sum to 1."""
-    near = out.join(F.broadcast(fine), F.abs(F.col("lam_o") - F.col("lam_f")) <= cut * width)
-    z = (F.col("lam_o") - F.col("lam_f")) / width
-    raw = near.select("o", "f", F.exp(-z * z / 2).alias("w"))
-    total = raw.groupBy("o").agg(F.sum("w").alias("s"))
-    return raw.join(total, "o").select("o", "f", (F.col("w") / F.col("s")).alias("w"))
+def wavelength_kernel(out: DataFrame, fine: DataFrame, e0: float, step: float, scale: float = 1.0, least: float = 1e-12) -> DataFrame:
+    """kernel(o, f, w): what each output wavelength gets from a fine one, of cells ``step`` wide.
+
+    A Gaussian of relative width ``e0`` with the pulse's tail, both taken at the fine wavelength, times
+    the cell's width (rows are not normalised). Values up to ``least`` of the largest go. Both sides
+    are dimension tables; only wavelengths within reach of the profile meet.
+    """
+    width, tail = F.col("lam_f") * e0, pulse_tail(F.col("lam_f")) * scale / 1e4
+    wide = fine.select("f", "lam_f", width.alias("s"), tail.alias("t"))
+    reach = (F.col("lam_o") >= F.col("lam_f") - 8 * F.col("s")) & (F.col("lam_o") <= F.col("lam_f") + 14 * F.col("t") + 8 * F.col("s"))
+    met = out.join(F.broadcast(wide), reach)
+    made = met.select("o", "f", (step * tail_peak(F.col("lam_o") - F.col("lam_f"), F.col("s"), F.col("t"), exact=True)).alias("w"))
+    top = made.agg(F.max("w").alias("_m"))
+    return made.crossJoin(F.broadcast(top)).where(F.col("w") > least * F.col("_m")).select("o", "f", "w")

@@ -145,7 +145,6 @@ def support_from_candidates(orientations: DataFrame, candidates: DataFrame, ops:
 
     The angular join is on the candidates' distinct orientations; voxels come back by an equi-join on id.
     """
-    images = rot.equivalents(candidates.select("id", "qx", "qy", "qz", "qw").distinct(), ops).select("id", *[F.col(f"q{c}").alias(f"tq{c}") for c in "xyzw"])
-    close = math.cos(math.radians(tol_deg) / 2)
-    near = orientations.select("k", "qx", "qy", "qz", "qw").join(images, F.abs(rot.dot(rot.quat(), rot.quat("t"))) >= close).select("k", "id").distinct()
+    distinct = candidates.select(F.col("id").alias("t"), "qx", "qy", "qz", "qw").distinct()
+    near = rot.near_pairs(orientations, distinct, ops, tol_deg).select("k", F.col("t").alias("id"))
     return near.join(candidates.select("id", "p"), "id").select("k", "p").distinct()

@@ -37,13 +37,19 @@ def scatter(sums: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def nested_cells(orientations: DataFrame, ops: DataFrame, radii_deg: tuple[float, ...]) -> DataFrame:
-    """node(level, node, k): per level a greedy cover, each orientation with its nearest representative."""
+    """node(level, node, k): per level a greedy cover within each cell of the level above, every orientation with its nearest representative.
+
+    The first level covers all orientations; a finer cell never crosses a coarser one.
+    """
     from ..functions import rotations as rot
+    from ..plans.state import materialise
 
     out = None
+    members = orientations.select("k", "qx", "qy", "qz", "qw", F.lit(0).cast("long").alias("cell"))
     for level, radius in enumerate(sorted(radii_deg, reverse=True)):
-        kept = rot.thin_greedy(orientations, ops, radius)
-        near = rot.nearest_misorientation(orientations, orientations.join(kept, "k", "left_semi"), ops)
+        kept = rot.thin_greedy(members, ops, radius, within="cell")
+        near = materialise(rot.nearest_misorientation(members, members.join(kept, "k", "left_semi"), ops, first_deg=radius, within="cell"))
         part = near.select(F.lit(level).alias("level"), F.col("t").alias("node"), "k")
         out = part if out is None else out.unionByName(part)
+        members = members.drop("cell").join(near.select("k", F.col("t").cast("long").alias("cell")), "k")
     return out

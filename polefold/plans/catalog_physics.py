@@ -171,10 +171,28 @@ def pulse_tail(spark, d):
     return spark.range(40).selectExpr("cast(id as int) l", "1.5D + 0.05D * id as lam").select("l", r4(scalar.pulse_tail(F.col("lam"))).alias("tau"))
 
 
-@query("edge_profiles")
+def _tailed(u: str) -> str:
+    """SQL of a Gaussian (x, s) with an exponential tail t, from the argument of its error function."""
+    power = "(s * s / (2 * t * t) - x / t)"
+    far = f"{scalar.erfcx_text(f'greatest({u}, 0)')} * exp(greatest(least({power} - {u} * {u}, 700), -800))"
+    near = f"(2 - {scalar.erfcx_text(f'abs({u})')} * exp(-{u} * {u})) * exp(greatest(least({power}, 700), -800))"
+    return f"(CASE WHEN {u} >= 0 THEN {far} ELSE {near} END / (2 * t))"
+
+
+_EMG, _OLD = _tailed("((s / t - x / s) / sqrt(2.0))"), _tailed("(s / t - x / (sqrt(2.0) * s))")
+
+
+@query("edge_profiles", sql(
+    f"SELECT i, kind, s, round(CASE WHEN kind = 0 AND s >= 0.2 * t THEN exp(-x * x / (2 * s * s)) / (s * sqrt(2 * pi())) WHEN kind = 0 THEN {_OLD} ELSE {_EMG} END, 4) + 0.0 AS v FROM xs",
+    xs="SELECT i, i / 20.0 AS x, kind, s, 0.5 AS t FROM range(-40, 120) a(i), (VALUES (0, 0.05::DOUBLE), (0, 0.2), (1, 0.05), (1, 0.2)) k(kind, s)"))
 def edge_profiles(spark, d):
     x = spark.range(-40, 120).select(F.col("id").alias("i"), (F.col("id") / 20).alias("x"))
-    return x.select("i", r4(scalar.edge_profile(F.col("x"), F.lit(0.05), F.lit(0.5))).alias("legacy"), r4(scalar.edge_profile(F.col("x"), F.lit(0.2), F.lit(0.5), "emg")).alias("emg"))
+    found = None
+    for kind, name in enumerate(("legacy", "emg")):
+        for sigma in (0.05, 0.2):
+            one = x.select("i", F.lit(kind).alias("kind"), F.lit(sigma).alias("s"), r4(scalar.edge_profile(F.col("x"), F.lit(sigma), F.lit(0.5), name)).alias("v"))
+            found = one if found is None else found.union(one)
+    return found
 
 
 _TTH = [2 * math.asin(LAM * math.sqrt(s) / (2 * A0)) for s in (3, 4, 8)]
@@ -299,11 +317,20 @@ def bilinear_sampling(spark, d):
     return _out(interp.bilinear(points, NX, NY), "id", F.col("p").cast("int").alias("p"), w="w")
 
 
-@query("wavelength_kernel", "WITH r AS (SELECT o::INT AS o, f::INT AS f, exp(-(0.1 * o - 0.02 * f) * (0.1 * o - 0.02 * f) / (0.05 * 0.05) / 2) AS w FROM range(12) a(o), range(60) b(f) WHERE abs(0.1 * o - 0.02 * f) <= 0.19) SELECT o, f, round(w / sum(w) OVER (PARTITION BY o), 4) AS w FROM r")
+@query("wavelength_kernel", sql(
+    f"SELECT o, f, round(v, 4) + 0.0 AS w FROM (SELECT o, f, v, max(v) OVER () AS m FROM (SELECT o, f, 0.002 * {_EMG} AS v FROM "
+    f"(SELECT o::INT AS o, f, 1.9 + 0.01 * o - lam AS x, lam * 0.004 AS s, ({erf_text('((lam - 1.39341) / 0.18492)').replace('D', '')} * (18.94806 - 10.82914 * lam) + 16.6964 * lam) / 10000 AS t FROM range(70) a(o), fine) "
+    "WHERE x >= -8 * s AND x <= 14 * t + 8 * s)) WHERE v > 1e-12 * m AND v > 1e-3", fine="SELECT f::INT AS f, 2.0 + 0.002 * f AS lam FROM range(200) b(f)"))
 def wavelength_kernel(spark, d):
-    out = spark.range(12).selectExpr("cast(id as int) o", "0.1D * id as lam_o")
-    fine = spark.range(60).selectExpr("cast(id as int) f", "0.02D * id as lam_f")
-    return _out(interp.wavelength_kernel(out, fine, 0.05, 3.8), "o", "f", w="w")
+    out = spark.range(70).selectExpr("cast(id as int) o", "1.9D + 0.01D * id as lam_o")
+    fine = spark.range(200).selectExpr("cast(id as int) f", "2.0D + 0.002D * id as lam_f")
+    return _out(interp.wavelength_kernel(out, fine, 0.004, 0.002).where("w > 1e-3"), "o", "f", w="w")
+
+
+@query("erfc_values", f"SELECT i, round({scalar.erfcx_text('abs(x)')} * exp(-x * x) * 1e6, 4) + 0.0 AS tail, round({scalar.erfcx_text('abs(x)')}, 6) AS scaled FROM (SELECT i::INT AS i, i / 10.0 AS x FROM range(0, 60) t(i))")
+def erfc_values(spark, d):
+    x = F.col("i") / 10
+    return spark.range(60).select(F.col("id").cast("int").alias("i")).select("i", r4(scalar.erfc(x) * 1e6).alias("tail"), r4(scalar.erfcx(x), 6).alias("scaled"))
 
 
 @query("odf_support_mass", sql("SELECT k, w FROM (SELECT k, w, sum(w) OVER (ORDER BY w DESC, k ROWS UNBOUNDED PRECEDING) - w AS before, sum(w) OVER () AS s, max(w) OVER () AS m FROM t) WHERE w > 0.01 * m AND before < 0.7 * s", "coef", t="SELECT p AS k, sum(v) AS w FROM coef GROUP BY p"))
