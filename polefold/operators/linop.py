@@ -88,6 +88,12 @@ def matrix(radon: DataFrame, b: DataFrame) -> LinearOp:
     return LinearOp([project, Link(b.select("a", "k", "l", F.col("v").alias("w")), ("a",), ("k",), ("l",), "w", ("y",))])
 
 
+def with_powder(b: DataFrame, spectrum: DataFrame, k: int) -> DataFrame:
+    """b(a, k, l, v) and one more column ``k``: a spectrum(l, v) that is the same at every angle."""
+    angles = b.select("a").distinct()
+    return b.select("a", "k", "l", "v").unionByName(angles.crossJoin(F.broadcast(spectrum)).select("a", F.lit(k).alias("k"), "l", "v"))
+
+
 def phases_forward(parts: dict[str, tuple[LinearOp, DataFrame]], keys: tuple[str, ...] = ("a", "y", "j")) -> DataFrame:
     """Contributions of several phases, each with its own operator, added."""
     total = None

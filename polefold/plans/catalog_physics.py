@@ -395,18 +395,6 @@ def mu_gradient(spark, d):
     return got.select("p2", r4(F.col("g") / 1e6).alias("g"))
 
 
-@query("gauss_newton_step")
-def gauss_newton_step(spark, d):
-    e = _noisy(spark, d).select((F.col("j") % 7).cast("int").alias("k"), (F.col("mu") - F.col("b")).alias("r"), (F.col("w") / F.col("g")).alias("c"), *[((F.col("a") * (i + 2) + F.col("y")) % 5 - 2.0).alias(f"d_{p}") for i, p in enumerate(derivs.PARAMETERS)])
-    return _out(derivs.newton_steps(derivs.normal_blocks(e)), "k", **{f"s_{p}": f"s_{p}" for p in derivs.PARAMETERS})
-
-
-@query("normal_blocks", sql("SELECT (j % 7)::INT AS k, round(sum((mu - b) * ((a * 2 + y) % 5 - 2.0)) / 1000, 4) + 0.0 AS g_rx, round(sum(w / g * ((a * 2 + y) % 5 - 2.0) * ((a * 3 + y) % 5 - 2.0)), 4) + 0.0 AS h_rx_ry FROM noisy GROUP BY 1", "noisy"))
-def normal_blocks(spark, d):
-    e = _noisy(spark, d).select((F.col("j") % 7).cast("int").alias("k"), (F.col("mu") - F.col("b")).alias("r"), (F.col("w") / F.col("g")).alias("c"), *[((F.col("a") * (i + 2) + F.col("y")) % 5 - 2.0).alias(f"d_{p}") for i, p in enumerate(derivs.PARAMETERS)])
-    return derivs.normal_blocks(e).select("k", r4(F.col("g_rx") / 1000).alias("g_rx"), r4(F.col("h_rx_ry")).alias("h_rx_ry"))
-
-
 @query("cif_tokens", "SELECT doc_id, len(regexp_extract_all(text, '(''[^'']*''|\\S+)'))::INT AS n_tokens, len(list_filter(regexp_extract_all(text, '(''[^'']*''|\\S+)'), lambda t: regexp_full_match(regexp_replace(t, '\\([0-9]*\\)$', ''), '[+-]?[0-9]*\\.?[0-9]+')))::INT AS n_numeric FROM documents")
 def cif_tokens(spark, d):
     rows = B.read(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("value"))

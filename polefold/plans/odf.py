@@ -91,23 +91,45 @@ def reconstruct(spark: SparkSession, data: DataFrame, basis: DataFrame, axes: Da
         out.append(odf)
         if level + 1 < levels:
             strong = support(odf, keep_rel)
-            kids = rot.children(strong, math.radians(h) / 2, 12).withColumn("k", (F.col("parent") * 32 + F.col("child")).cast("int"))
+            kids = rot.children(strong, math.radians(h) / 2, 12).withColumn("k", F.col("parent").cast("long") * 32 + F.col("child"))
             kids = rot.fundamental_zone(kids.select("k", "qx", "qy", "qz", "qw"), ops)
             chosen = rot.thin_cells(kids, math.radians(0.8 * h / 2)).select("k")
-            basis = materialise(kids.join(chosen, "k", "left_semi"))
+            kept = materialise(kids.join(chosen, "k", "left_semi"))
+            basis = materialise(renumbered(kept))
             h /= 2
     return out
 
 
-def sample(odf: DataFrame, n: int, sigma: float, seed: int = 3) -> DataFrame:
-    """n orientations drawn by weight, with Gaussian jitter; the draw is a range join on the running sum."""
-    order = Window.partitionBy(F.lit(0)).orderBy("k")
-    run = odf.select("k", "w", "qx", "qy", "qz", "qw", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"))
-    total = odf.agg(F.sum("w").alias("t")).first()[0]
-    draws = odf.sparkSession.range(n).select(F.col("id").cast("int").alias("m"), (F.rand(seed) * total).alias("u"), *[F.randn(seed + 1 + i).alias(f"e{i}") for i in range(3)])
-    hit = draws.join(F.broadcast(run), (F.col("u") < F.col("hi")) & (F.col("u") >= F.col("hi") - F.col("w")))
+def renumbered(orientations: DataFrame) -> DataFrame:
+    """k from 0 on in the order of k, so that numbers stay small over many levels: counts of parts first."""
+    parted = orientations.repartitionByRange("k").sortWithinPartitions("k")
+    rows = materialise(parted.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    before = {p: sum(n for q, n in counts if q < p) for p, _ in counts}
+    if not before:
+        return rows.drop("_at").withColumn("k", F.col("k").cast("int"))
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[part]
+    return rows.withColumn("k", (offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_at")
+
+
+def sample(odf: DataFrame, n: int, sigma: float, seed: int = 3, parts: int = 1024) -> DataFrame:
+    """n orientations drawn by weight, with Gaussian jitter.
+
+    The running sum is kept in ``parts`` buckets of k: totals of the buckets go through the driver, a
+    draw finds its bucket by them and its row by a join within the bucket.
+    """
+    placed = odf.select("k", "w", *[f"q{c}" for c in "xyzw"], F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("_b"))
+    sums = sorted((r["_b"], r["s"]) for r in placed.groupBy("_b").agg(F.sum("w").alias("s")).collect())  # at most `parts` rows
+    ends = [sum(s for _, s in sums[: i + 1]) for i in range(len(sums))]
+    order = Window.partitionBy("_b").orderBy("k")
+    run = placed.withColumn("_hi", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    draws = odf.sparkSession.range(n).select(F.col("id").cast("int").alias("m"), (F.rand(seed) * (ends[-1] if ends else 0.0)).alias("_u"), *[F.randn(seed + 1 + i).alias(f"e{i}") for i in range(3)])
+    starts = odf.sparkSession.createDataFrame([(b, float(hi - s), float(hi)) for (b, s), hi in zip(sums, ends)], "_b int, _from double, _to double")
+    dealt = draws.join(F.broadcast(starts), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).withColumn("_u", F.col("_u") - F.col("_from"))
+    hit = dealt.join(run, "_b").where((F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_hi") - F.col("w")))
     q = rot.product(rot.quat(), rot.from_rotvec(*[sigma * F.col(f"e{i}") for i in range(3)]))
-    return hit.select(F.col("m").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")])
+    return hit.select(F.col("m").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")], F.col("k").alias("parent"))
 
 
 def fit_bulk_phases(pfs: dict[str, DataFrame], data: DataFrame, niter: int) -> dict[str, DataFrame]:
