@@ -212,9 +212,16 @@ def compare_with_next(documents: DataFrame, rows_per_part: int | None = None) ->
 
     source = common.with_text_bytes(documents, "doc_id").withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
     squeezed = common.map_batches(source, squeeze, "part int, _key long, doc_id long, tie binary, packed binary")
+
     # one row a range: its smallest document (by id, then text digest)
-    bucket = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_key")))
-    lowest = source.withColumn("part", bucket).groupBy("part").agg(F.min(F.struct("_key", F.unhex(F.md5("raw")).alias("tie"))).alias("low"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts_of = np.searchsorted(cuts, batch.column("_key").to_numpy(), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of), batch.column("_key"), batch.column("tie")], ["part", "_key", "tie"])
+
+    keyed = source.select("_key", F.unhex(F.md5(F.coalesce("raw", F.lit(b"")))).alias("tie"))
+    placed = common.map_batches(keyed, place, "part int, _key long, tie binary")
+    lowest = placed.groupBy("part").agg(F.min(F.struct("_key", "tie")).alias("low"))
     firsts = sorted((r["part"], r["low"]["_key"], bytes(r["low"]["tie"])) for r in lowest.collect())  # bounded by `parts`
     follower = {firsts[(i + 1) % len(firsts)][1:]: firsts[i][0] for i in range(len(firsts))}
 
@@ -289,6 +296,10 @@ def bands(mark: str) -> list[int]:
     return out
 
 
+def classes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(common.table(spark, sf_dir, "documents"))
+
+
 def near_classes(documents: DataFrame, like: float = LIKE, tile: int = 512) -> DataFrame:
     """doc_id, fingerprint and class_id: the smallest doc_id reachable over likenesses of at least ``like``.
 

@@ -61,9 +61,10 @@ def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS,
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", files_per_shard: int = 1) -> None:
-    """One folder per shard; a shard's rows are spread over ``files_per_shard`` tasks by a salt."""
-    placed = place(df, key).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard)))
-    placed.repartition("shard", "_salt").drop("_salt", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; a shard's rows, alike or not, are spread over ``files_per_shard`` tasks by a row number."""
+    salt = common.unused("salt", df.columns)
+    placed = place(df, key).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard)))
+    placed.repartition("shard", salt).drop(salt, "slot").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_lang_id": lang_id.query,
     "op9_best_fit_packing": packing.query,
     "op10_edit_prints": edit_prints.query,
+    "edit_print_classes": edit_prints.classes_query,  # second half of operator 10: bands and verification
 }
 
 ORACLE = {

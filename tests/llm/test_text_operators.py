@@ -673,3 +673,21 @@ def test_edit_classes(spark, empty, tile):
         numbers = [j for j in reach if j is not None]
         assert got[i][0] == (min(numbers) if numbers else None)
     assert edit_prints.near_classes(empty).count() == 0
+
+
+def test_edit_classes_recall_on_the_corpus(spark):
+    """Of all pairs of different fingerprints that are alike enough, those that share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    edited = F.concat(F.expr("substring(text, 1, int(length(text) / 3))"), F.lit(" edit "), F.expr("substring(text, int(length(text) / 3) + 1, int(length(text) * 0.63))"))
+    got = edit_prints.near_classes(docs.union(docs.where("doc_id % 4 = 0").select(F.col("doc_id") + 1_000_000, edited))).collect()
+    assert len(got) == 1250
+    of = {r.fingerprint: r.class_id for r in got}
+    marks = sorted(of, key=lambda m: (m[:2], len(m)))
+    sizes = {m: max(len(m) // 2 - 1, 1) << int(m[:2] or "0", 16) for m in marks}
+    pairs = found = 0
+    for i, a in enumerate(marks):
+        for b in marks[i + 1 :]:
+            if min(sizes[a], sizes[b]) >= 0.7 * max(sizes[a], sizes[b]) and edit_prints.likeness(a, b) >= edit_prints.LIKE:
+                pairs += 1
+                found += of[a] == of[b]
+    assert pairs >= 100 and found >= 0.95 * pairs, (pairs, found)
