@@ -132,30 +132,52 @@ def em_scales(comp: DataFrame, data: DataFrame, channel: Column, rounds: int, ti
 
 
 def intensity_vjp(grad: DataFrame) -> DataFrame:
-    """Sums of a gradient over all but one axis: one pass with grouping sets."""
-    sets = grad.withColumn("r", F.col("j") % 3).cube("a", "y", "r", "j")
-    summed = sets.agg(F.sum("v").alias("v"), F.grouping_id("a", "y", "r", "j").alias("gid"))
-    axis = F.when(F.col("gid") == 7, "a").when(F.col("gid") == 11, "y").when(F.col("gid") == 13, "r").when(F.col("gid") == 14, "j")
-    return summed.select(axis.alias("axis"), F.coalesce("a", "y", "r", "j").alias("i"), "v").where("axis is not null")
+    """Sums of a gradient over all but one axis: every row is expanded to its four axes, partial sums come before the shuffle."""
+    axes = {"a": F.col("a"), "y": F.col("y"), "r": F.pmod("j", F.lit(3)), "j": F.col("j")}
+    parts = F.array(*[F.struct(F.lit(n).alias("axis"), c.cast("int").alias("i")) for n, c in axes.items()])
+    return grad.select(F.explode(parts).alias("x"), "v").groupBy("x.axis", "x.i").agg(F.sum("v").alias("v")).select("axis", "i", "v")
 
 
-def fit_linear(data: DataFrame, rounds: int) -> DataFrame:
-    """Alternating closed-form fit of scales per angle, translation and ring; gauge: mean 1. axis, i, s."""
+def fit_linear(data: DataFrame, rounds: int, background: bool = False) -> DataFrame:
+    """Alternating closed-form fit of scales per angle, translation and ring, and of a background per segment.
+
+    Columns axis (a, y, r; bg), i, s. Angle and translation scales keep a mean of 1, the rings take the
+    level. The tables of scales are dimensions of a scan, so each block is one aggregate of the data.
+    """
     from ..plans.state import materialise
 
-    base = data.withColumn("r", F.col("j") % 3).select("a", "y", "r", "b", "w", "mu")
-    scale = {n: materialise(base.select(F.col(n).alias("i")).distinct().withColumn("s", F.lit(1.0))) for n in ("a", "y", "r")}
+    base = data.withColumn("r", F.pmod("j", F.lit(3)).cast("int")).select("a", "y", "j", "r", "b", "w", "mu")
+    start = lambda key, value: materialise(base.select(F.col(key).alias("i")).distinct().withColumn("s", F.lit(value)))
+    scale = {n: start(n, 1.0) for n in ("a", "y", "r")}
+    level = start("j", 0.0) if background else None
+
+    def filled(names: list[str]) -> tuple[DataFrame, Column]:
+        """The data with the factor of the named scales, and what is left of it above the background."""
+        rows, factor, above = base, F.col("mu"), F.col("b")
+        for n in names:
+            rows = rows.join(F.broadcast(scale[n].select(F.col("i").alias(n), F.col("s").alias(f"s_{n}"))), n)
+            factor = factor * F.col(f"s_{n}")
+        if background:
+            rows = rows.join(F.broadcast(level.select(F.col("i").alias("j"), F.col("s").alias("s_bg"))), "j")
+            above = above - F.col("s_bg")
+        return rows.withColumns({"g": factor, "above": above}), F.col("w") * F.col("g")
+
     for _ in range(rounds):
-        for n in ("a", "y", "r"):
-            cur = base
-            others = [m for m in scale if m != n]
-            for m in others:
-                cur = cur.join(F.broadcast(scale[m].select(F.col("i").alias(m), F.col("s").alias(f"s_{m}"))), m)
-            model = F.col("mu") * F.col(f"s_{others[0]}") * F.col(f"s_{others[1]}")
-            fit = cur.groupBy(F.col(n).alias("i")).agg((F.sum(F.col("w") * model * F.col("b")) / F.sum(F.col("w") * model * model)).alias("s"))
-            scale[n] = materialise(fit.crossJoin(F.broadcast(fit.agg(F.avg("s").alias("m")))).select("i", (F.col("s") / F.col("m")).alias("s")) if n != "r" else fit)
+        for n in scale:
+            rows, weight = filled([m for m in scale if m != n])
+            sums = rows.groupBy(F.col(n).alias("i")).agg(F.sum(weight * F.col("above")).alias("num"), F.sum(weight * F.col("g")).alias("den"))
+            kept = sums.join(scale[n], "i")
+            scale[n] = materialise(kept.select("i", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.col("s")).alias("s")))
+        if background:
+            rows, _ = filled(list(scale))
+            fit = rows.groupBy(F.col("j").alias("i")).agg((F.sum(F.col("w") * (F.col("b") - F.col("g"))) / F.greatest(F.sum("w"), F.lit(1e-300))).alias("s"))
+            level = materialise(fit)
+        for n in ("a", "y"):
+            mean = scale[n].agg(F.avg("s")).first()[0]
+            scale[n] = materialise(scale[n].select("i", (F.col("s") / mean).alias("s")))
+            scale["r"] = materialise(scale["r"].select("i", (F.col("s") * mean).alias("s")))
     out = None
-    for n, df in scale.items():
+    for n, df in (scale | ({"bg": level} if background else {})).items():
         part = df.select(F.lit(n).alias("axis"), "i", "s")
         out = part if out is None else out.union(part)
     return out

@@ -184,11 +184,89 @@ def score_test(spark, d):
     return _out(search.score(_op(spark), inputs), "k", "p", z="z")
 
 
-@query("fit_linear_2it")
+def _fit_sql(rounds: int) -> str:
+    """The alternating fit unrolled: one table a block, scales per angle, translation and ring and a background per segment."""
+    keys = {"a": "a", "y": "y", "r": "(j % 3)", "bg": "j"}
+    steps = {"a_0": "SELECT DISTINCT a AS i, 1.0::DOUBLE AS s FROM noisy", "y_0": "SELECT DISTINCT y AS i, 1.0::DOUBLE AS s FROM noisy", "r_0": "SELECT DISTINCT j % 3 AS i, 1.0::DOUBLE AS s FROM noisy", "bg_0": "SELECT DISTINCT j AS i, 0.0::DOUBLE AS s FROM noisy"}
+    now = {n: f"{n}_0" for n in keys}
+    for turn in range(rounds):
+        for n in keys:
+            joins = " ".join(f"JOIN {now[m]} t{m} ON t{m}.i = {'d.' + k if k != '(j % 3)' else 'd.j % 3'}" for m, k in keys.items())
+            own = keys[n] if n == "r" else f"d.{keys[n]}"
+            if n == "bg":
+                text = f"SELECT {own} AS i, sum(w * (b - mu * ta.s * ty.s * tr.s)) / sum(w) AS s FROM noisy d {joins} GROUP BY 1"
+            else:
+                model = " * ".join(["mu", *[f"t{m}.s" for m in ("a", "y", "r") if m != n]])
+                text = f"SELECT {own.replace('j', 'd.j') if n == 'r' else own} AS i, CASE WHEN sum(w * {model} * {model}) > 0 THEN sum(w * {model} * (b - tbg.s)) / sum(w * {model} * {model}) ELSE max(t{n}.s) END AS s FROM noisy d {joins} GROUP BY 1"
+            steps[f"{n}_{turn}f"] = text.replace("sum(w)", "greatest(sum(w), 1e-300)")
+            now[n] = f"{n}_{turn}f"
+        level = f"(SELECT avg(s) FROM a_{turn}f) * (SELECT avg(s) FROM y_{turn}f)"
+        for n in ("a", "y"):
+            steps[f"{n}_{turn}n"] = f"SELECT i, s / (SELECT avg(s) FROM {n}_{turn}f) AS s FROM {n}_{turn}f"
+        steps[f"r_{turn}n"] = f"SELECT i, s * {level} AS s FROM r_{turn}f"
+        now |= {n: f"{n}_{turn}n" for n in ("a", "y", "r")}
+    return sql(" UNION ALL ".join(f"SELECT '{n}' AS axis, i::INT AS i, round(s, 4) + 0.0 AS s FROM {now[n]}" for n in keys), "noisy", **steps)
+
+
+@query("fit_linear_2it", _fit_sql(2))
 def fit_linear(spark, d):
     from ..operators import terms
 
-    return _out(terms.fit_linear(_noisy(spark, d), 2), "axis", "i", s="s")
+    return _out(terms.fit_linear(_noisy(spark, d), 2, background=True), "axis", "i", s="s")
+
+
+_START = {"cells": _CELLS, "one": _fwd("cells"), "rws": "SELECT n.*, coalesce(o.v, 0) AS ones FROM noisy n LEFT JOIN one o USING (a, y, j) WHERE w <> 0"}
+
+
+@query("poisson_start_uniform", sql("SELECT round(sum(w / g * b) / sum(w / g * ones), 6) AS v, 1792 AS n FROM rws", "noisy", "radon", "pf", **_START))
+def poisson_start_uniform(spark, d):
+    got = solvers.poisson_start(_stored_op(spark), _noisy(spark, d), _all_cells(spark), "uniform")
+    return got.agg(r4(F.max("v"), 6).alias("v"), F.count("*").cast("int").alias("n"))
+
+
+def _wls_sql(n: int, lam: float) -> str:
+    weight = "w / (g * greatest(b, g))"
+    steps = dict(_START) | {"mw": f"SELECT a, y, j, {weight} * ones AS v FROM rws", "met": _adj("mw"), "x0": "SELECT k, p, 0.0::DOUBLE AS v FROM cells", "y0": "SELECT k, p, 0.0::DOUBLE AS v FROM cells"}
+    t = 1.0
+    for i in range(n):
+        steps[f"m{i}"] = _fwd(f"y{i}")
+        steps[f"r{i}"] = f"SELECT d.a, d.y, d.j, {weight} * (coalesce(m.v, 0) + bg - b) AS v FROM rws d LEFT JOIN m{i} m USING (a, y, j)"
+        steps[f"g{i}"] = _adj(f"r{i}")
+        t2 = 0.5 * (1 + (1 + 4 * t * t) ** 0.5)
+        beta, t = (t - 1) / t2, t2
+        steps[f"x{i + 1}"] = f"SELECT k, p, CASE WHEN coalesce(h.v, 0) > 0 THEN greatest(0, y.v - (coalesce(g.v, 0) + {lam}) / h.v) ELSE 0 END AS v FROM y{i} y LEFT JOIN g{i} g USING (k, p) LEFT JOIN met h USING (k, p)"
+        steps[f"y{i + 1}"] = f"SELECT k, p, n.v + {beta!r} * (n.v - o.v) AS v FROM x{i + 1} n JOIN x{i} o USING (k, p)"
+    return sql(f"SELECT k, p, round(v, 4) + 0.0 AS v FROM x{n}", "noisy", "radon", "pf", **steps)
+
+
+@query("poisson_start_wls", _wls_sql(3, 0.01))
+def poisson_start_wls(spark, d):
+    return _out(solvers.poisson_start(_stored_op(spark), _noisy(spark, d), _all_cells(spark), "wls", 3, 0.01), "k", "p", v="v")
+
+
+@query("resumed_solvers", "SELECT * FROM (VALUES ('fista', true), ('fista_poisson', true), ('pdhg', true), ('spdhg', true)) t(solver, same)")
+def resumed_solvers(spark, d):
+    """Two iterations and two more give what four in one go give."""
+    op, data, cells = _stored_op(spark), _noisy(spark, d), _all_cells(spark)
+    ones = cells.select("k", "p", F.lit(1.0).alias("v"))
+
+    def same(x, y) -> bool:
+        worst = x.withColumnRenamed("v", "x").join(y, ["k", "p"], "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))) / (1 + F.abs(F.coalesce("v", F.lit(0.0))))))
+        return worst.first()[0] < 1e-9
+
+    whole = solvers.fista(op, data, TAU, 2)
+    _, state = solvers.fista(op, data, TAU, 1, resumable=True)
+    found = [("fista", same(solvers.fista(op, data, TAU, 1, state=state), whole))]
+    whole, _ = solvers.fista_poisson(op, data, ones, 2)
+    _, _, state = solvers.fista_poisson(op, data, ones, 1, resumable=True)
+    found.append(("fista_poisson", same(solvers.fista_poisson(op, data, ones, 1, state=state)[0], whole)))
+    whole, _ = solvers.pdhg(op, data, 2, cells)
+    _, state = solvers.pdhg(op, data, 1, cells)
+    found.append(("pdhg", same(solvers.pdhg(op, data, 1, cells, state=state)[0], whole)))
+    whole = solvers.spdhg(op, data, [1, 0], cells, None, 2)
+    _, state = solvers.spdhg(op, data, [1], cells, None, 2, resumable=True)
+    found.append(("spdhg", same(solvers.spdhg(op, data, [0], cells, None, 2, state=state), whole)))
+    return spark.createDataFrame(found, "solver string, same boolean")
 
 
 @query("spdhg_tv_epoch")

@@ -2,6 +2,9 @@
 
 An operator is any object with forward(df) and adjoint(df) on (k, p, v) and (a, y, j, v). Scalars of
 an iteration come from one aggregate. A callback(iteration, x, stats) that returns true stops a run.
+Tables of an iteration are deleted once the one after it is written; what a callback is given is
+valid while it runs. With ``resumable`` a solver also returns its state, a dict of tables and numbers
+that it takes back as ``state`` and goes on from as if it had never stopped.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
 from ..operators import terms
-from .state import materialise
+from .state import discard, materialise
 
 D, X = ["a", "y", "j"], ["k", "p"]
-ZERO = F.lit
+MAX_BACKTRACKS = 60
 
 
 def combine(keys: list[str], **tables: DataFrame) -> DataFrame:
@@ -34,11 +37,15 @@ def _stop(callback: Callable | None, it: int, x: DataFrame, stats: dict) -> bool
     return bool(callback and callback(it, x, stats))
 
 
-def fista(op, data: DataFrame, tau: float, niter: int, x0: DataFrame | None = None, delta: float | None = None, weights: DataFrame | None = None, lam: float = 0.0, support: DataFrame | None = None, callback: Callable | None = None) -> DataFrame:
+def fista(op, data: DataFrame, tau: float, niter: int, x0: DataFrame | None = None, delta: float | None = None, weights: DataFrame | None = None, lam: float = 0.0, support: DataFrame | None = None, callback: Callable | None = None, state: dict | None = None, resumable: bool = False):
     """Accelerated proximal gradient for least squares, or the clipped (Huber) residual; x >= 0."""
     b = data.select(*D, F.col("b").alias("v"))
-    x = y = materialise(x0 if x0 is not None else op.adjoint(b).select(*X, F.lit(0.0).alias("v")))
-    t = 1.0
+    if state is not None:
+        x, y, t = state["x"], state["y"], state["t"]
+    else:
+        x = y = materialise(x0 if x0 is not None else op.adjoint(b).select(*X, F.lit(0.0).alias("v")))
+        t = 1.0
+    old = None
     for it in range(niter):
         both = combine(D, m=op.forward(y), b=b)
         if weights is not None:
@@ -50,16 +57,18 @@ def fista(op, data: DataFrame, tau: float, niter: int, x0: DataFrame | None = No
         beta = (t - 1) / t_new
         cells = combine(X, x=x, y=y, grad=grad)
         new = F.greatest(F.col("y") - tau * F.col("grad") - tau * lam, F.lit(0.0))
-        state = cells.select(*X, "x", new.alias("n"))
+        moved = cells.select(*X, "x", new.alias("n"))
         if support is not None:
-            state = state.join(support, [c for c in X if c in support.columns], "left_semi")
-        state = materialise(state)
-        x = state.select(*X, F.col("n").alias("v"))
-        y = state.select(*X, (F.col("n") + beta * (F.col("n") - F.col("x"))).alias("v"))
+            moved = moved.join(support, [c for c in X if c in support.columns], "left_semi")
+        moved = materialise(moved)
+        discard(old)
+        old = moved
+        x = moved.select(*X, F.col("n").alias("v"))
+        y = moved.select(*X, (F.col("n") + beta * (F.col("n") - F.col("x"))).alias("v"))
         t = t_new
         if _stop(callback, it + 1, x, {"iter": it + 1}):
             break
-    return x
+    return (x, {"x": x, "y": y, "t": t}) if resumable else x
 
 
 def _noise(data: DataFrame) -> DataFrame:
@@ -93,45 +102,55 @@ def pdhg(op, data: DataFrame, niter: int, cells: DataFrame, lam: float = 0.0, ta
     dual = state["dual"] if state else rows.select(*D, F.lit(0.0).alias("v"))
     for it in range(niter):
         ax = op.forward(prim.select(*X, F.col("xb").alias("v")))
+        before, old = dual, prim
         dual = materialise(_on(rows, yd=dual, ax=ax).select(*D, _dual(F.col("yd"), F.col("sig"), F.col("ax")).alias("v")))
         grad = op.adjoint(dual).withColumnRenamed("v", "grad")
         both = prim.join(steps, X).join(grad, X, "left")
         new = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.col("x") - F.col("t") * (F.coalesce("grad", F.lit(0.0)) + lam))).otherwise(0.0)
         prim = materialise(both.withColumn("n", new).select(*X, F.col("n").alias("x"), (2 * F.col("n") - F.col("x")).alias("xb")))
+        discard(before, old)
         if _stop(callback, it + 1, prim, {"iter": it + 1}):
             break
     return prim.select(*X, F.col("x").alias("v")), {"primal": prim, "dual": dual}
 
 
-def spdhg(op, data: DataFrame, order: list[int], cells: DataFrame, subset_of: Callable[[str], Column], subsets: int, lam: float = 0.0, tau0: float = 1.0, sigma0: float = 1.0, callback: Callable | None = None) -> DataFrame:
-    """One subset of angles a step, in the given order; z holds A^T y. ``subset_of``: condition text -> restricted operator."""
+def spdhg(op, data: DataFrame, order: list[int], cells: DataFrame, subset_of: Callable[[str], Column] | None, subsets: int, lam: float = 0.0, tau0: float = 1.0, sigma0: float = 1.0, callback: Callable | None = None, state: dict | None = None, resumable: bool = False):
+    """One subset of angles a step, in the given order; z holds A^T y. ``subset_of``: condition text -> restricted operator.
+
+    Rows and duals are one table a subset, so a step reads and writes its own subset alone.
+    """
     ones = cells.select(*X, F.lit(1.0).alias("v"))
     d = _noise(data)
-    rows = _on(d, s=op.forward(ones))
-    rows = materialise(rows.withColumn("sig", F.when((F.col("w") != 0) & (F.col("s") > 0), sigma0 / F.col("s")).otherwise(0.0)).drop("s"))
-    sums = None
+    chosen = [op.restrict(f"a % {subsets} = {m}") for m in range(subsets)]
+    sums, rows = None, {}
     for m in range(subsets):
-        part = op.restrict(f"a % {subsets} = {m}").adjoint(d.where(f"w <> 0 and a % {subsets} = {m}").select(*D, F.lit(1.0).alias("v"))).select(*X, F.col("v").alias("c"))
+        own = d.where(f"a % {subsets} = {m}")
+        found = _on(own, s=chosen[m].forward(ones)).withColumn("sig", F.when((F.col("w") != 0) & (F.col("s") > 0), sigma0 / F.col("s")).otherwise(0.0)).drop("s")
+        rows[m] = materialise(found)
+        part = chosen[m].adjoint(own.where("w <> 0").select(*D, F.lit(1.0).alias("v"))).select(*X, F.col("v").alias("c"))
         sums = part if sums is None else sums.unionByName(part)
-    steps = sums.groupBy(*X).agg(F.max("c").alias("c"))
-    state = cells.join(steps, X, "left").select(*X, F.when(F.col("c") > 0, tau0 / (subsets * F.col("c"))).otherwise(0.0).alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("z"))
-    state = materialise(state)
-    dual = materialise(rows.select(*D, F.lit(0.0).alias("v")))
+    if state is not None:
+        prim, dual = state["primal"], {m: state[f"dual{m}"] for m in range(subsets)}
+    else:
+        steps = sums.groupBy(*X).agg(F.max("c").alias("c"))
+        size = F.when(F.col("c") > 0, tau0 / (subsets * F.col("c"))).otherwise(0.0)
+        prim = materialise(cells.join(steps, X, "left").select(*X, size.alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("z")))
+        dual = {m: materialise(rows[m].select(*D, F.lit(0.0).alias("v"))) for m in range(subsets)}
     for step, m in enumerate(order):
-        chosen = op.restrict(f"a % {subsets} = {m}")
-        part = rows.where(f"a % {subsets} = {m}")
-        ax = chosen.forward(state.select(*X, F.col("x").alias("v")))
-        moved = materialise(_on(part, yd=dual, ax=ax).select(*D, F.col("yd"), _dual(F.col("yd"), F.col("sig"), F.col("ax")).alias("yn")))
-        dz = chosen.adjoint(moved.select(*D, (F.col("yn") - F.col("yd")).alias("v"))).withColumnRenamed("v", "dz")
-        dual = materialise(dual.where(f"a % {subsets} <> {m}").unionByName(moved.select(*D, F.col("yn").alias("v"))))
-        both = state.join(dz, X, "left").withColumn("dz", F.coalesce("dz", F.lit(0.0)))
+        ax = chosen[m].forward(prim.select(*X, F.col("x").alias("v")))
+        old, before = dual[m], prim
+        moved = materialise(_on(rows[m], yd=dual[m], ax=ax).select(*D, F.col("yd"), _dual(F.col("yd"), F.col("sig"), F.col("ax")).alias("v")))
+        dz = chosen[m].adjoint(moved.select(*D, (F.col("v") - F.col("yd")).alias("v"))).withColumnRenamed("v", "dz")
+        dual[m] = moved
+        both = prim.join(dz, X, "left").withColumn("dz", F.coalesce("dz", F.lit(0.0)))
         z = F.col("z") + F.col("dz")
-        bar = z + subsets * F.col("dz")
-        new = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.col("x") - F.col("t") * (bar + lam))).otherwise(0.0)
-        state = materialise(both.select(*X, "t", new.alias("x"), z.alias("z")))
-        if _stop(callback, step + 1, state, {"step": step + 1}):
+        new = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.col("x") - F.col("t") * (z + subsets * F.col("dz") + lam))).otherwise(0.0)
+        prim = materialise(both.select(*X, "t", new.alias("x"), z.alias("z")))
+        discard(old, before)
+        if _stop(callback, step + 1, prim, {"step": step + 1}):
             break
-    return state.select(*X, F.col("x").alias("v"))
+    x = prim.select(*X, F.col("x").alias("v"))
+    return (x, {"primal": prim} | {f"dual{m}": df for m, df in dual.items()}) if resumable else x
 
 
 def random_order(subsets: int, epochs: int, seed: int) -> list[int]:
@@ -161,20 +180,59 @@ def osem(op, data: DataFrame, order: list[int], x0: DataFrame, subsets: int, lam
         back = chosen.adjoint(both.select(*D, F.col("r").alias("v"))).withColumnRenamed("v", "back")
         sens = chosen.adjoint(both.select(*D, F.col("s").alias("v"))).withColumnRenamed("v", "sens")
         cur = x.join(back, X, "left").join(sens, X, "left")
+        old = x
         x = materialise(cur.select(*X, F.when(F.col("sens") > 0, F.col("v") * F.col("back") / (F.col("sens") + lam)).otherwise(F.col("v")).alias("v")))
+        discard(old)
         if _stop(callback, step + 1, x, {"step": step + 1}):
             break
     return x
 
 
 def start_floor(x0: DataFrame, share: float = 0.01) -> DataFrame:
-    """Every allowed coefficient at least ``share`` of the median of the positive ones."""
-    floor = x0.where("v > 0").agg((share * F.expr("percentile(v, 0.5)")).alias("floor"))
+    """Every allowed coefficient at least ``share`` of the (approximate) median of the positive ones."""
+    floor = x0.where("v > 0").agg((share * F.percentile_approx("v", 0.5, 10_000)).alias("floor"))
     return x0.crossJoin(F.broadcast(floor)).select(*X, F.greatest("v", F.coalesce("floor", F.lit(0.0))).alias("v"))
 
 
-def fista_poisson(op, data: DataFrame, x0: DataFrame, niter: int, lam: float = 0.0, floor: float = 1.0, refresh: int = 10, rho0: float = 1.0, callback: Callable | None = None) -> tuple[DataFrame, list[dict]]:
-    """Poisson deviance in a diagonal metric: descent-lemma backtracking, metric refresh, function restart."""
+def poisson_start(op, data: DataFrame, cells: DataFrame, kind: str = "wls", n: int = 20, lam: float = 0.0, floor: float = 1.0) -> DataFrame:
+    """A start for the Poisson deviance, which has its barrier at zero, on the allowed ``cells`` (k, p).
+
+    "uniform": one value everywhere, with the data's weighted total. "wls": n accelerated steps from
+    zero on the quadratic approximation of the deviance at the data, in the metric A^T W A 1.
+    """
+    d = _noise(data).where("w <> 0")
+    ones = materialise(_on(d, one=op.forward(cells.select(*X, F.lit(1.0).alias("v")))))
+    if kind == "uniform":
+        wg = F.col("w") / F.col("g")
+        value = F.sum(wg * F.col("b")) / F.sum(wg * F.col("one"))
+        return cells.crossJoin(F.broadcast(ones.agg(F.coalesce(value, F.lit(0.0)).alias("v")))).select(*X, "v")
+    if kind != "wls":
+        raise ValueError("a start is wls or uniform")
+    weight = F.col("w") / (F.col("g") * F.greatest(F.col("b"), F.col("g") * floor))
+    metric = materialise(op.adjoint(ones.select(*D, (weight * F.col("one")).alias("v"))))
+    x = y = cells.select(*X, F.lit(0.0).alias("v"))
+    t, old = 1.0, None
+    for _ in range(n):
+        grad = op.adjoint(_on(d, m=op.forward(y)).select(*D, (weight * (F.col("m") + F.col("bg") - F.col("b"))).alias("v")))
+        t_new = 0.5 * (1 + math.sqrt(1 + 4 * t * t))
+        beta, t = (t - 1) / t_new, t_new
+        new = F.when(F.col("h") > 0, F.greatest(F.lit(0.0), F.col("y") - (F.col("g") + lam) / F.col("h"))).otherwise(0.0)
+        moved = materialise(combine(X, x=x, y=y, g=grad, h=metric).join(cells.select(*X), X, "left_semi").select(*X, "x", new.alias("n")))
+        discard(old)
+        old = moved
+        x = moved.select(*X, F.col("n").alias("v"))
+        y = moved.select(*X, (F.col("n") + beta * (F.col("n") - F.col("x"))).alias("v"))
+    return x
+
+
+def fista_poisson(
+    op, data: DataFrame, x0: DataFrame, niter: int, lam: float = 0.0, floor: float = 1.0, refresh: int = 10, rho0: float = 1.0, callback: Callable | None = None, start: str = "x0", n_start: int = 20, state: dict | None = None, resumable: bool = False
+):
+    """Poisson deviance in a diagonal metric: descent-lemma backtracking, metric refresh, function restart.
+
+    ``start``: "x0" as given, or "wls" or "uniform" on its cells. Returns x and one dict an iteration.
+    An iteration without an acceptable step among ``MAX_BACKTRACKS`` is an error.
+    """
     d = _noise(data).where("w <> 0")
 
     def value_grad(y: DataFrame) -> tuple[float, DataFrame]:
@@ -183,36 +241,48 @@ def fista_poisson(op, data: DataFrame, x0: DataFrame, niter: int, lam: float = 0
         wg = F.col("w") / F.col("g")
         return f, rows.withColumn("gr", wg * (1 - F.col("b") / terms.expected(F.col("mu"), F.col("bg"), F.col("g"))))
 
-    x = y = materialise(x0)
-    t, rho, stats, last = 1.0, rho0, [], math.inf
-    metric = None
-    for it in range(niter):
+    if state is not None:
+        x, y, metric = state["x"], state["y"], state["metric"]
+        t, rho, last, done = (state[n] for n in ("t", "rho", "last", "it"))
+    else:
+        x = y = materialise(x0 if start == "x0" else poisson_start(op, data, x0.select(*X), start, n_start, lam, floor))
+        t, rho, last, done, metric = 1.0, rho0, math.inf, 0, None
+    stats, old = [], None
+    for it in range(done, done + niter):
         f_y, rows = value_grad(y)
         grad = op.adjoint(rows.select(*D, F.col("gr").alias("v")))
-        if it % refresh == 0:
+        if it % refresh == 0 or metric is None:
             ones = op.forward(x.select(*X, F.lit(1.0).alias("v")))
             metric = materialise(op.adjoint(_on(rows, one=ones).select(*D, (F.col("one") * terms.curvature(rows, floor)).alias("v"))))
-        for _ in range(20):
+        for _ in range(MAX_BACKTRACKS):
             cells = combine(X, x=x, y=y, g=grad, h=metric)
             new = F.when(F.col("h") > 0, F.greatest(F.lit(0.0), F.col("y") - (F.col("g") + lam) / (rho * F.col("h")))).otherwise(0.0)
-            state = materialise(cells.withColumn("n", new))
+            moved = materialise(cells.withColumn("n", new))
             step = F.col("n") - F.col("y")
-            lin, quad, l1, back = state.agg(F.sum(F.col("g") * step), F.sum(F.col("h") * step * step), F.sum("n"), F.sum((F.col("n") - F.col("x")) * step)).first()
-            f_new, _ = value_grad(state.select(*X, F.col("n").alias("v")))
+            lin, quad, l1 = moved.agg(F.sum(F.col("g") * step), F.sum(F.col("h") * step * step), F.sum("n")).first()
+            f_new, tried = value_grad(moved.select(*X, F.col("n").alias("v")))
+            discard(tried)
             if f_new <= f_y + lin + 0.5 * rho * quad + 1e-9 * abs(f_y):
                 break
+            discard(moved)
             rho *= 2
+        else:
+            raise ArithmeticError(f"iteration {it + 1}: no step length lowers the deviance")
+        discard(old)
+        old = moved
         obj = f_new + lam * l1
         if obj > last:
             t = 1.0
         last = obj
         t_new = 0.5 * (1 + math.sqrt(1 + 4 * t * t))
         beta, t = (t - 1) / t_new, t_new
-        x = state.select(*X, F.col("n").alias("v"))
-        y = state.select(*X, (F.col("n") + beta * (F.col("n") - F.col("x"))).alias("v"))
+        x = moved.select(*X, F.col("n").alias("v"))
+        y = moved.select(*X, (F.col("n") + beta * (F.col("n") - F.col("x"))).alias("v"))
         stats.append({"iter": it + 1, "f": f_new, "rho": rho})
         if _stop(callback, it + 1, x, stats[-1]):
             break
+    if resumable:
+        return x, stats, {"x": x, "y": y, "metric": metric, "t": t, "rho": rho, "last": last, "it": done + len(stats)}
     return x, stats
 
 

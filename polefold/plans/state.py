@@ -42,7 +42,19 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
         if not _WRITTEN:
             atexit.register(release)
         _WRITTEN.append((df.sparkSession, target))
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    out = df.sparkSession.read.schema(df.schema).parquet(target)
+    out.state_path = target if path is None else None
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialise`` has written and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "state_path", None)
+        if path and (entry := (df.sparkSession, path)) in _WRITTEN:
+            _WRITTEN.remove(entry)
+            target = entry[0].sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(entry[0].sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def save_state(tables: dict[str, DataFrame], path: str) -> None:
