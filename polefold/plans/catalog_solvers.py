@@ -152,7 +152,26 @@ def fista_sum(spark, d):
     return got["u"].select(F.lit("u").alias("phase"), "k", "p", r4(F.col("v")).alias("v")).union(got["v"].select(F.lit("v").alias("phase"), "k", "p", r4(F.col("v")).alias("v")))
 
 
-@query("fista_poisson_2it")
+def _poisson_sql(n: int) -> str:
+    """Iterations whose first step length is accepted (momentum starts with the second)."""
+    steps = {"cells": _CELLS, "rws": "SELECT * FROM noisy WHERE w <> 0", "x0": "SELECT k, p, v FROM cells", "y0": "SELECT k, p, v FROM cells"}
+    t = 1.0
+    for i in range(n):
+        steps[f"m{i}"] = _fwd(f"y{i}")
+        steps[f"u{i}"] = f"SELECT d.*, greatest(coalesce(m.v, 0), 0) AS m FROM rws d LEFT JOIN m{i} m USING (a, y, j)"
+        steps[f"r{i}"] = f"SELECT a, y, j, w / g * (1 - b / (m + bg + 0.001 * g)) AS v FROM u{i}"
+        steps[f"g{i}"] = _adj(f"r{i}")
+        if i == 0:
+            steps["cu"] = "SELECT a, y, j, m * (w / g * greatest(b, greatest(m + bg, g)) / (greatest(m + bg, g) * greatest(m + bg, g))) AS v FROM u0"
+            steps["met"] = _adj("cu")
+        t2 = 0.5 * (1 + (1 + 4 * t * t) ** 0.5)
+        beta, t = (t - 1) / t2, t2
+        steps[f"x{i + 1}"] = f"SELECT k, p, CASE WHEN coalesce(h.v, 0) > 0 THEN greatest(0, y.v - coalesce(g.v, 0) / h.v) ELSE 0 END AS v FROM y{i} y LEFT JOIN g{i} g USING (k, p) LEFT JOIN met h USING (k, p)"
+        steps[f"y{i + 1}"] = f"SELECT k, p, n.v + {beta!r} * (n.v - o.v) AS v FROM x{i + 1} n JOIN x{i} o USING (k, p)"
+    return sql(f"SELECT k, p, round(v, 4) + 0.0 AS v FROM x{n}", "noisy", "radon", "pf", **steps)
+
+
+@query("fista_poisson_2it", _poisson_sql(2))
 def fista_poisson(spark, d):
     x0 = _all_cells(spark).withColumn("v", F.lit(1.0))
     x, _ = solvers.fista_poisson(_stored_op(spark), _noisy(spark, d), x0, 2)
