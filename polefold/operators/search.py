@@ -69,7 +69,7 @@ def linked(kept: DataFrame, orientations: DataFrame, ops: DataFrame, nx: int, ny
     """
     from ..plans.state import materialise
 
-    nodes = materialise(kept.join(orientations.select("k", "qx", "qy", "qz", "qw"), "k").withColumn("node", F.col("p").cast("long") * 1_000_000 + F.col("k")))
+    nodes = materialise(kept.join(orientations.select("k", "qx", "qy", "qz", "qw"), "k").withColumn("node", F.shiftleft(F.col("p").cast("long"), 32) + F.col("k")))
     arms = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     x, y = F.col("p") % nx + F.col("o.dx"), F.floor(F.col("p") / nx).cast("int") + F.col("o.dy")
     moved = nodes.select("node", "p", "qx", "qy", "qz", "qw", F.explode(arms).alias("o")).where((x >= 0) & (x < nx) & (y >= 0) & (y < ny))
