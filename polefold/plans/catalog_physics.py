@@ -263,7 +263,24 @@ def candidate_peaks(spark, d):
     return search.peaks(z.where("not is_null"), null, 0.9).select("p", "k", "z0", r4(F.col("z1")).alias("z1"))
 
 
-@query("select_candidates")
+_IMAGES = "SELECT k, " + _TURN + " FROM (SELECT DISTINCT orient.* FROM orient SEMI JOIN found USING (k)), o"
+_DOT = "abs(x.qx*e.tx + x.qy*e.ty + x.qz*e.tz + x.qw*e.tw)"
+
+
+@query("select_candidates", sql(
+    "SELECT arg_min(k, [-z0, k])::INT AS k, round(sum(z0), 4) AS score, array_to_string(list_sort(list(DISTINCT p)), ',') AS tiles FROM (SELECT n.*, least(n.id, coalesce(r.root, n.id)) AS root FROM nodes n LEFT JOIN (SELECT id, min(other) AS root FROM reach GROUP BY id) r USING (id)) GROUP BY root",
+    "orient", o=_O,
+    z="SELECT (user_id % 64)::INT AS p, (event_id % 500)::INT AS k, value AS z0, value * (1 + event_id % 3) AS z1, event_id % 7 = 0 AS n FROM events",
+    found="SELECT z.p, z.k, max(z.z0) AS z0 FROM z JOIN (SELECT p, max(z0) AS n0, max(z1) AS n1 FROM z WHERE n GROUP BY p) b USING (p) SEMI JOIN orient ON orient.k = z.k WHERE NOT n AND z0 >= 0.8 * n0 AND z1 >= n1 GROUP BY 1, 2",
+    placed="SELECT *, row_number() OVER (PARTITION BY p ORDER BY z0 DESC, k) AS i FROM found",
+    images=_IMAGES,
+    near=f"SELECT x.k, e.k AS t, max({_DOT}) AS c FROM (SELECT DISTINCT orient.* FROM orient SEMI JOIN found USING (k)) x, images e GROUP BY 1, 2",
+    seq="SELECT x.p, x.i, x.k, x.z0, list(y.k) FILTER (y.k IS NOT NULL) AS ts FROM placed x LEFT JOIN (SELECT y0.p, y0.i, y0.k, n.k AS other FROM placed y0 JOIN near n ON n.t = y0.k AND n.c > cos(radians(8.0) / 2)) y ON y.p = x.p AND y.i < x.i AND y.other = x.k GROUP BY 1, 2, 3, 4",
+    walk="SELECT DISTINCT p, 0::BIGINT AS i, []::INT[] AS kept FROM found UNION ALL SELECT s.p, s.i, CASE WHEN len(w.kept) < 3 AND len(list_intersect(w.kept, coalesce(s.ts, []))) = 0 THEN list_append(w.kept, s.k) ELSE w.kept END FROM walk w JOIN seq s ON s.p = w.p AND s.i = w.i + 1",
+    kept="SELECT p, unnest(kept) AS k FROM walk SEMI JOIN (SELECT p, max(i) AS i FROM placed GROUP BY p) USING (p, i)",
+    nodes="SELECT p, k, z0, p::BIGINT * 4294967296 + k AS id FROM kept JOIN found USING (p, k)",
+    links="SELECT x.id, y.id AS other FROM nodes x JOIN nodes y ON x.id <> y.id AND abs(x.p % 8 - y.p % 8) <= 1 AND abs(x.p // 8 - y.p // 8) <= 1 JOIN near n ON n.k = x.k AND n.t = y.k AND n.c > cos(radians(25.0) / 2)",
+    reach="SELECT id, other FROM links UNION SELECT r.id, l.other FROM reach r JOIN links l ON l.id = r.other"))
 def select_candidates(spark, d):
     z, o = _z(spark, d), B.orientations(spark, d)
     found = materialise(search.peaks(z.where("not is_null"), z.where("is_null"), 0.8).groupBy("p", "k").agg(F.max("z0").alias("z0")))

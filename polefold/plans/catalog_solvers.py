@@ -288,7 +288,41 @@ def resumed_solvers(spark, d):
     return spark.createDataFrame(found, "solver string, same boolean")
 
 
-@query("spdhg_tv_epoch")
+def _tv_sql(order: list[int | str], subsets: int, tv: float) -> str:
+    """The stochastic epoch with total-variation blocks, unrolled: tables p (state), d (duals) and q (edges)."""
+    p_tv = 1 / (subsets + 1)
+    share = (1 - p_tv) / subsets
+    steps = {"cells": _CELLS, "ax1": _fwd("cells"), "rws": _ROWS, "cnt": "SELECT a, y, j, 1.0::DOUBLE AS v FROM noisy WHERE w <> 0"}
+    for m in range(subsets):
+        steps[f"c{m}"] = _adj("cnt", f"d.a % {subsets} = {m}")
+    union = " UNION ALL ".join(f"SELECT * FROM c{m}" for m in range(subsets))
+    steps["p0"] = f"SELECT k, p, CASE WHEN coalesce(c.v, 0) > 0 THEN {share} / c.v ELSE 0 END AS t, 1.0::DOUBLE AS x, 0.0::DOUBLE AS z FROM cells LEFT JOIN (SELECT k, p, max(v) AS v FROM ({union}) GROUP BY 1, 2) c USING (k, p)"
+    steps["d0"] = "SELECT a, y, j, 0.0::DOUBLE AS v FROM rws"
+    steps["q0"] = "SELECT k, p, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy FROM cells"
+    duals, edges = "d0", "q0"
+    for i, m in enumerate(order):
+        if m == "tv":
+            steps[f"f{i}"] = f"SELECT k, p, t, x FROM p{i} WHERE t > 0"
+            steps[f"n{i}"] = (
+                f"SELECT c.k, c.p, c.x, coalesce(q.qx, 0) AS qx, coalesce(q.qy, 0) AS qy, r.x AS xr, b.x AS xd, greatest(coalesce(c.t + r.t, 0), coalesce(c.t + b.t, 0)) AS top FROM f{i} c LEFT JOIN f{i} r ON r.k = c.k AND r.p = c.p + 1 AND r.p % {NX} > 0 "
+                f"LEFT JOIN f{i} b ON b.k = c.k AND b.p = c.p + {NX} LEFT JOIN {edges} q ON q.k = c.k AND q.p = c.p"
+            )
+            steps[f"s{i}"] = f"SELECT *, CASE WHEN xr IS NULL THEN 0 ELSE qx + st * (xr - x) END AS ax, CASE WHEN xd IS NULL THEN 0 ELSE qy + st * (xd - x) END AS ay FROM (SELECT *, CASE WHEN top > 0 THEN {0.99 * p_tv / 4} / top ELSE 0 END AS st FROM n{i})"
+            steps[f"v{i}"] = f"SELECT k, p, qx, qy, ax / sz AS nx, ay / sz AS ny FROM (SELECT *, greatest(1, sqrt(ax * ax + ay * ay) / {tv}) AS sz FROM s{i})"
+            steps[f"q{i + 1}"] = f"SELECT k, p, nx AS qx, ny AS qy FROM v{i}"
+            steps[f"b{i}"] = f"SELECT k, p, sum(v) AS v FROM (SELECT k, p, qx - nx + qy - ny AS v FROM v{i} UNION ALL SELECT k, p + 1, nx - qx FROM v{i} UNION ALL SELECT k, p + {NX}, ny - qy FROM v{i}) WHERE v <> 0 GROUP BY 1, 2"
+            edges, factor = f"q{i + 1}", 1 / p_tv
+        else:
+            steps[f"f{i}"] = _fwd(f"p{i}", f"r.a % {subsets} = {m}", v="x")
+            steps[f"e{i}"] = f"SELECT r.*, q.v AS old, q.v + sig * coalesce(f.v, 0) + sig * (bg + 0.001 * g) AS vv FROM rws r JOIN {duals} q USING (a, y, j) LEFT JOIN f{i} f USING (a, y, j)"
+            steps[f"d{i + 1}"] = f"SELECT a, y, j, CASE WHEN a % {subsets} = {m} THEN {_DUAL} ELSE old END AS v, CASE WHEN a % {subsets} = {m} THEN {_DUAL} ELSE old END - old AS dv FROM e{i}"
+            steps[f"b{i}"] = _adj(f"d{i + 1}", f"d.a % {subsets} = {m}", v="dv")
+            duals, factor = f"d{i + 1}", 1 / share
+        steps[f"p{i + 1}"] = f"SELECT k, p, t, CASE WHEN t > 0 THEN greatest(0, x - t * (z + coalesce(b.v, 0) + {factor} * coalesce(b.v, 0))) ELSE 0 END AS x, z + coalesce(b.v, 0) AS z FROM p{i} LEFT JOIN b{i} b USING (k, p)"
+    return sql(f"SELECT k, p, round(x, 4) + 0.0 AS v FROM p{len(order)}", "noisy", "radon", "pf", **steps)
+
+
+@query("spdhg_tv_epoch", _tv_sql([1, "tv", 0, 2, "tv"], 3, 0.5))
 def spdhg_tv(spark, d):
     got = solvers.spdhg_tv(_stored_op(spark), _noisy(spark, d), [1, "tv", 0, 2, "tv"], _all_cells(spark), 3, NX, NY, 0.5)
     return _out(got, "k", "p", v="v")
