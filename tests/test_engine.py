@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from polefold.functions import rotations as rot
-from polefold.operators import crystal, derivs, fields, interp, linop, polefigure, projector, search, terms
+from polefold.functions import scalar
+from polefold.operators import crystal, derivs, fields, interp, linop, polefigure, projector, search, terms, tree
 from polefold.plans import catalog, odf, solvers
 from polefold.plans.state import load_state, materialise, save_state
 from polefold.schemas import assert_schema
@@ -379,3 +380,100 @@ def test_total_variation_step_flattens(spark):
     assert rows[1].qx > 0 and rows[0].qx == 0 and all(r.qy == 0 for r in rows.values())
     moved = {r.p: r.v for r in dz.collect()}
     assert moved[1] < 0 < moved[2] and abs(sum(moved.values())) < 1e-12
+
+
+def _random_quats(n, seed):
+    rng = np.random.default_rng(seed)
+    q = rng.normal(size=(n, 4))
+    return q / np.linalg.norm(q, axis=1, keepdims=True)
+
+
+def _quat_table(spark, q, key="k"):
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(q)], f"{key} int, qx double, qy double, qz double, qw double")
+
+
+@pytest.mark.parametrize(("group", "limit"), [("O", 12.0), ("D3", 40.0), ("C1", 100.0)])
+def test_near_pairs_loses_nothing(spark, group, limit):
+    left, right = _random_quats(60, 1), _random_quats(40, 2)
+    turns = np.array(rot.group(group))
+    want = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            x, y, z, w = b
+            images = np.array([[w * s[0] + x * s[3] + y * s[2] - z * s[1], w * s[1] - x * s[2] + y * s[3] + z * s[0], w * s[2] + x * s[1] - y * s[0] + z * s[3], w * s[3] - x * s[0] - y * s[1] - z * s[2]] for s in turns])
+            c = np.abs(images @ a).max()
+            if c >= math.cos(math.radians(limit) / 2):
+                want[i, j] = c
+    got = rot.near_pairs(_quat_table(spark, left), _quat_table(spark, right, "t"), rot.symops(spark, group), limit).collect()
+    assert {(r.k, r.t) for r in got} == set(want)
+    assert all(abs(want[r.k, r.t] - r.c) < 1e-9 for r in got)
+
+
+def test_angular_joins_have_no_cross_join_of_orientations(spark):
+    o = _quat_table(spark, _random_quats(10, 3))
+    plan = rot.near_pairs(o, o.withColumnRenamed("k", "t"), rot.symops(spark, "O"), 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Cross") + plan.count("Join Inner\n") <= 1  # with the symmetry operations only
+    assert "_cell" in plan
+
+
+def test_nested_cells_are_nested(spark):
+    o = _quat_table(spark, _random_quats(80, 4))
+    rows = tree.nested_cells(o, rot.symops(spark, "C1"), (90.0, 45.0, 20.0)).collect()
+    node = {(r.level, r.k): r.node for r in rows}
+    assert len(node) == 3 * 80
+    for level in (1, 2):
+        parents = {}
+        for k in range(80):
+            parents.setdefault(node[level, k], set()).add(node[level - 1, k])
+        assert all(len(p) == 1 for p in parents.values())
+    assert len({node[2, k] for k in range(80)}) > len({node[0, k] for k in range(80)})
+
+
+def test_families_of_all_systems():
+    orders = {"cubic": 48, "hexagonal": 24, "trigonal": 12, "tetragonal": 16, "orthorhombic": 8, "monoclinic": 4, "triclinic": 2}
+    assert {s: len(crystal.integer_ops(s)) for s in orders} == orders
+    assert crystal.crystal_system(3, 4, 4, 90, 90, 90) == "orthorhombic"
+    assert crystal.crystal_system(3, 4, 5, 90, 90, 100) == "triclinic"
+    assert [crystal.system_of_group(n) for n in (1, 2, 3, 15, 16, 75, 142, 143, 168, 195, 230)] == ["triclinic", "triclinic", "monoclinic", "monoclinic", "orthorhombic", "tetragonal", "tetragonal", "trigonal", "hexagonal", "cubic", "cubic"]
+    with pytest.raises(ValueError):
+        crystal.system_of_group(231)
+    with pytest.raises(ValueError):
+        crystal.scattering_window(0.5)
+    with pytest.raises(ValueError):
+        crystal.laue_rotations([np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]])], crystal.lattice_matrix(3.0, 4.0, 5.0, 90, 90, 90))
+
+
+def test_unknown_elements_are_an_error(spark):
+    sites = spark.createDataFrame([("Xx", 0.0, 0.0, 0.0, 1.0, None)], "element string, x double, y double, z double, occ double, u double")
+    with pytest.raises(Exception, match="no form factor for element Xx"):
+        crystal.with_elements(sites, crystal.form_factor_table(spark)).collect()
+    named = crystal.with_elements(sites.withColumn("element", F.lit("d ")), crystal.form_factor_table(spark)).first()
+    assert named.element == "H"
+    assert all(abs(sum(a) + c - z) < 0.1 for (a, _, c), z in ((crystal.FORM_FACTORS[e], z) for e, z in (("H", 1), ("C", 6), ("Fe", 26), ("Au", 79), ("U", 92))))
+
+
+def test_error_function_tails(spark):
+    xs = [-3.0, -0.5, 0.0, 0.3, 2.0, 5.0, 8.0, 20.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalar.erfc(F.col("x")).alias("c"), scalar.erfcx(F.abs("x")).alias("s")).collect()
+    for r in got:
+        assert abs(r.c - math.erfc(r.x)) <= 2e-7 * max(math.erfc(r.x), 1e-300)
+        if abs(r.x) < 20:
+            assert abs(r.s - math.exp(r.x**2) * math.erfc(abs(r.x))) < 2e-7 * r.s
+    assert abs(got[-1].s - 1 / (20 * math.sqrt(math.pi))) < 1e-4
+
+
+def test_renumbered_orientations(spark):
+    far = spark.range(100).select((F.col("id") * 10**11).alias("k"), F.col("id").alias("was")).repartition(4)
+    got = sorted((r.was, r.k) for r in odf.renumbered(far).collect())
+    assert got == [(i, i) for i in range(100)]
+
+
+def test_backtracking_ends_with_an_error(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "MAX_BACKTRACKS", 0)
+    cells = spark.createDataFrame([(0, 0)], "k int, p int")
+    data = spark.createDataFrame([(0, 0, 0, 4.0, 1.0, 1.0, 0.0)], "a int, y int, j int, b double, w double, g double, bg double")
+    radon = spark.createDataFrame([(0, 0, 0, 1.0)], "a int, y int, p int, w double")
+    pf = spark.createDataFrame([(0, 0, 0, 1.0)], "a int, k int, j int, v double")
+    with pytest.raises(ArithmeticError):
+        solvers.fista_poisson(linop.tomographic(radon, pf), data, cells.withColumn("v", F.lit(1.0)), 1)
+    assert abs(solvers.poisson_start(linop.tomographic(radon, pf), data, cells, "uniform").first().v - 4.0) < 1e-9
