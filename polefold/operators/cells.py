@@ -26,7 +26,9 @@ def half_spaces(centres: DataFrame, ops: DataFrame, radius: float) -> DataFrame:
     """
     images = rot.equivalents(centres.select(F.col("k").alias("t"), "qx", "qy", "qz", "qw"), ops)
     images = images.select("t", "g", *[F.col(f"q{c}").alias(f"b{c}") for c in "xyzw"])
-    both = centres.join(F.broadcast(images), F.abs(rot.dot(rot.quat(), tuple(F.col(f"b{c}") for c in "xyzw"))) >= math.cos(min(radius, math.pi / 2)))
+    near_ids = rot.near_pairs(centres, centres.withColumnRenamed("k", "t"), ops, math.degrees(2 * min(radius, math.pi / 2))).select("k", "t")
+    # which centres can be near comes from cells of orientation space; their images are then judged one by one
+    both = centres.join(near_ids, "k").join(images, "t").where(F.abs(rot.dot(rot.quat(), tuple(F.col(f"b{c}") for c in "xyzw"))) >= math.cos(min(radius, math.pi / 2)))
     s = F.signum(rot.dot(rot.quat(), tuple(F.col(f"b{c}") for c in "xyzw")))
     near = both.withColumn("_same", F.abs(rot.dot(rot.quat(), tuple(F.col(f"b{c}") for c in "xyzw"))) > 1 - 1e-12).where("not _same")
     sides = []
@@ -63,28 +65,40 @@ def fibre(n: np.ndarray, q: np.ndarray, g: np.ndarray, walls: np.ndarray) -> np.
     return 2 * np.maximum(0.0, math.pi - rel.max(0) + rel.min(0))
 
 
+def _rotated(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """R(q) v."""
+    return _times(_times(q, np.array([*v, 0.0])), q * np.array([-1, -1, -1, 1]))[:3]
+
+
 def spectra(cells: DataFrame, beams: DataFrame, table: DataFrame, lam: DataFrame, nodes: int = 64) -> DataFrame:
     """mass(k, a, r, l, v): volume share of the cell per unit wavelength at each wavelength.
 
     ``beams``: a, bx, by, bz; ``table``: r, gx, gy, gz (unit), d; ``lam``: l, lam. All three are
-    dimension tables; cells are the distributed side, and each row's integral is one Arrow call.
+    dimension tables and are held by every task; cells are the distributed side. The cones of all
+    wavelengths of one beam and reflection are integrated at once.
     """
-    tasks = cells.crossJoin(F.broadcast(beams)).crossJoin(F.broadcast(table)).crossJoin(F.broadcast(lam)).where("lam <= 2 * d")
+    phi = (np.arange(nodes) + 0.5) * 2 * math.pi / nodes
+    waves = np.array([(r["l"], r["lam"]) for r in lam.orderBy("l").collect()], float).reshape(-1, 2)
+    frames = []
+    for r in beams.orderBy("a").collect():
+        b = np.array([r["bx"], r["by"], r["bz"]])
+        turn = _turn(np.array([0.0, 0.0, 1.0]), b[None])[0]
+        frames.append((r["a"], b, np.cos(phi)[:, None] * _rotated(turn, np.array([1.0, 0, 0])) + np.sin(phi)[:, None] * _rotated(turn, np.array([0, 1.0, 0]))))
+    lines = [(r["r"], np.array([r["gx"], r["gy"], r["gz"]]), r["d"]) for r in table.orderBy("r").collect()]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phi = (np.arange(nodes) + 0.5) * 2 * math.pi / nodes
         for part in parts:
-            out = []
-            for row in part.itertuples():
-                b = np.array([row.bx, row.by, row.bz])
-                e1 = np.cross(b, [0, 0, 1.0] if abs(b[2]) < 0.9 else [1.0, 0, 0])
-                e1 /= np.linalg.norm(e1)
-                e2 = np.cross(b, e1)
-                t = min(row.lam / (2 * row.d), 1.0)
-                s = math.sqrt(max(1 - t * t, 0.0))
-                n = t * b + s * (np.cos(phi)[:, None] * e1 + np.sin(phi)[:, None] * e2)
-                kept = fibre(n, np.array([row.qx, row.qy, row.qz, row.qw]), np.array([row.gx, row.gy, row.gz]), np.stack([np.asarray(w) for w in row.walls]))
-                out.append(kept.mean() * 2 * math.pi / (8 * math.pi**2) / (2 * row.d))
-            yield pd.DataFrame({"k": part["k"], "a": part["a"], "r": part["r"], "l": part["l"], "v": out})
-
-    return tasks.mapInPandas(work, "k int, a int, r int, l int, v double")
+            made = []
+            for k, q, walls in zip(part["k"], part[["qx", "qy", "qz", "qw"]].to_numpy(), part["walls"]):
+                walls = np.stack([np.asarray(w) for w in walls])
+                for a, b, around in frames:
+                    for r, g, d in lines:
+                        own = waves[waves[:, 1] <= 2 * d]
+                        t = np.minimum(own[:, 1] / (2 * d), 1.0)[:, None, None]
+                        n = t * b + np.sqrt(np.maximum(1 - t * t, 0.0)) * around
+                        kept = fibre(n.reshape(-1, 3), q, g, walls).reshape(len(own), nodes)
+                        share = kept.mean(axis=1) * 2 * math.pi / (8 * math.pi**2) / (2 * d)
+                        made.append(pd.DataFrame({"k": k, "a": a, "r": r, "l": own[:, 0].astype(int), "v": share}))
+            yield pd.concat(made) if made else pd.DataFrame({"k": [], "a": [], "r": [], "l": [], "v": []})
+
+    return cells.select("k", "qx", "qy", "qz", "qw", "walls").mapInPandas(work, "k int, a int, r int, l int, v double")

@@ -28,6 +28,19 @@ def model_entries(data: DataFrame, sino: DataFrame, slopes: DataFrame) -> DataFr
     return rows.join(slopes.select("a", "k", "j", *[f"d_{p}" for p in PARAMETERS]), ["a", "k", "j"])
 
 
+def parameter_gradients(data: DataFrame, sino: DataFrame, slopes: DataFrame, n_rings: int) -> DataFrame:
+    """(parameter, i, g): the model's transposed derivative applied to a gradient of the data.
+
+    ``data``(a, y, j, v), ``sino``(a, y, k, v), ``slopes``(a, k, j, d_*). Turns and widths are summed per
+    orientation, the sample's rotation per angle, the Bragg angle per ring, the azimuth's offset over all.
+    """
+    both = data.join(sino.withColumnRenamed("v", "_s"), ["a", "y"]).groupBy("a", "k", "j").agg(F.sum(F.col("v") * F.col("_s")).alias("_g"))
+    rows = both.join(slopes, ["a", "k", "j"])
+    places = {p: F.col("k") for p in PARAMETERS} | {"omega": F.col("a"), "two_theta": F.pmod("j", F.lit(n_rings)), "eta": F.lit(0)}
+    parts = F.array(*[F.struct(F.lit(p).alias("parameter"), at.cast("int").alias("i"), (F.col("_g") * F.col(f"d_{p}")).alias("g")) for p, at in places.items()])
+    return rows.select(F.explode(parts).alias("x")).groupBy("x.parameter", "x.i").agg(F.sum("x.g").alias("g")).select("parameter", "i", "g")
+
+
 def normal_blocks(entries: DataFrame) -> DataFrame:
     """Per orientation: gradient (4) and upper triangle (10) of the Gauss-Newton block.
 

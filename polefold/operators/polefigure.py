@@ -83,7 +83,11 @@ def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
 
 
 def pf_slopes(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
-    """pf(a, k, c, r, v) and d_rx, d_ry, d_rz (turns from the left, in radians) and d_sigma, on the entries of :func:`pf_table`."""
+    """pf(a, k, c, r, v) and its derivatives on the entries of :func:`pf_table`.
+
+    d_rx, d_ry, d_rz: turns of the orientation from the left, in radians; d_sigma: its width; d_eta: an
+    offset of the azimuth; d_two_theta: the ring's angle; d_omega: the sample's rotation.
+    """
     both, d = _hits(pole, angle, ring, n_eta)
     s, eta = F.col("sigma"), (F.col("c") + 0.5) * 2 * math.pi / n_eta
     gaps = {n: (1 + sign * F.abs(d)) / (s * s) for n, sign in (("near", -1), ("far", 1))}
@@ -95,8 +99,11 @@ def pf_slopes(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
     px, py, pz, vx, vy, vz = F.col("x"), F.col("y"), F.col("pz"), F.cos("th") * F.cos(eta), -F.sin("th"), F.cos("th") * F.sin(eta)
     cx, cy, cz = py * vz - pz * vy, pz * vx - px * vz, px * vy - py * vx
     turned = (F.cos("om") * cx - F.sin("om") * cy, F.sin("om") * cx + F.cos("om") * cy, cz)
-    rows = both.select("a", "k", "c", "r", (scale * (near + far)).alias("v"), *[(by_d * t).alias(f"d_r{n}") for t, n in zip(turned, "xyz")], by_sigma.alias("d_sigma"))
-    return rows.where("v > 0").groupBy("a", "k", "c", "r").agg(*[F.sum(n).alias(n) for n in ("v", "d_rx", "d_ry", "d_rz", "d_sigma")])
+    by_eta = by_d * F.cos("th") * (pz * F.cos(eta) - px * F.sin(eta))
+    by_ring = by_d * -0.5 * (F.sin("th") * (px * F.cos(eta) + pz * F.sin(eta)) + F.cos("th") * py)
+    slopes = {f"d_r{n}": by_d * t for t, n in zip(turned, "xyz")} | {"d_sigma": by_sigma, "d_eta": by_eta, "d_two_theta": by_ring, "d_omega": by_d * (py * vx - px * vy)}
+    rows = both.select("a", "k", "c", "r", (scale * (near + far)).alias("v"), *[c.alias(n) for n, c in slopes.items()])
+    return rows.where("v > 0").groupBy("a", "k", "c", "r").agg(*[F.sum(n).alias(n) for n in ("v", *slopes)])
 
 
 def scale_by_ring(pf: DataFrame, ring: DataFrame, n_rings: int) -> DataFrame:

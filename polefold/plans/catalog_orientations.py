@@ -49,10 +49,15 @@ def nested_cells(spark, d):
     return tree.nested_cells(o, _cubic(spark), (40.0, 20.0)).select("level", "node", "k")
 
 
-_PROBE = "SELECT a, theta, c, r, cos(theta) * x - sin(theta) * y AS vx, sin(theta) * x + cos(theta) * y AS vy, z AS vz FROM (SELECT a, theta, c, r, cos(tth / 2) * cos((c + 0.5) * 2 * pi() / {n}) AS x, -sin(tth / 2) AS y, cos(tth / 2) * sin((c + 0.5) * 2 * pi() / {n}) AS z FROM angle, range({n}) e(c), rings)"
+_PROBE = (
+    "SELECT a, theta, c, r, cos(theta) * x - sin(theta) * y AS vx, sin(theta) * x + cos(theta) * y AS vy, z AS vz, cos(theta) * ex AS e1, sin(theta) * ex AS e2, ez AS e3, "
+    "cos(theta) * fx - sin(theta) * fy AS f1, sin(theta) * fx + cos(theta) * fy AS f2, fz AS f3 FROM (SELECT a, theta, c, r, cos(h) * cos(e) AS x, -sin(h) AS y, cos(h) * sin(e) AS z, -cos(h) * sin(e) AS ex, cos(h) * cos(e) AS ez, "
+    "-sin(h) * cos(e) / 2 AS fx, -cos(h) / 2 AS fy, -sin(h) * sin(e) / 2 AS fz FROM (SELECT a, theta, c, r, tth / 2 AS h, (c + 0.5) * 2 * pi() / {n} AS e FROM angle, range({n}) t(c), rings))"
+)
 _POLE = "SELECT k, r, cnt, sigma, " + ", ".join(f"{t.format(a='nx', b='ny', c='nz')} AS p{n}" for t, n in zip(_ROT, "xyz")) + " FROM {o}, ax"
 _SLOPES = """SELECT a, k, c::INT AS c, r, sum(s * e) AS v, sum(s * e * sign(dd) / (sigma * sigma) * (py * vz - pz * vy)) AS d_rx, sum(s * e * sign(dd) / (sigma * sigma) * (pz * vx - px * vz)) AS d_ry,
-  sum(s * e * sign(dd) / (sigma * sigma) * (px * vy - py * vx)) AS d_rz, sum(2 * s / sigma * e * ((1 - abs(dd)) / (sigma * sigma) - 1)) AS d_sigma
+  sum(s * e * sign(dd) / (sigma * sigma) * (px * vy - py * vx)) AS d_rz, sum(2 * s / sigma * e * ((1 - abs(dd)) / (sigma * sigma) - 1)) AS d_sigma,
+  sum(s * e * sign(dd) / (sigma * sigma) * (px * e1 + py * e2 + pz * e3)) AS d_eta, sum(s * e * sign(dd) / (sigma * sigma) * (px * f1 + py * f2 + pz * f3)) AS d_two_theta, sum(s * e * sign(dd) / (sigma * sigma) * (py * vx - px * vy)) AS d_omega
 FROM (SELECT *, cnt / (8 * pi() * sigma * sigma) AS s, exp(-(1 - abs(dd)) / (sigma * sigma)) AS e FROM (SELECT *, px * vx + py * vy + pz * vz AS dd FROM pole JOIN probe USING (r)) WHERE (1 - abs(dd)) / (sigma * sigma) < 8)
 GROUP BY a, k, 3, r"""
 
@@ -62,10 +67,13 @@ def _slopes(spark, d, condition: str, n_eta: int):
     return polefigure.pf_slopes(poles, projector.angles(spark, R), polefigure.ring_table(spark, _TTH), n_eta)
 
 
-@query("pf_derivatives", sql("SELECT a, k, c, r, " + ", ".join(f"round(d_{p}, 2) + 0.0 AS d_{p}" for p in derivs.PARAMETERS) + " FROM slopes WHERE v > 0.05", "orient", "angle", rings=_RINGS, ax=_AX, pole=_POLE.format(o="(SELECT * FROM orient WHERE k < 40)"), probe=_PROBE.format(n=36), slopes=_SLOPES))
+_ALL = (*derivs.PARAMETERS, "eta", "two_theta", "omega")
+
+
+@query("pf_derivatives", sql("SELECT a, k, c, r, " + ", ".join(f"round(d_{p}, 2) + 0.0 AS d_{p}" for p in _ALL) + " FROM slopes WHERE v > 0.05", "orient", "angle", rings=_RINGS, ax=_AX, pole=_POLE.format(o="(SELECT * FROM orient WHERE k < 40)"), probe=_PROBE.format(n=36), slopes=_SLOPES))
 def pf_derivatives(spark, d):
     got = _slopes(spark, d, "k < 40", 36).where("v > 0.05")
-    return got.select("a", "k", "c", "r", *[r4(F.col(f"d_{p}"), 2).alias(f"d_{p}") for p in derivs.PARAMETERS])
+    return got.select("a", "k", "c", "r", *[r4(F.col(f"d_{p}"), 2).alias(f"d_{p}") for p in _ALL])
 
 
 _SLOPES24 = {"rings": _RINGS, "ax": _AX, "pole": _POLE.format(o="(SELECT * FROM orient WHERE k < 7)"), "probe": _PROBE.format(n=8), "slopes": _SLOPES}
@@ -91,6 +99,21 @@ def normal_blocks(spark, d):
     return blocks.select("k", *[digits(n) for n in blocks.columns if n != "k"])
 
 
+_PARTS = " UNION ALL ".join(f"SELECT '{p}' AS parameter, {at}::INT AS i, sum(g * d_{p}) AS g FROM entries GROUP BY 2" for p, at in [(p, "k") for p in derivs.PARAMETERS] + [("omega", "a"), ("two_theta", "(j % 3)"), ("eta", "0")])
+
+
+@query("parameter_gradients", sql(
+    "SELECT parameter, i, CASE WHEN g = 0 THEN 0.0 ELSE round(g / pow(10, floor(log10(abs(g)))), 5) END AS g FROM parts", "noisy", "sino", "orient", "angle", **_SLOPES24,
+    entries="SELECT a, k, j, g, " + ", ".join(f"d_{p}" for p in _ALL) + " FROM (SELECT n.a, s.k, n.j, sum((n.mu - n.b) * s.v) AS g FROM noisy n JOIN sino s USING (a, y) GROUP BY 1, 2, 3) JOIN (SELECT *, (c * 3 + r)::INT AS j FROM slopes) USING (a, k, j)", parts=_PARTS))
+def parameter_gradients(spark, d):
+    """Gradient of all parameters of the model, each as five digits after the first of its mantissa."""
+    sino = _radon(spark).join(B.coef(spark, d), "p").groupBy("a", "y", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    data = _noisy(spark, d).select("a", "y", "j", (F.col("mu") - F.col("b")).alias("v"))
+    slopes = _slopes(spark, d, "k < 7", 8).withColumn("j", (F.col("c") * 3 + F.col("r")).cast("int")).drop("c", "r", "v")
+    got = derivs.parameter_gradients(data, sino, slopes, 3)
+    return got.select("parameter", "i", F.when(F.col("g") == 0, 0.0).otherwise(F.round(F.col("g") / F.pow(F.lit(10.0), F.floor(F.log10(F.abs("g")))), 5)).alias("g"))
+
+
 @query("gauss_newton_step")
 def gauss_newton_step(spark, d):
     return _out(derivs.newton_steps(derivs.normal_blocks(_entries(spark, d))), "k", **{f"s_{p}": f"s_{p}" for p in derivs.PARAMETERS})

@@ -128,6 +128,17 @@ def test_pole_figure_slopes_against_differences(spark):
         assert bad <= 0.02 * len(slopes)  # a pole that crosses the cut jumps
 
 
+def test_pole_figure_slopes_by_geometry(spark):
+    o, _ = _texture(spark, [(0, 0.0, 0.0, 0.0, 1.0, 0.3), (1, 0.2, -0.4, 0.1, math.sqrt(1 - 0.21), 0.25)])
+    axes = polefigure.pole_axes(spark.createDataFrame([(0, 3**-0.5, 3**-0.5, 3**-0.5, 1.0)], "r int, hx double, hy double, hz double, share double"), rot.symops(spark, "O"))
+    angle, poles = projector.angles(spark, 3), polefigure.poles(o, axes)
+    made = lambda shift, ring: {(r.a, r.k, r.c): r for r in polefigure.pf_slopes(poles, angle.withColumn("theta", F.col("theta") + shift), polefigure.ring_table(spark, [0.15 + ring]), 24).collect()}
+    h, slopes = 1e-5, made(0.0, 0.0)
+    for name, up, down in (("d_omega", made(h, 0.0), made(-h, 0.0)), ("d_two_theta", made(0.0, h), made(0.0, -h))):
+        gaps = [abs((up[i].v - down[i].v) / (2 * h) - r[name]) for i, r in slopes.items() if i in up and i in down]
+        assert len(gaps) >= 0.98 * len(slopes) and sum(g > 1e-4 for g in gaps) <= 0.02 * len(gaps)
+
+
 def test_refine_moves_orientations(spark):
     truth, table = _texture(spark, [(0, 0.2, -0.4, 0.1, math.sqrt(1 - 0.21), 0.09)])
     b = materialise(table(truth, polefigure.pf_table).select("a", "j", F.col("v").alias("b")))
