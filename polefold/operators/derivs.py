@@ -143,6 +143,11 @@ def attenuation(rays: DataFrame, mu: DataFrame) -> DataFrame:
     return rays.join(mu, "p2").groupBy("dir", "p").agg(F.exp(-F.sum(F.col("len") * F.col("m"))).alias("t"))
 
 
+def both_ways(into: DataFrame, out: DataFrame) -> DataFrame:
+    """att(dir, p, t) of the way in and the way out together; ``out`` is keyed by the angle (class) that it belongs to."""
+    return into.join(out.withColumnRenamed("t", "_o"), ["dir", "p"]).select("dir", "p", (F.col("t") * F.col("_o")).alias("t"))
+
+
 def attenuated_forward(coef: DataFrame, radon: DataFrame, att: DataFrame) -> DataFrame:
     """Projection with the attenuation of each (direction of the angle, pixel) as an extra factor."""
     weights = radon.join(att, (radon["a"] == att["dir"]) & (radon["p"] == att["p"])).select(radon["a"], "y", radon["p"], (F.col("w") * F.col("t")).alias("w"))
@@ -157,6 +162,30 @@ def mu_gradient(residual: DataFrame, coef: DataFrame, radon: DataFrame, att: Dat
     return rays.join(lost, ["dir", "p"]).groupBy("p2").agg((-F.sum(F.col("len") * F.col("s"))).alias("g"))
 
 
+def direction_rays(directions: DataFrame, nx: int, ny: int) -> DataFrame:
+    """ray(dir, p, p2, len): weights of the line integral from each pixel on along ``directions``(dir, dx, dy), unit vectors.
+
+    A square frame of unit steps is turned to the direction; values between pixels are bilinear, zero
+    outside. Along a row of the frame the integral is the sum of what follows and half of the point
+    itself, and it is taken back to the pixels bilinearly. Rows of one frame meet by (dir, row).
+    """
+    from .interp import bilinear
+
+    m = math.ceil(math.sqrt(2) * max(nx, ny)) + 3
+    cm, cx, cy = (m - 1) / 2, (nx - 1) / 2, (ny - 1) / 2
+    spark, dx, dy = directions.sparkSession, F.col("dx"), F.col("dy")
+    frame = directions.crossJoin(spark.range(m * m)).withColumns({"u": (F.col("id") % m).cast("int"), "r": F.floor(F.col("id") / m).cast("int")})
+    du, dr = F.col("u") - cm, F.col("r") - cm
+    points = frame.select(F.struct("dir", "r", "u").alias("id"), (cx + du * dx - dr * dy).alias("x"), (cy + du * dy + dr * dx).alias("y"))
+    seen = bilinear(points, nx, ny).select("id.dir", "id.r", F.col("id.u").alias("u2"), F.col("p").alias("p2"), F.col("w").alias("w2"))
+    pixels = directions.crossJoin(spark.range(nx * ny)).withColumns({"px": F.col("id") % nx - cx, "py": F.floor(F.col("id") / nx) - cy})
+    back = pixels.select(F.struct("dir", F.col("id").cast("int").alias("p")).alias("id"), (F.col("px") * dx + F.col("py") * dy + cm).alias("x"), (F.col("py") * dx - F.col("px") * dy + cm).alias("y"))
+    here = bilinear(back, m, m).select("id.dir", F.col("id.p").alias("p"), (F.col("p") % m).cast("int").alias("u"), F.floor(F.col("p") / m).cast("int").alias("r"), "w")
+    both = here.join(seen, ["dir", "r"]).where(F.col("u2") >= F.col("u"))
+    size = F.col("w") * F.col("w2") * F.when(F.col("u2") == F.col("u"), 0.5).otherwise(1.0)
+    return both.groupBy("dir", "p", "p2").agg(F.sum(size).alias("len"))
+
+
 def axis_rays(spark, nx: int, ny: int) -> DataFrame:
     """ray(dir, p, p2, len) along +x (dir 0) and -x (dir 1): half of the own pixel, whole ones behind it."""
     pixels = spark.range(nx * ny).selectExpr("cast(id as int) p", f"cast(id % {nx} as int) x", f"cast(id div {nx} as int) y")

@@ -13,7 +13,7 @@ from ..operators import crystal, derivs, fields, search
 from ..schemas import TABLES, assert_schema, schema
 from ..sources import bindings as B
 from ..sources import cif, tables
-from ..sources.bindings import sql
+from ..sources.bindings import NX, NY, sql
 from ..streaming import incremental
 from . import odf as odf_plans
 from . import solvers
@@ -189,3 +189,50 @@ def _refined_sql(levels: tuple[tuple[float, float, float], ...]) -> str:
 
 
 query("refine_candidates", _refined_sql(((2.0, 4.0, 1.0), (0.5, 1.0, 0.4))))(QUERIES["refine_candidates"])
+
+
+_M = math.ceil(math.sqrt(2) * 16) + 3
+_CORNERS = "(VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(ox, oy)"
+
+
+def _bilinear_sql(points: str, columns: str, n: int) -> str:
+    """Corners (ix, iy) and weights of points (x, y) on an n x n grid."""
+    return f"SELECT {columns}, floor(x) + ox AS ix, floor(y) + oy AS iy, (CASE ox WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE oy WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) AS w FROM {points}, {_CORNERS} WHERE floor(x) + ox BETWEEN 0 AND {n - 1} AND floor(y) + oy BETWEEN 0 AND {n - 1}"
+
+
+_RAYS = {
+    "dirs": "SELECT d::INT AS dir, cos(0.3 + 0.9 * d) AS dx, sin(0.3 + 0.9 * d) AS dy FROM range(3) t(d)",
+    "frame": f"SELECT dir, r, u, 7.5 + (u - {(_M - 1) / 2}) * dx - (r - {(_M - 1) / 2}) * dy AS x, 7.5 + (u - {(_M - 1) / 2}) * dy + (r - {(_M - 1) / 2}) * dx AS y FROM dirs, range({_M}) a(r), range({_M}) b(u)",
+    "seen": _bilinear_sql("frame", "dir, r, u", 16),
+    "spots": f"SELECT dir, p, (p % 16 - 7.5) * dx + (p // 16 - 7.5) * dy + {(_M - 1) / 2} AS x, (p // 16 - 7.5) * dx - (p % 16 - 7.5) * dy + {(_M - 1) / 2} AS y FROM dirs, range(256) t(p)",
+    "here": _bilinear_sql("spots", "dir, p", _M),
+    "rays": "SELECT h.dir, h.p::INT AS p, (s.ix + 16 * s.iy)::INT AS p2, sum(h.w * s.w * CASE WHEN s.u = h.ix THEN 0.5 ELSE 1 END) AS len FROM here h JOIN seen s ON s.dir = h.dir AND s.r = h.iy AND s.u >= h.ix GROUP BY 1, 2, 3",
+}
+
+
+def _rays(spark):
+    directions = spark.range(3).select(F.col("id").cast("int").alias("dir"), F.cos(0.3 + 0.9 * F.col("id")).alias("dx"), F.sin(0.3 + 0.9 * F.col("id")).alias("dy"))
+    return derivs.direction_rays(directions, NX, NY)
+
+
+@query("direction_attenuation", sql("SELECT dir, p, round(exp(-sum(len * 0.01 * (1 + p2 % 3))), 4) AS t FROM rays GROUP BY 1, 2", **_RAYS))
+def direction_attenuation(spark, d):
+    """Attenuation along oblique directions, from every pixel to the edge of the sample."""
+    mu = spark.range(NX * NY).selectExpr("cast(id as int) p2", "0.01D * (1 + id % 3) as m")
+    return _out(derivs.attenuation(_rays(spark), mu), "dir", "p", t="t")
+
+
+_TWO = "SELECT i.a, i.p, i.t * o.t AS t FROM att i JOIN att o ON o.p = i.p AND o.dir = (i.a + 1) % 3"
+
+
+@query("absorbed_both_ways", sql(
+    "SELECT r.a, r.y, c.k, round(sum(c.v * r.w * t.t), 3) + 0.0 AS v FROM coef c JOIN radon r USING (p) JOIN both_ways t ON t.a = r.a AND t.p = r.p GROUP BY 1, 2, 3", "coef", "radon", **_RAYS,
+    att="SELECT dir, dir AS a, p, exp(-sum(len * 0.01 * (1 + p2 % 3))) AS t FROM rays GROUP BY 1, 2, 3", both_ways=_TWO))
+def absorbed_both_ways(spark, d):
+    """Projection with the attenuation on the way in and on the way out, by classes of exit direction."""
+    from .catalog_operators import _radon
+
+    mu = spark.range(NX * NY).selectExpr("cast(id as int) p2", "0.01D * (1 + id % 3) as m")
+    att = derivs.attenuation(_rays(spark), mu)
+    both = derivs.both_ways(att, att.withColumn("dir", F.pmod(F.col("dir") + 2, F.lit(3))))
+    return derivs.attenuated_forward(B.coef(spark, d), _radon(spark), both).select("a", "y", "k", r4(F.col("v"), 3).alias("v"))
