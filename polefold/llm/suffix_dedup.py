@@ -388,7 +388,11 @@ def repeated_ranges(documents: DataFrame, min_bytes: int = MIN_BYTES, k: int = K
     firsts = seen.groupBy("a", "c").agg(F.sum("n").alias("n"), F.max("d").alias("d"), F.min(F.struct("uid", "crc", "at")).alias("f"))
     chosen = firsts.select("a", "c", "n", "d", "f.uid", "f.crc", "f.at")
     hot = not seen.where(F.col("d") > part).isEmpty()
-    found = _meet(_surroundings(documents, chosen, side, k), side, part, hot)
+    around = _surroundings(documents, chosen, side, k)
+    if hot:  # read several times then; without, it goes straight into its groups
+        around = common.materialise(around)
+        common.free_shuffles(spark)
+    found = _meet(around, side, part, hot)
     found = common.materialise(found.groupBy("a", "c").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     common.free_shuffles(spark)
     back = seen.drop("n", "d").join(found.hint("shuffle_hash"), ["a", "c"])
