@@ -62,17 +62,19 @@ def _hits(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> tup
     tau = 1 - CUT * F.col("sigma") * F.col("sigma")
     step = 2 * math.pi / n_eta
 
-    def arc(sign: float) -> DataFrame:
+    def arc(sign: float) -> Column:
         # sign (amp cos(eta - phi) - off) > tau; c is the cosine that the azimuth's distance must exceed
         c = (tau + sign * F.col("off")) / F.col("amp")
         centre = F.col("phi") + (0.0 if sign > 0 else math.pi)
         half = F.when((c <= -1) | (tau <= 0), F.lit(math.pi)).otherwise(F.acos(F.least(c, F.lit(1.0))))
         low, high = F.ceil((centre - half) / step - 0.5), F.floor((centre + half) / step - 0.5)
         meets = ((c <= 1) | (tau <= 0)) if sign > 0 else ((c <= 1) & (tau > 0))
-        got = cells.where((F.col("amp") > 1e-12) & meets & (low <= high)).withColumn("e", F.explode(F.sequence(low, F.least(high, low + (n_eta - 1)))))
-        return got.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int"))
+        return F.when(meets & (low <= high), F.sequence(low, F.greatest(low, F.least(high, low + (n_eta - 1))))).otherwise(F.array().cast("array<bigint>"))
 
-    return arc(1.0).unionByName(arc(-1.0)), F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
+    # both arcs of a pole at once; an outer explode, for which the optimizer does not compute the arrays twice
+    wide = cells.where("amp > 1e-12").withColumn("e", F.explode_outer(F.concat(arc(1.0), arc(-1.0)))).where("e is not null")
+    wide = wide.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int"))
+    return wide, F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
 
 
 def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
