@@ -1,13 +1,28 @@
 """The pipeline stage by stage against brute force."""
 
 import re
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
-from polefold.llm import common, quality, simhash
+from polefold.llm import common, packing, quality, simhash
 
 from .test_text_operators import brute_contamination, brute_removed, brute_simhash
 
 
+def brute_pieces(texts):
+    from tokenizers import Tokenizer
+
+    inner, out = Tokenizer.from_file(packing.vocabulary_path()), []
+    for doc, text in texts.items():
+        ids = [*inner.encode(text or "", add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            part = ids[at : at + 4096]
+            out.append((doc, at // 4096, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    return sorted(out)
+
+
 def test_stages(spark, data):
     docs = common.table(spark, data, "documents")
     columns = docs.columns
@@ -44,8 +59,18 @@ def test_stages(spark, data):
             hit = {r[0] for r in brute_contamination(before.items(), bench) if r[2]}
             assert set(after) == set(before) - hit
         before = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, now, data)
-    assert {r.doc_id for r in packed.collect()} == set(before)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, data).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == brute_pieces(before)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        ends = [0]
+        for offset, length in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= packing.CAPACITY
+    assert len(places) <= 1.05 * sum(r.length for r in packed) / packing.CAPACITY + 1
 
 
 def test_run_returns_pieces(spark, data):
@@ -61,7 +86,12 @@ def test_null_and_empty_documents(spark, data, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a few words of text here", "en", "s", 3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    classifier = quality.train(spark.createDataFrame(rows, schema), common.table(spark, str(tmp_path), "labels"))
+    empty, some = quality.Embedder(classifier.context), b"a few words of text here"
+    good = {r: classifier.scores([r], empty)[0] >= quality.ACCEPT for r in (b"", some)}
+    # null and empty texts are one component, of which the smallest number stays; the document without a number stays
+    assert sorted((str(r.doc_id), r.piece, r.offset >= 0) for r in got) == sorted((i, 0, True) for i, r in (("1", b""), ("None", some)) if good[r])
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
@@ -82,3 +112,18 @@ def test_one_row_of_every_component_stays(spark):
     assert len(got) == 3
     assert {g[0] for g in got} == {2, 8, None} and (None, "alone without an id") in got
     assert simhash.keep_first(spark, docs, "").columns == docs.columns
+
+
+def test_stages_pass_columns_whatever_their_names(spark, data):
+    """Names that the stages use for themselves come through with their values."""
+    names = ["key", "gone", "tie", "salt", "uid", "crc", "packed", "ranges", "words", "row", "value", "fp", "raw", "first", "score", "KEYS", "root", "clean", "removed"]
+    texts = {1: "one two three four five six seven", 2: None, 3: "eight nine ten eleven twelve thirteen", 4: "one two three four five six seven"}
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, data)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+            assert r.text == texts[r.doc_id]
+    assert {r.doc_id for r in simhash.keep_first(spark, docs, data).collect()} == {1, 2, 3}
