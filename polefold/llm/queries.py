@@ -18,5 +18,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
 }

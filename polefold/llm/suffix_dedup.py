@@ -501,3 +501,23 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return pa.RecordBatch.from_arrays([(made[n] if n in made else batch.column(n)).cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
 
     return _apply(docs, columns, target, produce, MIN_BYTES, K, PART)
+
+
+#: every string of MIN_BYTES bytes by its digest; texts are taken as hex digits, in blocks, so that no position is sought from a text's start
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), cut AS (SELECT doc_id, b::BIGINT AS base, substr(h, 2 * b + 1, 2 * {4096 + MIN_BYTES - 1}) AS part FROM d, unnest(range(0, greatest(length(h) // 2, 1), 4096)) r(b)
+), w AS (SELECT doc_id, base + o AS i, md5_number(substr(part, 2 * o + 1, {2 * MIN_BYTES})) AS k FROM cut, unnest(range(0, least(4096, length(part) // 2 - {MIN_BYTES - 1}))) r(o)
+), twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), hit AS (SELECT doc_id, i FROM w SEMI JOIN twice USING (k)
+), mark AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {MIN_BYTES} THEN 0 ELSE 1 END AS new FROM hit
+), run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM mark
+), span AS (SELECT doc_id, n, min(i) AS lo, max(i) + {MIN_BYTES} AS hi FROM run GROUP BY 1, 2
+), gap AS (SELECT doc_id, n, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY n), 0) AS before FROM span
+), kept AS (
+  SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last, list(lo ORDER BY n) AS los, list(before ORDER BY n) AS befores FROM gap GROUP BY doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(list_aggregate(list_transform(range(1, len(los) + 1), lambda x: substr(h, (2 * befores[x] + 1)::BIGINT, (2 * (los[x] - befores[x]))::BIGINT)), 'string_agg', ''), '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
