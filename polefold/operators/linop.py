@@ -29,6 +29,9 @@ class Link:
         joined = vector.join(table, [*on])
         return joined.groupBy(*dict.fromkeys([*to, *keys])).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
 
+    def restricted(self, condition: str) -> Link:
+        return replace(self, table=self.table.where(condition))
+
     def forward(self, vector: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         on = tuple(k for k in (*self.shared, *self.source) if k in vector.columns)
         return self._apply(vector, on, (*self.shared, *self.target), extra)
@@ -56,7 +59,7 @@ class LinearOp:
 
     def restrict(self, condition: str) -> LinearOp:
         """The rows for which a condition on the links' shared columns holds; it reaches their scans."""
-        return replace(self, links=[replace(k, table=k.table.where(condition)) for k in self.links])
+        return replace(self, links=[k.restricted(condition) for k in self.links])
 
     def row_sums(self) -> DataFrame:
         """A 1 on all coefficients that any link touches, from the tables alone."""
@@ -77,6 +80,11 @@ def tomographic(radon: DataFrame, pf: DataFrame, scale: float = 1.0) -> LinearOp
     return LinearOp([project, figures])
 
 
+def tomographic_blocks(projection, pf: DataFrame, scale: float = 1.0) -> LinearOp:
+    """As :func:`tomographic`, with a :class:`blocks.BlockProjection` in place of the table of weights."""
+    return LinearOp([projection, tomographic(pf.select("a", F.lit(0).alias("y"), F.lit(0).alias("p"), F.lit(0.0).alias("w")), pf, scale).links[1]])
+
+
 def bulk(pf: DataFrame) -> LinearOp:
     """coef(k) -> data(a, j): pole figures of a whole sample, no projection."""
     return LinearOp([Link(pf.select("a", "k", "j", F.col("v").alias("w")), (), ("k",), ("a", "j"), "w")])

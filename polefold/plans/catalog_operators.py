@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nonneg_soft, r4, soft
-from ..operators import fields, linop, projector, terms
+from ..operators import blocks, fields, linop, projector, terms
 from ..sources import bindings as B
 from ..sources.bindings import NJ, NS, NX, NY, R, sql
 from .registry import query
@@ -39,6 +39,37 @@ def radon_forward(spark, d):
     return _out(projector.forward(B.coef(spark, d), _radon(spark)), "a", "y", "k", v="v")
 
 
+BX, BS = 32, 47  # side and bins of the block queries' grid
+_BGEO = f"""SELECT a, theta, cos(theta - pi() / 2) AS gx, sin(theta - pi() / 2) AS gy, ({BS} - 1) / 2.0 - cos(theta - pi() / 2) * ({BX} - 1) / 2.0 - sin(theta - pi() / 2) * ({BX} - 1) / 2.0 - {B.OFFSET} AS t0,
+  greatest(abs(cos(theta - pi() / 2)), abs(sin(theta - pi() / 2))) AS big FROM angle"""
+_BRADON = f"""SELECT a, y, p, w FROM (SELECT a, y::INT AS y, p::INT AS p, least(greatest((1 + big) / 2 - abs(gx * (p % {BX}) + gy * (p // {BX}) + t0 - y), 0), least(1, big)) / big AS w
+  FROM bgeo, range({BX * BX}) q(p), range({BS}) s(y)) WHERE w > 1e-9"""
+_BCOEF = f"SELECT (l_orderkey % 200)::INT AS k, (l_partkey % {BX * BX})::INT AS p, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2"
+
+
+def _blocks(spark, side=BX, bins=BS, n=R, block=64):
+    geo = projector.geometry(projector.angles(spark, n), side, side, bins, 1.0, B.OFFSET)
+    return blocks.BlockProjection(geo, side, side, bins, block)
+
+
+def _block_coef(spark, d, channels=200, side=BX):
+    rows = B.read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+    keys = [(F.col("l_orderkey") % channels).cast("int").alias("k"), (F.col("l_partkey") % (side * side)).cast("int").alias("p")]
+    return rows.groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("v"))
+
+
+@query("block_forward", sql("SELECT a, y, k, round(sum(v * w), 4) + 0.0 AS v FROM bcoef JOIN bradon USING (p) GROUP BY 1, 2, 3", "angle", bgeo=_BGEO, bradon=_BRADON, bcoef=_BCOEF))
+def block_forward(spark, d):
+    return _out(_blocks(spark).forward(_block_coef(spark, d)), "a", "y", "k", v="v")
+
+
+@query("block_adjoint", sql("SELECT k, p, round(sum(v * w), 4) + 0.0 AS v FROM bsino JOIN bradon USING (a, y) GROUP BY 1, 2", "angle", bgeo=_BGEO, bradon=_BRADON, bsino=f"SELECT (l_orderkey % 30)::INT AS a, (l_suppkey % {BS})::INT AS y, (l_partkey % 100)::INT AS k, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2, 3"))
+def block_adjoint(spark, d):
+    rows = B.read(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    keys = [(F.col("l_orderkey") % 30).cast("int").alias("a"), (F.col("l_suppkey") % BS).cast("int").alias("y"), (F.col("l_partkey") % 100).cast("int").alias("k")]
+    return _out(_blocks(spark).adjoint(rows.groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("v"))), "k", "p", v="v")
+
+
 _SINO_DATA = "SELECT a, y, (j % 7)::INT AS k, sum(b) AS v FROM dat GROUP BY 1, 2, 3"
 
 

@@ -59,6 +59,15 @@ def fista_huber(spark, d):
     return _out(solvers.fista(_stored_op(spark), B.data(spark, d), TAU, 3, delta=40.0, weights=weights, lam=5.0), "k", "p", v="v")
 
 
+@query("fista_blocks_3it", _fista_sql(3, None, False, 0.0))
+def fista_blocks(spark, d):
+    """The same iterations over the dense-block projection."""
+    from .catalog_operators import _blocks
+
+    op = linop.tomographic_blocks(_blocks(spark, NX, 17, block=4), materialise(B.pf_surrogate(spark)))
+    return _out(solvers.fista(op, B.data(spark, d), TAU, 3), "k", "p", v="v")
+
+
 _DUAL = "CASE WHEN w = 0 OR sig = 0 THEN 0 ELSE 0.5 * (vv + w / g - sqrt((vv - w / g) * (vv - w / g) + 4 * sig * (w / g) * b)) END"
 _CELLS = "SELECT k::INT AS k, p::INT AS p, 1.0::DOUBLE AS v FROM range(7) a(k), range(256) b(p)"
 _ROWS = "SELECT n.a, n.y, n.j, n.b, n.w, n.g, n.bg, CASE WHEN n.w <> 0 AND coalesce(o.v, 0) > 0 THEN 1 / o.v ELSE 0 END AS sig FROM noisy n LEFT JOIN ax1 o USING (a, y, j)"

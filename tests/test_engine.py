@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from polefold.functions import rotations as rot
 from polefold.functions import scalar
-from polefold.operators import crystal, derivs, fields, interp, linop, polefigure, projector, search, terms, tree
+from polefold.operators import blocks, crystal, derivs, fields, interp, linop, polefigure, projector, search, terms, tree
 from polefold.plans import catalog, odf, solvers
 from polefold.plans.state import load_state, materialise, save_state
 from polefold.schemas import assert_schema
@@ -488,3 +488,26 @@ def test_backtracking_ends_with_an_error(spark, monkeypatch):
     with pytest.raises(ArithmeticError):
         solvers.fista_poisson(linop.tomographic(radon, pf), data, cells.withColumn("v", F.lit(1.0)), 1)
     assert abs(solvers.poisson_start(linop.tomographic(radon, pf), data, cells, "uniform").first().v - 4.0) < 1e-9
+
+
+def test_block_projection_is_the_table_of_weights(spark):
+    geo = projector.geometry(projector.angles(spark, 5), 9, 7, 13, 1.0, 0.25)
+    radon = projector.radon_weights(geo, 9, 7, 13)
+    want = {(r.a, r.y, r.p): r.w for r in radon.collect()}
+    made = {}
+    for r in geo.collect():
+        w = blocks.footprint(r.gx, r.gy, r.t0, 9, 7, 13)
+        made |= {(r.a, int(y), int(p)): w[y, p] for y, p in zip(*np.nonzero(w))}
+    assert made.keys() == want.keys() and all(abs(made[i] - w) < 1e-12 for i, w in want.items())
+    rng = np.random.default_rng(3)
+    x = spark.createDataFrame([(int(k), int(p), float(v)) for k, p, v in zip(rng.integers(0, 11, 60), rng.integers(0, 63, 60), rng.normal(size=60))], "k int, p int, v double").groupBy("k", "p").agg(F.sum("v").alias("v"))
+    op = blocks.BlockProjection(geo, 9, 7, 13, block=4)
+    flat = lambda df, *keys: {tuple(r[c] for c in keys): r.v for r in df.collect() if abs(r.v) > 1e-12}
+    one, other = flat(op.forward(x), "a", "y", "k"), flat(projector.forward(x, radon), "a", "y", "k")
+    assert one.keys() == other.keys() and all(abs(one[i] - v) < 1e-9 for i, v in other.items())
+    sino = op.forward(x)
+    one, other = flat(op.adjoint(sino), "k", "p"), flat(projector.adjoint(sino, radon), "k", "p")
+    assert one.keys() == other.keys() and all(abs(one[i] - v) < 1e-9 for i, v in other.items())
+    part = flat(op.restricted("a % 2 = 1").forward(x), "a", "y", "k")
+    assert {a for a, *_ in part} == {1, 3}
+    assert op.forward(x.where("k > 99")).count() == 0
