@@ -34,7 +34,7 @@ from . import common
 
 CAPACITY, END_ID, SALTS = 4096, 1, 256
 VOCABULARY = "word_bpe_49k.json"
-_MEMO, _PART = 250_000, 1 << 18
+_MEMO, _PART, _TOGETHER = 250_000, 1 << 18, 1 << 19
 _BREAK = re.compile(r"[ \t\n\r\x0b\x0c]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -90,8 +90,9 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         pattern = _split_pattern(path)
-        self.cut = regex.compile(pattern).findall
-        # the same classes within ASCII, where the built-in engine is faster
+        # the same classes as the built-in engine, which is faster, names them; characters that it sees otherwise are found out
+        plain = pattern.replace(r"[\p{L}]+", r"[^\W\d_]+").replace(r"[\p{N}]", r"\d").replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+")
+        self.cut = (re if r"\p" not in plain else regex).compile(plain).findall
         self.cut_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.A).findall
         self.known: dict[str, bytes] = {}
         self.agreed: set[str] = set()
@@ -134,43 +135,65 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, text: str) -> bytes:
-        """Ids of a text without added tokens."""
+    def _cut_part(self, text: str) -> list[str] | bytes:
+        """Pieces of a text without added tokens, or its ids where only the tokenizer itself will do."""
         if text.isascii() and self.plain_ascii:
-            pieces = self.cut_ascii(text.lower())
-        else:
-            chars = set(text)
-            for char in chars - self.agreed - self.other:
-                (self.agreed if self._agrees(char, self.cut) else self.other).add(char)
-            if not self.other.isdisjoint(chars):
-                return self._whole(text)
-            pieces = self.cut(self._normal(text))
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            new = list({p for p, ids in zip(pieces, found) if ids is None})
-            fresh = dict(zip(new, self._encode(new)))
-            if len(known) + len(new) <= _MEMO:
-                known.update(fresh)
-            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
-        return b"".join(found)
-
-    def ids(self, raw: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of UTF-8 text, taken in parts that end at white space."""
-        text, out = raw.decode("utf-8", "replace"), []
+            return self.cut_ascii(text.lower())
+        chars = set(text)
+        for char in chars - self.agreed - self.other:
+            (self.agreed if self._agrees(char, self.cut) else self.other).add(char)
+        if not self.other.isdisjoint(chars):
+            return self._whole(text)
+        return self.cut(self._normal(text))
+
+    def _parts(self, raw: bytes) -> Iterator[list[str] | bytes]:
+        """A text in parts that end at white space; added tokens as their ids."""
+        text = raw.decode("utf-8", "replace")
         marked = any(mark in text for mark in self.marks)
         for i, piece in enumerate(self.at_marks.split(text) if marked else [text]):
             if i % 2:
-                out.append(self.marks[piece])
+                yield self.marks[piece]
                 continue
             at = 0
             while at < len(piece):
                 end = len(piece)
                 if end - at > _PART and (stop := _BREAK.search(piece, at + _PART)):
                     end = stop.end()
-                out.append(self._part(piece[at:end]))
+                yield self._cut_part(piece[at:end])
                 at = end
-        return b"".join(out)
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        missing, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        except ValueError:  # no more
+            pass
+        if missing:
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            fresh = dict(zip(new, self._encode(new)))
+            room = _MEMO - len(self.known)
+            self.known.update(fresh if len(fresh) <= room else dict(list(fresh.items())[: max(room, 0)]))
+            for i in missing:
+                found[i] = fresh[pieces[i]]
+        return found
+
+    def ids(self, raws: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of UTF-8 texts; new pieces of all of them are encoded at once."""
+        pieces: list[str] = []
+        texts: list[list[bytes | slice]] = []
+        for raw in raws:
+            texts.append(own := [])
+            for part in self._parts(raw):
+                if isinstance(part, bytes):
+                    own.append(part)
+                else:
+                    own.append(slice(len(pieces), len(pieces) + len(part)))
+                    pieces += part
+        found = self._look_up(pieces)
+        return [b"".join([x if isinstance(x, bytes) else b"".join(found[x]) for x in own]) for own in texts]
 
 
 @lru_cache(maxsize=2)
@@ -186,11 +209,13 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
         tokenizer = _tokenizer(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
-                ids = tokenizer.ids(raw or b"") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            doc_ids, raws = batch.column("doc_id").to_pylist(), common.text_bytes(batch.column("raw"))
+            for lo, hi in common.slices(raws, _TOGETHER):
+                for doc_id, found in zip(doc_ids[lo:hi], tokenizer.ids(raws[lo:hi])):
+                    ids = found + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -448,10 +448,10 @@ def test_packing_literal_markers(spark):
     inner = Tokenizer.from_file(path)  # as it comes: markers in a text are tokens
     values = ["a <|endoftext|> b", "a<|endoftext|>b don<|startoftext|>'t", "<|endoftext|><|startoftext|>\n<|endoftext|>", "A <|ENDOFTEXT|> x<|endoftext|", "e<|endoftext|>\u0301 É<|endoftext|>", "<|<|endoftext|>|>", "w <|endoftext|> " * 3000]
     tokenizer = packing.WordTokenizer(path)
-    for value in values:
-        assert np.frombuffer(tokenizer.ids(value.encode()), "<u4").tolist() == inner.encode(value, add_special_tokens=False).ids
+    for value, ids in zip(values, tokenizer.ids([v.encode() for v in values])):
+        assert np.frombuffer(ids, "<u4").tolist() == inner.encode(value, add_special_tokens=False).ids
     tokenizer.known |= {str(i): b"" for i in range(packing._MEMO + 1)}  # a full memo: new pieces are encoded as they come
-    assert np.frombuffer(tokenizer.ids(b"new<|endoftext|>"), "<u4").tolist() == inner.encode("new<|endoftext|>", add_special_tokens=False).ids
+    assert np.frombuffer(tokenizer.ids([b"new<|endoftext|>"])[0], "<u4").tolist() == inner.encode("new<|endoftext|>", add_special_tokens=False).ids
     want = []
     for i, value in enumerate(values):
         ids = [*inner.encode(value, add_special_tokens=False).ids, 1]
@@ -468,8 +468,8 @@ def test_packing_ids_of_every_code_point():
     odd = [0x558, 0x58B, 0x58C, 0x88F, 0xC5C, 0xCDC, 0x208F, 0x209D, 0xA7CE, 0x130, 0x3A3, 0x345, 0x1C, 0x85]
     points = [*range(0x3000), *odd, *range(0x3000, 0x110000, 37)]
     texts = [f"Hi ab{chr(c)}cd E{chr(c)}\u0301 1{chr(c)}{chr(c)} 'S" for c in points if not 0xD800 <= c <= 0xDFFF]
-    for text, want in zip(texts, inner.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(tokenizer.ids(text.encode()), "<u4").tolist() == want.ids, text
+    for text, ids, want in zip(texts, tokenizer.ids([t.encode() for t in texts]), inner.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
 
 
 def test_packing_deals_out_rows_alike(spark):
