@@ -116,20 +116,25 @@ class WordTokenizer:
         # one character at a time, a sigma has no final form
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
-    def _encode(self, new: list[str]) -> list[bytes]:
+    def _encode(self, new: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces."""
-        out: list[bytes] = []
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        out: dict[str, bytes] = {}
+        plain = [p for p in new if p.isascii()]  # most letters of these stand for themselves
+        others = [p for p in new if not p.isascii()]
+        groups = [part[i : i + 256] for part in (plain, others) for i in range(0, len(part), 256)]
+        mapped = []
+        for group in groups:
+            text = " ".join(group)
+            mapped.append(text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.letters))
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        mapped = [" ".join(g).encode().decode("latin-1").translate(self.letters) for g in groups]
         for group, found in zip(groups, encode(mapped, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group):
                 raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
-                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+                out.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
-                out += [self._whole(piece) for piece in group]
+                out.update((piece, self._whole(piece)) for piece in group)
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -173,7 +178,7 @@ class WordTokenizer:
             pass
         if missing:
             new = list(dict.fromkeys([pieces[i] for i in missing]))
-            fresh = dict(zip(new, self._encode(new)))
+            fresh = self._encode(new)
             room = _MEMO - len(self.known)
             self.known.update(fresh if len(fresh) <= room else dict(list(fresh.items())[: max(room, 0)]))
             for i in missing:
