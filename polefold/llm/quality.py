@@ -41,7 +41,7 @@ DIM, PICKS, ROWS, HIDDEN, SAMPLE, FOLDS, ACCEPT = 32, 4, 1 << 14, 32, 20_000, 5,
 OWN, SHAPE, ENDING = 0.5, 1.5, 0.7  # weights of the index vectors beside the context vector
 INPUT = 2 * DIM + 4
 FEW = 5  # occurrences at which a context vector counts half
-_MEMO, _WORDS, _BLOCK, _SALTS = 150_000, 1 << 14, 256, 16
+_MEMO, _WORDS, _BLOCK, _SALTS = 200_000, 1 << 14, 256, 16
 _LONG = re.compile(r"(.)\1+", re.S)
 
 
@@ -93,14 +93,23 @@ class _Words:
         """A number for each word; the words without a row yet, whose numbers start at the third value."""
         known = self.place
         found = list(map(known.get, words))
-        if None not in found:
+        missing, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        except ValueError:  # no more
+            pass
+        if not missing:
             return np.array(found, np.int64), [], 0
-        new = list(dict.fromkeys(w for w, n in zip(words, found) if n is None))
+        new = list(dict.fromkeys([words[i] for i in missing]))
         start = len(known) if len(known) + len(new) <= _MEMO else _MEMO
         fresh = dict(zip(new, range(start, start + len(new))))
         if start < _MEMO:
             known.update(fresh)
-        return np.array([fresh[w] if n is None else n for w, n in zip(words, found)], np.int64), new, start
+        for i in missing:
+            found[i] = fresh[words[i]]
+        return np.array(found, np.int64), new, start
 
 
 class Run:
