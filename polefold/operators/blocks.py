@@ -79,8 +79,6 @@ class BlockProjection:
             a, at, k, v = (rows.column(c).to_numpy() for c in ("a", "y", "k", "v"))
             first = int(k.min()) // block * block
             images, touched = np.zeros((nx * ny, block)), np.zeros((nx * ny, block), bool)
-            held = np.zeros(block, bool)
-            held[np.unique(k - first)] = True
             for number in np.unique(a).tolist():
                 if number in angles:
                     own = a == number
@@ -88,7 +86,9 @@ class BlockProjection:
                     np.add.at(lines, (at[own], k[own] - first), v[own])
                     weights = footprint(*angles[number], nx, ny, ns)
                     images += weights.T @ lines
-                    touched |= (weights.sum(0) > 0)[:, None] & held
+                    present = np.zeros((ns, block), np.float32)  # which cells a row of the vector reaches, whatever its value
+                    present[at[own], k[own] - first] = 1
+                    touched |= (weights > 0).astype(np.float32).T @ present > 0
             spots = np.nonzero(touched)
             columns = [(spots[1] + first).astype(np.int32), spots[0].astype(np.int32), images[spots]]
             return pa.table(columns, names=["k", "p", "v"])
