@@ -34,14 +34,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/polefold-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes with :func:`release`."""
     path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = path or own_folder(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,13 +61,16 @@ def release() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            discard(spark, path)
         except Exception:  # the session may have ended before the process
             return
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of steps whose results have been written."""
     spark.sparkContext._jvm.System.gc()

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from . import decontaminate, edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash, suffix_dedup
+from . import clusters, decontaminate, divergence, edit_prints, html_text, lang_id, line_dedup, maglev, packing, quality, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_lang_id": lang_id.query,
     "op9_best_fit_packing": packing.query,
     "op10_edit_prints": edit_prints.query,
+    "op11_divergence": divergence.query,
+    "op12_token_files": token_files.query,
+    "op13_delta_lloyd": clusters.query,
     "edit_print_classes": edit_prints.classes_query,  # second half of operator 10: bands and verification
 }
 
@@ -20,4 +23,6 @@ ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_suffix_dedup": suffix_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op11_divergence": divergence.SQL,
+    "op13_delta_lloyd": clusters.SQL,
 }
