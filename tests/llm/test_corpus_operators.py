@@ -183,7 +183,7 @@ def test_clusters(spark, case):
     if case == "odd":
         rows += [rows[0]] * 4 + [(None, rows[1][1], None, None, None), (1, None, 1, 1, 1), (2, [1.0] * 5, 1, 1, 1), (3, [1.0] * 5 + [None], 1, 1, 1), (4, [float("nan")] * 6, 1, 1, 1), (5, [float("inf")] * 6, 1, 1, 1), (6, [], 1, 1, 1), (7, rows[3][1], 1, 1, 1)]
     if case == "huge":
-        rows += [(1000 + i, [(-1) ** i * 3e38, 0.0, 1e30, 1.0, 2.0, float(i)], 1, 1, 1) for i in range(12)]
+        rows += [(1000 + i, [float(np.float32(x)) for x in ((-1) ** i * 3e38, 0.0, 1e30, 1.0, 2.0, i)], 1, 1, 1) for i in range(12)]
     if case == "few":
         rows = rows[:3]
     found, middle = clusters.cluster(spark.createDataFrame(rows, VECTORS).repartition(3), clusters=k, rounds=rounds, dimensions=6)
