@@ -41,7 +41,8 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK, SHARE, MAGIC = 1024, 0.9, b"PFORIDS1"
 FILE_IDS = 1 << 25
 _AT_ONCE = 256  # blocks
-_MEMO, _PART, _TOGETHER = 250_000, 1 << 18, 1 << 19
+_MEMO, _PART, _TOGETHER = 400_000, 1 << 18, 1 << 20
+_DOUBLED = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _TRAILER = struct.Struct("<4Q8s")
 _INDEX = (("doc_ids", "<i8"), ("missing", "u1"), ("ends", "<i8"), ("minimums", "<u4"), ("widths", "u1"), ("exceptions", "<u2"), ("starts", "<u8"))
 
@@ -83,7 +84,9 @@ class ByteTokenizer:
         self.model = Tokenizer(self.inner.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
-        self.parting = self.inner.token_to_id(chr(self.letters[0]))
+        self.sizes = np.zeros(self.inner.get_vocab_size(), np.int64)
+        for token, i in self.inner.get_vocab().items():
+            self.sizes[i] = len(token)
         wide, near = "[^\\W\\d_]", "A-Za-z\\x80-\\xff"
         rest = f"|{self.CONTRACTIONS}| ?%s+| ?%s+|\\s+(?!\\S)|\\s+"
         self.cut_bytes = re.compile((f" ?[{near}]+" + rest % ("[0-9]", f"[^\\s{near}0-9]")).encode()).findall
@@ -91,6 +94,7 @@ class ByteTokenizer:
         self.beyond = re.compile(rb"[\x80-\xff]+").findall
         self.break_at = re.compile(rb"[!-~][ \n]")
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.lettered: dict[bytes, bool] = {}
         self.agreed: dict[str, bool] = {}
         self.plain = [bytes([c]) for c in range(128) if self._kind(chr(c)) != self._own_kind(lambda t: self.cut_bytes(t.encode()), chr(c))]
@@ -103,12 +107,14 @@ class ByteTokenizer:
         """Is it cut as letter, number, other sign or white space, and does a blank before it belong to it?"""
         return tuple(len(cut(form.format(char))) == n for form, n in (("a{}", 1), ("1{}", 1), ("!{}", 1), ("\n{}", 1), (" {}", 1), ("a {0}{0}b", 2), ("{0} a", 2)))
 
-    def _cut(self, raw: bytes) -> list[bytes] | None:
-        """Pieces of a text without added tokens; None where only the tokenizer itself will do."""
+    def _cut(self, raw: bytes) -> list[bytes] | tuple[bytes, ...] | None:
+        """Pieces of a text without added tokens, or its parts between blanks, which pieces do not cross
+        where no white space is doubled; None where only the tokenizer itself will do."""
         if any(c in raw for c in self.plain):
             return None
+        plain = not any(x in raw for x in _DOUBLED)
         if raw.isascii():
-            return self.cut_bytes(raw)
+            return tuple(raw.split(b" ")) if plain else self.cut_bytes(raw)
         for run in set(self.beyond(raw)):
             known = self.lettered.get(run)
             if known is None:
@@ -118,7 +124,7 @@ class ByteTokenizer:
             if not known:
                 break
         else:
-            return self.cut_bytes(raw)
+            return tuple(raw.split(b" ")) if plain else self.cut_bytes(raw)
         text = raw.decode("utf-8", "replace")
         for char in set(text):
             if char not in self.agreed:
@@ -127,7 +133,7 @@ class ByteTokenizer:
                 return None
         return [p.encode() for p in self.cut_text(text)]
 
-    def _parts(self, raw: bytes) -> Iterator[list[bytes] | bytes]:
+    def _parts(self, raw: bytes) -> Iterator[list[bytes] | tuple[bytes, ...] | bytes]:
         """Pieces of a text part by part; ids of added tokens and of parts that the tokenizer takes whole."""
         marked = any(mark in raw for mark in self.marks)
         for i, piece in enumerate(self.at_marks.split(raw) if marked else [raw]):
@@ -147,59 +153,70 @@ class ByteTokenizer:
                     yield cut
                 at = end
 
-    def _encode(self, new: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
-        # two bytes that no text has part the pieces: a blank each side of a word that is one id
-        joined = [b"\xfe\xff\xfe".join(g) for g in groups]
-        texts = [self.letters[np.frombuffer(j, np.uint8)].tobytes().decode("utf-32-le") for j in joined]
-        for group, text, encoded in zip(groups, texts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.parting)
-            if len(cuts) == len(group) - 1:
-                firsts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            else:  # a piece holds the parting id itself
-                encoded = self.model.encode(text, add_special_tokens=False)
-                ids, word = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
-                firsts, ends = ((4 * np.searchsorted(word, 2 * np.arange(len(group)), side)).tolist() for side in ("left", "right"))
-            raw = ids.tobytes()
-            out.update(zip(group, [raw[a:b] for a, b in zip(firsts, ends)]))
-        return out
+    def _encode(self, new: list[bytes]) -> list[bytes]:
+        texts = [self.letters[np.frombuffer(b"\xff".join(new[i : i + 256]), np.uint8)].tobytes().decode("utf-32-le") for i in range(0, len(new), 256)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        # an id stands for so many bytes, so a piece's ids end where its bytes do
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))) + 1
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _look_up(self, pieces: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None] if None in found else []
-        if missing:
-            fresh = self._encode(list(dict.fromkeys([pieces[i] for i in missing])))
-            room = _MEMO - len(self.known)
-            self.known.update(fresh if len(fresh) <= room else list(fresh.items())[: max(room, 0)])
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            fresh = dict(zip(new, self._encode(new)))
+            if len(self.known) + len(fresh) <= _MEMO:
+                self.known.update(fresh)
             for i in missing:
                 found[i] = fresh[pieces[i]]
         return found
 
+    def _look_up_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word with a blank before it."""
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys([words[i] for i in missing]))
+            cut = [self.cut_bytes(b" " + w) for w in new]
+            ids, ends = self._look_up([p for c in cut for p in c]), np.cumsum([len(c) for c in cut]).tolist()
+            fresh = dict(zip(new, [b"".join(ids[a:b]) if b - a > 1 else ids[a] for a, b in zip([0, *ends], ends)]))
+            if len(self.words) + len(fresh) <= _MEMO:
+                self.words.update(fresh)
+            for i in missing:
+                found[i] = fresh[words[i]]
+        return found
+
     def ids(self, raws: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts; new pieces of all of them are encoded at once."""
         pieces: list[bytes] = []
-        texts: list[list[bytes | slice]] = []
+        words: list[bytes] = []
+        texts: list[list[tuple]] = []
         for raw in raws:
             texts.append(own := [])
             for part in self._parts(raw):
                 if isinstance(part, bytes):
-                    own.append(part)
-                else:
-                    own.append(slice(len(pieces), len(pieces) + len(part)))
-                    pieces += part
-        found = self._look_up(pieces)
-        return [b"".join([x if isinstance(x, bytes) else b"".join(found[x]) for x in own]) for own in texts]
+                    own.append((part, None))
+                    continue
+                whole = isinstance(part, tuple)
+                cut = self.cut_bytes(part[0]) if whole else part
+                own.append((pieces, slice(len(pieces), len(pieces) + len(cut))))
+                pieces += cut
+                if whole:
+                    own.append((words, slice(len(words), len(words) + len(part) - 1)))
+                    words += part[1:]
+        found = {id(pieces): self._look_up(pieces), id(words): self._look_up_words(words)}
+        return [b"".join([x if at is None else b"".join(found[id(x)][at]) for x, at in own]) for own in texts]
 
 
 def _byte_letters() -> np.ndarray:
-    """Byte -> the character that stands for it in a byte-level vocabulary; 254 and 255, which UTF-8 lacks, are a blank and the one for 0."""
+    """Byte -> the character that stands for it in a byte-level vocabulary; 255, which UTF-8 lacks, is a blank."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out = np.arange(256, dtype="<u4")
     others = [b for b in range(256) if b not in plain]
     out[others] = 256 + np.arange(len(others))
-    out[[254, 255]] = ord(" "), out[0]
+    out[255] = ord(" ")
     return out
 
 
