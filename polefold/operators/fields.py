@@ -99,26 +99,11 @@ def tiles(support: DataFrame, nx: int, size: int) -> DataFrame:
     return support.select("k", "p", F.floor(x / size).cast("int").alias("tx"), F.floor(y / size).cast("int").alias("ty"))
 
 
-def regions(support: DataFrame, nx: int, ny: int, rounds: int = 400) -> DataFrame:
-    """support with ``region``: the smallest pixel of its 8-connected component, by minimum labels."""
-    from ..plans.state import materialise
+def regions(support: DataFrame, nx: int, ny: int) -> DataFrame:
+    """support with ``region``: the smallest pixel of its 8-connected component."""
+    from .patches import clusters
 
-    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    arms = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
-    x, y = F.col("p") % nx + F.col("o.dx"), F.floor(F.col("p") / nx).cast("int") + F.col("o.dy")
-    around = support.select("k", "p", F.explode(arms).alias("o")).where((x >= 0) & (x < nx) & (y >= 0) & (y < ny)).select("k", "p", (x + nx * y).cast("int").alias("q"))
-    links = materialise(around.join(support.select("k", F.col("p").alias("q")), ["k", "q"], "left_semi").select("k", "p", "q"))
-    state = materialise(support.select("k", "p", F.col("p").alias("region")))
-    for _ in range(rounds):
-        near = links.join(state.select("k", F.col("p").alias("q"), F.col("region").alias("other")), ["k", "q"]).groupBy("k", "p").agg(F.min("other").alias("other"))
-        stepped = state.join(near, ["k", "p"], "left").select("k", "p", F.least("region", F.coalesce("other", "region")).alias("region"), F.col("region").alias("was"))
-        # also take the label of the pixel that one's own label names
-        hop = stepped.select("k", F.col("p").alias("region"), F.col("region").alias("far"))
-        stepped = materialise(stepped.join(hop, ["k", "region"], "left").select("k", "p", F.least("region", F.coalesce("far", "region")).alias("region"), "was"))
-        state = stepped.select("k", "p", "region")
-        if not stepped.where("region <> was").limit(1).count():
-            break
-    return state
+    return clusters(support, nx).withColumnRenamed("cluster", "region")
 
 
 def spatial_moments(coef: DataFrame, nx: int) -> DataFrame:

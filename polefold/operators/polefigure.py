@@ -8,20 +8,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rotations as rot
+from . import quadrature
 
 CUT = 8.0  # fixed value: exponents from here on contribute nothing
 
 
-def probes(angle: DataFrame, n_eta: int, ring: DataFrame) -> DataFrame:
+def _nodes(spark: SparkSession, rule: tuple[int, int] | None) -> DataFrame:
+    """node(s, x, wq) of a bin in one direction; its middle alone without a rule."""
+    return quadrature.node_table(spark, rule or (1, 1))
+
+
+def probes(angle: DataFrame, n_eta: int, ring: DataFrame, rule: quadrature.Rule | None = None, d_omega: float = 0.0) -> DataFrame:
     """probe(a, c, r, vx, vy, vz): the crystal direction that each angle, azimuth and ring probes.
 
-    Rotation axis z, beam along y, azimuth from x to z. Small dimension tables are crossed.
+    Rotation axis z, beam along y, azimuth from x to z. Small dimension tables are crossed. With a rule the
+    directions at all nodes of a bin of ``d_omega`` radians and an azimuth's width, with s, t (the node's
+    numbers) and wq (its weight, 1 a bin).
     """
-    eta = angle.sparkSession.range(n_eta).select(F.col("id").cast("int").alias("c"), ((F.col("id") + 0.5) * 2 * math.pi / n_eta).alias("eta"))
-    cells = angle.select("a", "theta").crossJoin(F.broadcast(eta)).crossJoin(F.broadcast(ring.select("r", "two_theta")))
-    th, eta, om = F.col("two_theta") / 2, F.col("eta"), F.col("theta")
+    spark, step = angle.sparkSession, 2 * math.pi / n_eta
+    at = _nodes(spark, rule.eta if rule else None).select(F.col("s").alias("t"), F.col("x").alias("xt"), F.col("wq").alias("wt"))
+    eta = spark.range(n_eta).crossJoin(F.broadcast(at)).select(F.col("id").cast("int").alias("c"), "t", "wt", ((F.col("id") + F.col("xt")) * step).alias("eta"))
+    cells = angle.select("a", "theta").crossJoin(F.broadcast(_nodes(spark, rule.omega if rule else None)))
+    cells = cells.crossJoin(F.broadcast(eta)).crossJoin(F.broadcast(ring.select("r", "two_theta")))
+    th, eta, om = F.col("two_theta") / 2, F.col("eta"), F.col("theta") + (F.col("x") - 0.5) * d_omega
     x, y, z = F.cos(th) * F.cos(eta), -F.sin(th), F.cos(th) * F.sin(eta)
-    return cells.select("a", "c", "r", (F.cos(om) * x - F.sin(om) * y).alias("vx"), (F.sin(om) * x + F.cos(om) * y).alias("vy"), z.alias("vz"))
+    more = ["s", "t", (F.col("wq") * F.col("wt")).alias("wq")] if rule else []
+    return cells.select("a", "c", "r", *more, (F.cos(om) * x - F.sin(om) * y).alias("vx"), (F.sin(om) * x + F.cos(om) * y).alias("vy"), z.alias("vz"))
 
 
 def pole_axes(normals: DataFrame, ops: DataFrame) -> DataFrame:
@@ -47,41 +59,67 @@ def density(d: Column, sigma: Column) -> Column:
     return F.when(near < CUT, F.exp(-near)).otherwise(0.0) + F.when(far < CUT, F.exp(-far)).otherwise(0.0)
 
 
-def _hits(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> tuple[DataFrame, Column]:
-    """Poles at azimuths, for each pole and angle only those that can pass the cut, and the cosine ``d`` of each.
+def _hits(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int, offsets: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """Poles at azimuths c, for each pole and angle only bins with a node (at ``offsets`` of a bin) that can pass the cut.
 
-    With the rotation undone, a pole p meets azimuth eta at A cos(eta - phi) - B; |.| > tau holds on
-    two arcs, whose bins are generated and then evaluated. The full product is never formed. The arcs
-    are disjoint for tau > 0; kernels too wide for that take all azimuths in the first.
+    With the rotation undone, a pole p meets azimuth eta at amp cos(eta - phi) - off; |.| > tau holds on
+    two arcs, whose bins are generated and then evaluated; ``side`` is the sign on the arc, 0 for a
+    kernel too wide for arcs, which takes all azimuths. The full product is never formed.
     """
-    cells = pole.crossJoin(F.broadcast(angle.select("a", "theta"))).join(F.broadcast(ring.select("r", "two_theta")), "r")
+    angle = angle.select("a", "theta", *(["wa"] if "wa" in angle.columns else []))
+    cells = pole.crossJoin(F.broadcast(angle)).join(F.broadcast(ring.select("r", "two_theta")), "r")
     om, th = F.col("theta"), F.col("two_theta") / 2
     x = F.cos(om) * F.col("px") + F.sin(om) * F.col("py")
     y = -F.sin(om) * F.col("px") + F.cos(om) * F.col("py")
-    cells = cells.select("a", "k", "r", "cnt", "sigma", om.alias("om"), th.alias("th"), x.alias("x"), y.alias("y"), "pz", (F.cos(th) * F.hypot(x, F.col("pz"))).alias("amp"), F.atan2(F.col("pz"), x).alias("phi"), (F.sin(th) * y).alias("off"))
+    cells = cells.select("a", "k", "r", "cnt", "sigma", *(c for c in angle.columns if c == "wa"), om.alias("om"), th.alias("th"), x.alias("x"), y.alias("y"), "pz", (F.cos(th) * F.hypot(x, F.col("pz"))).alias("amp"), F.atan2(F.col("pz"), x).alias("phi"), (F.sin(th) * y).alias("off"))
     tau = 1 - CUT * F.col("sigma") * F.col("sigma")
     step = 2 * math.pi / n_eta
 
-    def arc(sign: float) -> Column:
+    def arc(sign: int) -> Column:
         # sign (amp cos(eta - phi) - off) > tau; c is the cosine that the azimuth's distance must exceed
         c = (tau + sign * F.col("off")) / F.col("amp")
         centre = F.col("phi") + (0.0 if sign > 0 else math.pi)
-        half = F.when((c <= -1) | (tau <= 0), F.lit(math.pi)).otherwise(F.acos(F.least(c, F.lit(1.0))))
-        low, high = F.ceil((centre - half) / step - 0.5), F.floor((centre + half) / step - 0.5)
-        meets = ((c <= 1) | (tau <= 0)) if sign > 0 else ((c <= 1) & (tau > 0))
-        return F.when(meets & (low <= high), F.sequence(low, F.greatest(low, F.least(high, low + (n_eta - 1))))).otherwise(F.array().cast("array<bigint>"))
+        wide = tau <= 0
+        half = F.when((c <= -1) | wide, F.lit(math.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(c, F.lit(1.0)))))
+        low, high = F.ceil((centre - half) / step - max(offsets)), F.floor((centre + half) / step - min(offsets))
+        meets = ((c <= 1) | wide) if sign > 0 else ((c <= 1) & ~wide)
+        high = F.least(high, low + (n_eta - 1))
+        return F.when(meets & (low <= high), F.struct(low.alias("low"), high.alias("high"), F.when(wide, 0).otherwise(sign).alias("side")))
+
+    # the arcs' ends first, so that the bins of an arc are generated from two numbers
+    arcs = cells.where("amp > 1e-12").withColumns({"one": arc(1), "two": arc(-1)}).where("one is not null or two is not null")
+    arcs = arcs.withColumn("arc", F.explode(F.array("one", "two"))).drop("one", "two").where("arc is not null")
+    kept = [c for c in arcs.columns if c != "arc"]
+    bins = arcs.select(*kept, F.col("arc.side").alias("side"), F.explode(F.sequence("arc.low", "arc.high")).alias("e"))
+    return bins.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int")).drop("e")
 
-    # both arcs of a pole at once; an outer explode, for which the optimizer does not compute the arrays twice
-    wide = cells.where("amp > 1e-12").withColumn("e", F.explode_outer(F.concat(arc(1.0), arc(-1.0)))).where("e is not null")
-    wide = wide.withColumn("c", F.pmod("e", F.lit(n_eta)).cast("int"))
-    return wide, F.col("amp") * F.cos((F.col("c") + 0.5) * step - F.col("phi")) - F.col("off")
 
+def _cosine(offset: float, n_eta: int) -> Column:
+    return F.col("amp") * F.cos((F.col("c") + offset) * (2 * math.pi / n_eta) - F.col("phi")) - F.col("off")
 
-def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
-    """pf(a, k, c, r, v), on the azimuths of :func:`_hits`."""
-    both, d = _hits(pole, angle, ring, n_eta)
-    value = F.col("cnt") * density(d, F.col("sigma")) / (8 * math.pi * F.col("sigma") * F.col("sigma"))
-    return both.select("a", "k", "c", "r", value.alias("v")).where("v > 0").groupBy("a", "k", "c", "r").agg(F.sum("v").alias("v"))
+
+def pf_table(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int, rule: quadrature.Rule | None = None, d_omega: float = 0.0) -> DataFrame:
+    """pf(a, k, c, r, v), on the azimuths of :func:`_hits`.
+
+    Without a rule a bin has the density at its middle. With one it has the mean over the bin (``d_omega``
+    radians by an azimuth) by the rule's nodes: a bin counts where any of its nodes passes the cut, the nodes
+    of its azimuth are added in the row, those of its angle before the shuffle.
+    """
+    eta = quadrature.nodes(*rule.eta) if rule else [(0.5, 1.0)]
+    if rule:
+        at = F.broadcast(_nodes(angle.sparkSession, rule.omega))
+        angle = angle.crossJoin(at).select("a", (F.col("theta") + (F.col("x") - 0.5) * d_omega).alias("theta"), F.col("wq").alias("wa"))
+    bins = _hits(pole, angle, ring, n_eta, tuple(x for x, _ in eta))
+    s = F.col("sigma")
+    value = None
+    for x, w in eta:
+        d = _cosine(x, n_eta)
+        # a bin that both arcs reach is met once a side
+        part = w * F.when((F.col("side") == 0) | (F.col("side") * d > 0), density(d, s)).otherwise(0.0)
+        value = part if value is None else value + part
+    value = F.col("cnt") * value / (8 * math.pi * s * s)
+    value = value * F.col("wa") if rule else value
+    return bins.select("a", "k", "c", "r", value.alias("v")).where("v > 0").groupBy("a", "k", "c", "r").agg(F.sum("v").alias("v"))
 
 
 def pf_slopes(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) -> DataFrame:
@@ -90,7 +128,7 @@ def pf_slopes(pole: DataFrame, angle: DataFrame, ring: DataFrame, n_eta: int) ->
     d_rx, d_ry, d_rz: turns of the orientation from the left, in radians; d_sigma: its width; d_eta: an
     offset of the azimuth; d_two_theta: the ring's angle; d_omega: the sample's rotation.
     """
-    both, d = _hits(pole, angle, ring, n_eta)
+    both, d = _hits(pole, angle, ring, n_eta), _cosine(0.5, n_eta)
     s, eta = F.col("sigma"), (F.col("c") + 0.5) * 2 * math.pi / n_eta
     gaps = {n: (1 + sign * F.abs(d)) / (s * s) for n, sign in (("near", -1), ("far", 1))}
     near, far = (F.when(g < CUT, F.exp(-g)).otherwise(0.0) for g in gaps.values())

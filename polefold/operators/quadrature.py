@@ -36,7 +36,7 @@ def bound(points: int, panels: int, width: float, sigma: float) -> float:
 def nodes(points: int, panels: int) -> list[tuple[float, float]]:
     """Offsets in (0, 1) of a bin with weights that sum to 1."""
     at, weight = np.polynomial.legendre.leggauss(points)
-    return [((panel + (x + 1) / 2) / panels, w / (2 * panels)) for panel in range(panels) for x, w in zip(at, weight)]
+    return [(float((panel + (x + 1) / 2) / panels), float(w / (2 * panels))) for panel in range(panels) for x, w in zip(at, weight)]
 
 
 @dataclass(frozen=True)

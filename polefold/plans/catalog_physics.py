@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rotations as rot
 from ..functions import scalar
 from ..functions.scalar import erf_text, r4
-from ..operators import crystal, derivs, interp, polefigure, projector, search, tree
+from ..operators import crystal, derivs, interp, polefigure, projector, quadrature, search, tree
 from ..sources import bindings as B
 from ..sources import cif
 from ..sources.bindings import NX, NY, R, sql
@@ -242,6 +242,23 @@ def pf_matrix(spark, d):
     return got.where("v > 0.05").select("a", "k", "c", "r", r4(F.col("v"), 2).alias("v"))
 
 
+#: nodes of a bin of pi / R radians by 10 degrees, for kernels no narrower than those of ``orient``
+_RULE = quadrature.choose(math.pi / R, 2 * math.pi / 36, 0.07, 0.05, math.exp(-polefigure.CUT))
+_NODES = {n: " UNION ALL ".join(f"SELECT {i} AS {n[0]}, {x!r}::DOUBLE AS x{n[0]}, {w!r}::DOUBLE AS w{n[0]}" for i, (x, w) in enumerate(quadrature.nodes(*rule))) for n, rule in (("son", _RULE.omega), ("ten", _RULE.eta))}
+
+
+@query("pf_matrix_nodes", sql(
+    "SELECT a, k, c, r, round(v, 2) + 0.0 AS v FROM (SELECT a, k, c::INT AS c, r, sum(wq * cnt * (CASE WHEN (1 - abs(dd)) / (sigma * sigma) < 8 THEN exp(-(1 - abs(dd)) / (sigma * sigma)) ELSE 0 END) / (8 * pi() * sigma * sigma)) AS v FROM ("
+    "SELECT a, k, c, r, wq, sigma, cnt, px * (cos(om) * x - sin(om) * y) + py * (sin(om) * x + cos(om) * y) + pz * z AS dd FROM "
+    "(SELECT k, r, cnt, sigma, " + ", ".join(f"{t.format(a='nx', b='ny', c='nz')} AS p{n}" for t, n in zip(_ROT, "xyz")) + " FROM orient, ax) JOIN "
+    f"(SELECT a, theta + (xs - 0.5) * pi() / {R} AS om, c, r, ws * wt AS wq, cos(tth / 2) * cos((c + xt) * 2 * pi() / 36) AS x, -sin(tth / 2) AS y, cos(tth / 2) * sin((c + xt) * 2 * pi() / 36) AS z FROM angle, range(36) e(c), rings, son, ten) USING (r)) GROUP BY 1, 2, 3, 4) WHERE v > 0.05", "orient", "angle", rings=_RINGS, ax=_AX, **_NODES))
+def pf_matrix_nodes(spark, d):
+    """Bin means by the nodes that the bound asks for."""
+    angle = projector.angles(spark, R)
+    got = polefigure.pf_table(_poles(spark, d), angle, polefigure.ring_table(spark, _TTH), 36, _RULE, math.pi / R)
+    return got.where("v > 0.05").select("a", "k", "c", "r", r4(F.col("v"), 2).alias("v"))
+
+
 @query("topk_per_pixel", "SELECT p, k, z0, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY z0 DESC, k)::INT AS r FROM (SELECT (user_id % 64)::INT AS p, event_id AS k, value AS z0 FROM events)) WHERE r <= 5")
 def topk(spark, d):
     rows = B.events(spark, d).select((F.col("user_id") % 64).cast("int").alias("p"), F.col("event_id").alias("k"), F.col("value").alias("z0"))
@@ -471,8 +488,6 @@ def window_parallax(spark, d):
 
 @query("quadrature_rules")
 def quadrature_rules(spark, d):
-    from ..operators import quadrature
-
     rows = [(float(s), *(r := quadrature.choose(math.radians(0.5), math.radians(1.0), math.radians(s), 1e-3)).omega, *r.eta, r.size) for s in (0.4, 1.0, 2.0, 4.0)]
     return spark.createDataFrame(rows, "sigma double, omega_points int, omega_panels int, eta_points int, eta_panels int, n int")
 

@@ -323,17 +323,19 @@ def fista_sum(ops: dict[str, object], data: DataFrame, tau: float, niter: int, l
 def tv_step(state: DataFrame, dual: DataFrame, nx: int, ny: int, lam: float, p_tv: float) -> tuple[DataFrame, DataFrame]:
     """One total-variation block: the dual (qx, qy) of every pixel and dz(k, p, v), its change carried back.
 
-    Differences exist where both pixels are free (t > 0); the dual step of a pixel follows from the
-    largest of its differences' summed primal steps. Neighbours come by a shifted self-join on (k, p).
+    Differences exist where both pixels are free (t > 0) and, if ``state`` has the column patch, of one patch;
+    the dual step of a pixel follows from the largest of its differences' summed primal steps. Neighbours come
+    by a shifted self-join on (k, p).
     """
-    free = state.where("t > 0").select(*X, "t", "x")
+    place = [*X, *(["patch"] if "patch" in state.columns else [])]
+    free = state.where("t > 0").select(*place, "t", "x")
 
     def neighbour(shift: int, inside: Column, name: str) -> DataFrame:
-        return free.where(inside).select("k", (F.col("p") - shift).alias("p"), F.col("t").alias(f"t{name}"), F.col("x").alias(f"x{name}"))
+        return free.where(inside).withColumns({"p": F.col("p") - shift}).withColumnsRenamed({"t": f"t{name}", "x": f"x{name}"})
 
     right = neighbour(1, F.col("p") % nx > 0, "r")
     below = neighbour(nx, F.col("p") >= nx, "d")
-    wide = free.join(right, X, "left").join(below, X, "left").join(dual, X, "left").fillna(0.0, ["qx", "qy"])
+    wide = free.join(right, place, "left").join(below, place, "left").join(dual, X, "left").fillna(0.0, ["qx", "qy"])
     top = F.greatest(F.coalesce(F.col("t") + F.col("tr"), F.lit(0.0)), F.coalesce(F.col("t") + F.col("td"), F.lit(0.0)))
     step = F.when(top > 0, 0.99 * p_tv / (4 * top)).otherwise(0.0)
     ax = F.when(F.col("tr").isNotNull(), F.col("qx") + step * (F.col("xr") - F.col("x"))).otherwise(0.0)
@@ -344,34 +346,66 @@ def tv_step(state: DataFrame, dual: DataFrame, nx: int, ny: int, lam: float, p_t
     parts = F.array(F.struct(F.col("p").alias("p"), (-dx - dy).alias("v")), F.struct((F.col("p") + 1).alias("p"), dx.alias("v")), F.struct((F.col("p") + nx).alias("p"), dy.alias("v")))
     spread = moved.select("k", F.explode(parts).alias("s")).select("k", "s.p", "s.v").where("v <> 0")
     dz = spread.groupBy(*X).agg(F.sum("v").alias("v"))
-    return moved.select(*X, F.col("nx").alias("qx"), F.col("ny").alias("qy")), dz
+    made = moved.select(*X, F.col("nx").alias("qx"), F.col("ny").alias("qy"))
+    made.state_path = moved.state_path
+    return made, dz
 
 
-def spdhg_tv(op, data: DataFrame, order: list[int | str], cells: DataFrame, subsets: int, nx: int, ny: int, tv: float, p_tv: float | None = None, lam: float = 0.0) -> DataFrame:
-    """As ``spdhg`` with one more block: an entry "tv" in the order takes the total-variation step."""
+def spdhg_tv(op, data: DataFrame, order: list[int | str], cells: DataFrame, subsets: int, nx: int, ny: int, tv: float, p_tv: float | None = None, lam: float = 0.0, levels: list[tuple[DataFrame, float]] | None = None, leaf_edge: float = 1.0, state: dict | None = None, resumable: bool = False):
+    """As ``spdhg`` with one more block: an entry "tv" in the order takes the total-variation step.
+
+    ``cells`` with a column patch have differences within a patch only. ``levels``: for each level of an
+    orientation tree its node(k, node) and the length of its edges; the sums of a node's members are
+    penalised as an orientation is, with ``tv`` times the edge (the leaves' with ``leaf_edge``), the block's
+    step is shared evenly, and a node's primal step is the sum of its members'.
+    """
+    levels = levels or []
     p_tv = p_tv if p_tv is not None else 1.0 / (subsets + 1)
-    share = (1 - p_tv) / subsets
+    share, own = (1 - p_tv) / subsets, p_tv / (1 + len(levels))
+    place = [*X, *(["patch"] if "patch" in cells.columns else [])]
+    ones = cells.select(*X, F.lit(1.0).alias("v"))
     d = _noise(data)
-    rows = _on(d, s=op.forward(cells.select(*X, F.lit(1.0).alias("v"))))
-    rows = materialise(rows.withColumn("sig", F.when((F.col("w") != 0) & (F.col("s") > 0), 1 / F.col("s")).otherwise(0.0)).drop("s"))
     chosen = [op.restrict(f"a % {subsets} = {m}") for m in range(subsets)]
-    sums = reduce(DataFrame.unionByName, [c.adjoint(d.where(f"w <> 0 and a % {subsets} = {m}").select(*D, F.lit(1.0).alias("v"))).select(*X, F.col("v").alias("c")) for m, c in enumerate(chosen)])
-    steps = sums.groupBy(*X).agg(F.max("c").alias("c"))
-    state = materialise(cells.join(steps, X, "left").select(*X, F.when(F.col("c") > 0, share / F.col("c")).otherwise(0.0).alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("z")))
-    dual = materialise(rows.select(*D, F.lit(0.0).alias("v")))
-    edges = materialise(cells.select(*X, F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy")))
+    rows, sums = {}, []
+    for m in range(subsets):
+        part = d.where(f"a % {subsets} = {m}")
+        found = _on(part, s=chosen[m].forward(ones))
+        rows[m] = materialise(found.withColumn("sig", F.when((F.col("w") != 0) & (F.col("s") > 0), 1 / F.col("s")).otherwise(0.0)).drop("s"))
+        sums.append(chosen[m].adjoint(part.where("w <> 0").select(*D, F.lit(1.0).alias("v"))).select(*X, F.col("v").alias("c")))
+    nothing = lambda df: df.select(*X, F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
+    if state is None:
+        steps = reduce(DataFrame.unionByName, sums).groupBy(*X).agg(F.max("c").alias("c"))
+        prim = materialise(cells.join(steps, X, "left").select(*place, F.when(F.col("c") > 0, share / F.col("c")).otherwise(0.0).alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("z")))
+        dual = {m: materialise(rows[m].select(*D, F.lit(0.0).alias("v"))) for m in range(subsets)}
+    else:
+        prim, dual = state["primal"], {m: state[f"dual{m}"] for m in range(subsets)}
+    # the leaves and the nodes of every level, each with its own edges' duals and with primal steps that don't change
+    nodes = [materialise(prim.select(*X, "t").join(level, "k").groupBy("node", "p").agg(F.sum("t").alias("t")).withColumnRenamed("node", "k")) for level, _ in levels]
+    edges = [state[f"edges{i}"] if state else materialise(nothing(df)) for i, df in enumerate([prim, *nodes])]
     for m in order:
         if m == "tv":
-            edges, dz = tv_step(state, edges, nx, ny, tv, p_tv)
+            before, (edges[0], dz) = [edges[0]], tv_step(prim, edges[0], nx, ny, tv * leaf_edge, own)
+            for i, (level, edge) in enumerate(levels, 1):
+                total = prim.join(level, "k").groupBy("node", "p").agg(F.sum("x").alias("x")).withColumnRenamed("node", "k")
+                before.append(edges[i])
+                edges[i], of_nodes = tv_step(nodes[i - 1].join(total, X), edges[i], nx, ny, tv * edge, own)
+                back = of_nodes.withColumnRenamed("k", "node").join(level, "node").select(*X, "v")
+                dz = dz.select(*X, "v").unionByName(back)
+            if levels:
+                dz = dz.groupBy(*X).agg(F.sum("v").alias("v"))
             factor = 1 / p_tv
         else:
-            ax = chosen[m].forward(state.select(*X, F.col("x").alias("v")))
-            moved = materialise(_on(rows.where(f"a % {subsets} = {m}"), yd=dual, ax=ax).select(*D, "yd", _dual(F.col("yd"), F.col("sig"), F.col("ax")).alias("yn")))
-            dz = chosen[m].adjoint(moved.select(*D, (F.col("yn") - F.col("yd")).alias("v")))
-            dual = materialise(dual.where(f"a % {subsets} <> {m}").unionByName(moved.select(*D, F.col("yn").alias("v"))))
+            ax = chosen[m].forward(prim.select(*X, F.col("x").alias("v")))
+            before, moved = [dual[m]], materialise(_on(rows[m], yd=dual[m], ax=ax).select(*D, "yd", _dual(F.col("yd"), F.col("sig"), F.col("ax")).alias("v")))
+            dz = chosen[m].adjoint(moved.select(*D, (F.col("v") - F.col("yd")).alias("v")))
+            dual[m] = moved
             factor = 1 / share
-        both = state.join(dz.select(*X, F.col("v").alias("dz")), X, "left").withColumn("dz", F.coalesce("dz", F.lit(0.0)))
+        both = prim.join(dz.select(*X, F.col("v").alias("dz")), X, "left").withColumn("dz", F.coalesce("dz", F.lit(0.0)))
         z = F.col("z") + F.col("dz")
         new = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.col("x") - F.col("t") * (z + factor * F.col("dz") + lam))).otherwise(0.0)
-        state = materialise(both.select(*X, "t", new.alias("x"), z.alias("z")))
-    return state.select(*X, F.col("x").alias("v"))
+        old, prim = prim, materialise(both.select(*place, "t", new.alias("x"), z.alias("z")))
+        discard(old, *before)
+    x = prim.select(*X, F.col("x").alias("v"))
+    if not resumable:
+        return x
+    return x, {"primal": prim} | {f"dual{m}": df for m, df in dual.items()} | {f"edges{i}": df for i, df in enumerate(edges)}
