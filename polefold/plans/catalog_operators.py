@@ -386,33 +386,33 @@ def _spots(spark, d):
     return rows.selectExpr("cast(l_linenumber - 1 as int) k", f"cast(l_partkey % {_WIDE * _WIDE} as int) p").distinct()
 
 
-def _patch_sql(final: str, gap: int, fill: float, rounds: int = 6) -> str:
-    """Clusters by reach, their boxes, and rounds of merging (more than it takes), with the numbers and offsets of the boxes left."""
-    n, reach = _WIDE, 2 * gap + 1
+def _patch_steps(spots: str, n: int, gap: int, fill: float, rounds: int = 6) -> dict[str, str]:
+    """Tables s (voxels) and patch: clusters by reach, their boxes, and rounds of merging (more than it takes), with the numbers and offsets of the boxes left."""
+    reach = 2 * gap + 1
     steps = {
-        "s": f"SELECT k, p, p % {n} AS x, p // {n} AS y FROM ({_SPOTS})",
+        "s": f"SELECT k, p, p % {n} AS x, p // {n} AS y FROM ({spots})",
         "whole": f"SELECT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) < {fill} * (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS loose FROM s GROUP BY k",
         "l": "SELECT s.* FROM s JOIN whole USING (k) WHERE loose",
         "reach": f"SELECT k, p, x, y, p AS q, x AS qx, y AS qy FROM l UNION SELECT r.k, r.p, r.x, r.y, l.p, l.x, l.y FROM reach r JOIN l ON l.k = r.k AND abs(l.x - r.qx) <= {reach} AND abs(l.y - r.qy) <= {reach}",
-        "b0": "SELECT DISTINCT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT k, p, x, y, min(q) AS c FROM reach GROUP BY ALL) GROUP BY k, c",
+        "box0": "SELECT DISTINCT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT k, p, x, y, min(q) AS c FROM reach GROUP BY ALL) GROUP BY k, c",
     }
     for i in range(rounds):
-        steps[f"i{i}"] = f"SELECT *, row_number() OVER () AS id FROM b{i}"
-        steps[f"r{i}"] = f"SELECT id, id AS o FROM i{i} UNION SELECT r.id, b.id FROM r{i} r JOIN i{i} a ON a.id = r.o JOIN i{i} b ON a.k = b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
-        steps[f"b{i + 1}"] = f"SELECT k, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM i{i} JOIN (SELECT id, min(o) AS c FROM r{i} GROUP BY id) USING (id) GROUP BY k, c"
-    steps["boxes"] = f"SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h FROM (SELECT * FROM b{rounds} UNION ALL SELECT k, x0, x1, y0, y1 FROM whole WHERE NOT loose)"
+        steps[f"ibox{i}"] = f"SELECT *, row_number() OVER () AS id FROM box{i}"
+        steps[f"rbox{i}"] = f"SELECT id, id AS o FROM ibox{i} UNION SELECT r.id, b.id FROM rbox{i} r JOIN ibox{i} a ON a.id = r.o JOIN ibox{i} b ON a.k = b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+        steps[f"box{i + 1}"] = f"SELECT k, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM ibox{i} JOIN (SELECT id, min(o) AS c FROM rbox{i} GROUP BY id) USING (id) GROUP BY k, c"
+    steps["boxes"] = f"SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h FROM (SELECT * FROM box{rounds} UNION ALL SELECT k, x0, x1, y0, y1 FROM whole WHERE NOT loose)"
     steps["patch"] = "SELECT *, row_number() OVER (ORDER BY k, y0, x0) - 1 AS patch, (sum(w * h) OVER (ORDER BY k, y0, x0) - w * h)::BIGINT AS coff FROM boxes"
-    return sql(final, **steps)
+    return steps
 
 
-@query("patches", _patch_sql("SELECT patch, k, x0, y0, w, h, coff FROM patch", 1, 0.5))
+@query("patches", sql("SELECT patch, k, x0, y0, w, h, coff FROM patch", **_patch_steps(_SPOTS, _WIDE, 1, 0.5)))
 def patches(spark, d):
     from ..operators.patches import patches as boxes
 
     return boxes(_spots(spark, d), _WIDE, gap=1)[0]
 
 
-@query("patch_pairs", _patch_sql("SELECT s.k, s.p, patch, coff + (y - y0) * w + x - x0 AS i FROM s JOIN patch ON s.k = patch.k AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", 0, 0.5))
+@query("patch_pairs", sql("SELECT s.k, s.p, patch, coff + (y - y0) * w + x - x0 AS i FROM s JOIN patch ON s.k = patch.k AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", **_patch_steps(_SPOTS, _WIDE, 0, 0.5)))
 def patch_pairs(spark, d):
     """Clusters of touching voxels alone, every voxel with its patch and its place in the flat vector."""
     from ..operators.patches import patches as boxes

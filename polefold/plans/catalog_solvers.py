@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r4
 from ..operators import linop
+from ..operators.patches import patches
 from ..sources import bindings as B
 from ..sources.bindings import NX, NY, sql
 from . import solvers
-from .catalog_operators import _noisy, _op, _out, _radon
+from .catalog_operators import _SPARSE, _noisy, _op, _out, _patch_steps, _radon, _sparse
 from .registry import query
 from .state import materialise
 
@@ -297,30 +298,44 @@ def resumed_solvers(spark, d):
     return spark.createDataFrame(found, "solver string, same boolean")
 
 
-def _tv_sql(order: list[int | str], subsets: int, tv: float) -> str:
-    """The stochastic epoch with total-variation blocks, unrolled: tables p (state), d (duals) and q (edges)."""
+def _tv_sql(order: list[int | str], subsets: int, tv: float, cells: str = _CELLS, levels: tuple[tuple[str, float], ...] = (), leaf_edge: float = 1.0, **more: str) -> str:
+    """The stochastic epoch with total-variation blocks, unrolled: tables p (state), d (duals) and q (edges).
+
+    ``cells`` may have a patch; ``levels``: the node of an orientation k as an expression, and its edge.
+    """
     p_tv = 1 / (subsets + 1)
-    share = (1 - p_tv) / subsets
-    steps = {"cells": _CELLS, "ax1": _fwd("cells"), "rws": _ROWS, "cnt": "SELECT a, y, j, 1.0::DOUBLE AS v FROM noisy WHERE w <> 0"}
+    share, own = (1 - p_tv) / subsets, p_tv / (1 + len(levels))
+    patch = "patch" in cells
+    steps = more | {"cells": cells, "ax1": _fwd("cells"), "rws": _ROWS, "cnt": "SELECT a, y, j, 1.0::DOUBLE AS v FROM noisy WHERE w <> 0"}
     for m in range(subsets):
         steps[f"c{m}"] = _adj("cnt", f"d.a % {subsets} = {m}")
     union = " UNION ALL ".join(f"SELECT * FROM c{m}" for m in range(subsets))
     steps["p0"] = f"SELECT k, p, CASE WHEN coalesce(c.v, 0) > 0 THEN {share} / c.v ELSE 0 END AS t, 1.0::DOUBLE AS x, 0.0::DOUBLE AS z FROM cells LEFT JOIN (SELECT k, p, max(v) AS v FROM ({union}) GROUP BY 1, 2) c USING (k, p)"
     steps["d0"] = "SELECT a, y, j, 0.0::DOUBLE AS v FROM rws"
-    steps["q0"] = "SELECT k, p, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy FROM cells"
-    duals, edges = "d0", "q0"
+    duals, edges = "d0", [""] * (1 + len(levels))
+
+    def block(name: str, free: str, lam: float, level: int, same: str) -> None:
+        before = edges[level] or f"(SELECT k, p, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy FROM f{name})"
+        steps[f"f{name}"] = free
+        steps[f"n{name}"] = (
+            f"SELECT c.k, c.p, c.x, coalesce(q.qx, 0) AS qx, coalesce(q.qy, 0) AS qy, r.x AS xr, b.x AS xd, greatest(coalesce(c.t + r.t, 0), coalesce(c.t + b.t, 0)) AS top FROM f{name} c LEFT JOIN f{name} r ON r.k = c.k AND r.p = c.p + 1 AND r.p % {NX} > 0 {same.format('r')} "
+            f"LEFT JOIN f{name} b ON b.k = c.k AND b.p = c.p + {NX} {same.format('b')} LEFT JOIN {before} q ON q.k = c.k AND q.p = c.p"
+        )
+        steps[f"s{name}"] = f"SELECT *, CASE WHEN xr IS NULL THEN 0 ELSE qx + st * (xr - x) END AS ax, CASE WHEN xd IS NULL THEN 0 ELSE qy + st * (xd - x) END AS ay FROM (SELECT *, CASE WHEN top > 0 THEN {0.99 * own / 4} / top ELSE 0 END AS st FROM n{name})"
+        steps[f"v{name}"] = f"SELECT k, p, qx, qy, ax / sz AS nx, ay / sz AS ny FROM (SELECT *, greatest(1, sqrt(ax * ax + ay * ay) / {lam}) AS sz FROM s{name})"
+        steps[f"q{name}"] = f"SELECT k, p, nx AS qx, ny AS qy FROM v{name}"
+        steps[f"b{name}"] = f"SELECT k, p, sum(v) AS v FROM (SELECT k, p, qx - nx + qy - ny AS v FROM v{name} UNION ALL SELECT k, p + 1, nx - qx FROM v{name} UNION ALL SELECT k, p + {NX}, ny - qy FROM v{name}) WHERE v <> 0 GROUP BY 1, 2"
+        edges[level] = f"q{name}"
+
     for i, m in enumerate(order):
         if m == "tv":
-            steps[f"f{i}"] = f"SELECT k, p, t, x FROM p{i} WHERE t > 0"
-            steps[f"n{i}"] = (
-                f"SELECT c.k, c.p, c.x, coalesce(q.qx, 0) AS qx, coalesce(q.qy, 0) AS qy, r.x AS xr, b.x AS xd, greatest(coalesce(c.t + r.t, 0), coalesce(c.t + b.t, 0)) AS top FROM f{i} c LEFT JOIN f{i} r ON r.k = c.k AND r.p = c.p + 1 AND r.p % {NX} > 0 "
-                f"LEFT JOIN f{i} b ON b.k = c.k AND b.p = c.p + {NX} LEFT JOIN {edges} q ON q.k = c.k AND q.p = c.p"
-            )
-            steps[f"s{i}"] = f"SELECT *, CASE WHEN xr IS NULL THEN 0 ELSE qx + st * (xr - x) END AS ax, CASE WHEN xd IS NULL THEN 0 ELSE qy + st * (xd - x) END AS ay FROM (SELECT *, CASE WHEN top > 0 THEN {0.99 * p_tv / 4} / top ELSE 0 END AS st FROM n{i})"
-            steps[f"v{i}"] = f"SELECT k, p, qx, qy, ax / sz AS nx, ay / sz AS ny FROM (SELECT *, greatest(1, sqrt(ax * ax + ay * ay) / {tv}) AS sz FROM s{i})"
-            steps[f"q{i + 1}"] = f"SELECT k, p, nx AS qx, ny AS qy FROM v{i}"
-            steps[f"b{i}"] = f"SELECT k, p, sum(v) AS v FROM (SELECT k, p, qx - nx + qy - ny AS v FROM v{i} UNION ALL SELECT k, p + 1, nx - qx FROM v{i} UNION ALL SELECT k, p + {NX}, ny - qy FROM v{i}) WHERE v <> 0 GROUP BY 1, 2"
-            edges, factor = f"q{i + 1}", 1 / p_tv
+            block(f"{i}_0", f"SELECT * FROM p{i} JOIN cells USING (k, p) WHERE t > 0", tv * leaf_edge, 0, "AND {}.patch = c.patch" if patch else "")
+            parts = [f"SELECT k, p, v FROM b{i}_0"]
+            for n, (node, edge) in enumerate(levels, 1):
+                block(f"{i}_{n}", f"SELECT * FROM (SELECT {node} AS k, p, sum(t) AS t, sum(x) AS x FROM p{i} GROUP BY 1, 2) WHERE t > 0", tv * edge, n, "")
+                parts.append(f"SELECT c.k, c.p, b.v FROM cells c JOIN b{i}_{n} b ON b.k = {node.replace('k', 'c.k')} AND b.p = c.p")
+            steps[f"b{i}"] = f"SELECT k, p, sum(v) AS v FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2"
+            factor = 1 / p_tv
         else:
             steps[f"f{i}"] = _fwd(f"p{i}", f"r.a % {subsets} = {m}", v="x")
             steps[f"e{i}"] = f"SELECT r.*, q.v AS old, q.v + sig * coalesce(f.v, 0) + sig * (bg + 0.001 * g) AS vv FROM rws r JOIN {duals} q USING (a, y, j) LEFT JOIN f{i} f USING (a, y, j)"
@@ -335,3 +350,17 @@ def _tv_sql(order: list[int | str], subsets: int, tv: float) -> str:
 def spdhg_tv(spark, d):
     got = solvers.spdhg_tv(_stored_op(spark), _noisy(spark, d), [1, "tv", 0, 2, "tv"], _all_cells(spark), 3, NX, NY, 0.5)
     return _out(got, "k", "p", v="v")
+
+
+_TREE = [1, "tv", 0, 2, "tv"]
+_BOXES = _patch_steps(_SPARSE, NX, 0, 0.5)
+
+
+@query("spdhg_tree_tv", _tv_sql(_TREE, 3, 0.5, "SELECT s.k, s.p, 1.0::DOUBLE AS v, patch FROM s JOIN patch ON s.k = patch.k AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1", (("(k // 2)", 0.7), ("(k * 0)", 0.3)), 0.4, **_BOXES))
+def spdhg_tree_tv(spark, d):
+    """Support in patches, orientations in a tree of two levels: differences within patches and of nodes' sums."""
+    pair = materialise(patches(_sparse(spark, d), NX, gap=0)[1])
+    of = pair.select("k").distinct()
+    levels = [(of.selectExpr("k", "cast(floor(k / 2) as int) node"), 0.7), (of.selectExpr("k", "0 node"), 0.3)]
+    got = solvers.spdhg_tv(_stored_op(spark), _noisy(spark, d), _TREE, pair.select("k", "p", "patch"), 3, NX, NY, 0.5, levels=levels, leaf_edge=0.4)
+    return _out(got, "k", "p", v="v")
