@@ -73,7 +73,7 @@ def patches(support: DataFrame, nx: int, split: bool = True, gap: int = 2, fill:
     """patch(patch, k, x0, y0, w, h, coff) and pair(k, p, patch, i).
 
     ``coff``: first coefficient of the patch in the flat vector, which holds the boxes row by row in order of
-    k, y0, x0; ``i``: a voxel's coefficient. Every pair is in exactly one patch.
+    k, y0, y1, x0, x1; ``i``: a voxel's coefficient. Every pair is in exactly one patch.
     """
     x, y = _xy(nx)
     pairs = support.select("k", "p", x.alias("x"), y.alias("y"))
@@ -94,7 +94,7 @@ def patches(support: DataFrame, nx: int, split: bool = True, gap: int = 2, fill:
     runs = runs.select("run", upto("m", Window.orderBy("run")).alias("m1"), upto("c", Window.orderBy("run")).alias("c1"))
     inner = Window.partitionBy("run").orderBy("k")
     firsts = by_k.select("k", "run", upto("m", inner).alias("m0"), upto("c", inner).alias("c0")).join(runs, "run").select("k", (F.col("m0") + F.col("m1")).alias("m0"), (F.col("c0") + F.col("c1")).alias("c0"))
-    own = Window.partitionBy("k").orderBy("y0", "x0")
+    own = Window.partitionBy("k").orderBy("y0", "y1", "x0", "x1")
     numbered = boxes.withColumns({"at": F.row_number().over(own) - 1, "c": upto(size, own)}).join(firsts, "k")
     numbered = numbered.select((F.col("m0") + F.col("at")).alias("patch"), "k", "x0", "y0", "x1", "y1", "w", "h", (F.col("c0") + F.col("c")).alias("coff"))
 

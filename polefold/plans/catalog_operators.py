@@ -401,7 +401,7 @@ def _patch_steps(spots: str, n: int, gap: int, fill: float, rounds: int = 6) ->
         steps[f"rbox{i}"] = f"SELECT id, id AS o FROM ibox{i} UNION SELECT r.id, b.id FROM rbox{i} r JOIN ibox{i} a ON a.id = r.o JOIN ibox{i} b ON a.k = b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
         steps[f"box{i + 1}"] = f"SELECT k, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM ibox{i} JOIN (SELECT id, min(o) AS c FROM rbox{i} GROUP BY id) USING (id) GROUP BY k, c"
     steps["boxes"] = f"SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h FROM (SELECT * FROM box{rounds} UNION ALL SELECT k, x0, x1, y0, y1 FROM whole WHERE NOT loose)"
-    steps["patch"] = "SELECT *, row_number() OVER (ORDER BY k, y0, x0) - 1 AS patch, (sum(w * h) OVER (ORDER BY k, y0, x0) - w * h)::BIGINT AS coff FROM boxes"
+    steps["patch"] = "SELECT *, row_number() OVER (ORDER BY k, y0, y1, x0, x1) - 1 AS patch, (sum(w * h) OVER (ORDER BY k, y0, y1, x0, x1) - w * h)::BIGINT AS coff FROM boxes"
     return steps
 
 
