@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -197,7 +198,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         changed = np.zeros(batch.num_rows - 1, bool)
         for key in keys:
             column = batch.column(key)
-            changed |= ~np.asarray(pa.compute.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False), bool)
+            changed |= ~np.asarray(pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False), bool)
         starts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(starts, starts[1:]):
             key = tuple(batch.column(k)[lo].as_py() for k in keys)
