@@ -41,7 +41,7 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK, SHARE, MAGIC = 1024, 0.9, b"PFORIDS1"
 FILE_IDS = 1 << 25
 _AT_ONCE = 256  # blocks
-_MEMO, _PART, _TOGETHER = 400_000, 1 << 18, 1 << 20
+_MEMO, _WORDS, _PART, _TOGETHER = 200_000, 800_000, 1 << 18, 1 << 20
 _DOUBLED = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _TRAILER = struct.Struct("<4Q8s")
 _INDEX = (("doc_ids", "<i8"), ("missing", "u1"), ("ends", "<i8"), ("minimums", "<u4"), ("widths", "u1"), ("exceptions", "<u2"), ("starts", "<u8"))
@@ -182,7 +182,7 @@ class ByteTokenizer:
             cut = [self.cut_bytes(b" " + w) for w in new]
             ids, ends = self._look_up([p for c in cut for p in c]), np.cumsum([len(c) for c in cut]).tolist()
             fresh = dict(zip(new, [b"".join(ids[a:b]) if b - a > 1 else ids[a] for a, b in zip([0, *ends], ends)]))
-            if len(self.words) + len(fresh) <= _MEMO:
+            if len(self.words) + len(fresh) <= _WORDS:
                 self.words.update(fresh)
             for i in missing:
                 found[i] = fresh[words[i]]
