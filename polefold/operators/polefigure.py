@@ -164,26 +164,32 @@ def stereographic(directions: DataFrame) -> DataFrame:
     return directions.select("k", (s * F.col("sx") / (1 + F.abs("sz"))).alias("u"), (s * F.col("sy") / (1 + F.abs("sz"))).alias("v"))
 
 
-def bragg_matrix(orientations: DataFrame, beams: DataFrame, table: DataFrame, lam: DataFrame, volume: float, spread: float, e0: float, kind: str = "legacy", tail=None) -> DataFrame:
+def bragg_matrix(orientations: DataFrame, beams: DataFrame, table: DataFrame, lam: DataFrame, volume: float, spread: float, e0: float, kind: str = "legacy", tail=None, ball: DataFrame | None = None) -> DataFrame:
     """bmat(a, k, l, v): single-crystal attenuation profiles. ``beams``: a, angle (radians); ``lam``: l, lam.
 
     The Bragg wavelength of each (orientation, beam, reflection) is filtered to the window before the
-    wavelengths are crossed in; beams, reflections and wavelengths are dimension tables.
+    wavelengths are crossed in; beams, reflections and wavelengths are dimension tables. With ``ball``, turns
+    (q, w) that each orientation is given from the right, the matrix is their weighted mean.
     """
     from ..functions.scalar import edge_profile, pulse_tail
 
     window = lam.agg(F.min("lam"), F.max("lam")).first()
     beam = (-F.sin("angle"), F.cos("angle"), F.lit(0.0))
     nx, ny, nz = rot.rotate(rot.inverse(rot.quat()), beam)
-    seen = orientations.crossJoin(F.broadcast(beams)).select("k", "a", nx.alias("bx"), ny.alias("by"), nz.alias("bz"))
+    orientations = orientations.select("k", "qx", "qy", "qz", "qw", F.lit(1.0).alias("wq"))
+    if ball is not None:
+        turns = ball.select(*[F.col(f"q{c}").alias(f"t{c}") for c in "xyzw"], "w")
+        q = rot.product(rot.quat(), tuple(F.col(f"t{c}") for c in "xyzw"))
+        orientations = orientations.crossJoin(F.broadcast(turns)).select("k", *[x.alias(f"q{c}") for x, c in zip(q, "xyzw")], F.col("w").alias("wq"))
+    seen = orientations.crossJoin(F.broadcast(beams)).select("k", "wq", "a", nx.alias("bx"), ny.alias("by"), nz.alias("bz"))
     both = seen.crossJoin(F.broadcast(table.select("gx", "gy", "gz", "d", "f2")))
     g2 = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")
     lam0 = 2 * (F.col("bx") * F.col("gx") + F.col("by") * F.col("gy") + F.col("bz") * F.col("gz")) / g2
-    hit = both.select("a", "k", "d", "f2", lam0.alias("lam0")).where(F.col("lam0").between(window[0], window[1]))
+    hit = both.select("a", "k", "wq", "d", "f2", lam0.alias("lam0")).where(F.col("lam0").between(window[0], window[1]))
     ratio = F.greatest(F.least(F.col("lam0") / (2 * F.col("d")), F.lit(1.0)), F.lit(-1.0))
     sin2 = F.greatest(ratio * ratio, F.lit(1e-30))
     l4 = F.pow(F.col("lam0"), F.lit(4.0))
-    amplitude = l4 * F.col("f2") / (volume * volume * 2 * sin2)
+    amplitude = F.col("wq") * l4 * F.col("f2") / (volume * volume * 2 * sin2)
     sigma = F.col("lam0") * F.sqrt((1 - ratio * ratio) / (ratio * ratio) * spread * spread + e0 * e0)
     alpha = (tail or pulse_tail)(F.col("lam0")) / 10000.0
     peaks = hit.select("a", "k", "lam0", amplitude.alias("amp"), sigma.alias("sigma"), alpha.alias("alpha"))

@@ -13,8 +13,8 @@ from ..sources import bindings as B
 from ..sources.bindings import R, sql
 from . import odf as odf_plans
 from .catalog_operators import _BM, _noisy, _out, _radon
-from .catalog_physics import _AX, _O, _RINGS, _ROT, _TTH, _TURN, _axes, _cubic, _poles
-from .registry import QUERIES, query
+from .catalog_physics import _AX, _O, _RINGS, _ROT, _TTH, _TURN, _axes, _cubic, _neutron, _poles
+from .registry import ORACLE, QUERIES, query
 
 
 def _greedy(source: str, min_deg: float, name: str, within: str = "0") -> dict[str, str]:
@@ -121,7 +121,7 @@ def gauss_newton_step(spark, d):
 
 _RADICAL = "list_sum(list_transform(range(0, 9), lambda d: (((i + 1) // pow({b}, d)::BIGINT) % {b}) / pow({b}, d + 1)))"
 _register("halton_orientations", sql(
-    "SELECT k, round(v * x, 4) + 0.0 AS qx, round(v * y, 4) + 0.0 AS qy, round(v * z, 4) + 0.0 AS qz, round(cos(r / 2), 4) AS qw FROM (SELECT k, r, sin(r / 2) AS v, sqrt(1 - c * c) * cos(t) AS x, sqrt(1 - c * c) * sin(t) AS y, c AS z FROM "
+    "SELECT k, round(v * x, 4) + 0.0 AS qx, round(v * y, 4) + 0.0 AS qy, round(v * z, 4) + 0.0 AS qz, round(cos(r / 2), 4) AS qw, round(m / sum(m) OVER (), 8) AS w FROM (SELECT k, r, pow(sin(r / 2) / (r / 2), 2) AS m, sin(r / 2) AS v, sqrt(1 - c * c) * cos(t) AS x, sqrt(1 - c * c) * sin(t) AS y, c AS z FROM "
     "(SELECT k, 0.2 * pow(u0, 1 / 3.0) AS r, 2 * u1 - 1 AS c, 2 * pi() * u2 AS t FROM h))",
     h="SELECT i::INT AS k, " + ", ".join(f"{_RADICAL.format(b=b)} AS u{n}" for n, b in enumerate((2, 3, 5))) + " FROM range(256) x(i)"))
 
@@ -192,3 +192,22 @@ def group_axes(spark, d):
     """Axes of the half turns of some groups, without their signs (D3: along the a axes, with a* along x)."""
     rows = [(n, *[round(abs(float(v)), 4) for v in q[:3]]) for n in _GROUPS for q in rot.group(n) if abs(q[3]) < 1e-9]
     return spark.createDataFrame(rows, "name string, x double, y double, z double").groupBy("name", "x", "y", "z").agg(F.count("*").cast("int").alias("n"))
+
+BALL, BALL_RADIUS = 6, 0.1
+_TURNED = "SELECT o.k, w, o.qw*t.x + o.qx*t.w + o.qy*t.z - o.qz*t.y AS qx, o.qw*t.y - o.qx*t.z + o.qy*t.w + o.qz*t.x AS qy, o.qw*t.z + o.qx*t.y - o.qy*t.x + o.qz*t.w AS qz, o.qw*t.w - o.qx*t.x - o.qy*t.y - o.qz*t.z AS qw FROM orient o, turns t"
+_EDGE = ORACLE["bragg_edge_gauss"]
+for _old, _new in ((" FROM orient, (SELECT a::INT", " FROM turned, (SELECT a::INT"), ("(SELECT k, a, ", "(SELECT k, w, a, "), ("SELECT a, k, d, f2, 2 *", "SELECT a, k, w, d, f2, 2 *"), ("pow(lam0, 4) * f2", "w * pow(lam0, 4) * f2"), ("* 0.0025 +", f"* {(1.2 * BALL_RADIUS / BALL ** (1 / 3)) ** 2!r} +"),
+                   (", lams AS (", ", h AS (SELECT i::INT AS k, " + ", ".join(f"{_RADICAL.format(b=b)} AS u{n}" for n, b in enumerate((2, 3, 5))) + f" FROM range({BALL}) x(i)), turns AS (SELECT sin(r / 2) * sqrt(1 - c * c) * cos(t) AS x, sin(r / 2) * sqrt(1 - c * c) * sin(t) AS y, sin(r / 2) * c AS z, cos(r / 2) AS w_, m / sum(m) OVER () AS w FROM (SELECT *, pow(sin(r / 2) / (r / 2), 2) AS m FROM (SELECT {BALL_RADIUS} * pow(u0, 1 / 3.0) AS r, 2 * u1 - 1 AS c, 2 * pi() * u2 AS t FROM h))), turned AS ({_TURNED.replace('t.w', 't.w_')}), lams AS (")):
+    if _old not in _EDGE:
+        raise ValueError(_old)
+    _EDGE = _EDGE.replace(_old, _new)
+
+
+@query("bragg_edge_ball", _EDGE)
+def bragg_edge_ball(spark, d):
+    """The matrix of edges averaged over a ball of turns around every orientation."""
+    beams = spark.range(3).selectExpr("cast(id as int) a", "0.3 + 0.7 * id as angle")
+    lam = spark.range(40).selectExpr("cast(id as int) l", "1.5D + 0.05D * id as lam")
+    ball = odf_plans.halton_ball(spark, BALL, BALL_RADIUS)
+    got = polefigure.bragg_matrix(B.orientations(spark, d), beams, _neutron(spark), lam, 3.6**3, 1.2 * BALL_RADIUS / BALL ** (1 / 3), 0.02, tail=lambda x: F.lit(1e-9), ball=ball)
+    return got.select("a", "k", "l", r4(F.col("v") * 1e3, 3).alias("v"))

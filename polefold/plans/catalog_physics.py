@@ -384,7 +384,8 @@ def odf_levels(spark, d):
 
 @query("halton_orientations")
 def halton_orientations(spark, d):
-    return _out(odf_plans.halton_ball(spark, 256, 0.2), "k", qx="qx", qy="qy", qz="qz", qw="qw")
+    got = odf_plans.halton_ball(spark, 256, 0.2)
+    return got.select("k", *[r4(F.col(f"q{c}")).alias(f"q{c}") for c in "xyzw"], r4(F.col("w"), 8).alias("w"))
 
 
 _WIN = "SELECT * FROM (VALUES (0, 2.6, 2.8), (1, 2.9, 3.2), (2, 4.0, 4.6), (3, 5.0, 5.5)) w(win, lo, hi)"

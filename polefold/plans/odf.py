@@ -22,8 +22,13 @@ def random_zone(spark: SparkSession, n: int, ops: DataFrame, seed: int = 1) -> D
     return rot.fundamental_zone(quats, ops)
 
 
-def halton_ball(spark: SparkSession, n: int, radius: float) -> DataFrame:
-    """n low-discrepancy rotation vectors in a ball, as quaternions with equal volume weights."""
+def halton_ball(spark: SparkSession, n: int, radius: float, normalise: bool = True) -> DataFrame:
+    """n low-discrepancy rotation vectors in a ball, as quaternions with weights w.
+
+    Points are even in rotation-vector space, where rotations have the density (sin(r/2) / (r/2))^2 / (8 pi^2): a
+    weight is that density times the point's share of the ball. Weights add up to 1, or (``normalise`` off) to
+    the ball's part of all rotations, (radius - sin(radius)) / pi.
+    """
 
     def radical(base: int):
         i, f, out = F.col("id") + 1, 1.0, F.lit(0.0)
@@ -37,7 +42,9 @@ def halton_ball(spark: SparkSession, n: int, radius: float) -> DataFrame:
     r, z, t = radius * F.pow(u[0], F.lit(1 / 3)), 2 * u[1] - 1, 2 * math.pi * u[2]
     flat = F.sqrt(1 - z * z)
     q = rot.from_rotvec(r * flat * F.cos(t), r * flat * F.sin(t), r * z)
-    return spark.range(n).select(F.col("id").cast("int").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")], F.lit(1.0 / n).alias("w"))
+    w = F.pow(F.sin(r / 2) / (r / 2), F.lit(2.0)) * (radius**3 / (6 * math.pi * n))
+    made = spark.range(n).select(F.col("id").cast("int").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")], w.alias("w"))
+    return made.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy())) if normalise else made
 
 
 def support(odf: DataFrame, rel: float = 1e-2, keep_mass: float | None = None) -> DataFrame:
@@ -117,17 +124,19 @@ def sample(odf: DataFrame, n: int, sigma: float, seed: int = 3, parts: int = 102
     """n orientations drawn by weight, with Gaussian jitter.
 
     The running sum is kept in ``parts`` buckets of k: totals of the buckets go through the driver, a
-    draw finds its bucket by them and its row by a join within the bucket.
+    draw finds its bucket by them and its row by a join within the bucket. Intervals of buckets and of rows
+    share their ends and the last ones are open, so rounding loses no draw.
     """
     placed = odf.select("k", "w", *[f"q{c}" for c in "xyzw"], F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("_b"))
-    sums = sorted((r["_b"], r["s"]) for r in placed.groupBy("_b").agg(F.sum("w").alias("s")).collect())  # at most `parts` rows
+    sums = sorted((r["_b"], r["s"]) for r in placed.where("w > 0").groupBy("_b").agg(F.sum("w").alias("s")).collect())  # at most `parts` rows
     ends = [sum(s for _, s in sums[: i + 1]) for i in range(len(sums))]
     order = Window.partitionBy("_b").orderBy("k")
-    run = placed.withColumn("_hi", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = placed.where("w > 0").withColumn("_hi", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumns({"_lo": F.coalesce(F.lag("_hi").over(order), F.lit(float("-inf"))), "_hi": F.when(F.lead("_hi").over(order).isNull(), F.lit(float("inf"))).otherwise(F.col("_hi"))})
     draws = odf.sparkSession.range(n).select(F.col("id").cast("int").alias("m"), (F.rand(seed) * (ends[-1] if ends else 0.0)).alias("_u"), *[F.randn(seed + 1 + i).alias(f"e{i}") for i in range(3)])
-    starts = odf.sparkSession.createDataFrame([(b, float(hi - s), float(hi)) for (b, s), hi in zip(sums, ends)], "_b int, _from double, _to double")
+    starts = odf.sparkSession.createDataFrame([(b, float(lo), float(hi)) for (b, _), lo, hi in zip(sums, [0.0, *ends], [*ends[:-1], math.inf])], "_b int, _from double, _to double")
     dealt = draws.join(F.broadcast(starts), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).withColumn("_u", F.col("_u") - F.col("_from"))
-    hit = dealt.join(run, "_b").where((F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_hi") - F.col("w")))
+    hit = dealt.join(run, "_b").where((F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_lo")))
     q = rot.product(rot.quat(), rot.from_rotvec(*[sigma * F.col(f"e{i}") for i in range(3)]))
     return hit.select(F.col("m").alias("k"), *[c.alias(f"q{x}") for c, x in zip(q, "xyzw")], F.col("k").alias("parent"))
 
