@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TELLING = {"class", "id", "role", "aria-label", "hidden", "style"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math select object canvas video audio".split())
 OUT = {"head"} | RAW
@@ -129,15 +130,17 @@ class _Stack:
 
 def _named(tag: str, attributes: str) -> str:
     """The word by which the attributes name something else than the article, HIDDEN if they hide it."""
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) and "aria-hidden" not in attributes:
-        return HIDDEN
     word = ""
     for a in _ATTR.finditer(attributes):
         kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if kind not in _TELLING:
+            continue
+        if kind == "hidden":
+            return HIDDEN
         if kind == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return HIDDEN
-        elif kind != "hidden" and tag not in ("html", "body", "main"):
+        elif tag not in ("html", "body", "main"):
             if not word and (m := (_NAMED_ARTICLE if tag == "article" else _NAMED).search(_ABOUT.sub("", value))):
                 word = "!" + m[0].strip(" \t\r\n_-").lower()
     return word
@@ -148,6 +151,7 @@ def blocks(html: str) -> tuple[Tree, list[tuple[Block, str]]]:
     tree, stack = Tree(), _Stack()
     found: list[Block] = []
     now: Block | None = None
+    unclosed: set[str] = set()  # tags that end nowhere in the rest of the page
     at, end = 0, len(html)
 
     def text(piece: str) -> None:
@@ -192,7 +196,9 @@ def blocks(html: str) -> tuple[Tree, list[tuple[Block, str]]]:
             continue
         if tag in RAW:
             if not m[0].endswith("/>"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                if close is None:
+                    unclosed.add(tag)
                 at = close.end() if close else (at if tag in ("svg", "math", "object", "canvas", "video", "audio", "select", "noscript") else end)
             continue
         if tag in ENDS_P and (place := stack.last({"p"})) >= 0:
