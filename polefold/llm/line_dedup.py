@@ -6,8 +6,8 @@ behind it), so that a passage is found wherever lines are broken around it. A un
 all documents the occurrence with the smallest (doc_id, digest of the text, unit number) of a digest
 stays, every other one goes, with the separator behind it; offsets are those of the whole text.
 
-``min_words`` is the least number of words that a unit must have to be compared at all (words are
-parted by blanks; each Han or kana character counts as one). The query sets it to ``MIN_WORDS``: in
+``min_words`` is the least number of words that a unit must have to be compared at all (one more
+than its blanks, and each Han or kana character adds one). The query sets it to ``MIN_WORDS``: in
 running text shorter sentences recur by chance in documents that share nothing else, and taking
 them out would spoil clean documents. With 1, all units but empty ones are compared.
 
@@ -60,7 +60,7 @@ def repeated_units(documents: DataFrame, min_words: int = 1) -> DataFrame:
 
     def digest(unit: Column) -> Column:
         once = F.transform(F.array(_normal(unit)), lambda u: F.when((F.length(u) > 0) & (_n_words(u) >= min_words), F.unhex(F.md5(u))))[0]
-        return F.when(F.length(unit) >= max(1, min_words), once)
+        return F.when(F.length(unit) >= max(1, min_words - 1), once)  # a unit has at most one word more than characters
 
     # digests are taken before the units become rows, where no filter can have them computed again
     units = documents.select(F.col("doc_id").alias("uid"), _digest(F.col("text")).alias("whole"), F.transform(F.split(cut, "\n", -1), digest).alias("digests"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -102,6 +103,20 @@ def test_line_dedup_short_units(spark):
     assert table(line_dedup.dedup_lines(short, 3), "doc_id", "clean_text") == [(1, "Read more\n\nx\nbody one"), (2, "read  more\n\nx"), (3, "日本語のテキストです\nx"), (4, "")]
 
 
+def test_line_dedup_counts_signs_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    units = ["\u65e5" * n for n in (10, 11, 12)] + ["\ud55c" * 30, "\u0e01" * 40, "\u3042 " * 6, " ".join("abcdefghijk"), " ".join("abcdefghijkl")]
+    rows = [(i, unit) for i, unit in enumerate(units + units)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = line_dedup.query(spark, str(tmp_path))
+    names = ["doc_id", "n_removed", "spans", "kept_sha256"]
+    assert table(got, *names) == sorted(duck.sql(f"SELECT {', '.join(names)} FROM ({line_dedup.SQL})").fetchall())
+    assert {r.doc_id for r in got.collect() if r.n_removed} == {9, 10, 13, 15}
+
+
 def test_line_dedup_catches_passages_and_leaves_clean_documents(spark):
     """Documents that share a run of 50 words with an earlier one lose text, those that share none mostly keep all."""
     docs = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
@@ -188,6 +203,19 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0), "page_id", "url").count() == 0
 
 
+@pytest.mark.parametrize("attributes", ['title="A hidden gem"', 'data-note="was hidden before"', 'aria-label="Show hidden parts"', 'class="x hidden y"', "aria-hidden=true data-x='hidden'"])
+def test_html_values_do_not_hide(attributes):
+    body = "".join(f"<p>Paragraph {i} of the article, long enough to count as text.</p>" for i in range(4))
+    assert html_text.main_text(f"<body><div {attributes}>{body}</div><p hidden>Not this one, it is hidden.</p><p style='display:none'>Nor this.</p></body>").count("Paragraph") == 4
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "object", "noscript"])
+def test_html_unclosed_raw_tags_take_linear_time(tag):
+    began = time.process_time()
+    html_text.blocks(f"<body><p>text</p>{f'<{tag}>x' * 60_000}")
+    assert time.process_time() - began < 10
+
+
 def test_html_names():
     page = '<body class="with-sidebar"><div class="has-sidebar"><article><p>Body text, long enough to count.</p></article></div><article class="comment"><p>I agree, really.</p></article><div hidden>Secret, hidden.</div></body>'
     assert html_text.main_text(page) == "Body text, long enough to count."
