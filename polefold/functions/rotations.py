@@ -73,16 +73,22 @@ def _times(a: tuple, b: tuple) -> tuple:
 
 
 def _closure(generators: list[tuple]) -> list[tuple]:
-    def key(q: tuple) -> tuple:
+    """All products, at full precision; nine decimals only tell elements apart and give their order."""
+
+    def signed(q: tuple) -> tuple:
         sign = next((math.copysign(1.0, c) for c in (q[3], q[0], q[1], q[2]) if abs(c) > 1e-9), 1.0)
-        return tuple(round(sign * c, 9) + 0.0 for c in q)
+        return tuple(sign * c if abs(c) > 1e-12 else 0.0 for c in q)
 
-    found = {key((0.0, 0.0, 0.0, 1.0))}
-    while True:
-        more = {key(_times(a, b)) for a, b in itertools.product(found, generators)} - found
-        if not more:
-            return sorted(found, key=lambda q: (-q[3], q))
-        found |= more
+    def key(q: tuple) -> tuple:
+        return tuple(round(c, 9) + 0.0 for c in q)
+
+    one = (0.0, 0.0, 0.0, 1.0)
+    found, fresh = {key(one): one}, [one]
+    while fresh:
+        made = {key(q): q for q in (signed(_times(a, b)) for a, b in itertools.product(fresh, generators))}
+        fresh = [q for k, q in made.items() if k not in found]
+        found = made | found
+    return [found[k] for k in sorted(found, key=lambda q: (-q[3], q))]
 
 
 _X2, _Y2 = (1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0)

@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r4
-from ..operators import crystal
 from ..sources import cif
-from ..sources.bindings import sql
-from .catalog_physics import A0, _al_sites, _FCC, _fcc, _F0, _MULT
 from .registry import query
 
-#: system -> a cell whose metric has its symmetry (the unique axis of the monoclinic operations is c)
-CELLS = {
-    "cubic": (4.0, 4.0, 4.0, 90, 90, 90), "hexagonal": (3.0, 3.0, 5.0, 90, 90, 120), "trigonal": (4.0, 4.0, 6.0, 90, 90, 120),
-    "tetragonal": (3.0, 3.0, 5.0, 90, 90, 90), "orthorhombic": (3.0, 4.0, 5.0, 90, 90, 90), "monoclinic": (3.0, 4.0, 5.0, 90, 90, 100), "triclinic": (3.0, 4.0, 5.0, 80, 95, 100),
-}
-_Q = 4.5
 #: a family's name in SQL: what all its members share
 _KEYS = {
     "cubic": "list_sort([abs(h), abs(k), abs(l)])",
@@ -32,118 +20,9 @@ _KEYS = {
 }
 
 
-def _metric(cell: tuple) -> np.ndarray:
-    b = crystal.reciprocal(crystal.lattice_matrix(*cell))
-    return b.T @ b
-
-
-def _q_text(cell: tuple) -> str:
-    """|q| from the cell's lengths and angles, by the metric tensor."""
-    a, b, c, al, be, ga = cell
-    ca, cb, cg = (math.cos(math.radians(t)) for t in (al, be, ga))
-    g = np.linalg.inv(np.array([[a * a, a * b * cg, a * c * cb], [a * b * cg, b * b, b * c * ca], [a * c * cb, b * c * ca, c * c]]))
-    terms = [f"({float(g[i, j])!r}::DOUBLE) * {x} * {y}" for i, x in enumerate("hkl") for j, y in enumerate("hkl")]
-    return f"2 * pi() * sqrt(greatest({' + '.join(terms)}, 0))"
-
-
-_FAMILIES = " UNION ALL ".join(
-    f"SELECT '{n}' AS system, m AS mult, count(*) AS families, round(sum(q), 3) AS q FROM (SELECT key, count(*) AS m, min(q) AS q FROM (SELECT {_KEYS[n]} AS key, {_q_text(c)} AS q FROM grid) WHERE q BETWEEN 0.1 AND {_Q} GROUP BY key) GROUP BY m"
-    for n, c in CELLS.items()
-)
-
-
-@query("reflection_families", sql("SELECT * FROM (" + _FAMILIES + ")", grid="SELECT * FROM range(-6, 7) a(h), range(-6, 7) b(k), range(-6, 7) c(l) WHERE h <> 0 OR k <> 0 OR l <> 0"))
-def reflection_families(spark, d):
-    found = None
-    for name, cell in CELLS.items():
-        b = crystal.reciprocal(crystal.lattice_matrix(*cell))
-        rows = crystal.families(crystal.enumerate_hkl(spark, b, 0.1, _Q), crystal.integer_ops(name)).withColumn("system", F.lit(name))
-        found = rows if found is None else found.union(rows)
-    return found.groupBy("system", F.col("mult").cast("long").alias("mult")).agg(F.count("*").alias("families"), r4(F.sum("q"), 3).alias("q"))
-
-
-_SYSTEMS = [(3, 3, 3, 90, 90, 90), (3, 3, 4, 90, 90, 90), (3, 4, 4, 90, 90, 90), (3, 4, 5, 90, 90, 90), (3, 3, 5, 90, 90, 120), (3, 3, 3, 80, 80, 80), (3, 4, 5, 90, 100, 90), (3, 4, 5, 90, 90, 100), (3, 4, 5, 100, 90, 90), (3, 4, 5, 80, 85, 95)]
-_SYSTEM_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{float(x)}::DOUBLE' for x in c)})" for i, c in enumerate(_SYSTEMS)) + ") t(i, a, b, c, al, be, ga)"
-
-
-@query("crystal_systems", sql(
-    "SELECT i, CASE WHEN right_ AND ab AND bc THEN 'cubic' WHEN ab AND a9 AND b9 AND abs(ga - 120) < 0.05 THEN 'hexagonal' WHEN ab AND right_ THEN 'tetragonal' "
-    "WHEN ab AND bc AND abs(al - be) < 0.05 AND abs(be - ga) < 0.05 AND NOT a9 THEN 'trigonal' WHEN right_ THEN 'orthorhombic' WHEN a9 AND g9 THEN 'monoclinic' ELSE 'triclinic' END AS system "
-    "FROM (SELECT *, a9 AND b9 AND g9 AS right_ FROM (SELECT *, abs(a - b) < 0.05 AS ab, abs(b - c) < 0.05 AS bc, abs(al - 90) < 0.05 AS a9, abs(be - 90) < 0.05 AS b9, abs(ga - 90) < 0.05 AS g9 FROM cell))", cell=_SYSTEM_ROWS))
-def crystal_systems(spark, d):
-    return spark.createDataFrame([(i, crystal.crystal_system(*c)) for i, c in enumerate(_SYSTEMS)], "i int, system string")
-
-
-_RAD = "radians({})"
-_LATTICE = """SELECT i, a * sin(be) * sqrt(1 - s * s) AS m00, -a * sin(be) * s AS m01, a * cos(be) AS m02, b * sin(al) AS m11, b * cos(al) AS m12, c AS m22,
-  a * b * c * sqrt(1 - cos(al)^2 - cos(be)^2 - cos(ga)^2 + 2 * cos(al) * cos(be) * cos(ga)) AS volume
-FROM (SELECT *, (cos(al) * cos(be) - cos(ga)) / (sin(al) * sin(be)) AS s FROM (SELECT i, a, b, c, radians(al) AS al, radians(be) AS be, radians(ga) AS ga FROM cell))"""
-
-
-@query("lattice_matrices", sql(
-    "SELECT i, round(m00, 4) + 0.0 AS m00, round(m01, 4) + 0.0 AS m01, round(m02, 4) + 0.0 AS m02, round(m11, 4) + 0.0 AS m11, round(m12, 4) + 0.0 AS m12, round(m22, 4) + 0.0 AS m22, round(volume, 3) AS volume, "
-    "round(2 * pi() / m00, 4) AS r00, round(2 * pi() / m22, 4) AS r22 FROM m", cell=_SYSTEM_ROWS, m=_LATTICE))
-def lattice_matrices(spark, d):
-    rows = []
-    for i, c in enumerate(_SYSTEMS):
-        m = crystal.lattice_matrix(*map(float, c))
-        r = crystal.reciprocal(m)
-        rows.append((i, *[float(m[x]) for x in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))], crystal.cell_volume(m), float(r[0, 0]), float(r[2, 2])))
-    made = spark.createDataFrame(rows, "i int, m00 double, m01 double, m02 double, m11 double, m12 double, m22 double, volume double, r00 double, r22 double")
-    return made.select("i", *[r4(F.col(c), 3 if c == "volume" else 4).alias(c) for c in made.columns[1:]])
-
-
-@query("lattice_builders", sql(
-    "SELECT i, round(a * a, 4) + 0.0 AS aa, round(a * b * cos(ga), 4) + 0.0 AS ab, round(a * c * cos(be), 4) + 0.0 AS ac, round(b * b, 4) + 0.0 AS bb, round(b * c * cos(al), 4) + 0.0 AS bc, round(c * c, 4) + 0.0 AS cc "
-    "FROM (SELECT i, a, b, c, radians(al) AS al, radians(be) AS be, radians(ga) AS ga FROM (VALUES (0, 4.0, 4.0, 4.0, 90, 90, 90), (1, 3.0, 3.0, 5.0, 90, 90, 120), (2, 4.0, 4.0, 4.0, 70, 70, 70), (3, 3.0, 3.0, 5.0, 90, 90, 90), (4, 3.0, 4.0, 5.0, 90, 90, 90), (5, 3.0, 4.0, 5.0, 90, 110, 90), (6, 3.0, 4.0, 5.0, 80, 100, 110)) t(i, a, b, c, al, be, ga))"))
-def lattice_builders(spark, d):
-    """Dot products of the seven builders' rows: lengths and angles as asked for."""
-    made = [
-        crystal.lattice_rows("cubic", 4), crystal.lattice_rows("hexagonal", 3, c=5), crystal.lattice_rows("trigonal", 4, alpha=70), crystal.lattice_rows("tetragonal", 3, c=5),
-        crystal.lattice_rows("orthorhombic", 3, 4, 5), crystal.lattice_rows("monoclinic", 3, 4, 5, beta=110), crystal.lattice_rows("triclinic", 3, 4, 5, 80, 100, 110),
-    ]
-    rows = [(i, *[float((m @ m.T)[x]) for x in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]) for i, m in enumerate(made)]
-    table = spark.createDataFrame(rows, "i int, aa double, ab double, ac double, bb double, bc double, cc double")
-    return table.select("i", *[r4(F.col(c)).alias(c) for c in table.columns[1:]])
-
-
-@query("scattering_windows", "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE, 0.5::DOUBLE), (1, round(4 * pi() / 0.5 * sin(0.05), 4), round(4 * pi() / 0.5 * sin(0.15), 4), 0.5), (2, round(4 * pi() * 50 / 12.39842 * sin(0.05), 4), round(4 * pi() * 50 / 12.39842 * sin(0.15), 4), round(12.39842 / 50, 4))) t(i, q_min, q_max, wavelength)")
-def scattering_windows(spark, d):
-    made = [crystal.scattering_window(0.5, q=(1, 5)), crystal.scattering_window(0.5, two_theta=(0.1, 0.3)), crystal.scattering_window(energy=50, two_theta=(0.1, 0.3))]
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "i int, q_min double, q_max double, wavelength double").select("i", *[r4(F.col(c)).alias(c) for c in ("q_min", "q_max", "wavelength")])
-
-
 _LETTERS = {"P": "true", "I": "(h + k + l) % 2 = 0", "A": "(k + l) % 2 = 0", "B": "(h + l) % 2 = 0", "C": "(h + k) % 2 = 0", "F": "h % 2 = k % 2 AND k % 2 = l % 2", "R": "(k + l - h + 30) % 3 = 0"}
 
 
-@query("centering_rules", sql(" UNION ALL ".join(f"SELECT '{n}' AS letter, count(*) AS n, sum(h * h + 2 * k * k + 3 * l * l)::BIGINT AS s FROM (SELECT h + 10 AS h, k + 10 AS k, l + 10 AS l FROM grid) WHERE {r}" for n, r in _LETTERS.items()), grid="SELECT * FROM range(-4, 5) a(h), range(-4, 5) b(k), range(-4, 5) c(l)"))
-def centering_rules(spark, d):
-    axis = spark.range(-4, 5)
-    grid = axis.select(F.col("id").alias("h")).crossJoin(axis.select(F.col("id").alias("k"))).crossJoin(axis.select(F.col("id").alias("l")))
-    found = None
-    for letter in _LETTERS:
-        h, k, l = (F.col(c) + 10 for c in "hkl")
-        one = grid.where(crystal.centering(letter)).agg(F.count("*").alias("n"), F.sum(h * h + 2 * k * k + 3 * l * l).alias("s")).select(F.lit(letter).alias("letter"), "n", "s")
-        found = one if found is None else found.union(one)
-    return found
-
-
-@query("structure_factor_anomalous", sql(f"SELECT (h*h + k*k + l*l)::INT AS s, h::INT AS h, k::INT AS k, l::INT AS l, round(16 * (({_F0} - 0.4) * ({_F0} - 0.4) + 0.09) * exp(-q2 * 0.01), 3) AS f2 FROM (SELECT *, q2 / (16 * pi() * pi()) AS s2 FROM (SELECT *, 4 * pi() * pi() / ({A0} * {A0}) * (h*h + k*k + l*l) AS q2 FROM f))", f=_FCC))
-def structure_factor_anomalous(spark, d):
-    sites = _al_sites(spark).withColumns({"element": F.lit(" AL"), "f1": F.lit(-0.4), "f2a": F.lit(0.3)})
-    rows = crystal.structure_factors(_fcc(spark), sites, crystal.form_factor_table(spark))
-    parts = F.array_sort(F.array(F.abs("h"), F.abs("k"), F.abs("l")))
-    s = (F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).cast("int")
-    return rows.select(s.alias("s"), parts[0].alias("h"), parts[1].alias("k"), parts[2].alias("l"), r4(F.col("f2"), 3).alias("f2"))
-
-
-@query("two_theta_window", sql(f"SELECT h::INT AS h, k::INT AS k, l::INT AS l, {_MULT} AS mult FROM f WHERE 2 * asin(0.35 * sqrt(h*h + k*k + l*l) / (2 * {A0})) BETWEEN 0.2 AND 0.3", f=_FCC))
-def two_theta_window(spark, d):
-    rows = crystal.within_angles(_fcc(spark), 0.2, 0.3)
-    parts = F.array_sort(F.array(F.abs("h"), F.abs("k"), F.abs("l")))
-    return rows.select(parts[0].alias("h"), parts[1].alias("k"), parts[2].alias("l"), F.col("mult").cast("int").alias("mult"))
-
-
 _CIF = """data_{s}
 _cell_length_a {a}(2)
 _cell_length_b ?

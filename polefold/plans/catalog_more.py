@@ -5,14 +5,12 @@ from __future__ import annotations
 import math
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r4
-from ..operators import crystal, derivs, fields, search
-from ..schemas import TABLES, assert_schema, schema
+from ..operators import derivs, fields, search
 from ..sources import bindings as B
-from ..sources import cif, tables
+from ..sources import tables
 from ..sources.bindings import NX, NY, sql
 from ..streaming import incremental
 from . import odf as odf_plans
@@ -24,45 +22,12 @@ from .registry import QUERIES, query
 from .state import state_dir
 
 
-@query("schema_checks", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', true, true)" for n in TABLES) + ") t(name, accepted, rejected)")
-def schema_checks(spark, d):
-    """Every table's schema accepts an empty table of its own and rejects one without its last column."""
-    rows = []
-    for name in TABLES:
-        empty = spark.createDataFrame([], schema(name))
-        accepted = assert_schema(empty, name) is empty
-        try:
-            assert_schema(empty.drop(empty.columns[-1]), name)
-            rejected = False
-        except ValueError:
-            rejected = True
-        rows.append((name, accepted, rejected))
-    return spark.createDataFrame(rows, "name string, accepted boolean, rejected boolean")
-
-
 @query("completed_cells", sql("SELECT a::INT AS k, b::INT AS p, coalesce(c.v, 0)::DOUBLE AS v FROM range(9) x(a) CROSS JOIN range(256) y(b) LEFT JOIN coef c ON c.k = a AND c.p = b", "coef"))
 def completed_cells(spark, d):
     coef = B.coef(spark, d).withColumn("v", F.col("v").cast("double"))
     return tables.completed(coef, {"k": 9, "p": 256}).select("k", "p", "v")
 
 
-@query("dense_round_trip", "SELECT i::INT AS i, j::INT AS j, ((i * 7 + j * 3) % 5)::DOUBLE AS v FROM range(6) a(i), range(4) b(j) WHERE (i * 7 + j * 3) % 5 <> 0")
-def dense_round_trip(spark, d):
-    """A dense array becomes a long table without zeros, goes back and comes again."""
-    array = np.array([[(i * 7 + j * 3) % 5 for j in range(4)] for i in range(6)], float)
-    back = tables.to_dense(tables.from_dense(spark, array, ("i", "j")), (6, 4), ("i", "j"))
-    return tables.from_dense(spark, back, ("i", "j"))
-
-
-@query("json_lines", "SELECT * FROM (VALUES (1.0::DOUBLE, 4.5::DOUBLE), (2.0, 2.25), (3.0, 1.125)) t(iter, f)")
-def json_lines(spark, d):
-    """Statistics of two runs appended to one folder of JSON lines, read again."""
-    path = f"{state_dir(spark)}/stats-{uuid.uuid4().hex}"
-    tables.append_json(tables.iteration_stats(spark, [{"iter": 1, "f": 4.5}, {"iter": 2, "f": 2.25}]), path)
-    tables.append_json(tables.iteration_stats(spark, [{"iter": 3, "f": 1.125}]), path)
-    return spark.read.schema("iter double, f double").json(path)
-
-
 @query("streamed_totals", sql("SELECT a, sum(b)::DOUBLE AS total, count(*) AS n FROM dat GROUP BY a", "dat"))
 def streamed_totals(spark, d):
     """Data rows that arrive in files, one micro-batch a file, update totals kept as a state."""
@@ -81,15 +46,6 @@ def streamed_totals(spark, d):
     return spark.read.parquet(f"{root}/state/gen={run.lastProgress['batchId'] + 1}").select("a", "total", "n")
 
 
-_STEEL = "SELECT h::INT AS h, k::INT AS k, l::INT AS l, 3.596 / sqrt(s) AS d, 0.01 * pow(4 * 9.2 * exp(-2 * pi() * pi() * s / (3.596 * 3.596) * 0.0083), 2) AS f2 FROM (SELECT h, k, l, h*h + k*k + l*l AS s FROM range(-3, 4) a(h), range(-3, 4) b(k), range(-3, 4) c(l) WHERE (h <> 0 OR k <> 0 OR l <> 0) AND (h + k) % 2 = 0 AND (k + l) % 2 = 0) WHERE 2 * 3.596 / sqrt(s) >= 1.5"
-
-
-@query("steel_table", sql("SELECT h, k, l, round(d, 4) AS d, round(f2, 4) AS f2 FROM n WHERE f2 > 1e-3", n=_STEEL))
-def steel_table(spark, d):
-    b = crystal.reciprocal(crystal.lattice_rows("cubic", 3.596))
-    return _out(crystal.neutron_table(spark, b, crystal.steel_sites(spark), 1.5, 3), "h", "k", "l", d="d", f2="f2")
-
-
 _LISTED = {
     "4/mmm": ("tetragonal", ["x,y,z", "-y,x,z", "-x,-y,z", "y,-x,z", "x,-y,-z", "-x,y,-z", "y,x,-z", "-y,-x,-z", "-x,-y,-z", "y,-x,-z"]),
     "6/m": ("hexagonal", ["x,y,z", "x-y,x,z", "-y,x-y,z", "-x,-y,z", "-x+y,-x,z", "y,-x+y,z", "-x,-y,-z"]),
@@ -97,18 +53,6 @@ _LISTED = {
 }
 
 
-@query("listed_groups", "SELECT * FROM (VALUES ('4/mmm', 8, 0.0::DOUBLE, 16), ('6/m', 6, 6.0, 12), ('2/m', 2, 2.0, 4)) t(name, rotations, trace, hkl)")
-def listed_groups(spark, d):
-    """Proper rotations of the groups that files list as operations, the sum of their traces, and operations on (h, k, l)."""
-    cells = {"tetragonal": (3, 3, 5, 90, 90, 90), "hexagonal": (3, 3, 5, 90, 90, 120), "monoclinic": (3, 4, 5, 90, 100, 90)}
-    rows = []
-    for name, (system, listed) in _LISTED.items():
-        parts = [np.array(cif.operation(o))[:, :3] for o in listed]
-        turns = crystal.laue_rotations(parts, crystal.lattice_matrix(*map(float, cells[system])))
-        rows.append((name, len(turns), round(float(sum(np.trace(t) for t in turns)), 6) + 0.0, len(crystal.hkl_ops(parts))))
-    return spark.createDataFrame(rows, "name string, rotations int, trace double, hkl int")
-
-
 _PHASES = "SELECT a, j, k, v FROM pf UNION ALL SELECT a, ((j + 5) % 24)::INT, k + 7, v / 2 FROM pf"
 _PHASE_STEPS = {
     "pfs": _PHASES, "bb": "SELECT a, j, sum(b) AS b FROM dat GROUP BY 1, 2",
@@ -215,13 +159,6 @@ def _rays(spark):
     return derivs.direction_rays(directions, NX, NY)
 
 
-@query("direction_attenuation", sql("SELECT dir, p, round(exp(-sum(len * 0.01 * (1 + p2 % 3))), 4) AS t FROM rays GROUP BY 1, 2", **_RAYS))
-def direction_attenuation(spark, d):
-    """Attenuation along oblique directions, from every pixel to the edge of the sample."""
-    mu = spark.range(NX * NY).selectExpr("cast(id as int) p2", "0.01D * (1 + id % 3) as m")
-    return _out(derivs.attenuation(_rays(spark), mu), "dir", "p", t="t")
-
-
 _TWO = "SELECT i.a, i.p, i.t * o.t AS t FROM att i JOIN att o ON o.p = i.p AND o.dir = (i.a + 1) % 3"
 
 

@@ -29,11 +29,6 @@ def _out(df, *keys, **values):
     return df.select(*keys, *[r4(F.col(c)).alias(n) for n, c in values.items()])
 
 
-@query("radon_weights", sql("SELECT a, y, p, round(w, 4) + 0.0 AS w FROM radon", "radon"))
-def radon_weights(spark, d):
-    return _out(_radon(spark), "a", "y", "p", w="w")
-
-
 @query("radon_forward", sql("SELECT a, y, k, round(v, 4) + 0.0 AS v FROM sino", "sino"))
 def radon_forward(spark, d):
     return _out(projector.forward(B.coef(spark, d), _radon(spark)), "a", "y", "k", v="v")
@@ -103,26 +98,6 @@ def subset_forward(spark, d):
     return _out(projector.forward(B.coef(spark, d), projector.restricted(_radon(spark), angle, "subset = 2")), "a", "y", "k", v="v")
 
 
-@query("hat_weights", sql("SELECT a, y::INT AS y, p::INT AS p, round(w, 4) + 0.0 AS w FROM (SELECT a, y, p, greatest(1 - abs(gx * (p % 16) + gy * (p // 16) + t0 - y), 0) AS w FROM geo, range(256) q(p), range(17) s(y)) WHERE w > 1e-9", "geo"))
-def hat_weights(spark, d):
-    return _out(projector.radon_weights(_geo(spark), NX, NY, NS, "hat"), "a", "y", "p", w="w")
-
-
-@query("fov_mask", sql("SELECT p::INT AS p FROM (SELECT p, max(abs(gx * (p % 16) + gy * (p // 16) + t0 - 8)) AS m FROM geo, range(256) q(p) GROUP BY p) WHERE m <= 8 + 1e-9", "geo"))
-def fov_mask(spark, d):
-    return projector.fov_mask(_geo(spark), NX, NY, NS)
-
-
-@query("block_split", "SELECT a::INT AS a, (a // 5) % 5 <> 2 AS fitted FROM range(30) t(a)")
-def block_split(spark, d):
-    return terms.block_split(projector.angles(spark, R)).select("a", "fitted")
-
-
-@query("interleaved_subsets", "SELECT a::INT AS a, ((row_number() OVER (ORDER BY a) - 1) % 4)::INT AS subset FROM range(30) t(a) WHERE (a // 5) % 5 <> 2")
-def interleaved_subsets(spark, d):
-    return terms.interleaved(terms.block_split(projector.angles(spark, R)), 4).select("a", F.col("subset").cast("int").alias("subset"))
-
-
 @query("pf_forward", sql("SELECT a, y, j, round(v, 4) + 0.0 AS v FROM pred", "pred"))
 def pf_forward(spark, d):
     return _out(_op(spark).forward(B.coef(spark, d)), "a", "y", "j", v="v")
@@ -184,20 +159,6 @@ def multi_phase_forward(spark, d):
     return _out(linop.phases_forward({"one": (linop.tomographic(radon, pf), coef), "two": (linop.tomographic(radon, other), coef)}), "a", "y", "j", v="v")
 
 
-@query("peak_broadening", sql("SELECT p.a, p.k, p.j // 3 AS c, t.t::INT AS t, round(sum(p.v * exp(-(t.t - (4.0 * (p.j % 3) + 2.5)) * (t.t - (4.0 * (p.j % 3) + 2.5)) / 2.0)), 4) + 0.0 AS v FROM pf p, range(14) t(t) WHERE abs(t.t - (4.0 * (p.j % 3) + 2.5)) < 4 GROUP BY 1, 2, 3, 4", "pf"))
-def peak_broadening(spark, d):
-    pf = B.pf_surrogate(spark).select("a", "k", F.floor(F.col("j") / 3).alias("c"), (F.col("j") % 3).alias("r"), "v")
-    cells = spark.range(3).select(F.col("id").cast("int").alias("r")).crossJoin(spark.range(14).select(F.col("id").cast("int").alias("t")))
-    z = F.col("t") - (4.0 * F.col("r") + 2.5)
-    bins = cells.where(F.abs(z) < 4).withColumn("w", F.exp(-z * z / 2.0))
-    return _out(linop.broaden(pf, bins), "a", "k", "c", "t", v="v")
-
-
-@query("row_sums", sql("SELECT r.a, r.y, p.j, round(r.w * p.v, 4) + 0.0 AS v FROM (SELECT a, y, sum(w) AS w FROM radon GROUP BY 1, 2) r JOIN (SELECT a, j, sum(v) AS v FROM pf GROUP BY 1, 2) p USING (a)", "radon", "pf"))
-def row_sums(spark, d):
-    return _out(_op(spark).row_sums(), "a", "y", "j", v="v")
-
-
 _D = "w / g * (greatest(mu, 0) + bg + 0.001 * g - b + CASE WHEN b > 0 THEN b * ln(b / (greatest(mu, 0) + bg + 0.001 * g)) ELSE 0 END)"
 
 
@@ -450,11 +411,3 @@ def scramble_eta(spark, d):
 @query("beam_blur", sql("SELECT a, (y + o)::INT AS y, j, round(sum(b * w), 4) AS b FROM dat, (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)) t(o, w) WHERE y + o BETWEEN 0 AND 16 GROUP BY 1, 2, 3", "dat"))
 def beam_blur(spark, d):
     return _out(projector.beam_blur(B.data(spark, d), {-1: 0.25, 0: 0.5, 1: 0.25}, NS), "a", "y", "j", b="b")
-
-
-@query("intensity_scaling", sql("SELECT a, k, j, round(v * (1 + (j % 3) * 0.5), 4) AS v FROM pf", "pf"))
-def intensity_scaling(spark, d):
-    from ..operators.polefigure import scale_by_ring
-
-    ring = spark.range(3).selectExpr("cast(id as int) r", "1 + id * 0.5D as intensity")
-    return _out(scale_by_ring(B.pf_surrogate(spark), ring, 3), "a", "k", "j", v="v")

@@ -120,10 +120,6 @@ def gauss_newton_step(spark, d):
 
 
 _RADICAL = "list_sum(list_transform(range(0, 9), lambda d: (((i + 1) // pow({b}, d)::BIGINT) % {b}) / pow({b}, d + 1)))"
-_register("halton_orientations", sql(
-    "SELECT k, round(v * x, 4) + 0.0 AS qx, round(v * y, 4) + 0.0 AS qy, round(v * z, 4) + 0.0 AS qz, round(cos(r / 2), 4) AS qw, round(m / sum(m) OVER (), 8) AS w FROM (SELECT k, r, pow(sin(r / 2) / (r / 2), 2) AS m, sin(r / 2) AS v, sqrt(1 - c * c) * cos(t) AS x, sqrt(1 - c * c) * sin(t) AS y, c AS z FROM "
-    "(SELECT k, 0.2 * pow(u0, 1 / 3.0) AS r, 2 * u1 - 1 AS c, 2 * pi() * u2 AS t FROM h))",
-    h="SELECT i::INT AS k, " + ", ".join(f"{_RADICAL.format(b=b)} AS u{n}" for n, b in enumerate((2, 3, 5))) + " FROM range(256) x(i)"))
 
 _FACT = "(CASE WHEN {n} < 2 THEN 1.0::DOUBLE ELSE list_product(range(2, ({n}) + 1)::DOUBLE[]) END)"
 _CHOOSE = f"{_FACT.format(n='n - 1')} / {_FACT.format(n='n - 1 - m')} / {_FACT.format(n='m')}"
@@ -184,15 +180,6 @@ def scatter_nodes(spark, d):
     return tree.scatter(tree.node_sums(B.coef(spark, d), nodes), nodes)
 
 
-_GROUPS = {"C2": [(0, 0, 1, 0)], "D2": [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0)], "T": [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0)], "D3": [(math.cos(t), math.sin(t), 0, 0) for t in (math.pi / 2, -math.pi / 6, math.pi / 6)]}
-
-
-@query("group_axes", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {round(abs(x) + 0.0, 4)}::DOUBLE, {round(abs(y), 4)}::DOUBLE, {round(abs(z), 4)}::DOUBLE, {c})" for n, x, y, z, c in (("C2", 0, 0, 1, 1), ("D2", 1, 0, 0, 1), ("D2", 0, 1, 0, 1), ("D2", 0, 0, 1, 1), ("T", 1, 0, 0, 1), ("T", 0, 1, 0, 1), ("T", 0, 0, 1, 1), ("D3", 0, 1, 0, 1), ("D3", math.cos(math.pi / 6), 0.5, 0, 2))) + ") t(name, x, y, z, n)")
-def group_axes(spark, d):
-    """Axes of the half turns of some groups, without their signs (D3: along the a axes, with a* along x)."""
-    rows = [(n, *[round(abs(float(v)), 4) for v in q[:3]]) for n in _GROUPS for q in rot.group(n) if abs(q[3]) < 1e-9]
-    return spark.createDataFrame(rows, "name string, x double, y double, z double").groupBy("name", "x", "y", "z").agg(F.count("*").cast("int").alias("n"))
-
 BALL, BALL_RADIUS = 6, 0.1
 _TURNED = "SELECT o.k, w, o.qw*t.x + o.qx*t.w + o.qy*t.z - o.qz*t.y AS qx, o.qw*t.y - o.qx*t.z + o.qy*t.w + o.qz*t.x AS qy, o.qw*t.z + o.qx*t.y - o.qy*t.x + o.qz*t.w AS qz, o.qw*t.w - o.qx*t.x - o.qy*t.y - o.qz*t.z AS qw FROM orient o, turns t"
 _EDGE = ORACLE["bragg_edge_gauss"]

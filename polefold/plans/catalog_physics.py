@@ -26,11 +26,6 @@ def _cubic(spark):
     return rot.symops(spark, "O")
 
 
-@query("symmetry_orders", "SELECT * FROM (VALUES ('C1', 1), ('C2', 2), ('C3', 3), ('C4', 4), ('C6', 6), ('D2', 4), ('D3', 6), ('D4', 8), ('D6', 12), ('T', 12), ('O', 24)) t(name, n)")
-def symmetry_orders(spark, d):
-    return spark.createDataFrame([(n, len(rot.group(n))) for n in ("C1", "C2", "C3", "C4", "C6", "D2", "D3", "D4", "D6", "T", "O")], "name string, n int")
-
-
 @query("fundamental_zone_cubic", sql("SELECT k, round(arg_max(abs(tw), m * 100 - g), 4) AS qw, round(max(abs(tw)), 4) AS best FROM (SELECT k, g, tw, round(abs(tw), 9) * 1e7 AS m FROM (SELECT k, g, " + _TURN + " FROM orient, o)) GROUP BY k", "orient", o=_O))
 def fundamental_zone(spark, d):
     zone = rot.fundamental_zone(B.orientations(spark, d), _cubic(spark))
@@ -54,9 +49,6 @@ def thin_greedy(spark, d):
     return rot.thin_greedy(B.orientations(spark, d), _cubic(spark), 25.0)
 
 
-_H = "0.1::DOUBLE"
-
-
 @query("children_stencil", sql("SELECT k AS parent, child::INT AS child, round(qw * cos(0.05) - (qx * x + qy * y + qz * z) * sin(0.05), 4) + 0.0 AS qw, round(qw * x * sin(0.05) + qx * cos(0.05) + qy * z * sin(0.05) - qz * y * sin(0.05), 4) + 0.0 AS qx FROM orient, (VALUES (0, -1, 0, 0), (1, 0, -1, 0), (2, 0, 0, -1), (3, 0, 0, 1), (4, 0, 1, 0), (5, 1, 0, 0)) s(child, x, y, z)", "orient"))
 def children(spark, d):
     return _out(rot.children(B.orientations(spark, d), 0.1, 6), "parent", "child", qw="qw", qx="qx")
@@ -90,12 +82,6 @@ def _fcc(spark, q_max=7.5):
 _MULT = "CASE WHEN h = 0 AND k = 0 THEN 6 WHEN h = 0 AND k = l THEN 12 WHEN h = k AND k = l THEN 8 WHEN h = 0 OR h = k OR k = l THEN 24 ELSE 48 END"
 
 
-@query("reflections_fcc", sql(f"SELECT (h*h + k*k + l*l)::INT AS s, count(*) AS families, sum({_MULT})::BIGINT AS mult, round(max(d), 4) AS d, round(max(2 * asin({LAM} / (2 * d))), 4) AS two_theta FROM (SELECT *, {A0} / sqrt(h*h + k*k + l*l) AS d FROM f) GROUP BY 1", f=_FCC))
-def reflections_fcc(spark, d):
-    rows = _fcc(spark).withColumn("s", (F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).cast("int"))
-    return rows.groupBy("s").agg(F.count("*").alias("families"), F.sum("mult").alias("mult"), r4(F.max("d")).alias("d"), r4(F.max("two_theta")).alias("two_theta"))
-
-
 _FA, _FB, _FC = crystal.FORM_FACTORS["Al"]
 _F0 = " + ".join([f"{a} * exp(-{b} * s2)" for a, b in zip(_FA, _FB)] + [str(_FC)])
 
@@ -104,35 +90,6 @@ def _al_sites(spark, u=0.01):
     return spark.createDataFrame([("Al", x, y, z, 1.0, u) for x, y, z in ((0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0))], "element string, x double, y double, z double, occ double, u double")
 
 
-@query("structure_factor", sql(f"SELECT (h*h + k*k + l*l)::INT AS s, h::INT AS h, k::INT AS k, l::INT AS l, round(16 * ({_F0}) * ({_F0}) * exp(-q2 * 0.01), 3) AS f2 FROM (SELECT *, q2 / (16 * pi() * pi()) AS s2 FROM (SELECT *, 4 * pi() * pi() / ({A0} * {A0}) * (h*h + k*k + l*l) AS q2 FROM f))", f=_FCC))
-def structure_factor(spark, d):
-    rows = crystal.structure_factors(_fcc(spark), _al_sites(spark), crystal.form_factor_table(spark))
-    parts = F.array_sort(F.array(F.abs("h"), F.abs("k"), F.abs("l")))
-    s = (F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).cast("int")
-    return rows.select(s.alias("s"), parts[0].alias("h"), parts[1].alias("k"), parts[2].alias("l"), r4(F.col("f2"), 3).alias("f2"))
-
-
-def _ringed(spark):
-    rows = crystal.present(crystal.structure_factors(_fcc(spark), _al_sites(spark), crystal.form_factor_table(spark)))
-    return crystal.rings(rows)
-
-
-_RING = f"SELECT (h*h + k*k + l*l)::INT AS s, sum(({_MULT}) * 16 * ({_F0}) * ({_F0}) * exp(-q2 * 0.01)) AS mf, max(2 * asin({LAM} * sqrt(q2) / (4 * pi()))) AS t FROM (SELECT *, q2 / (16 * pi() * pi()) AS s2 FROM (SELECT *, 4 * pi() * pi() / ({A0} * {A0}) * (h*h + k*k + l*l) AS q2 FROM f)) GROUP BY 1"
-
-
-@query("ring_scale", sql(f"SELECT (row_number() OVER (ORDER BY s) - 1)::INT AS r, round(i, 4) AS intensity, round(1 / i / exp(avg(ln(1 / i)) OVER ()), 4) AS scale FROM (SELECT s, mf / sin(t / 2) / sin(t) * (1 + cos(t) * cos(t)) / 2 * pow({LAM}, 3) / pow({A0}, 6) AS i FROM ring)", f=_FCC, ring=_RING))
-def ring_scale(spark, d):
-    got = crystal.ring_scales(_ringed(spark), LAM, A0**3, data="two_theta_bin_mean", polarization="unpolarized")
-    return got.select(F.col("r").cast("int").alias("r"), r4(F.col("intensity")).alias("intensity"), r4(F.col("scale")).alias("scale"))
-
-
-@query("intensity_cutoff", sql(f"SELECT h, k, l, round(100 * m * f2 / max(m * f2) OVER (), 3) AS intensity FROM (SELECT h::INT AS h, k::INT AS k, l::INT AS l, {_MULT} AS m, 16 * ({_F0}) * ({_F0}) * exp(-q2 * 0.01) AS f2 FROM (SELECT *, q2 / (16 * pi() * pi()) AS s2 FROM (SELECT *, 4 * pi() * pi() / ({A0} * {A0}) * (h*h + k*k + l*l) AS q2 FROM f))) QUALIFY m * f2 >= 0.2 * max(m * f2) OVER ()", f=_FCC))
-def intensity_cutoff(spark, d):
-    rows = crystal.present(crystal.structure_factors(_fcc(spark), _al_sites(spark), crystal.form_factor_table(spark)), cutoff=0.2)
-    parts = F.array_sort(F.array(F.abs("h"), F.abs("k"), F.abs("l")))
-    return rows.select(parts[0].alias("h"), parts[1].alias("k"), parts[2].alias("l"), r4(F.col("intensity"), 3).alias("intensity"))
-
-
 _NEUTRON = "SELECT h::INT AS h, k::INT AS k, l::INT AS l, 3.6 / sqrt(h*h + k*k + l*l) AS d, 0.01 * (re * re + im * im) AS f2 FROM (SELECT h, k, l, sum(9.5 * exp(-4 * pi() * pi() * (h*h + k*k + l*l) / (3.6 * 3.6) * 0.005 / 2) * cos(2 * pi() * (h * x + k * y + l * z))) AS re, sum(9.5 * exp(-4 * pi() * pi() * (h*h + k*k + l*l) / (3.6 * 3.6) * 0.005 / 2) * sin(2 * pi() * (h * x + k * y + l * z))) AS im FROM range(-3, 4) a(h), range(-3, 4) b(k), range(-3, 4) c(l), (VALUES (0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)) s(x, y, z) WHERE h <> 0 OR k <> 0 OR l <> 0 GROUP BY h, k, l) WHERE 0.01 * (re * re + im * im) > 1e-3 AND 2 * 3.6 / sqrt(h*h + k*k + l*l) >= 1.5"
 
 
@@ -142,13 +99,7 @@ def _neutron(spark):
     return crystal.neutron_table(spark, b, sites, 1.5, 3)
 
 
-@query("neutron_table", sql("SELECT h, k, l, round(d, 4) AS d, round(f2, 4) AS f2 FROM n", n=_NEUTRON))
-def neutron_table(spark, d):
-    return _out(_neutron(spark), "h", "k", "l", d="d", f2="f2")
-
-
 _LAMS = "SELECT l::INT AS l, 1.5 + 0.05 * l AS lam FROM range(40) t(l)"
-_TAIL = f"({erf_text('(lam0 - 1.39341) / 0.18492')} * (18.94806 - 10.82914 * lam0) + 16.6964 * lam0) / 10000"
 
 
 @query("bragg_edge_gauss", sql(
@@ -166,11 +117,6 @@ def bragg_edge(spark, d):
     return got.select("a", "k", "l", r4(F.col("v") * 1e3, 3).alias("v"))
 
 
-@query("pulse_tail", sql(f"SELECT l, round({erf_text('(lam - 1.39341) / 0.18492').replace('D', '')} * (18.94806 - 10.82914 * lam) + 16.6964 * lam, 4) AS tau FROM lams", lams=_LAMS))
-def pulse_tail(spark, d):
-    return spark.range(40).selectExpr("cast(id as int) l", "1.5D + 0.05D * id as lam").select("l", r4(scalar.pulse_tail(F.col("lam"))).alias("tau"))
-
-
 def _tailed(u: str) -> str:
     """SQL of a Gaussian (x, s) with an exponential tail t, from the argument of its error function."""
     power = "(s * s / (2 * t * t) - x / t)"
@@ -182,29 +128,10 @@ def _tailed(u: str) -> str:
 _EMG, _OLD = _tailed("((s / t - x / s) / sqrt(2.0))"), _tailed("(s / t - x / (sqrt(2.0) * s))")
 
 
-@query("edge_profiles", sql(
-    f"SELECT i, kind, s, round(CASE WHEN kind = 0 AND s >= 0.2 * t THEN exp(-x * x / (2 * s * s)) / (s * sqrt(2 * pi())) WHEN kind = 0 THEN {_OLD} ELSE {_EMG} END, 4) + 0.0 AS v FROM xs",
-    xs="SELECT i, i / 20.0 AS x, kind, s, 0.5 AS t FROM range(-40, 120) a(i), (VALUES (0, 0.05::DOUBLE), (0, 0.2), (1, 0.05), (1, 0.2)) k(kind, s)"))
-def edge_profiles(spark, d):
-    x = spark.range(-40, 120).select(F.col("id").alias("i"), (F.col("id") / 20).alias("x"))
-    found = None
-    for kind, name in enumerate(("legacy", "emg")):
-        for sigma in (0.05, 0.2):
-            one = x.select("i", F.lit(kind).alias("kind"), F.lit(sigma).alias("s"), r4(scalar.edge_profile(F.col("x"), F.lit(sigma), F.lit(0.5), name)).alias("v"))
-            found = one if found is None else found.union(one)
-    return found
-
-
 _TTH = [2 * math.asin(LAM * math.sqrt(s) / (2 * A0)) for s in (3, 4, 8)]
 _RINGS = " UNION ALL ".join(f"SELECT {i} AS r, {t!r}::DOUBLE AS tth" for i, t in enumerate(_TTH))
 
 
-@query("probed_directions", sql("SELECT a, c::INT AS c, r, round(cos(theta) * x - sin(theta) * y, 4) + 0.0 AS vx, round(sin(theta) * x + cos(theta) * y, 4) + 0.0 AS vy, round(z, 4) + 0.0 AS vz FROM (SELECT a, theta, c, r, cos(tth / 2) * cos((c + 0.5) * 2 * pi() / 36) AS x, -sin(tth / 2) AS y, cos(tth / 2) * sin((c + 0.5) * 2 * pi() / 36) AS z FROM angle, range(36) e(c), rings)", "angle", rings=_RINGS))
-def probed_directions(spark, d):
-    got = polefigure.probes(projector.angles(spark, R), 36, polefigure.ring_table(spark, _TTH))
-    return _out(got, "a", "c", "r", vx="vx", vy="vy", vz="vz")
-
-
 def _normals(spark):
     rows = []
     for r, (h, k, l) in enumerate(((1, 1, 1), (2, 0, 0), (2, 2, 0))):
@@ -217,11 +144,6 @@ def _axes(spark):
     return polefigure.pole_axes(_normals(spark), _cubic(spark))
 
 
-@query("pole_axes", "SELECT * FROM (VALUES (0, 4, 6.0::DOUBLE), (1, 3, 8.0::DOUBLE), (2, 6, 4.0::DOUBLE)) t(r, n, cnt)")
-def pole_axes(spark, d):
-    return _axes(spark).groupBy("r").agg(F.count("*").cast("int").alias("n"), F.max("cnt").alias("cnt"))
-
-
 _AX = "SELECT 0 AS r, sx / sqrt(3.0) AS nx, sy / sqrt(3.0) AS ny, sz / sqrt(3.0) AS nz, 6.0 AS cnt FROM (VALUES (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)) t(sx, sy, sz) UNION ALL SELECT 1, sx, sy, sz, 8.0 FROM (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) t(sx, sy, sz) UNION ALL SELECT 2, sx / sqrt(2.0), sy / sqrt(2.0), sz / sqrt(2.0), 4.0 FROM (VALUES (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1)) t(sx, sy, sz)"
 
 
@@ -306,12 +228,6 @@ def select_candidates(spark, d):
     return got.select("k", r4(F.col("score")).alias("score"), F.array_join(F.col("tiles").cast("array<string>"), ",").alias("tiles"))
 
 
-@query("candidate_support", "SELECT DISTINCT id, (x + 16 * y)::INT AS p FROM (SELECT id, (t % 4) * 4 + i + dx AS x, (t // 4) * 4 + j + dy AS y FROM (VALUES (0, 0), (0, 1), (1, 10), (2, 15)) c(id, t), range(4) a(i), range(4) b(j), range(-1, 2) e(dx), range(-1, 2) f(dy) WHERE abs(dx) + abs(dy) <= 1) WHERE x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15")
-def candidate_support(spark, d):
-    rows = spark.createDataFrame([(0, [0, 1]), (1, [10]), (2, [15])], "id int, tiles array<int>")
-    return search.candidate_support(rows, 4, 4, NX, NY, 1)
-
-
 @query("prune_added", sql("SELECT k, w, k < 3 OR w >= 1.0 * (SELECT median(w) FROM t WHERE k >= 3 AND w > 0) AS keep FROM t", "coef", t="SELECT k, sum(v) AS w FROM coef GROUP BY k"))
 def prune_added(spark, d):
     totals = B.coef(spark, d).groupBy("k").agg(F.sum("v").alias("w"))
@@ -351,22 +267,6 @@ def bilinear_sampling(spark, d):
     return _out(interp.bilinear(points, NX, NY), "id", F.col("p").cast("int").alias("p"), w="w")
 
 
-@query("wavelength_kernel", sql(
-    f"SELECT o, f, round(v, 4) + 0.0 AS w FROM (SELECT o, f, v, max(v) OVER () AS m FROM (SELECT o, f, 0.002 * {_EMG} AS v FROM "
-    f"(SELECT o::INT AS o, f, 1.9 + 0.01 * o - lam AS x, lam * 0.004 AS s, ({erf_text('((lam - 1.39341) / 0.18492)').replace('D', '')} * (18.94806 - 10.82914 * lam) + 16.6964 * lam) / 10000 AS t FROM range(70) a(o), fine) "
-    "WHERE x >= -8 * s AND x <= 14 * t + 8 * s)) WHERE v > 1e-12 * m AND v > 1e-3", fine="SELECT f::INT AS f, 2.0 + 0.002 * f AS lam FROM range(200) b(f)"))
-def wavelength_kernel(spark, d):
-    out = spark.range(70).selectExpr("cast(id as int) o", "1.9D + 0.01D * id as lam_o")
-    fine = spark.range(200).selectExpr("cast(id as int) f", "2.0D + 0.002D * id as lam_f")
-    return _out(interp.wavelength_kernel(out, fine, 0.004, 0.002).where("w > 1e-3"), "o", "f", w="w")
-
-
-@query("erfc_values", f"SELECT i, round({scalar.erfcx_text('abs(x)')} * exp(-x * x) * 1e6, 4) + 0.0 AS tail, round({scalar.erfcx_text('abs(x)')}, 6) AS scaled FROM (SELECT i::INT AS i, i / 10.0 AS x FROM range(0, 60) t(i))")
-def erfc_values(spark, d):
-    x = F.col("i") / 10
-    return spark.range(60).select(F.col("id").cast("int").alias("i")).select("i", r4(scalar.erfc(x) * 1e6).alias("tail"), r4(scalar.erfcx(x), 6).alias("scaled"))
-
-
 @query("odf_support_mass", sql("SELECT k, w FROM (SELECT k, w, sum(w) OVER (ORDER BY w DESC, k ROWS UNBOUNDED PRECEDING) - w AS before, sum(w) OVER () AS s, max(w) OVER () AS m FROM t) WHERE w > 0.01 * m AND before < 0.7 * s", "coef", t="SELECT p AS k, sum(v) AS w FROM coef GROUP BY p"))
 def odf_support_mass(spark, d):
     odf = B.coef(spark, d).groupBy(F.col("p").alias("k")).agg(F.sum("v").alias("w"))
@@ -382,23 +282,6 @@ def odf_levels(spark, d):
     return levels[0].unionByName(levels[1]).groupBy("spacing").agg(F.count("*").alias("n"), r4(F.sum("w"), 2).alias("mass"))
 
 
-@query("halton_orientations")
-def halton_orientations(spark, d):
-    got = odf_plans.halton_ball(spark, 256, 0.2)
-    return got.select("k", *[r4(F.col(f"q{c}")).alias(f"q{c}") for c in "xyzw"], r4(F.col("w"), 8).alias("w"))
-
-
-_WIN = "SELECT * FROM (VALUES (0, 2.6, 2.8), (1, 2.9, 3.2), (2, 4.0, 4.6), (3, 5.0, 5.5)) w(win, lo, hi)"
-
-
-@query("window_overlap", sql(f"SELECT s, win, round(max(w), 4) AS w FROM (SELECT (h*h + k*k + l*l)::INT AS s, win, 0.5 * ({erf_text('uh')} - {erf_text('ul')}) AS w FROM (SELECT h, k, l, win, (hi - q) / (sqrt(2) * 0.02 * q) AS uh, (lo - q) / (sqrt(2) * 0.02 * q) AS ul FROM (SELECT *, 2 * pi() / {A0} * sqrt(h*h + k*k + l*l) AS q FROM f), win_t)) WHERE w > 1e-3 GROUP BY 1, 2".replace("0D", "0").replace("D)", ")").replace("D*", "*").replace("D-", "-").replace("D+", "+"), f=_FCC, win_t=_WIN))
-def window_overlap(spark, d):
-    windows = spark.createDataFrame([(0, 2.6, 2.8), (1, 2.9, 3.2), (2, 4.0, 4.6), (3, 5.0, 5.5)], "win int, lo double, hi double")
-    rows = derivs.windows_to_rings(_fcc(spark), windows, 0.02)
-    s = (F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).cast("int")
-    return rows.groupBy(s.alias("s"), "win").agg(r4(F.max("w")).alias("w"))
-
-
 @query("angle_shift_gradient", sql("SELECT a, round(sum(s.v * m.v) / 1e4, 3) + 0.0 AS g FROM sd s JOIN (SELECT a, y, k, sum(v * w) AS v FROM coef JOIN dw USING (p) GROUP BY 1, 2, 3) m USING (a, y, k) GROUP BY a", "coef", "geo", "dat", sd="SELECT a, y, (j % 7)::INT AS k, sum(b) AS v FROM dat GROUP BY 1, 2, 3", dw="SELECT a, y::INT AS y, p::INT AS p, (least(greatest((1 + big) / 2 - abs(t + 1e-4 - y), 0), least(1, big)) - least(greatest((1 + big) / 2 - abs(t - 1e-4 - y), 0), least(1, big))) / big / 2e-4 AS w FROM (SELECT *, gx * (p % 16) + gy * (p // 16) + t0 AS t FROM geo, range(256) q(p)), range(17) s(y)"))
 def angle_shift_gradient(spark, d):
     g = derivs.angle_gradient(_sino_data(spark, d), B.coef(spark, d), derivs.shift_weights(_geo(spark), NX, NY, 17))
@@ -412,11 +295,6 @@ def _mu(spark):
 _ATT = "SELECT d.dir, a.p::INT AS p, exp(-sum(CASE WHEN b.x = a.p % 16 THEN 0.5 ELSE 1 END * 0.01 * (1 + (b.x + 16 * (a.p // 16)) % 3))) AS t FROM (VALUES (0), (1)) d(dir), range(256) a(p), range(16) b(x) WHERE (d.dir = 0 AND b.x >= a.p % 16) OR (d.dir = 1 AND b.x <= a.p % 16) GROUP BY 1, 2"
 
 
-@query("attenuation", sql("SELECT dir, p, round(t, 4) AS t FROM att", att=_ATT))
-def attenuation(spark, d):
-    return _out(derivs.attenuation(derivs.axis_rays(spark, NX, NY), _mu(spark)), "dir", "p", t="t")
-
-
 @query("absorption_forward", sql("SELECT r.a, r.y, c.k, round(sum(c.v * r.w * t.t), 4) + 0.0 AS v FROM coef c JOIN radon r USING (p) JOIN att t ON t.dir = r.a AND t.p = r.p GROUP BY 1, 2, 3", "coef", "radon", att=_ATT))
 def absorption_forward(spark, d):
     att = derivs.attenuation(derivs.axis_rays(spark, NX, NY), _mu(spark))
@@ -436,12 +314,6 @@ def cif_tokens(spark, d):
     return cif.token_counts(rows).select("doc_id", "n_tokens", "n_numeric")
 
 
-@query("sym_ops", "SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (0, 1, 0, 1, 0, 0), (0, 2, 0, 0, 1, 0), (1, 0, -1, 0, 0, 0.5), (1, 1, 0, 1, 0, 0.5), (1, 2, 0, 0, -1, 0), (2, 0, 0, -1, 0, 0), (2, 1, 1, -1, 0, 0), (2, 2, 0, 0, 1, 0.25)) t(op, r, cx, cy, cz, off)")
-def sym_ops(spark, d):
-    rows = [(i, r, *row) for i, o in enumerate(("x,y,z", "-x+1/2, y+1/2, -z", "-y, x-y, z+0.25")) for r, row in enumerate(cif.operation(o))]
-    return spark.createDataFrame(rows, "op int, r int, cx double, cy double, cz double, off double")
-
-
 @query("tree_levels", sql("SELECT level, count(*) AS n, sum((k % 3 <> 0)::INT)::BIGINT AS n_active, round(max(qw), 4) AS best FROM (SELECT k, CASE WHEN k < 50 THEN 0 WHEN k < 200 THEN 1 ELSE 2 END AS level, qw FROM orient) GROUP BY 1", "orient"))
 def tree_levels(spark, d):
     return tree.per_level(_tree(spark, d)).select("level", "n", "n_active", r4(F.col("best")).alias("best"))
@@ -463,19 +335,6 @@ def node_sums(spark, d):
     return tree.node_sums(B.coef(spark, d), nodes)
 
 
-@query("q_derivatives", sql("SELECT h, k, l, round(q, 4) AS q, round(-q / 4.05 * h * h / (h*h + k*k + l*l), 4) + 0.0 AS dq_a, round(-q * pi() / 180 * h * k / (h*h + k*k + l*l) * -1, 4) + 0.0 AS dq_gamma FROM (SELECT h::INT AS h, k::INT AS k, l::INT AS l, 2 * pi() / 4.05 * sqrt(h*h + k*k + l*l) AS q FROM range(-3, 4) a(h), range(-3, 4) b(k), range(-3, 4) c(l) WHERE h <> 0 OR k <> 0 OR l <> 0)"))
-def q_derivatives(spark, d):
-    axes = [spark.range(-3, 4).select(F.col("id").cast("int").alias(c)) for c in "hkl"]
-    hkl = axes[0].crossJoin(axes[1]).crossJoin(axes[2]).where("h <> 0 or k <> 0 or l <> 0")
-    return _out(derivs.q_and_derivatives(hkl, (4.05, 4.05, 4.05, 90.0, 90.0, 90.0)), "h", "k", "l", q="q", dq_a="dq_a", dq_gamma="dq_gamma")
-
-
-@query("axis_directions", sql("SELECT a, c::INT AS c, r, round(cos(tth / 2) * cos(theta) * cos(e) + sin(tth / 2) * sin(theta), 4) + 0.0 AS vx, round(cos(tth / 2) * sin(theta) * cos(e) - sin(tth / 2) * cos(theta), 4) + 0.0 AS vy, round(cos(tth / 2) * sin(e), 4) + 0.0 AS vz FROM (SELECT a, theta, c, r, tth, (c + 0.5) * 2 * pi() / 24 AS e FROM angle, range(24) t(c), rings)", "angle", rings=_RINGS))
-def axis_directions(spark, d):
-    axes = polefigure.ring_table(spark, _TTH).withColumn("ax", F.lit(0))
-    return _out(polefigure.axis_directions(polefigure.plane_parts(projector.angles(spark, R), 24), axes), "a", "c", "r", vx="vx", vy="vy", vz="vz")
-
-
 _PAR = "SELECT k, a::INT AS a, 0.14 - x * tilt AS ctr, sqrt(2 * (0.0004 + tilt * tilt * y)) AS sc FROM (SELECT k, a, 20 * ux + a AS x, 4 + uy AS y, sin(0.14) * cos(0.14) / 800 AS tilt FROM orient, range(4) t(a))"
 
 
