@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from . import crystal
 
 SYSTEMS = ("cubic", "hexagonal", "trigonal", "tetragonal", "orthorhombic", "monoclinic", "triclinic")
-_ZERO = ("re", "im")
 
 
 def _turns() -> tuple[Column, Column, Column]:
@@ -98,7 +97,9 @@ def reflections(cells: DataFrame, q_min: float | Column, q_max: float | Column,
     """One row a reflection h, k, l with gx, gy, gz (no 2 pi), q of every cell, its columns kept, the origin left out.
 
     An index is at most a q / 2 pi for its edge a, so the ranges are those of the cell; ``most`` bounds them further.
+    Cells are dealt out by ``id`` first: a row becomes hundreds, and what follows by material needs no other shuffle.
     """
+    cells = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     q_min, q_max = (F.lit(x) if not isinstance(x, Column) else x for x in (q_min, q_max))
     rows = lattice(cells).withColumns({"_q0": q_min, "_q1": q_max})
     for name, edge in zip("hkl", "abc"):
@@ -127,15 +128,33 @@ def equivalents(key: Column, groups: dict[str, list[np.ndarray]]) -> Column:
     return found
 
 
+def _forms(system: str) -> list[Column]:
+    """Each image of (h, k, l) under the rotations of a system as one whole number in the order of (h, k, l), without its sign."""
+    halves: dict[bytes, np.ndarray] = {}
+    for m in crystal.integer_ops(system):
+        if (-m).tobytes() not in halves:
+            halves[m.tobytes()] = m
+    digits = np.array([1 << 42, 1 << 21, 1])
+    h, k, l = (F.col(c).cast("long") for c in "hkl")
+    return [F.abs(sum(int(f) * x for f, x in zip(digits @ m, (h, k, l)))) for m in halves.values()]
+
+
 def families(rows: DataFrame) -> DataFrame:
     """Smallest member of every family, with mult. All members have one q, so a family is whole or absent and nothing is grouped.
 
-    Reflections of a cell whose ``system`` is unknown count one by one under inversion.
+    Images are compared as whole numbers (indices below 2^20); mult is the group's order by the number of
+    operations that keep the member. Reflections of a cell whose ``system`` is unknown pair with their inverse alone.
     """
     system = F.when(F.col("system").isin(*SYSTEMS), F.col("system")).otherwise("triclinic")
-    keyed = rows.withColumn("_e", equivalents(system, {s: crystal.integer_ops(s) for s in SYSTEMS}))
-    kept = keyed.where(F.array_min("_e") == F.struct(*[F.col(n).cast("int").alias(n) for n in "hkl"]))
-    return kept.withColumn("mult", F.size("_e")).drop("_e")
+    own = F.col("h").cast("long") * (1 << 42) + F.col("k").cast("long") * (1 << 21) + F.col("l").cast("long")
+    kept, order = None, None
+    for name in SYSTEMS:
+        forms = _forms(name)
+        top = F.greatest(*forms) if len(forms) > 1 else forms[0]
+        kept = F.when(system == name, own == -top) if kept is None else kept.when(system == name, own == -top)
+        fixed = sum(F.when(x == -own, 1).otherwise(0) for x in forms)
+        order = F.when(system == name, (2 * len(forms) / fixed).cast("int")) if order is None else order.when(system == name, (2 * len(forms) / fixed).cast("int"))
+    return rows.where(kept).withColumn("mult", order)
 
 
 def lattice_rule(letter: Column) -> Column:
@@ -156,16 +175,19 @@ def with_basis(cells: DataFrame, sites: DataFrame) -> DataFrame:
     return cells.join(basis, "id", "left").withColumn("basis", F.coalesce("basis", F.array().cast(basis.schema["basis"].dataType)))
 
 
-def _amplitude(rows: DataFrame, part) -> Column:
-    """|F|^2 of each row's reflection: ``part(site)`` gives real and imaginary scattering, both with the site's weight."""
-    start = F.struct(*[F.lit(0.0).alias(n) for n in _ZERO])
+def _amplitude(rows: DataFrame, part) -> DataFrame:
+    """Each row's reflection with f2 = |F|^2 in place of ``basis``: ``part(site)`` gives real and imaginary scattering, with the site's weight.
 
-    def add(total, site):
-        phase = 2 * math.pi * (F.col("h") * site["x"] + F.col("k") * site["y"] + F.col("l") * site["z"])
-        real, imaginary = part(site)
-        return F.struct((total["re"] + real * F.cos(phase) - imaginary * F.sin(phase)).alias("re"), (total["im"] + real * F.sin(phase) + imaginary * F.cos(phase)).alias("im"))
-
-    return F.aggregate("basis", start, add, lambda t: t["re"] * t["re"] + t["im"] * t["im"])
+    Sites are summed by all columns, ``id`` among them, so rows that are dealt out by ``id`` stay where they are. Without sites f2 is 0.
+    """
+    keys = [c for c in rows.columns if c != "basis"]
+    each = rows.select(*keys, F.explode_outer("basis").alias("_s"))
+    site = F.col("_s")
+    real, imaginary = part(site)
+    each = each.select(*keys, real.alias("_a"), imaginary.alias("_b"), (2 * math.pi * (F.col("h") * site["x"] + F.col("k") * site["y"] + F.col("l") * site["z"])).alias("_p"))
+    a, b, cosine, sine = F.col("_a"), F.col("_b"), F.cos("_p"), F.sin("_p")
+    total = each.groupBy(*keys).agg(F.coalesce(F.sum(a * cosine - b * sine), F.lit(0.0)).alias("_a"), F.coalesce(F.sum(a * sine + b * cosine), F.lit(0.0)).alias("_b"))
+    return total.select(*keys, (a * a + b * b).alias("f2"))
 
 
 def x_ray(rows: DataFrame) -> DataFrame:
@@ -180,13 +202,13 @@ def x_ray(rows: DataFrame) -> DataFrame:
         extra = [F.coalesce(site[n], F.lit(0.0)) if n in names else F.lit(0.0) for n in ("f1", "f2a")]
         return weight * (real + extra[0]), weight * extra[1]
 
-    return rows.withColumn("f2", _amplitude(rows, part))
+    return _amplitude(rows, part)
 
 
 def neutron(rows: DataFrame, threshold: float = 1e-3) -> DataFrame:
     """f2 (barn) of reflections whose ``basis`` has x, y, z, b_coh (fm), u2; at most the threshold goes."""
     weight = lambda site: site["b_coh"] * F.exp(-F.col("q") * F.col("q") * site["u2"] / 2)
-    return rows.withColumn("f2", 0.01 * _amplitude(rows, lambda s: (weight(s), F.lit(0.0)))).where(F.col("f2") > threshold)
+    return _amplitude(rows, lambda s: (weight(s), F.lit(0.0))).withColumn("f2", 0.01 * F.col("f2")).where(F.col("f2") > threshold)
 
 
 def present(rows: DataFrame, share: float = 1e-8, cutoff: float = 0.0) -> DataFrame:
