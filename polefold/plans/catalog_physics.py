@@ -82,14 +82,6 @@ def _fcc(spark, q_max=7.5):
 _MULT = "CASE WHEN h = 0 AND k = 0 THEN 6 WHEN h = 0 AND k = l THEN 12 WHEN h = k AND k = l THEN 8 WHEN h = 0 OR h = k OR k = l THEN 24 ELSE 48 END"
 
 
-_FA, _FB, _FC = crystal.FORM_FACTORS["Al"]
-_F0 = " + ".join([f"{a} * exp(-{b} * s2)" for a, b in zip(_FA, _FB)] + [str(_FC)])
-
-
-def _al_sites(spark, u=0.01):
-    return spark.createDataFrame([("Al", x, y, z, 1.0, u) for x, y, z in ((0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0))], "element string, x double, y double, z double, occ double, u double")
-
-
 _NEUTRON = "SELECT h::INT AS h, k::INT AS k, l::INT AS l, 3.6 / sqrt(h*h + k*k + l*l) AS d, 0.01 * (re * re + im * im) AS f2 FROM (SELECT h, k, l, sum(9.5 * exp(-4 * pi() * pi() * (h*h + k*k + l*l) / (3.6 * 3.6) * 0.005 / 2) * cos(2 * pi() * (h * x + k * y + l * z))) AS re, sum(9.5 * exp(-4 * pi() * pi() * (h*h + k*k + l*l) / (3.6 * 3.6) * 0.005 / 2) * sin(2 * pi() * (h * x + k * y + l * z))) AS im FROM range(-3, 4) a(h), range(-3, 4) b(k), range(-3, 4) c(l), (VALUES (0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)) s(x, y, z) WHERE h <> 0 OR k <> 0 OR l <> 0 GROUP BY h, k, l) WHERE 0.01 * (re * re + im * im) > 1e-3 AND 2 * 3.6 / sqrt(h*h + k*k + l*l) >= 1.5"
 
 
