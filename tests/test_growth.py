@@ -42,3 +42,33 @@ def test_a_lone_cell_is_all_space(spark):
     table = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 2.0)], "r int, gx double, gy double, gz double, d double")
     lam = spark.createDataFrame([(0, 1.0), (1, 5.0)], "l int, lam double")
     assert [(r.l, round(r.v, 9)) for r in cells.spectra(walls, beams, table, lam).collect()] == [(0, 0.125)]
+
+
+def test_thinning_in_stretches_equals_the_sequential_rule(spark):
+    q, rows = orientations(spark, 300)
+    images = [np.array([[float(x) for x in rot._times(tuple(p), s)] for p in q]) for s in rot.group("D2")]
+    like = np.max([np.abs(q @ i.T) for i in images], axis=0)
+    near = like > math.cos(math.radians(30.0) / 2)
+    for within in (None, "cell"):
+        kept = []
+        for k in range(300):
+            if not any(near[k, t] and (within is None or k % 2 == t % 2) for t in kept):
+                kept.append(k)
+        parts = rows.withColumn("cell", F.col("k") % 2)
+        got = rot.thin_greedy(parts, rot.symops(spark, "D2"), 30.0, within=within, first=40)
+        assert sorted(r.k for r in got.collect()) == kept
+
+
+def test_thinning_lists_no_pairs_between_all_rows(spark, monkeypatch):
+    _, rows = orientations(spark, 600)
+    whole, seen = rot.near_pairs, []
+
+    def counted(*args):
+        out = whole(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(rot, "near_pairs", counted)
+    ops = rot.symops(spark, "C1")
+    rot.thin_greedy(rows, ops, 60.0, first=40).collect()
+    assert sum(seen) < whole(rows, rows.withColumnRenamed("k", "t"), ops, 60.0).count() / 10
