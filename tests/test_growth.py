@@ -72,3 +72,12 @@ def test_thinning_lists_no_pairs_between_all_rows(spark, monkeypatch):
     ops = rot.symops(spark, "C1")
     rot.thin_greedy(rows, ops, 60.0, first=40).collect()
     assert sum(seen) < whole(rows, rows.withColumnRenamed("k", "t"), ops, 60.0).count() / 10
+
+
+def test_neutron_tables_group_by_what_they_use(spark, data):
+    from polefold.plans import catalog
+
+    for name in ("neutron_table", "steel_table"):
+        plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        keys = [x.split("]")[0] for x in plan.split("Aggregate [")[1:]]
+        assert not any("gx#" in x or "m00#" in x for x in keys), name
