@@ -318,13 +318,12 @@ def near_classes(documents: DataFrame, like: float = LIKE, tile: int = 512) -> D
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks, keys = [], [], []
+            ids, keys = [], []
             for i, mark in zip(batch.column("item").to_pylist(), batch.column("fingerprint").to_pylist()):
                 for key in set(bands(mark)):
                     ids.append(i)
-                    marks.append(mark)
                     keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.string()), pa.array(keys, pa.int64())], ["item", "fingerprint", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["item", "key"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
@@ -357,12 +356,15 @@ def near_classes(documents: DataFrame, like: float = LIKE, tile: int = 512) -> D
 
     prints = common.materialise(common.map_batches(common.with_text_bytes(documents, "doc_id"), marked, "doc_id long, fingerprint string"))
     classes = common.materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("item", F.xxhash64("fingerprint")))
-    rows = common.map_batches(classes.select("item", "fingerprint"), keyed, "item long, fingerprint string, key long")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # keys travel without fingerprints, which are fetched for shared bands alone; bands with the same members are verified once
+    rows = common.map_batches(classes.select("item", "fingerprint"), keyed, "item long, key long")
+    members = [F.count("*").alias("size"), F.expr("bit_xor(xxhash64(item))").alias("one"), F.expr("bit_xor(xxhash64(item, 1))").alias("two")]
+    sizes = rows.groupBy("key").agg(*members).where("size > 1").groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key", "size")
     rows = rows.join(sizes.hint("merge"), "key").withColumn("parts", F.ceil(F.col("size") / tile).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.col("item"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     team = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = rows.select("item", "fingerprint", team.alias("team")).repartition(F.col("team")).sortWithinPartitions("team")
+    teams = rows.select("item", team.alias("team")).join(classes.select("item", "fingerprint").hint("merge"), "item")
+    dealt = teams.select("item", "fingerprint", "team").repartition(F.col("team")).sortWithinPartitions("team")
     roots = common.connected_components(common.map_batches(dealt, linked, "a long, b long"))
     named = common.materialise(classes.join(roots, classes["item"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "item").alias("root")))
     lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
