@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polefold.functions import rotations as rot
-from polefold.operators import cells
+from polefold.operators import cells, interp
 
 
 def orientations(spark, n, seed=5, columns="k int, qx double, qy double, qz double, qw double"):
@@ -81,3 +81,25 @@ def test_neutron_tables_group_by_what_they_use(spark, data):
         plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
         keys = [x.split("]")[0] for x in plan.split("Aggregate [")[1:]]
         assert not any("gx#" in x or "m00#" in x for x in keys), name
+
+
+@pytest.mark.parametrize(("group", "cut"), [("C1", 180.0), ("O", 30.0), ("O", 65.0), ("D6", 100.0)])
+def test_sums_over_a_kernel_need_no_pairs(spark, monkeypatch, group, cut):
+    _, targets = orientations(spark, 300, seed=7)
+    _, grid = orientations(spark, 90, seed=8)
+    ops, values = rot.symops(spark, group), grid.select("k", (F.col("k") % 7 + 0.5).alias("v"))
+    want = {r.m: r.v for r in interp.apply(interp.so3_kernel(targets, grid, ops, 0.3, cut), values).collect()}
+    monkeypatch.setattr(interp, "TARGET_ROWS", 100)
+    monkeypatch.setattr(interp, "GRID_ROWS", 40)
+    monkeypatch.setattr(rot, "near_images", None)
+    lost = spark.createDataFrame([(-1, None, 0.0, 0.0, 1.0)], targets.schema)
+    got = {r.m: r.v for r in interp.so3_gather(targets.union(lost), grid.join(values, "k"), ops, 0.3, cut).collect()}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[m], want[m], rel_tol=1e-9) for m in want)
+
+
+def test_so3_interp_lists_no_pairs(spark, data, monkeypatch):
+    from polefold.plans import catalog
+
+    monkeypatch.setattr(rot, "near_images", None)
+    assert catalog.QUERIES["so3_interp"](spark, data).count() == 500
