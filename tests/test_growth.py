@@ -103,3 +103,20 @@ def test_so3_interp_lists_no_pairs(spark, data, monkeypatch):
 
     monkeypatch.setattr(rot, "near_images", None)
     assert catalog.QUERIES["so3_interp"](spark, data).count() == 500
+
+
+@pytest.mark.parametrize("cut", [20.0, 90.0])
+def test_sums_over_axes_need_no_pairs(spark, data, monkeypatch, cut):
+    from polefold.plans import catalog
+
+    _, rows = orientations(spark, 300)
+    n = F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)
+    axes = rows.select("k", *[(F.col(f"q{c}") / n).alias(f"u{c}") for c in "xyz"], (F.col("k") % 7 + 0.5).alias("v"))
+    want = {r.m: r.v for r in interp.apply(interp.s2_kernel(axes, axes.where("k % 3 = 0"), 0.3, cut), axes.select("k", "v")).collect()}
+    monkeypatch.setattr(interp, "TARGET_ROWS", 100)
+    monkeypatch.setattr(interp, "GRID_ROWS", 40)
+    monkeypatch.setattr(interp, "s2_kernel", None)
+    got = {r.m: r.v for r in interp.s2_gather(axes, axes.where("k % 3 = 0"), 0.3, cut).collect()}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[m], want[m], rel_tol=1e-9) for m in want)
+    assert catalog.QUERIES["s2_interp"](spark, data).count() > 0
