@@ -48,7 +48,7 @@ def nested_cells(orientations: DataFrame, ops: DataFrame, radii_deg: tuple[float
     members = orientations.select("k", "qx", "qy", "qz", "qw", F.lit(0).cast("long").alias("cell"))
     for level, radius in enumerate(sorted(radii_deg, reverse=True)):
         kept = rot.thin_greedy(members, ops, radius, within="cell")
-        near = materialise(rot.nearest_misorientation(members, members.join(kept, "k", "left_semi"), ops, first_deg=radius, within="cell"))
+        near = materialise(rot.nearest_misorientation(members, members.join(kept, "k", "left_semi"), ops, first_deg=radius, within="cell", few=True))
         part = near.select(F.lit(level).alias("level"), F.col("t").alias("node"), "k")
         out = part if out is None else out.unionByName(part)
         members = members.drop("cell").join(near.select("k", F.col("t").cast("long").alias("cell")), "k")

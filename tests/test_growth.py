@@ -120,3 +120,28 @@ def test_sums_over_axes_need_no_pairs(spark, data, monkeypatch, cut):
     assert set(got) == set(want)
     assert all(math.isclose(got[m], want[m], rel_tol=1e-9) for m in want)
     assert catalog.QUERIES["s2_interp"](spark, data).count() > 0
+
+
+@pytest.mark.parametrize(("group", "limit", "grouped"), [("O", 40.0, False), ("O", 60.0, True), ("D3", 20.0, False), ("C1", 100.0, False)])
+def test_pairs_are_grouped_where_two_images_can_be_near(spark, group, limit, grouped):
+    a, left = orientations(spark, 60, seed=1)
+    b, right = orientations(spark, 40, seed=2)
+    turns = [np.array([[float(x) for x in rot._times(tuple(q), s)] for q in b]) for s in rot.group(group)]
+    like = np.max([np.abs(a @ t.T) for t in turns], axis=0)
+    pairs = rot.near_pairs(left, right.withColumnRenamed("k", "t"), rot.symops(spark, group), limit)
+    assert ("Aggregate" in pairs._jdf.queryExecution().optimizedPlan().toString()) == grouped
+    got = [((r.k, r.t), r.c) for r in pairs.collect()]
+    want = {(int(i), int(j)): like[i, j] for i, j in np.argwhere(like >= math.cos(math.radians(limit) / 2))}
+    assert len(got) == len(want) and set(dict(got)) == set(want)
+    assert all(abs(want[p] - c) < 1e-9 for p, c in got)
+
+
+def test_rows_are_not_repeated_around_few_targets(spark):
+    a, rows = orientations(spark, 200, seed=3)
+    b, targets = orientations(spark, 5, seed=4)
+    ops = rot.symops(spark, "O")
+    turns = [np.array([[float(x) for x in rot._times(tuple(q), s)] for q in b]) for s in rot.group("O")]
+    like = np.max([np.abs(a @ t.T) for t in turns], axis=0)
+    got = {r.k: (r.t, r.angle) for r in rot.nearest_misorientation(rows, targets, ops, first_deg=30.0, few=True).collect()}
+    assert {k: t for k, (t, _) in got.items()} == dict(enumerate(like.argmax(1)))
+    assert all(abs(angle - math.degrees(2 * math.acos(like[k].max()))) < 1e-6 for k, (_, angle) in got.items())
