@@ -136,6 +136,61 @@ def test_line_dedup_catches_passages_and_leaves_clean_documents(spark):
     assert len(clean - gone) >= 0.93 * len(clean)
 
 
+def passages_between_odd_sentences():
+    """(documents, passages): passages of 51 to 80 words without a whole unit of 12, each in three documents, and clean documents."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuéÄ") for _ in range(rng.randint(3, 8)))
+    passages, docs = [], []
+    for n in (51, 52, 60, 80):
+        words = [word() + ("." if i % 11 == 10 else "") for i in range(n)]
+        passages.append(words)
+        for blank in (" ", "\n", "  \t"):
+            docs.append(" ".join(word() for _ in range(rng.randint(0, 40))) + " " + blank.join(words).upper() + " " + " ".join(word() for _ in range(rng.randint(0, 40))))
+    shared = " ".join(word() for _ in range(25))  # too short to be a passage
+    docs += [f"{shared} {word()} {word()}", f"{' '.join(word() for _ in range(60))} {shared}", " ".join(word() for _ in range(5000)), "und " * 70, "und " * 90]
+    return docs, passages
+
+
+@pytest.mark.parametrize("width", [51, 50])
+def test_passages_are_found_wherever_sentences_end(spark, width):
+    texts, passages = passages_between_odd_sentences()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    by_lines = {r.doc_id for r in line_dedup.dedup_lines(docs, line_dedup.MIN_WORDS).where("size(removed) > 0").collect()}
+    assert not by_lines & {i for i in range(12) if i % 3}  # the rule of units finds none of them
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(docs, width).collect()}
+    split = [t.encode().lower().split() for t in texts]
+    size = (width + 1) // 2
+    for i, text in enumerate(texts):
+        earlier = {tuple(w[k : k + size]) for w in split[:i] for k in range(len(w) - size + 1)}
+        gone = {w for r in got[i].removed for w in range(r.word, r.word + r.words)}
+        held = {w for k in range(len(split[i]) - size + 1) if tuple(split[i][k : k + size]) in earlier for w in range(k, k + size)}
+        assert gone <= held and got[i].n_words == len(split[i])
+        assert [x for k, x in enumerate(split[i]) if k not in gone] == got[i].clean_text.encode().lower().split()
+        for r in got[i].removed:
+            assert text[r.start : r.start + r.length].encode().lower().split() == split[i][r.word : r.word + r.words]
+        if i < 12 and i % 3:
+            passage = [w.upper().encode().lower() for w in passages[i // 3]]
+            at = next(k for k in range(len(split[i])) if split[i][k : k + len(passage)] == passage)
+            inside = set(range(at + width // 2, at + len(passage) - width // 2))
+            assert gone and (inside <= gone if width % 2 else len(inside - gone) <= len(inside) // size)
+        elif i < 16:
+            assert not gone and got[i].clean_text == text
+    assert [r.words for r in got[16].removed] == [90 - width // 2]  # one text of marks, at every word but the last ones
+
+
+def test_passages_odd_rows(spark, docs, empty):
+    assert line_dedup.dedup_passages(empty).count() == 0
+    got = line_dedup.dedup_passages(docs)
+    assert {"fp", "raw", "words", "uid"} <= set(got.columns) and got.count() == len(rows())
+    found = {(r.doc_id, r.text): r for r in got.collect()}
+    assert found[(0, None)].clean_text == "" and found[(0, None)].n_words == 0
+    assert found[(1, "")].removed == [] and found[(2, "   ")].clean_text == "   "
+    base = {i: found[(i, texts()[i])] for i in (5, 6, 7, 8, 9, 10, 11)}
+    assert [bool(base[i].removed) for i in (5, 6, 7, 8, 9, 10, 11)] == [False, True, True, True, False, True, True]  # a repeated row keeps its text
+    with pytest.raises(ValueError):
+        line_dedup.dedup_passages(docs, 0)
+
+
 def brute_removed(values, m):
     raws = [(t or "").encode() for t in values]
     seen = Counter(r[i : i + m] for r in raws for i in range(len(r) - m + 1))
