@@ -145,3 +145,18 @@ def test_rows_are_not_repeated_around_few_targets(spark):
     got = {r.k: (r.t, r.angle) for r in rot.nearest_misorientation(rows, targets, ops, first_deg=30.0, few=True).collect()}
     assert {k: t for k, (t, _) in got.items()} == dict(enumerate(like.argmax(1)))
     assert all(abs(angle - math.degrees(2 * math.acos(like[k].max()))) < 1e-6 for k, (_, angle) in got.items())
+
+
+def test_nested_cells_hold_every_row_of_the_table(spark, tmp_path):
+    import duckdb
+
+    from polefold.plans import catalog
+
+    values = np.random.default_rng(6).normal(size=(40, 64))
+    rows = [(i, list(map(float, v)), None if i % 11 == 10 else i % 11) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.level, r.node, r.k) for r in catalog.QUERIES["nested_cells"](spark, str(tmp_path)).collect())
+    assert sorted((level, k) for level, _, k in got) == [(level, k) for level in (0, 1) for k in range(40)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.ORACLE["nested_cells"]).fetchall())
